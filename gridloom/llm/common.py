@@ -57,3 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator, through which the optimizer pushes no filter.
+
+    Pushing a filter through a chain of projections writes their expressions into it, and where
+    each level uses the one below several times the filter's size explodes.
+    """
+    one = df.select(F.explode(F.array(F.struct("*"))).alias("_one"))
+    return one.select("_one.*")

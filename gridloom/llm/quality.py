@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD
+from gridloom.llm.common import WORD, fenced
 
 # Share of running words that each common word takes in ordinary prose, by language.
 COMMON_WORDS = {
@@ -183,9 +183,17 @@ def quality_signals(
     too_far = F.coalesce(F.col("class_divergence") > rules.max_class_divergence, F.lit(False)) | F.coalesce(
         F.col("word_divergence") > rules.max_word_divergence + rules.word_noise / F.col("n_words"), F.lit(False)
     )
-    return df.select(
+    return fenced(df.select(
         F.col("_id").alias(id_column),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~too_far).alias("kept"),
         "class_divergence", "word_divergence",
-    )
+    ))
+
+
+def keep_quality(docs: DataFrame, rules: QualityRules | None = None, text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
+    """The rows of ``docs``, unchanged, that the rules keep."""
+    lang = F.col(lang_column) if lang_column and lang_column in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_column).alias("_body"), lang.alias("_language"))
+    judged = quality_signals(rows, rules, id_column="_row", text_column="_body", lang_column="_language")
+    return judged.where("kept").select("_row.*")

@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import fenced
+
 SCALE = 1 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -130,7 +132,9 @@ def _scanned(docs: DataFrame, text_column: str, rules: EntropyRules) -> DataFram
             out = out | t.rlike(pattern)
         return out
 
-    places = lambda t: F.transform(F.slice(F.split(t, ""), F.lit(1), F.char_length(t)), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
+    def places(t: Column) -> Column:
+        return F.transform(F.slice(F.split(t, ""), F.lit(1), F.char_length(t)), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
+
     coded = F.transform(
         F.filter("_candidates", lambda c: ~allowed(c["t"])),
         lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _class_of(c["t"]).alias("class"), places(c["t"]).alias("codes")),
@@ -163,13 +167,14 @@ def find_secrets(docs: DataFrame, rules: EntropyRules | None = None, id_column:
     """Per row: counts of the base kinds, digest of the base spans, and all spans."""
     rules = rules or EntropyRules()
     df = _scanned(docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_raw")), "_raw", rules)
-    return df.select(
+    out = df.select(
         F.col("_id").alias(id_column),
         *[F.size(f"_{name}").cast("bigint").alias(f"n_{name}") for name, *_ in KINDS],
         F.sha2(_rendered("_base").cast("binary"), 256).alias("base_sha256"),
         _rendered("_spans").alias("spans"),
         (F.size("_spans") - F.size("_base")).cast("bigint").alias("n_entropy"),
     )
+    return fenced(out)
 
 
 def redact(docs: DataFrame, rules: EntropyRules | None = None, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -192,4 +197,4 @@ def redact(docs: DataFrame, rules: EntropyRules | None = None, text_column: str
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("_text"), acc["at"] + 1)),
     )
     cleaned = F.when(F.size("_spans") > 0, pieces).otherwise(F.col("_raw"))
-    return df.select(*[(cleaned if c == text_column else F.col("_row")[c]).alias(c) for c in names])
+    return fenced(df.select(*[(cleaned if c == text_column else F.col("_row")[c]).alias(c) for c in names]))
