@@ -2,18 +2,399 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom import fixtures as fx
+from gridloom.functions import geometry as geo
+from gridloom.functions import scoring
+from gridloom.functions.geometry import CORNERS
+from gridloom.functions.plan import fenced
+from gridloom.functions.text import completion_text, parse_box, render_answer, render_prompt
+from gridloom.operators import agent, cells, elements, encode, order
+from gridloom.oracle import SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _box(name: str) -> list[Column]:
+    return [F.col(name)[c] for c in CORNERS]
+
+
+def _named(values: list[Column], suffix: str = "") -> list[Column]:
+    return [v.alias(c + suffix) for v, c in zip(values, CORNERS, strict=True)]
+
+
+def _entries(spark: SparkSession, d: str, nested: bool) -> DataFrame:
+    """Fixture A as annotation entries: nested by image, or flat; some malformed."""
+    e = fx.ui_records(spark, d)
+    bad = F.when(F.pmod("l_partkey", F.lit(97)) == 0, F.lit(None).cast("array<double>")).otherwise(F.col("bbox"))
+    empty = F.when(F.pmod("l_partkey", F.lit(89)) == 0, F.lit("")).otherwise(F.col("instruction"))
+    element = F.struct(empty.alias("instruction"), bad.alias("bbox"))
+    if nested:
+        grouped = e.groupBy("img_filename").agg(F.collect_list(element).alias("elements"))
+        return grouped.select(F.lit("a").alias("source"), F.to_variant_object(F.struct("img_filename", "elements")).alias("entry"))
+    flat = F.struct("img_filename", empty.alias("instruction"), bad.alias("bbox"))
+    return e.select(F.lit("a").alias("source"), F.to_variant_object(flat).alias("entry"))
+
+
+def _flattened(spark: SparkSession, d: str, nested: bool) -> DataFrame:
+    flat = elements.flatten_elements(_entries(spark, d, nested)).where(elements.is_wellformed())
+    return flat.select("img_filename", "instruction", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)])
+
+
+@query
+def ui_flatten_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _flattened(spark, d, True)
+
+
+@query
+def ui_flatten_flat(spark: SparkSession, d: str) -> DataFrame:
+    return _flattened(spark, d, False)
+
+
+@query
+def ui_frame_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ui_frame(spark, d)
+
+
+@query
+def ui_frame_absolute(spark: SparkSession, d: str) -> DataFrame:
+    return elements.records_to_frame(fx.ui_records(spark, d), "absolute", keep=fx.UI_KEYS)
+
+
+@query
+def filter_ui(spark: SparkSession, d: str) -> DataFrame:
+    return elements.filter_frame(fx.ui_frame(spark, d))
+
+
+@query
+def load_quality_counts(spark: SparkSession, d: str) -> DataFrame:
+    source = F.concat(F.lit("s"), F.pmod(F.col("img_filename").cast("bigint"), F.lit(3)).cast("string"))
+    entries = _entries(spark, d, True).select(F.monotonically_increasing_id().alias("entry_id"), "entry")
+    flat = elements.flatten_elements(entries).withColumns(
+        {"source": source, "found": F.pmod(F.col("img_filename").cast("bigint"), F.lit(10)) != 0, "ok": elements.is_wellformed(), "rel_path": F.col("img_filename")}
+    )
+    return elements.load_counts(flat.select("source", "img_filename", "found").distinct(), flat.where("found"))
+
+
+@query
+def image_index_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return elements.image_index(fx.image_files(spark, d), order=("page_id",)).select("source", "basename", "page_id", "rel_path", "copies")
+
+
+def _image_entries(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "documents").select(
+        "doc_id", F.lit("web").alias("source"), F.concat(F.lit("img/"), F.pmod("doc_id", F.lit(400)).cast("string"), F.when(F.pmod("doc_id", F.lit(2)) == 0, ".html").otherwise("")).alias("img_filename")
+    )
+
+
+@query
+def image_lookup(spark: SparkSession, d: str) -> DataFrame:
+    found = elements.lookup_images(_image_entries(spark, d), image_index_dedup(spark, d))
+    return found.select("doc_id", "img_filename", "page_id", "rel_path")
+
+
+@query
+def image_missing(spark: SparkSession, d: str) -> DataFrame:
+    return elements.missing_images(_image_entries(spark, d), image_index_dedup(spark, d)).select("doc_id", "img_filename")
+
+
+@query
+def image_sizes_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ui_records(spark, d).select(F.col("img_filename").alias("rel_path"), "img_w", "img_h").distinct()
+
+
+def _category(spark: SparkSession, d: str) -> DataFrame:
+    return cells.pages_of_category(fx.pages(spark, d), "en")
+
+
+@query
+def page_category_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.col("metadata.doc_category") == "en"
+    return fx.pages(spark, d).agg(F.count_if(kept).alias("kept"), F.count("*").alias("total"))
+
+
+@query
+def page_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    return order.ordinal_by(_category(spark, d), "doc_id", "page_ordinal").select("doc_id", "page_ordinal")
+
+
+@query
+def cells_flatten(spark: SparkSession, d: str) -> DataFrame:
+    cell = _category(spark, d).select("doc_id", F.posexplode(cells.flat_cells()).alias("i", "cell"))
+    return cell.select("doc_id", "i", F.col("cell.text").alias("text"), *[F.get("cell.bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")])
+
+
+@query
+def cells_rescale(spark: SparkSession, d: str) -> DataFrame:
+    return cells.page_scale(_category(spark, d)).select("doc_id", "max_x", "max_y", "rescaled", "scale_x", "scale_y")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return cells.cell_frame(order.ordinal_by(_category(spark, d), "doc_id", "page_ordinal"))
+
+
+@query
+def cell_frame(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d)
+
+
+@query
+def filter_cells(spark: SparkSession, d: str) -> DataFrame:
+    return elements.filter_frame(_cells(spark, d), max_query_chars=50)
+
+
+@query
+def letterbox_params(spark: SparkSession, d: str) -> DataFrame:
+    sizes = fx.ui_records(spark, d).select("img_w", "img_h").distinct()
+    return sizes.select("img_w", "img_h", geo.letterbox(F.col("img_w"), F.col("img_h")).alias("p")).select("img_w", "img_h", "p.scale", "p.pad_x", "p.pad_y", "p.content_w", "p.content_h")
+
+
+@query
+def letterbox_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return fx.framed(spark, d).select(*fx.UI_KEYS, *[f"{c}_f" for c in CORNERS])
+
+
+@query
+def unletterbox_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    df = fx.framed(spark, d)
+    back = geo.unletterbox_box([F.col(f"{c}_f") for c in CORNERS], F.col("params"))
+    return df.select(*fx.UI_KEYS, *_named(back, "_o"))
+
+
+@query
+def prompt_render(spark: SparkSession, d: str) -> DataFrame:
+    return fx.framed(spark, d).select(*fx.UI_KEYS, render_prompt(F.col("query")).alias("prompt"))
+
+
+@query
+def answer_render(spark: SparkSession, d: str) -> DataFrame:
+    return fx.framed(spark, d).select(*fx.UI_KEYS, render_answer(*[F.col(f"{c}_f") for c in CORNERS]).alias("answer"))
+
+
+@query
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = encode.sft_rows(fx.framed(spark, d))
+    turn = rows.select(*fx.UI_KEYS, F.posexplode("messages").alias("turn", "m"))
+    part = turn.select(*fx.UI_KEYS, "turn", F.col("m.role").alias("role"), F.posexplode("m.content").alias("part", "c"))
+    return part.select(*fx.UI_KEYS, "turn", "role", "part", F.col("c.type").alias("type"), F.col("c.text").alias("text"))
+
+
+@query
+def sft_rows(spark: SparkSession, d: str) -> DataFrame:
+    lengths = lambda text: F.transform(F.split(text, " "), lambda w: F.char_length(w).cast("bigint"))
+    rows = encode.sft_rows(fx.framed(spark, d), tokenize=lengths)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return rows.select(*fx.UI_KEYS, "answer", joined("input_ids"), joined("labels"), F.size("attention_mask").alias("n_ids"))
+
+
+@query
+def grpo_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = encode.grpo_rows(fx.framed(spark, d))
+    first = F.get("prompt", F.lit(0))
+    return rows.select(*fx.UI_KEYS, first["role"].alias("role"), first["content"].alias("content"), *[F.get("target_bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)])
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+@query
+def label_mask(spark: SparkSession, d: str) -> DataFrame:
+    df = fx.chats(spark, d).withColumn("labels", encode.mask_prompt(F.col("input_ids"), F.col("prompt_length")))
+    return df.select("conv_id", "prompt_length", _joined("labels"))
+
+
+@query
+def pad_batch(spark: SparkSession, d: str) -> DataFrame:
+    df = fx.chats(spark, d).withColumns(
+        {
+            "labels": encode.mask_prompt(F.col("input_ids"), F.col("prompt_length")),
+            "attention_mask": F.transform("input_ids", lambda x: F.lit(1).cast("bigint")),
+        }
+    )
+    padded = encode.pad_batches(df)
+    return padded.select("conv_id", "batch_id", "length", *[_joined(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query
+def completion_texts(spark: SparkSession, d: str) -> DataFrame:
+    return fx.chats(spark, d).select("conv_id", completion_text(F.col("messages")).alias("text"))
+
+
+@query
+def parsed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    df = fx.completions(spark, d).withColumn("box", parse_box(F.col("completion")))
+    return df.select(*fx.UI_KEYS, *_named(_box("box")))
+
+
+@query
+def format_reward(spark: SparkSession, d: str) -> DataFrame:
+    return fx.completions(spark, d).select(*fx.UI_KEYS, scoring.format_reward(F.col("completion")).alias("reward"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    df = fenced(fx.completions(spark, d).withColumn("box", parse_box(F.col("completion"))))
+    coverage, precision = scoring.coverage_precision(_box("box"), [F.col(f"{c}_f") for c in CORNERS])
+    return df.withColumns({"coverage": coverage, "precision": precision})
+
+
+@query
+def coverage_precision(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).select(*fx.UI_KEYS, "coverage", "precision")
+
+
+@query
+def bbox_reward(spark: SparkSession, d: str) -> DataFrame:
+    scored = scoring.score(fx.completions(spark, d), channels=["asymmetric_bbox_reward_func"])
+    return scored.select(*fx.UI_KEYS, F.col("asymmetric_bbox_reward_func").alias("reward"))
+
+
+@query
+def reward_summary(spark: SparkSession, d: str) -> DataFrame:
+    means = scoring.channel_means(scoring.score(fx.completions(spark, d)))
+    return means.select(*[F.round(F.col(f"`rewards/{n}/mean`"), 6).alias(n) for n in scoring.CHANNELS])
+
+
+@query
+def reward_group_stats(spark: SparkSession, d: str) -> DataFrame:
+    scored = scoring.score(fx.completions(spark, d)).withColumn("prompt_id", F.col("l_partkey"))
+    r = F.col("asymmetric_bbox_reward_func")
+    return scored.groupBy("prompt_id").agg(F.count("*").alias("n"), F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_pop(r), 6).alias("deviation"))
+
+
+@query
+def benchmark_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    ok = scoring.passes(F.col("coverage"), F.col("precision"))
+    return _scores(spark, d).agg(F.count("*").alias("n"), F.count_if(ok).alias("passed"))
+
+
+@query
+def crop_box(spark: SparkSession, d: str) -> DataFrame:
+    df = agent.zoom_context(agent.macro_pass(fx.completions(spark, d), "completion").where("zooms"))
+    return df.select(*fx.UI_KEYS, *_named(_box("crop")), F.col("zoom.scale").alias("scale"), F.col("zoom.pad_x").alias("pad_x"), F.col("zoom.pad_y").alias("pad_y"))
+
+
+@query
+def project_box(spark: SparkSession, d: str) -> DataFrame:
+    df = agent.zoom_context(agent.macro_pass(fx.completions(spark, d), "completion").where("zooms"))
+    fixed = [F.lit(x).cast("float") for x in (200.0, 300.0, 800.0, 450.0)]
+    return df.select(*fx.UI_KEYS, *_named(geo.project_box(fixed, F.col("crop"), F.col("zoom"))))
+
+
+@query
+def zoom_verify(spark: SparkSession, d: str) -> DataFrame:
+    df = agent.zoom_verify(fx.completions(spark, d), agent.recorded("completion"), agent.recorded("micro"))
+    return df.select(*fx.UI_KEYS, "path", *_named(_box("result")))
+
+
+def _shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return order.shuffled(elements.filter_frame(fx.ui_frame(spark, d)), fx.UI_KEYS, 17)
+
+
+@query
+def holdout_split(spark: SparkSession, d: str) -> DataFrame:
+    train, held = order.split_holdout(_shuffled(spark, d))
+    rows = train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("holdout")))
+    return rows.select(*fx.UI_KEYS, "pos", "part")
+
+
+def _children(spark: SparkSession, d: str) -> list[DataFrame]:
+    key = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    a = elements.filter_frame(fx.ui_frame(spark, d)).withColumn("row_key", key(*fx.UI_KEYS))
+    b = elements.filter_frame(_cells(spark, d), max_query_chars=50).withColumn("row_key", key("image_path", "query", "x0", "y0"))
+    return [x.select("row_key", *elements.FRAME_COLUMNS).dropDuplicates(["row_key"]) for x in (a, b.withColumn("row_key", F.md5("row_key")))]
+
+
+@query
+def mix_counts(spark: SparkSession, d: str) -> DataFrame:
+    index = order.mix_index(_children(spark, d), ["row_key"], [0.7, 0.3], 17)
+    return index.groupBy("child").agg(F.count("*").alias("n"), F.countDistinct("row_key").alias("rows"), F.max("pick").alias("last_pick"))
+
+
+@query
+def mix_index(spark: SparkSession, d: str) -> DataFrame:
+    a = elements.filter_frame(fx.ui_frame(spark, d)).select(F.concat_ws("|", *[F.col(k).cast("string") for k in fx.UI_KEYS]).alias("row_key"))
+    b = fx.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("row_key"))
+    return order.mix_index([a, b], ["row_key"], [0.7, 0.3], 17).select("pos", "child", "row_key", "pick")
+
+
+@query
+def mixed_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = order.mixed_rows(_children(spark, d), ["row_key"], [0.7, 0.3], 17)
+    return rows.select("child", "pick", "pos", "image_path", "img_w", "img_h")
+
+
+def png(width: int, height: int, colour) -> bytes:
+    """A tiny RGB PNG whose pixel (x, y) has ``colour(x, y)``."""
+    raw = b"".join(b"\0" + bytes(v for x in range(width) for v in colour(x, y)) for y in range(height))
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def _images(spark: SparkSession) -> DataFrame:
+    made = [(i, png(w, h, lambda x, y: (x * 9 % 256, y * 7 % 256, (x + y) % 256))) for i, (w, h) in enumerate([(16, 9), (9, 16), (40, 40)])]
+    return spark.createDataFrame(made, "id bigint, content binary")
+
+
+@query
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.sources.annotations import png_size
+
+    w, h = png_size(F.col("content"))
+    return _images(spark).select("id", w.alias("img_w"), h.alias("img_h"))
+
+
+@query
+def image_letterbox_pixels(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.operators.pixels import framed_images
+
+    return framed_images(_images(spark), (64, 48)).select("id", "width", "height", F.octet_length("pixels").alias("n_bytes"), F.md5("pixels").alias("digest"))
+
+
+@query
+def image_crop_pixels(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.operators.pixels import framed_images
+
+    frame = spark.createDataFrame([(1, png(64, 48, lambda x, y: (x, y, 0)), 10, 5, 30, 20)], "id bigint, content binary, x0 int, y0 int, x1 int, y1 int")
+    return framed_images(frame, (64, 48), crop=True).select("id", F.octet_length("pixels").alias("n_bytes"), F.md5("pixels").alias("digest"))
+
+
+@query
+def zip_scan(spark: SparkSession, d: str) -> DataFrame:
+    """An archive in two parts, joined in order, and the sizes its images announce."""
+    from gridloom.sources.archives import unzip, with_image_size
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for w, h in ((3, 2), (40, 7)):
+            archive.writestr(f"d/{w}x{h}.png", png(w, h, lambda x, y: (x, y, 9)))
+    raw = packed.getvalue()
+    parts = spark.createDataFrame([("a", 1, raw[50:]), ("a", 0, raw[:50])], "archive string, part int, content binary")
+    return with_image_size(unzip(parts))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return reward_summary(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
