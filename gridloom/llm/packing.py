@@ -231,8 +231,9 @@ def pack(
     tolerance: int = 8,
     id_column: str = "doc_id",
     text_column: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
-    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and its ids."""
     spark = docs.sparkSession
     encoded = encode(docs, tokenizer, end_id, window, id_column, text_column)
     counts = keep(encoded.groupBy("shard", "rest").agg(F.count("*").alias("n")), "lengths")
@@ -284,13 +285,14 @@ def pack(
                 for start, length, sequence, offset in found:
                     raw = ids[4 * start : 4 * (start + length)]
                     source.append(i)
-                    raws.append(raw)
+                    if with_ids:
+                        raws.append(raw)
                     for c, v in zip(cols, (start, length, zlib.crc32(raw), n, sequence, offset), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(np.array(source, dtype=np.int64))), *(pa.array(c, pa.int64()) for c in cols), pa.array(raws, pa.binary())],
-                names=["doc_id", *names, "ids"],
-            )
+            found = [batch.column("doc_id").take(pa.array(np.array(source, dtype=np.int64))), *(pa.array(c, pa.int64()) for c in cols)]
+            if with_ids:
+                found.append(pa.array(raws, pa.binary()))
+            yield pa.RecordBatch.from_arrays(found, names=["doc_id", *names, *["ids"] * with_ids])
 
-    out = placed.mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", ids binary")
+    out = placed.mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", ids binary" * with_ids)
     return out.withColumnRenamed("doc_id", id_column)

@@ -53,16 +53,32 @@ def _split_mode(spec: dict) -> str:
     return "whole"
 
 
+class _Numbers(dict):
+    """Piece -> number, given on first sight; 0 for a piece that must not stand alone."""
+
+    def __init__(self, safe):
+        super().__init__()
+        self.safe, self.fresh = safe, []
+
+    def __missing__(self, piece: str) -> int:
+        if not self.safe(piece):
+            return 0
+        number = self[piece] = len(self) + 1
+        self.fresh.append(piece)
+        return number
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Texts are cut at single spaces where the tokenizer's own rules make the pieces independent;
     every distinct piece is encoded once by the library and remembered.  Texts in which a cut
     would not be safe (white space before a space, special strings) are encoded in one go.
-    The memory is emptied when it holds ``limit`` pieces; that costs time, never results.
+    When the memory holds ``limit`` pieces, those not seen again lately are dropped; that costs
+    time, never results.
     """
 
-    def __init__(self, name: str, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, name: str, limit: int = 700_000, longest: int = 256):
         self.tokenizer, spec = load(name)
         self.mode = _split_mode(spec)
         added = spec.get("added_tokens") or []
@@ -73,91 +89,120 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.sizes[i] = len(token.removesuffix(suffix) if suffix else token)
         self.limit, self.longest = limit, longest
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers(self._safe)
+        self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.again = np.zeros(1, dtype=bool)
+
+    def _compact(self) -> None:
+        """Keep the pieces that were met again since the last time."""
+        stay = np.flatnonzero(self.again)
+        if len(stay) > 0.75 * self.limit:
+            return self._forget()
+        keys, flat, starts, lengths = list(self.known), self.flat, self.starts[stay], self.lengths[stay]
+        self._forget()
+        for i in stay.tolist():
+            self.known[keys[i - 1]] = len(self.known) + 1
+        self._append(_ranges(flat, starts, lengths), lengths)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> None:
+        """Add ids of new pieces; ``order`` has the place of each among the new numbers."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), dtype="<u4")))
+        self.flat[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        if order is not None:
+            back = np.argsort(order)
+            starts, lengths = starts[back], lengths[back]
+        self.starts = np.concatenate((self.starts, starts))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.again = np.concatenate((self.again, np.zeros(len(lengths), dtype=bool)))
+        self.used += len(ids)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_marks(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece from one call: a special string between pieces keeps them apart."""
-        if not self.special or not pieces:
-            return self._library(pieces)
-        joined = self.special[0].join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = [*(4 * np.flatnonzero(ids == self.special_ids[0])).tolist(), 4 * len(ids)]
-        raw, out, start = ids.tobytes(), [], 0
-        for end in ends:
-            out.append(raw[start:end])
-            start = end + 4
-        return out
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raws = self._library(pieces)
+        return np.frombuffer(b"".join(raws), dtype="<u4"), np.array([len(r) // 4 for r in raws], dtype=np.int64)
 
-    def _separate(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece from one call over the running text, cut by the bytes that tokens stand for."""
-        out: list[bytes] = []
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces from few calls over the running text, cut by the bytes that tokens stand for."""
+        found = [(np.zeros(0, "<u4"), np.zeros(0, np.int64))]
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             if self.mode == "prefix":
                 joined, sizes = "".join(part), [len(p) if p.isascii() else len(p.encode()) for p in part]
             else:
                 joined = " ".join(part)
-                plain = [p if p.isascii() else self.tokenizer.normalizer.normalize_str(p) for p in part]
-                sizes = [len("".join(p.split()).encode()) for p in plain]
+                sizes = [len(p) if p.isascii() and p.isprintable() else self._stripped(p) for p in part]
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             reached = np.concatenate(([0], np.cumsum(self.sizes[ids])))
             wanted = np.concatenate(([0], np.cumsum(sizes)))
             cuts = np.searchsorted(reached, wanted)
-            if cuts[-1] != len(ids) or not np.array_equal(reached[cuts], wanted):
-                out += self._by_marks(part)
-                continue
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
-        return out
+            if cuts[-1] == len(ids) and np.array_equal(reached[cuts], wanted):
+                found.append((ids, np.diff(cuts)))
+            else:
+                found.append(self._one_by_one(part))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _learn(self, fresh: list[str]) -> None:
+        if self.mode != "prefix":
+            return self._append(*self._together(fresh))
+        first = [i for i, p in enumerate(fresh) if p[0] == "\0"]
+        later = [i for i, p in enumerate(fresh) if p[0] != "\0"]
+        ids, lengths = self._together([" " + fresh[i] for i in later])
+        more_ids, more_lengths = self._one_by_one([fresh[i][1:] for i in first])
+        self._append(np.concatenate((ids, more_ids)), np.concatenate((lengths, more_lengths)), np.array(later + first, dtype=np.int64))
+
+    def _stripped(self, piece: str) -> int:
+        return len("".join(self.tokenizer.normalizer.normalize_str(piece).split()).encode())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mode == "whole":
+        if self.mode == "whole" or not texts:
             return self._library(texts)
-        known = self.known
-        if len(known) > self.limit:
-            for p in list(islice(known, len(known) // 2)):
-                del known[p]
-        prefix = self.mode == "prefix"
+        if len(self.known) > self.limit or self.used > 8 * self.limit:
+            self._compact()
         pieces = [t.split(" ") for t in texts]
-        if prefix:  # the first piece has no space before it; NUL keeps its key apart
+        if self.mode == "prefix":  # the first piece has no space before it; NUL keeps its key apart
             for p in pieces:
                 p[0] = "\0" + p[0]
-        fresh = [p for p in set(chain.from_iterable(pieces)).difference(known) if self._safe(p, prefix)]
-        if prefix:
-            first = [p for p in fresh if p[0] == "\0"]
-            fresh = [p for p in fresh if p[0] != "\0"]
-            found = self._separate([" " + p for p in fresh]) + self._by_marks([p[1:] for p in first])
-            fresh += first
-        else:
-            found = self._separate(fresh)
-        long = {p: ids for p, ids in zip(fresh, found, strict=True) if len(p) > self.longest}
-        known.update(zip(fresh, found, strict=True))
-        out: list[bytes | None] = []
-        for p in pieces:
-            try:
-                out.append(b"".join(map(known.__getitem__, p)))
-            except KeyError:
-                out.append(None)
-        for p in long:
-            del known[p]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+        before, known = len(self.known), self.known
+        flat = list(chain.from_iterable(pieces))
+        number = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.again[number[number <= before]] = True
+        fresh, known.fresh = known.fresh, []
+        self._learn(fresh)
+        ends = np.cumsum([len(p) for p in pieces])
+        lengths = self.lengths[number]
+        ids = _ranges(self.flat, self.starts[number], lengths).tobytes()
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        bounds = 4 * total[np.concatenate(([0], ends))]
+        out = [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        unsafe = np.unique(np.searchsorted(ends, np.flatnonzero(number == 0), side="right")).tolist()
+        for i, whole in zip(unsafe, self._library([texts[i] for i in unsafe]), strict=True):
+            out[i] = whole
         return out
 
-    def _safe(self, piece: str, prefix: bool) -> bool:
-        if "<" in piece and any(s in piece for s in self.special):
+    def _safe(self, piece: str) -> bool:
+        if len(piece) > self.longest or "<" in piece and any(s in piece for s in self.special):
             return False
-        if not prefix:
+        if self.mode != "prefix":
             return True
         body = piece[1:] if piece[:1] == "\0" else piece
         # A NUL inside the text may not pass for the mark of a first piece.
         return bool(body) and not body[-1].isspace() and "\0" not in body
 
 
+def _ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + length) of ``flat``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
+
 @lru_cache(maxsize=4)
 def piece_encoder(name: str) -> PieceEncoder:
     return PieceEncoder(name)
