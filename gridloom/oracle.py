@@ -264,6 +264,18 @@ SQL: dict[str, str] = {
     + JOIN(f"CASE WHEN mx0 IS NULL THEN h{c} ELSE r{c} END" for c in CORNERS) + " FROM r",
     "holdout_split": f"""WITH {FRAMED}, placed AS (SELECT {KEYS}, row_number() OVER (ORDER BY md5({ROW_KEY} || '|17'), {KEYS}) - 1 AS pos, count(*) OVER () AS n FROM kept)
       SELECT {KEYS}, pos, CASE WHEN pos < greatest(1, floor(n * 0.01::DOUBLE)::BIGINT) THEN 'holdout' ELSE 'train' END AS part FROM placed""",
+    "page_image_join": f"WITH {CELLS} SELECT image_path, query, x0, y0, doc_id AS image FROM cells JOIN ordered ON page_ordinal = image_path::BIGINT",
+    "zipped_rewards": f"""WITH {SCORED}, placed AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY l_orderkey) AS size FROM scored
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, completion))
+      SELECT l_orderkey, count(*)::INTEGER AS n, sum(format_reward) AS total FROM placed WHERE nth <= greatest(size - 1, 1) GROUP BY l_orderkey""",
+    "collated_batches": f"""WITH {CHATS}, longest AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch_id) AS length FROM masked),
+      padded AS (SELECT conv_id, batch_id, array_to_string(list_concat(input_ids, list_transform(range(0, length - len(input_ids)), lambda x: 0)), ',') AS i,
+        array_to_string(list_concat(labels, list_transform(range(0, length - len(input_ids)), lambda x: -100)), ',') AS l FROM longest)
+      SELECT batch_id, string_agg(i, ';' ORDER BY conv_id) AS input_ids, string_agg(l, ';' ORDER BY conv_id) AS labels FROM padded GROUP BY batch_id""",
+    "build_datasets": f"""WITH {FRAME}, ui_kept AS (SELECT count(*) AS n FROM ({kept('frame')})),
+      held AS (SELECT n, greatest(1, floor(n * 0.01::DOUBLE)::BIGINT) AS h FROM ui_kept)
+      SELECT 'train0' AS part, n - h AS n FROM held UNION ALL SELECT 'holdout', h FROM held
+      UNION ALL SELECT 'train1', greatest(1, round_even(round_even((n - h)::DOUBLE / (0.7::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0) * (0.3::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0)::BIGINT) FROM held""",
     "mix_counts": f"WITH {MIX_A}, {mixed(f'SELECT DISTINCT row_key FROM ({UI_CHILD})', f'SELECT row_key FROM ({CELL_CHILD})')} SELECT child, count(*) AS n, count(DISTINCT row_key) AS rows, max(pick) AS last_pick FROM mixed GROUP BY child",
     "mixed_rows": f"""WITH {MIX_A}, {mixed(f'SELECT DISTINCT row_key FROM ({UI_CHILD})', f'SELECT row_key FROM ({CELL_CHILD})')},
       rows AS (SELECT 0 AS child, row_key, any_value(image_path) AS image_path, any_value(img_w) AS img_w, any_value(img_h) AS img_h FROM ({UI_CHILD}) GROUP BY row_key

@@ -19,6 +19,7 @@ from gridloom.functions.plan import fenced
 from gridloom.functions.text import completion_text, parse_box, render_answer, render_prompt
 from gridloom.operators import agent, cells, elements, encode, order
 from gridloom.oracle import SQL
+from gridloom.plans import datasets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -338,6 +339,42 @@ def mixed_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("child", "pick", "pos", "image_path", "img_w", "img_h")
 
 
+@query
+def page_image_join(spark: SparkSession, d: str) -> DataFrame:
+    pages = order.ordinal_by(_category(spark, d), "doc_id", "page_ordinal").withColumn("image", F.col("doc_id"))
+    return cells.page_images(cells.cell_frame(pages), pages).select("image_path", "query", "x0", "y0", "image")
+
+
+@query
+def zipped_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Rewards of a list of completions against a shorter list of targets."""
+    line = fenced(fx.completions(spark, d)).withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    lists = line.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("place", "completion"))).alias("done"), F.array_sort(F.collect_list(F.struct("place", "target_bbox"))).alias("aims")
+    )
+    aims = F.slice(F.transform("aims", lambda x: x["target_bbox"]), F.lit(1), F.greatest(F.size("aims") - 1, F.lit(1)))
+    texts = F.transform("done", lambda x: x["completion"])
+    rewards = scoring.zip_rewards(texts, aims, lambda text, aim: scoring.format_reward(text))
+    return lists.select("l_orderkey", F.size(rewards).alias("n"), F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query
+def collated_batches(spark: SparkSession, d: str) -> DataFrame:
+    ones = F.transform("input_ids", lambda x: F.lit(1).cast("bigint"))
+    df = fx.chats(spark, d).withColumns({"labels": encode.mask_prompt(F.col("input_ids"), F.col("prompt_length")), "attention_mask": ones})
+    batches = encode.collate(encode.pad_batches(df), order="conv_id")
+    return batches.select("batch_id", *[F.array_join(F.transform(c, lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")), ";").alias(c) for c in ("input_ids", "labels")])
+
+
+@query
+def build_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """Row counts of the training mixture by child, and of the held-out rows."""
+    cell = _cells(spark, d)
+    train, held = datasets.build(fx.ui_frame(spark, d), fx.UI_KEYS, cell, list(elements.FRAME_COLUMNS[:6]))
+    rows = train.select(F.concat(F.lit("train"), F.col("child").cast("string")).alias("part")).unionByName(held.select(F.lit("holdout").alias("part")))
+    return rows.groupBy("part").agg(F.count("*").alias("n"))
+
+
 def png(width: int, height: int, colour) -> bytes:
     """A tiny RGB PNG whose pixel (x, y) has ``colour(x, y)``."""
     raw = b"".join(b"\0" + bytes(v for x in range(width) for v in colour(x, y)) for y in range(height))
