@@ -27,10 +27,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def keep(df: DataFrame, label: str, shrink: int = 1) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``shrink`` is how many shuffle partitions share a file.  Tables that are small next to the one
+    they come from are dealt out again before they are written, so that work stays spread and the
+    shared file system is not filled with tiny files.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if shrink > 1:
+        df = df.repartition(max(3, shuffle_partitions(spark) // shrink))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path

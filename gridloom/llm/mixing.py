@@ -196,7 +196,7 @@ def mix(
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD)).cast("bigint")
     base = docs.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *carry)
-    base = keep(base.withColumn("key", seeded_key(seed, F.col("id"), F.col("size"))), "sizes")
+    base = keep(base.withColumn("key", seeded_key(seed, F.col("id"), F.col("size"))), "sizes", 1 if carry else 6)
     patterns = {tuple(r["sources"]): r["words"] for r in base.groupBy("sources").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = defaultdict(int)
     for p, words in patterns.items():

@@ -236,7 +236,7 @@ def pack(
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and its ids."""
     spark = docs.sparkSession
     encoded = encode(docs, tokenizer, end_id, window, id_column, text_column)
-    counts = keep(encoded.groupBy("shard", "rest").agg(F.count("*").alias("n")), "lengths")
+    counts = keep(encoded.groupBy("shard", "rest").agg(F.count("*").alias("n")), "lengths", 12)
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     slots, n_sequences = plan(histogram, window, tolerance)
     before = Window.rowsBetween(Window.unboundedPreceding, -1)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import forget, keep
+from gridloom.llm.common import keep
 from gridloom.llm.wordhash import SECOND, RollingHash, hash_words
 
 PART = 16  # words of a seed
@@ -262,7 +262,7 @@ def remove_repeats(
                 if len(records):
                     yield pa.RecordBatch.from_pylist(list(_by_bucket(row["grp"], _bucket(seed, n_buckets), records)), schema=_ENTRY)
 
-    codes = keep(_exchange(groups.mapInArrow(send_seeds, ENTRY), _SEED, _judge_seeds), "seeds")
+    codes = keep(_exchange(groups.mapInArrow(send_seeds, ENTRY), _SEED, _judge_seeds), "seeds", 12)
 
     def edges_of(group: _Group, seed_verdicts: list[dict] | None):
         paths = group.paths()

@@ -83,12 +83,12 @@ def _sums() -> list[Column]:
 
 def template_tree(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
     """host, shape -> template, for shapes given with n, labelled, bad."""
-    rows = keep(shapes.withColumn("template", F.array().cast("array<string>")), "shapes")
+    rows = keep(shapes.withColumn("template", F.array().cast("array<string>")), "shapes", 12)
     deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
     for level in range(min(deepest, rules.depth)):
         here = F.get("shape", F.lit(level))
         nodes = rows.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*_sums())
-        nodes = keep(nodes, "nodes")
+        nodes = keep(nodes, "nodes", 12)
         parents = nodes.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
         )
@@ -104,7 +104,7 @@ def template_tree(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
         )
         grown = rows.withColumn("segment", here).join(step, ["host", "template", "segment"], "left")
         grown = grown.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.array("step"))))
-        after = keep(grown.drop("segment", "step"), "templates")
+        after = keep(grown.drop("segment", "step"), "templates", 12)
         forget(rows, nodes)
         rows = after
     tail = F.when(F.size("shape") > rules.depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))

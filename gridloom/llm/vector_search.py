@@ -126,11 +126,11 @@ def top_k(
 
     ``is_query`` is a condition on the column ``id``.
     """
-    whole = keep(integer_vectors(vectors, scale, id_column, vector_column), "vectors")
+    whole = keep(integer_vectors(vectors, scale, id_column, vector_column), "vectors", 6)
     asked = whole.where(is_query)
     n, n_asked = whole.count(), asked.count()
     n_blocks, n_query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
-    data = keep(_blocks(whole.where(F.size("codes") > 0), n_blocks, 1, True), "approximations")
+    data = keep(_blocks(whole.where(F.size("codes") > 0), n_blocks, 1, True), "approximations", 6)
     queries = _blocks(asked.where(F.size("codes") > 0), n_query_blocks, 2, False).select(
         "width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("exact").alias("queries")
     )
