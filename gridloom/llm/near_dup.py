@@ -9,11 +9,14 @@ the least depth: a pair with Jaccard similarity 0.75 agrees on them in some tree
 Links are found in rounds.  First every document of a region (a common prefix) is paired with
 the region's least document; confirmed links join most copies into components.  Then regions that
 still hold several components are searched across components; a region of more than ``region``
-documents is entered deeper, by more hashes of the same order, until it is small, and at full
+documents is first entered deeper, by more hashes of the same order, until it is small, and at full
 depth its documents are paired with the region's least.  Within a region every document is paired
 with the one of another component whose signature agrees most; the regions that confirmed pairs
-leave apart are compared on full sets.  Copies inside a component are never paired again, and a
-region gives no more links than it has documents, so the rows made follow documents, not pairs.
+leave apart are compared on full sets.  Large regions that are still apart then are compared whole:
+those that share documents form a group, the group is cut into blocks of bounded size, and every
+two blocks are one unit of work, in which all pairs across components meet.  Copies inside a
+component are never paired again, and a unit gives no more links than it has documents, so the rows
+made follow documents, not pairs; the comparisons in a group of n unlinked documents follow n**2.
 
 Defined results: a null or empty text (or one without words) has an empty set and links with
 nothing; rows with a null id are returned, kept and linked with nothing; rows that repeat an id
@@ -40,6 +43,8 @@ HASHES, DEPTH = 128, 4
 TREES = HASHES // DEPTH
 DEEPER = 4  # hashes added where a region is too large
 LEVELS = 8
+#: A block of a large group holds sets of so many bytes; a document counts for DOCUMENT_BYTES more.
+BLOCK_BYTES, DOCUMENT_BYTES = 8 << 20, 2048
 
 
 @dataclass(frozen=True)
@@ -217,6 +222,64 @@ def _connected(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """key, i, j, block, node, component, members: every row once in each unit (i, j) of its block.
+
+    Blocks follow the components, and two blocks inside one component form no unit.
+    """
+    weight = F.octet_length("members") + DOCUMENT_BYTES
+    before = Window.partitionBy("key").orderBy("component", "node", "weight").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / BLOCK_BYTES).cast("int")
+    # Only the weights are sorted; the sets join their blocks afterwards.
+    light = rows.groupBy("key", "component", "node").agg(F.sum(weight).alias("weight")).withColumn("block", place).drop("weight")
+    blocks = light.groupBy("key", "block").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    left = blocks.select("key", F.col("block").alias("i"), F.col("first").alias("first_i"), F.col("last").alias("last_i"))
+    right = blocks.select("key", F.col("block").alias("j"), F.col("first").alias("first_j"), F.col("last").alias("last_j"))
+    units = left.join(right, "key").where("i <= j AND least(first_i, first_j) <> greatest(last_i, last_j)").select("key", "i", "j")
+    sides = units.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return sides.join(light, ["key", "block"]).join(rows.select("node", "members"), "node").select("key", "i", "j", "block", "node", "component", "members")
+
+
+def _joined_blocks(rows: DataFrame, percent: int, screen: float) -> DataFrame:
+    """Links that join the components of each unit of :func:`_blocks` wherever full sets allow it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, label = np.asarray(table.column("node")), np.asarray(table.column("component")).copy()
+        block = np.asarray(table.column("block"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.concatenate(sets)
+        low = np.ascontiguousarray(signatures(flat, ends).astype(np.uint8).T)
+        shingles, places = np.unique(flat, return_inverse=True)
+        mine = np.zeros(len(shingles), dtype=np.uint8)
+        a, b = [], []
+        for x in np.flatnonzero(block == i).tolist():
+            fits = (label != label[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+            fits &= block == j if i != j else np.arange(len(node)) > x
+            others = np.flatnonzero(fits)
+            if not len(others):
+                continue
+            near = (low[:, others] == low[:, x, None]).sum(axis=0, dtype=np.uint8)
+            others = others[near >= screen * HASHES]
+            if not len(others):
+                continue
+            own = places[ends[x] : ends[x + 1]]
+            mine[own] = 1
+            found = mine[np.concatenate([places[ends[y] : ends[y + 1]] for y in others.tolist()])]
+            mine[own] = 0
+            shared = np.add.reduceat(found, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            for y in others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)].tolist():
+                if label[y] != label[x]:
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+                    label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+
+
 def _mixed_regions(rows: DataFrame) -> DataFrame:
     """Regions (key, size, least node) that hold more than one component."""
     return (
@@ -258,7 +321,7 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
     found = components(links)
     known = rows.join(found, "node", "left").select("key", "tree", "node", F.coalesce("component", "node").alias("component"))
 
-    near, ends = [], []
+    near, ends, large = [], [], None
     for level in range(LEVELS + 1):
         regions = _mixed_regions(known)
         small = known.join(regions.where(F.col("size") <= how.region).select("key"), "key")
@@ -267,6 +330,8 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
         if dense.isEmpty():
             break
         inside = known.join(dense.select("key", "leader"), "key")
+        if level == 0:
+            large = inside = step(inside, "large")
         if level == LEVELS:  # the whole order agrees: neighbours of the least document
             ends.append(inside.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
             break
@@ -290,7 +355,19 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
     still = open_.join(_mixed_regions(open_).select("key"), "key")
     last = step(_connected(still.join(sets, "node"), how.percent), "links")
     if not last.isEmpty():
-        found = components(links.unionByName(last))
+        links = links.unionByName(last)
+        found = components(links)
+    if large is not None:
+        # Large regions were searched in part only: those that are apart are compared whole.
+        apart = large.select("key", "node", "leader").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = step(apart.join(_mixed_regions(apart).select("key"), "key"), "apart")
+        if not apart.isEmpty():
+            groups = components(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).where("a < b").distinct())
+            grouped = groups.select("node", F.col("component").alias("key")).join(apart.select("node", "component").distinct(), "node")
+            whole = step(grouped.join(sets.where(F.octet_length("members") > 0).distinct(), "node"), "whole")
+            rest = step(_joined_blocks(_blocks(whole), how.percent, how.screen), "links")
+            if not rest.isEmpty():
+                found = components(links.unionByName(rest))
     forget(*done)  # what follows reads the sketches and the components alone
     out = members.join(found.withColumnRenamed("component", "found"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "node", "id"))

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import graph
+from gridloom.llm import graph, near_dup
 from gridloom.llm.common import table
 from gridloom.llm.mixing import materialise, mix, mix_sources, route
-from gridloom.llm.near_dup import drop_near_duplicates, near_duplicates
+from gridloom.llm.near_dup import Similarity, drop_near_duplicates, near_duplicates
 from gridloom.llm.packing import pack, plan
 from gridloom.llm.quality import keep_quality, quality_signals
 from gridloom.llm.registry import URL_RULES
@@ -103,6 +103,29 @@ def test_near_duplicates_of_a_common_original(spark):
     same(tuples(near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id", "kept"), brute.near_duplicates(rows))
 
 
+def template_docs(n, twins):
+    """Documents that share 85 of 100 words, unlinked at 0.73; each of the last has a twin at 0.745 to 0.80."""
+    rng = random.Random(12)
+    rows = [(i, [f"t{k}" for k in range(85)] + [f"u{i}-{k}" for k in range(15)]) for i in range(n)]
+    for k in range(twins):
+        w = list(rows[n - 1 - k][1])
+        for p in (86, 91, 99 - k % 4):  # 11 to 14 of 96 shingles differ: only the first three kinds are linked
+            w[p] = f"e{k}-{p}"
+        rows.append((n + k, w))
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+@pytest.mark.parametrize("n, twins, region, block_bytes", [(250, 60, 8, 8 << 20)])
+def test_near_duplicates_of_a_large_region(spark, monkeypatch, n, twins, region, block_bytes):
+    """Regions over the limit hold pairs near 0.75 among many unlinked documents; none may be lost."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", block_bytes, raising=False)
+    rows = template_docs(n, twins)
+    expected = brute.near_duplicates(rows)
+    assert sum(not kept for *_, kept in expected) == twins - twins // 4
+    same(tuples(near_duplicates(frame(spark, rows), Similarity(region=region)), "doc_id", "n_shingles", "component_id", "kept"), expected)
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = near_duplicates(frame(spark, [(None, text), (None, text), (3, text), (3, text), (2, text), (9, None)]))
