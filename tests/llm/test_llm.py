@@ -116,7 +116,7 @@ def template_docs(n, twins):
     return [(i, " ".join(w)) for i, w in rows]
 
 
-@pytest.mark.parametrize("n, twins, region, block_bytes", [(250, 60, 8, 8 << 20)])
+@pytest.mark.parametrize("n, twins, region, block_bytes", [(250, 60, 8, 8 << 20), (250, 60, 8, 40_000), (1100, 200, 256, 8 << 20)])
 def test_near_duplicates_of_a_large_region(spark, monkeypatch, n, twins, region, block_bytes):
     """Regions over the limit hold pairs near 0.75 among many unlinked documents; none may be lost."""
     monkeypatch.setattr(near_dup, "BLOCK_BYTES", block_bytes, raising=False)
