@@ -1,115 +1,185 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Vectors are scaled to integers and dealt by a hash of their id into blocks of bounded size.  A
-block keeps, beside the exact vectors, an approximation: per dimension a 4-bit cell, and per cell
-the least and greatest value found in it.  Queries are dealt into blocks too, and every pair of
-blocks is one unit of work.  The unit scans the cells of all its vectors for bounds on every
-score; only vectors whose upper bound reaches the k-th best lower bound stay, and those are read
-exactly in the order of their upper bounds until the k-th exact score is above every bound left.
-The results of all blocks meet in a ranking that keeps k rows per task before it shuffles.
-
-The scan is one matrix product per bound, so a unit's cost and memory depend on the block sizes
-alone.  Both sides are hashed, so equal vectors or labels make no block larger.
-
-Defined results: a vector takes part if it and its id are not null and all its components are
-finite and below 2**20 in size; rows that repeat an id count as one, with the smallest vector;
-vectors meet only vectors of the same length; fewer candidates than k give fewer rows; equal
-scores go to the smaller id; an empty table gives an empty result; extra columns are ignored.
+Components x count as the whole number floor(scale * x).  Vectors are dealt by a hash of their row
+into blocks of bounded size, and of every block an approximation is written: a 4-bit cell per
+component, and per dimension and cell the least and greatest value found in it.
+
+1. Scan: every block of queries meets every block of cells, never an exact vector.  With the middle
+   m and half width w of the cells, a score lies in q*m -/+ |q|*w, two matrix products.  Of each
+   unit only vectors whose upper bound reaches the unit's k-th best lower bound are passed on.
+2. The k-th best lower bound over all blocks is a bar for each query; what lies below it is out.
+3. Read: the exact vectors of the candidates with the greatest upper bounds are read first, and
+   after them only those whose upper bound still reaches the k-th exact score found.
+
+Of equal vectors the k + 1 of least id can be in a result, so copies beyond that are no candidates;
+the others would rank after them for every query.  A unit's cost and memory depend on the block
+sizes alone, and blocks are dealt by hash, so neither equal vectors nor labels make one larger.
+
+Defined results: a vector takes part if it is not null and all its components are finite numbers of
+whatever size; every row but the query's own row is a candidate, rows that repeat an id included; a
+null id is no query, and as a candidate comes after other ids of equal score; vectors meet only
+vectors of the same length, and those without components meet none; fewer candidates than k give
+fewer rows; equal scores go to the smaller id; scores are ranked to 38 digits and, beyond 64 bits, shown
+as the end of the 64-bit range;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import keep
+from gridloom.llm.common import forget, keep
 
 CELLS = 16
-LARGEST = float(1 << 20)
+#: Sums of products below this are exact in doubles.
+EXACT = 1 << 52
+#: Queries whose bounds are held at once.
+SLICE = 128
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Scores are ranked as decimals of 38 digits.
+RANKED = 10**38 - 1
 
 
-def integer_vectors(vectors: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
-    """id and floor(scale * component) of the vectors that take part."""
-    fine = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LARGEST))
-    codes = F.transform(vector_column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
-    df = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & fine)
-    return df.select(F.col(id_column).cast("bigint").alias("id"), codes.alias("codes")).groupBy("id").agg(F.min("codes").alias("codes"))
+def taking_part(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """row, id, x (doubles), width, wide (large components, dealt apart) of the vectors that take part."""
+    x = F.transform(vector_column, lambda v: v.cast("double"))
+    df = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), x.alias("x"))
+    fine = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    return df.where((F.size("x") > 0) & fine).withColumns({"width": F.size("x"), "wide": largest >= float(1 << 12)})
 
 
-def _matrix(raw: bytes, width: int, kind) -> np.ndarray:
-    return np.frombuffer(raw, dtype=kind).reshape(-1, width) if width else np.zeros((0, 0), dtype=kind)
+def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as doubles, exact for a scale that is a power of two; infinite beyond a double's range."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * float(scale))
 
 
-def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def approximate(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of every component, and per dimension and cell the least and greatest value in it."""
-    n, width = exact.shape
-    low, high = exact.min(axis=0), exact.max(axis=0)
-    span = np.maximum(high - low, 1)
-    cells = np.minimum((exact - low) * CELLS // span, CELLS - 1).astype(np.uint8)
-    least = np.full((width, CELLS), np.iinfo(np.int64).max)
-    most = np.full((width, CELLS), np.iinfo(np.int64).min)
-    where = np.broadcast_to(np.arange(width), (n, width))
-    np.minimum.at(least, (where, cells), exact)
-    np.maximum.at(most, (where, cells), exact)
+    n, width = codes.shape
+    least, most = np.full((width, CELLS), np.inf), np.full((width, CELLS), -np.inf)
+    cells = np.zeros((n, width), dtype=np.uint8)
+    for d in range(width):
+        column = codes[:, d]
+        rims = np.linspace(column.min(), column.max(), CELLS + 1)[1:-1] if np.isfinite(column).all() else np.zeros(CELLS - 1)
+        cells[:, d] = np.searchsorted(rims, column, side="right")
+        np.minimum.at(least[d], cells[:, d], column)
+        np.maximum.at(most[d], cells[:, d], column)
     return cells, least, most
 
 
-def search_block(ids, exact, cells, least, most, query_ids, queries, k: int) -> list[tuple[int, int, int]]:
-    """The k best of one block for each query: (query id, id, score)."""
-    width = exact.shape[1]
-    size = max(1, int(np.abs(exact).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, width)
-    kind = np.float64 if size < 1 << 52 else np.int64  # products of whole numbers below 2**53 are exact in doubles
-    column = np.arange(width)
-    low, high = least[column, cells].astype(kind), most[column, cells].astype(kind)
-    positive, negative = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    upper = positive @ high.T + negative @ low.T
-    lower = positive @ low.T + negative @ high.T
-    own = query_ids[:, None] == ids[None, :]
-    smallest = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-    upper[own], lower[own] = smallest, smallest
-    n = len(ids)
-    bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(query_ids), smallest)
-    out = []
-    for i, query in enumerate(queries):
-        places = np.flatnonzero((upper[i] >= bar[i]) & ~own[i])
-        places = places[np.argsort(-upper[i, places], kind="stable")]
-        scores, at, step = np.zeros(0, dtype=np.int64), 0, max(32, 4 * k)
-        while at < len(places):
-            scores = np.concatenate((scores, exact[places[at : at + step]] @ query))
-            at += step
-            # Equal scores go to the smaller id, so a bound equal to the k-th score must still be read.
-            if len(scores) >= k and at < len(places) and upper[i, places[at]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
-                break
-        read = places[: len(scores)]
-        best = np.lexsort((ids[read], -scores))[:k]
-        out += [(int(query_ids[i]), int(ids[read[j]]), int(scores[j])) for j in best]
+def packed(cells: np.ndarray) -> bytes:
+    """Two cells a byte."""
+    flat = cells.reshape(-1)
+    flat = np.append(flat, np.zeros(len(flat) % 2, np.uint8))
+    return (flat[::2] | flat[1::2] << 4).tobytes()
+
+
+def unpacked(raw: bytes, n: int, width: int) -> np.ndarray:
+    pairs = np.frombuffer(raw, dtype=np.uint8)
+    return np.stack((pairs & 15, pairs >> 4), axis=1).reshape(-1)[: n * width].reshape(n, width)
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all scores, as doubles that are exact or rounded outwards."""
+    column = np.arange(cells.shape[1])
+    low, high = least[column, cells], most[column, cells]
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle, spread = queries @ (0.5 * (low + high)).T, np.abs(queries) @ (0.5 * (high - low)).T
+        lower, upper = middle - spread, middle + spread
+        size = np.abs(queries).max(initial=0) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * cells.shape[1]
+        if not size < EXACT / 4:
+            slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T * (4 * cells.shape[1] * np.finfo(float).eps)
+            lower, upper = lower - slack, upper + slack
+    return np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray, starts: np.ndarray, scale: int) -> list[int]:
+    """Inner products of the vectors that lie one after the other in ``a`` and ``b``."""
+    x, y = whole_numbers(a, scale), whole_numbers(b, scale)
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = np.add.reduceat(x * y, starts)
+        sizes = np.add.reduceat(np.abs(x) * np.abs(y), starts)
+    out = sums.tolist()
+    ends = np.append(starts[1:], len(a))
+    for i in range(len(starts)):
+        if sizes[i] < EXACT:
+            out[i] = int(out[i])
+        else:  # too large for doubles: whole numbers without a limit
+            p, q = ([int(v) if np.isfinite(v) else int(u) * scale for u, v in zip(raw[starts[i] : ends[i]].tolist(), whole[starts[i] : ends[i]].tolist(), strict=True)] for raw, whole in ((a, x), (b, y)))
+            out[i] = max(-RANKED, min(RANKED, sum(u * v for u, v in zip(p, q, strict=True))))
     return out
 
 
-def _blocks(df: DataFrame, n_blocks: int, salt: int, approximated: bool) -> DataFrame:
-    dealt = df.withColumn("width", F.size("codes")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n_blocks)).cast("int"))
+def _blocks(df: DataFrame, n_blocks: int, salt: int, scale: int, approximated: bool) -> DataFrame:
+    """A row per block: its rows and either their cells with the values in them, or the vectors."""
+    dealt = df.withColumn("block", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n_blocks)).cast("int"))
+    names = ("rows", "cells", "least", "most") if approximated else ("rows", "x")
+    schema = pa.schema([("width", pa.int32()), ("wide", pa.bool_()), ("block", pa.int32()), *((c, pa.binary()) for c in names)])
 
     def build(table: pa.Table) -> pa.Table:
         width = table.column("width")[0].as_py()
-        codes = table.column("codes").combine_chunks()
-        exact = np.asarray(codes.flatten(), dtype=np.int64).reshape(len(table), width)
-        row = {
-            "width": [width],
-            "block": [table.column("block")[0].as_py()],
-            "ids": [np.asarray(table.column("id"), dtype=np.int64).tobytes()],
-            "exact": [exact.astype(np.int32).tobytes()],
-        }
+        codes = whole_numbers(np.asarray(table.column("x").combine_chunks().flatten()).reshape(len(table), width), scale)
+        out = {c: [table.column(c)[0].as_py()] for c in ("width", "wide", "block")}
+        out["rows"] = [np.asarray(table.column("row"), dtype=np.int64).tobytes()]
         if approximated:
-            cells, least, most = approximate(exact)
-            row |= {"cells": [cells.tobytes()], "least": [least.tobytes()], "most": [most.tobytes()]}
-        return pa.table(row, schema=pa.schema([pa.field(c, pa.int32() if c in ("width", "block") else pa.binary()) for c in row]))
+            cells, least, most = approximate(codes)
+            out |= {"cells": [packed(cells)], "least": [least.tobytes()], "most": [most.tobytes()]}
+        else:
+            out["x"] = [codes.tobytes()]
+        return pa.table(out, schema=schema)
 
-    schema = "width int, block int, ids binary, exact binary" + (", cells binary, least binary, most binary" if approximated else "")
-    return dealt.groupBy("width", "block").applyInArrow(build, schema)
+    columns = ", ".join(f"{c} binary" for c in names)
+    return dealt.select("width", "wide", "block", "row", "x").groupBy("width", "wide", "block").applyInArrow(build, f"width int, wide boolean, block int, {columns}")
+
+
+def _scan(units: DataFrame, k: int) -> DataFrame:
+    """query, row, lower, upper of what may be among a unit's k best for a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u in batch.to_pylist():
+                width = u["width"]
+                rows, query_rows = np.frombuffer(u["rows"], dtype=np.int64), np.frombuffer(u["query_rows"], dtype=np.int64)
+                cells = unpacked(u["cells"], len(rows), width)
+                least, most = (np.frombuffer(u[c]).reshape(width, CELLS) for c in ("least", "most"))
+                queries = np.frombuffer(u["queries"]).reshape(-1, width)
+                for at in range(0, len(queries), SLICE):
+                    mine = query_rows[at : at + SLICE]
+                    lower, upper = bounds(queries[at : at + SLICE], cells, least, most)
+                    own = mine[:, None] == rows[None, :]
+                    lower[own] = -np.inf
+                    bar = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(mine), -np.inf)
+                    q, r = np.nonzero((upper >= bar[:, None]) & ~own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mine[q]), pa.array(rows[r]), pa.array(lower[q, r]), pa.array(upper[q, r])], names=["query", "row", "lower", "upper"]
+                    )
+
+    return units.mapInArrow(run, "query bigint, row bigint, lower double, upper double")
+
+
+def _read(pairs: DataFrame, whole: DataFrame, asked: DataFrame, scale: int) -> DataFrame:
+    """query, query_id, row, id, score of pairs, from their exact vectors."""
+    both = pairs.select("query", "row").join(whole.select("row", "id", F.col("x").alias("a")), "row")
+    both = both.join(asked.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("x").alias("b")), "query")
+    kept = ["query", "query_id", "row", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = batch.column("a"), batch.column("b")
+                lengths = np.asarray(pa.compute.list_value_length(a), dtype=np.int64)
+                scores = exact_scores(np.asarray(a.flatten()), np.asarray(b.flatten()), np.cumsum(lengths) - lengths, scale)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([Decimal(v) for v in scores], pa.decimal128(38, 0))], names=[*kept, "score"])
+
+    return both.select(*kept, "a", "b").mapInArrow(run, ", ".join(f"{c} bigint" for c in kept) + ", score decimal(38,0)")
 
 
 def top_k(
@@ -117,46 +187,44 @@ def top_k(
     is_query: Column,
     k: int = 5,
     scale: int = 256,
-    block_rows: int = 8192,
+    block_rows: int = 16384,
     query_rows: int = 2048,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, id, score: the k best other vectors for every row with ``is_query``.
 
-    ``is_query`` is a condition on the column ``id``.
+    ``is_query`` is a condition on the column ``id``; ``scale`` is a power of two.
     """
-    whole = keep(integer_vectors(vectors, scale, id_column, vector_column), "vectors", 6)
-    asked = whole.where(is_query)
-    n, n_asked = whole.count(), asked.count()
-    n_blocks, n_query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
-    data = keep(_blocks(whole.where(F.size("codes") > 0), n_blocks, 1, True), "approximations", 6)
-    queries = _blocks(asked.where(F.size("codes") > 0), n_query_blocks, 2, False).select(
-        "width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("exact").alias("queries")
+    whole = keep(taking_part(vectors, id_column, vector_column), "vectors", 6)
+    asked = whole.where(F.col("id").isNotNull() & is_query)
+    copies = F.row_number().over(Window.partitionBy("x").orderBy(F.col("id").asc_nulls_last(), "row"))
+    candidates = whole.withColumn("_nth", copies).where(F.col("_nth") <= k + 1).drop("_nth")
+    n_blocks, n_query_blocks = max(1, -(-whole.count() // block_rows)), max(1, -(-asked.count() // query_rows))
+    files = keep(_blocks(candidates, n_blocks, 1, scale, True), "approximations", 6)
+    queries = _blocks(asked, n_query_blocks, 2, scale, False).select(
+        "width", F.col("wide").alias("query_wide"), F.col("block").alias("query_block"), F.col("rows").alias("query_rows"), F.col("x").alias("queries")
     )
-    pairs = data.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).join(
-        queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), ["width", "block", "query_block"]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                width = row["width"]
-                found = search_block(
-                    np.frombuffer(row["ids"], dtype=np.int64),
-                    _matrix(row["exact"], width, np.int32).astype(np.int64),
-                    _matrix(row["cells"], width, np.uint8),
-                    np.frombuffer(row["least"], dtype=np.int64).reshape(width, CELLS),
-                    np.frombuffer(row["most"], dtype=np.int64).reshape(width, CELLS),
-                    np.frombuffer(row["query_ids"], dtype=np.int64),
-                    _matrix(row["queries"], width, np.int32).astype(np.int64),
-                    k,
-                )
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id bigint, id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_column), "score")
+    # Queries are the smaller side: each of their blocks goes to every block of cells.
+    numbered = files.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
+    everywhere = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    units = numbered.join(everywhere, ["width", "block", "query_block"])
+
+    scanned = keep(_scan(units, k), "candidates", 6)
+    by_query = Window.partitionBy("query")
+    nth_lower = F.row_number().over(by_query.orderBy(F.desc("lower"), "row"))
+    bars = scanned.withColumn("_n", nth_lower).where(F.col("_n") <= k).groupBy("query").agg(F.min("lower").alias("bar"), F.count("*").alias("_n"))
+    bars = bars.select("query", F.when(F.col("_n") == k, F.col("bar")).otherwise(float("-inf")).alias("bar"))
+    able = scanned.join(bars, "query").where("upper >= bar").select("query", "row", F.greatest("upper", F.lit(float(-RANKED))).alias("upper"))
+    placed = keep(able.withColumn("nth", F.row_number().over(by_query.orderBy(F.desc("upper"), "row"))), "able", 6)
+    first = keep(_read(placed.where(F.col("nth") <= 4 * k), whole, asked, scale), "read", 6)
+    by_score = F.row_number().over(by_query.orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "row"))
+    certain = first.withColumn("_n", by_score).where(F.col("_n") == k).select("query", F.col("score").cast("double").alias("bar"))
+    certain = certain.withColumn("bar", F.col("bar") - 1e-15 * F.abs("bar"))  # the cast may have rounded it up
+    # A bound equal to the k-th score must still be read: equal scores go to the smaller id.
+    open_ = placed.where(F.col("nth") > 4 * k).join(certain, "query").where("upper >= bar")
+    ranked = first.unionByName(_read(open_, whole, asked, scale)).withColumn("rank", by_score).where(F.col("rank") <= k)
+    score = F.greatest(F.least("score", F.lit(Decimal(MOST))), F.lit(Decimal(LEAST))).cast("bigint")
+    out = keep(ranked.select("query_id", "rank", F.col("id").alias(id_column), score.alias("score")), "top", 6)
+    forget(whole, files, scanned, placed, first)
+    return out
