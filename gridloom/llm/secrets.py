@@ -8,8 +8,9 @@ The entropy method looks at candidate runs of key-like characters.  A window sli
 candidate; the counts of the characters inside it are updated by the one that enters and the one
 that leaves, and so is the sum of c*log2(c), kept as fixed-point integers so that the result does
 not depend on the order of additions.  The entropy of a window of W characters is
-log2(W) - sum/W.  Each character class has its own threshold.  Candidates on the allow list, and
-those that overlap a pattern span, are not reported.
+log2(W) - sum/W.  Each character class has its own threshold.  Candidates on the allow list, which
+speaks of whole candidates only, and those that lie inside a pattern span are not reported; one that
+reaches beyond a pattern span is scored and reported whole.
 
 Local to a row, no shuffle.  Defined results: a null text counts as empty; an empty text has no
 spans; whole texts are scanned whatever their length; repeated rows give repeated results; an
@@ -34,14 +35,19 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Candidates that are no secrets: words and slugs, numbers, UUIDs, paths, documentation keys, one repeated character.
+#: Three short humps in a row: letters of random case, not words in camel case.
+SHUFFLED_CASE = r"([A-Z]+[a-z]{1,2}){3}"
+#: Whole candidates that are no secrets, each with a pattern that takes the leave back: prose, slugs and
+#: identifiers, numbers, UUIDs, paths of words
+#: with short numbers, the key that documentations show, fillers, one repeated character.
 ALLOWED = (
-    r"^[A-Za-z_/+=-]+$",
-    r"^[0-9_/+=-]+$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z]+[0-9]{0,4}[/_-])+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?/?$",
-    r"EXAMPLE|example|SAMPLE|sample|xxxx|XXXX|0000000|1234567",
-    r"^(.)\1+$",
+    (r"^[A-Za-z_/+=-]+$", SHUFFLED_CASE),
+    (r"^[0-9_/+=-]+$", None),
+    (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", None),
+    (r"^/?([A-Za-z]+[0-9]{0,4}[/_-])+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?/?$", SHUFFLED_CASE),
+    (r"^[A-Za-z0-9/+]*(EXAMPLE|example)(KEY|key)?$", None),
+    (r"^((x{4,}|X{4,}|0{4,}|(1234567890)+|1234567)[_/+=-]*)+$", None),
+    (r"^(.)\1+$", None),
 )
 
 
@@ -49,7 +55,7 @@ ALLOWED = (
 class EntropyRules:
     window: int = 20
     thresholds: dict[str, float] = field(default_factory=lambda: {"hex": 2.9, "alnum": 3.6, "base64": 3.8})
-    allowed: tuple[str, ...] = ALLOWED
+    allowed: tuple[tuple[str, str | None], ...] = ALLOWED
 
 
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -78,10 +84,10 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
 
 
 def _candidates(base: Column) -> Column:
-    """Candidate runs with their characters as places in ALPHABET, less those that touch a pattern span."""
+    """Candidate runs and their text, less those that a pattern span covers."""
     text = F.col("_text")
     runs = _matches(text, CANDIDATE, 0, 1)
-    free = F.filter(runs, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    free = F.filter(runs, lambda c: ~F.exists(base, lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"])))
     return F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substr(text, c["s"] + 1, c["e"] - c["s"]).alias("t")))
 
 
@@ -128,8 +134,8 @@ def _scanned(docs: DataFrame, text_column: str, rules: EntropyRules) -> DataFram
 
     def allowed(t: Column) -> Column:
         out = F.lit(False)
-        for pattern in rules.allowed:
-            out = out | t.rlike(pattern)
+        for pattern, unless in rules.allowed:
+            out = out | (t.rlike(pattern) if unless is None else t.rlike(pattern) & ~t.rlike(unless))
         return out
 
     def places(t: Column) -> Column:
