@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,13 @@ FALLBACK_DIR = "/tmp/checkpoints/gridloom"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in a local
-    session, is a folder of our own used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session, where driver and
+    executors are one process, may leave that unset and gets a folder of our own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 

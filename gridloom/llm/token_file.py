@@ -8,11 +8,12 @@ the frames of the documents it wants and no others.
 
 Files are written by the tasks of one range-partitioned, sorted stage, each under a name of its
 own that is put in place by a rename when it is whole; a task that runs again writes the same
-bytes.  They go to the shared folder, through Arrow's file systems.
+bytes.  They go to the shared folder, through Arrow's file systems.  Ranges are cut by id, a hash
+of the text and a row number, so neither null nor repeated ids nor copies fill one file.
 
 Defined results: a null text counts as empty, so its document holds the end id alone; rows with a
-null id come first; rows that repeat an id follow each other in the order of their texts; an empty
-table writes no file; extra columns of the input are ignored.
+null id come first; rows that repeat an id follow each other in the order of a hash of their texts;
+an empty table writes no file; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +146,9 @@ def write_token_files(
     spark = docs.sparkSession
     root = path or new_path(spark, "token-files")
     df = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    ordered = df.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    keys = ["_id", "_hash", "_row"]
+    df = df.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +173,9 @@ def write_token_files(
         n_bytes = stream.tell()
         stream.close()
         if fs.get_file_info(name).is_file:  # of an earlier attempt, with the same bytes
-            fs.delete_file(name)
-        fs.move(own, name)
+            fs.delete_file(own)
+        else:
+            fs.move(own, name)
         yield pa.RecordBatch.from_pylist(
             [{"part": part, "path": f"{root}/part-{part:07d}.ids", "n_docs": len(writer.ids), "n_tokens": n_tokens, "n_bytes": n_bytes}],
             schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]),

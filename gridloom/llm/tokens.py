@@ -166,10 +166,14 @@ class PieceEncoder:
             return self._library(texts)
         if len(self.known) > self.limit or self.used > 8 * self.limit:
             self._compact()
-        pieces = [t.split(" ") for t in texts]
-        if self.mode == "prefix":  # the first piece has no space before it; NUL keeps its key apart
+        marked = self.mode == "prefix"
+        # NUL marks a first piece, so texts that hold one themselves are encoded in one go.
+        nul = [i for i, t in enumerate(texts) if marked and "\0" in t]
+        pieces = [[] if marked and "\0" in t else t.split(" ") for t in texts]
+        if marked:  # the first piece has no space before it; NUL keeps its key apart
             for p in pieces:
-                p[0] = "\0" + p[0]
+                if p:
+                    p[0] = "\0" + p[0]
         before, known = len(self.known), self.known
         flat = list(chain.from_iterable(pieces))
         number = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -182,7 +186,7 @@ class PieceEncoder:
         total = np.concatenate(([0], np.cumsum(lengths)))
         bounds = 4 * total[np.concatenate(([0], ends))]
         out = [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-        unsafe = np.unique(np.searchsorted(ends, np.flatnonzero(number == 0), side="right")).tolist()
+        unsafe = [*nul, *np.unique(np.searchsorted(ends, np.flatnonzero(number == 0), side="right")).tolist()]
         for i, whole in zip(unsafe, self._library([texts[i] for i in unsafe]), strict=True):
             out[i] = whole
         return out
@@ -192,9 +196,8 @@ class PieceEncoder:
             return False
         if self.mode != "prefix":
             return True
-        body = piece[1:] if piece[:1] == "\0" else piece
-        # A NUL inside the text may not pass for the mark of a first piece.
-        return bool(body) and not body[-1].isspace() and "\0" not in body
+        body = piece.removeprefix("\0")
+        return bool(body) and not body[-1].isspace()
 
 
 def _ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
