@@ -68,8 +68,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Pages and documents share their ids; a page of a document labelled as low quality is a bad one.
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
+    # Pages and documents share their ids; a page of a document labelled as toxic or of low quality is a bad one.
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, labels)
 
 

@@ -1,11 +1,14 @@
 """URL filters: host and path rules, and a path-template tree per host.
 
-Rules decide first; the longest rule that fits wins.  All other urls are judged by their template.
+Rules decide first; the longest rule that fits wins.  Rules are joined to the distinct hosts by the
+hosts' suffixes, so a list may be long.  All other urls are judged by their template.
 Segments of a path that look variable (numbers, hexadecimal ids, UUIDs, dates) become wildcards
 at once.  Then the tree is walked down level by level: under each node, segments with many
 siblings and little support become a wildcard, and so do branches whose share of bad labels does
-not differ significantly from that of their siblings, so that they pool their labels.  A template
-is rejected if its smoothed share of bad labels (its purity) reaches a threshold on enough labels.
+not differ significantly from that of their siblings, so that they pool their labels.  The walk ends
+where a node holds a single shape, whose other segments have no siblings; paths of any depth are
+judged whole.  A template is rejected if its smoothed share of bad labels (its purity) reaches a
+threshold on enough labels.
 
 Counts are aggregated per host and path shape before anything is shuffled, so a hot host costs
 what its distinct shapes cost; the tree is never collected.  Defined results: a url that is null
@@ -17,6 +20,7 @@ template has no labels are allowed; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +40,12 @@ SHAPES = (
 
 @dataclass(frozen=True)
 class TemplateRules:
-    depth: int = 8
     many_children: int = 16
     least_support: int = 4
     similar_z: float = 1.96
     smoothing: float = 4.0
-    least_labels: int = 5
-    purity: float = 0.8
+    least_labels: int = 4
+    purity: float = 0.5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,15 +56,19 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict; both null where none fits."""
-    rule: Column = F.lit(None).cast("string")
-    verdict: Column = F.lit(None).cast("string")
-    for text in sorted(rules, key=lambda r: (len(r), r)):
-        rule_host, slash, rest = text.partition("/")
-        fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(slash + rest))
-        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(rules[text])).otherwise(verdict)
-    return rule, verdict
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, rules: the rules (length, rule, path, verdict) on each host or a domain above it, longest first."""
+    slash = F.locate("/", F.concat("rule", F.lit("/")))
+    named = rules.select(
+        F.substr("rule", F.lit(1), slash - 1).alias("domain"),
+        F.struct(F.char_length("rule").alias("length"), F.col("rule"), F.substr("rule", slash).alias("path"), F.col("verdict")).alias("fits"),
+    )
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return (
+        hosts.select("host").distinct().withColumn("domain", F.explode(F.array_distinct(above)))
+        .join(named, "domain").groupBy("host").agg(F.sort_array(F.collect_set("fits"), asc=False).alias("rules"))
+    )
 
 
 def shape(path: Column) -> Column:
@@ -83,14 +90,24 @@ def _sums() -> list[Column]:
 
 def template_tree(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
     """host, shape -> template, for shapes given with n, labelled, bad."""
-    rows = keep(shapes.withColumn("template", F.array().cast("array<string>")), "shapes", 12)
-    deepest = rows.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(min(deepest, rules.depth)):
+    columns = ["host", "shape", "n", "labelled", "bad", "template"]
+    rows = keep(shapes.withColumn("template", F.array().cast("array<string>")).select(*columns), "shapes", 12)
+    done, level = [], 0
+    while True:
         here = F.get("shape", F.lit(level))
-        nodes = rows.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*_sums())
-        nodes = keep(nodes, "nodes", 12)
+        shared = rows.where(here.isNotNull()).groupBy("host", "template").agg(F.count("*").alias("_shapes"))
+        seen = keep(rows.join(shared, ["host", "template"], "left"), "nodes", 12)
+        ends = here.isNull() | (F.col("_shapes") == 1)
+        rest = F.slice("shape", F.lit(level + 1), F.size("shape"))
+        done.append(seen.where(ends).withColumn("template", F.concat("template", rest)).select(*columns))
+        going = seen.where(~ends)
+        forget(rows)
+        if going.isEmpty():
+            break
+        # Branches of a node, those of shapes that end the walk included.
+        nodes = seen.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*_sums())
         parents = nodes.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+            F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
         )
         other = F.col("all_labelled") - F.col("labelled")
         share = F.try_divide("all_bad", "all_labelled")
@@ -102,18 +119,15 @@ def template_tree(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
         step = nodes.join(parents, ["host", "template"]).select(
             "host", "template", "segment", F.when((F.col("children") > 1) & (variable | similar), "*").otherwise(F.col("segment")).alias("step")
         )
-        grown = rows.withColumn("segment", here).join(step, ["host", "template", "segment"], "left")
-        grown = grown.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.array("step"))))
-        after = keep(grown.drop("segment", "step"), "templates", 12)
-        forget(rows, nodes)
-        rows = after
-    tail = F.when(F.size("shape") > rules.depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
-    return rows.withColumn("template", tail)
+        grown = going.withColumn("segment", here).join(step, ["host", "template", "segment"])
+        rows = keep(grown.withColumn("template", F.concat("template", F.array("step"))).select(*columns), "templates", 12)
+        level += 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def filter_urls(
     pages: DataFrame,
-    rules: dict[str, str],
+    rules: dict[str, str] | DataFrame,
     labels: DataFrame,
     template_rules: TemplateRules | None = None,
     id_column: str = "page_id",
@@ -121,7 +135,8 @@ def filter_urls(
 ) -> DataFrame:
     """id, host, path, rule, verdict, template, purity.
 
-    ``labels`` has ``id`` and ``bad``: pages known to be good or bad.
+    ``rules`` are verdicts by rule, or a table of (rule, verdict).  ``labels`` has ``id`` and ``bad``:
+    pages known to be good or bad.
     """
     how = template_rules or TemplateRules()
     host, path = split_url(F.col(url_column))
@@ -138,15 +153,18 @@ def filter_urls(
     purity = (F.col("bad") + how.smoothing * prior) / (F.col("labelled") + how.smoothing)
     judged = pooled.withColumn("purity", purity).withColumn("rejected", (F.col("purity") >= how.purity) & (F.col("labelled") >= how.least_labels))
     by_shape = tree.select("host", "shape", "template").join(judged.select("host", "template", "purity", "rejected"), ["host", "template"])
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    out = df.join(by_shape, ["host", "shape"], "left")
+    if isinstance(rules, dict):
+        rules = pages.sparkSession.createDataFrame(list(rules.items()), "rule string, verdict string")
+    fitting = rules_of_hosts(df, rules)
+    out = df.join(by_shape, ["host", "shape"], "left").join(fitting, "host", "left")
+    longest = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return out.select(
         F.col("id").alias(id_column),
         "host",
         "path",
-        rule.alias("rule"),
-        F.coalesce(verdict, method).alias("verdict"),
+        longest["rule"].alias("rule"),
+        F.coalesce(longest["verdict"], method).alias("verdict"),
         F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"),
         "purity",
     )
