@@ -9,7 +9,8 @@ the driver: one row per distinct set of sources, never one per document.
 What flows into a pattern is turned into documents: whole copies for all, and one more copy for
 the first documents of a seeded order until the flow is spent.  Where that order stops is found by
 a radix search on the seeded keys: each pass sums sizes by 1,024 digits of the key, and only the
-documents of one digit are looked at again, so no source is ever sorted in one task.
+documents of one digit are looked at again, so no source is ever sorted in one task.  Copies of one
+id share a key and are told apart by further digits.
 
 Defined results: a null text counts as empty (size 0, nothing taken); a null source is a source of
 its own, last in order; an empty table gives an empty result; rows that repeat an id are mixed one
@@ -107,35 +108,48 @@ class FlowNetwork:
             flow += room
 
 
+def _together(patterns: dict[tuple, int]) -> list[list[tuple]]:
+    """Patterns in groups that share no source."""
+    parent: dict = {}
+
+    def find(s):
+        while parent.setdefault(s, s) != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for p in patterns:
+        for s in p:
+            parent[find(s)] = find(p[0])
+    groups: dict = defaultdict(list)
+    for p in patterns:
+        if p:
+            groups[find(p[0])].append(p)
+    return list(groups.values())
+
+
 def route(quotas: dict, patterns: dict[tuple, int], most: int) -> dict[tuple, int]:
     """Words to take of each pattern: the cheapest flow from quotas to copies.
 
-    ``patterns`` has the size of each; the c-th copy of a word costs c*(c-1)/2.
+    ``patterns`` has the size of each; the c-th copy of a word costs c*(c-1)/2.  Sources that overlap
+    neither directly nor through others get networks of their own.
     """
-    of_source: dict = defaultdict(list)
-    for p in patterns:
-        for s in p:
-            of_source[s].append(p)
     out = {p: 0 for p in patterns}
-    # A source that overlaps no other needs no search: its pattern takes the quota, copy by copy.
-    alone = {s for s, ps in of_source.items() if all(len(p) == 1 for p in ps)}
-    for s in alone:
-        out[(s,)] = min(quotas.get(s, 0), most * patterns[(s,)])
-    sources = [s for s in of_source if s not in alone]
-    rest = [p for p in patterns if not (len(p) == 1 and p[0] in alone) and p]
-    if not sources:
-        return out
-    network = FlowNetwork(2 + len(sources) + len(rest))
-    at_source = {s: 2 + i for i, s in enumerate(sources)}
-    at_pattern = {p: 2 + len(sources) + i for i, p in enumerate(rest)}
-    for s in sources:
-        network.add(0, at_source[s], quotas.get(s, 0), 0)
-        for p in of_source[s]:
-            network.add(at_source[s], at_pattern[p], most * patterns[p], 0)
-    copies = {p: [network.add(at_pattern[p], 1, patterns[p], c * (c + 1) // 2) for c in range(most)] for p in rest}
-    network.run(0, 1)
-    for p in rest:
-        out[p] = sum(patterns[p] - network.edges[a][i].room for a, i in copies[p])
+    for group in _together(patterns):
+        sources = sorted({s for p in group for s in p}, key=lambda s: (s is None, s or ""))
+        network = FlowNetwork(2 + len(sources) + len(group))
+        at_source = {s: 2 + i for i, s in enumerate(sources)}
+        for s in sources:
+            network.add(0, at_source[s], quotas.get(s, 0), 0)
+        copies = {}
+        for i, p in enumerate(group):
+            here = 2 + len(sources) + i
+            for s in p:
+                network.add(at_source[s], here, most * patterns[p], 0)
+            copies[p] = [network.add(here, 1, patterns[p], c * (c + 1) // 2) for c in range(most)]
+        network.run(0, 1)
+        for p, edges in copies.items():
+            out[p] = sum(patterns[p] - network.edges[a][i].room for a, i in edges)
     return out
 
 
@@ -145,34 +159,48 @@ def seeded_key(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
-def _thresholds(base: DataFrame, wanted: dict[int, int]) -> tuple[dict[int, tuple[int, int, int]]]:
-    """Per pattern (low, high, words): keys below ``low`` give a copy, keys in [low, high) give ``words`` in all."""
-    found, open_ = {}, {p: (0, KEY_BITS, w) for p, w in wanted.items() if w > 0}
-    while open_:
-        bits = next(iter(open_.values()))[1]
-        shift = max(0, bits - DIGIT_BITS)
-        ranges = F.lit(False)
-        for_pattern = defaultdict(list)
-        for p, (low, _, _) in open_.items():
-            for_pattern[low].append(p)
-        for low, ps in for_pattern.items():
-            ranges = ranges | (F.col("pattern").isin(ps) & (F.col("key") >= low) & (F.col("key") < low + (1 << bits)))
-        digits = base.where(ranges).groupBy("pattern", F.shiftright("key", shift).alias("digit"))
-        sums: dict[int, list] = defaultdict(list)
-        for r in digits.agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect():
-            sums[r["pattern"]].append((r["digit"], r["words"], r["n"]))
-        after = {}
-        for p, (_, _, words) in open_.items():
-            for digit, total, n in sorted(sums[p]):
-                if words <= total:
-                    low = digit << shift
-                    if n <= WINDOW_ROWS or shift == 0:
-                        found[p] = (low, low + (1 << shift), words)
-                    else:
-                        after[p] = (low, shift, words)
-                    break
-                words -= total
-        open_ = after
+@dataclass(frozen=True)
+class _Stop:
+    """Rows before ``low`` of (key, tie) give a copy, those in [low, high) give ``words`` in all."""
+
+    low: tuple[int, int]
+    high: tuple[int, int]
+    words: int
+
+
+def _thresholds(base: DataFrame, wanted: dict[int, int]) -> dict[int, _Stop]:
+    """Where the seeded order of each pattern stops: digit by digit of the key, then of the tie."""
+    found, open_ = {}, {p: (0, w) for p, w in wanted.items() if w > 0}
+    lows = {p: [0, 0] for p in open_}
+    for column in (0, 1):
+        bits = KEY_BITS
+        name = ("key", "tie")[column]
+        while open_ and bits:
+            shift = max(0, bits - DIGIT_BITS)
+            by_low = defaultdict(list)
+            for p in open_:
+                by_low[tuple(lows[p])].append(p)
+            ranges = F.lit(False)
+            for low, ps in by_low.items():
+                inside = (F.col(name) >= low[column]) & (F.col(name) < low[column] + (1 << bits))
+                ranges = ranges | (F.col("pattern").isin(ps) & inside & ((F.col("key") == low[0]) if column else F.lit(True)))
+            sums: dict[int, list] = defaultdict(list)
+            digits = base.where(ranges).groupBy("pattern", F.shiftright(name, shift).alias("digit"))
+            for r in digits.agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect():
+                sums[r["pattern"]].append((r["digit"], r["words"], r["n"]))
+            after = {}
+            for p, (_, words) in open_.items():
+                for digit, total, n in sorted(sums[p]):
+                    if words <= total:
+                        lows[p][column] = digit << shift
+                        if n <= WINDOW_ROWS or (column and not shift):
+                            high = (lows[p][0], lows[p][1] + (1 << shift)) if column else (lows[p][0] + (1 << shift), 0)
+                            found[p] = _Stop(tuple(lows[p]), high, words)
+                        else:
+                            after[p] = (n, words)
+                        break
+                    words -= total
+            open_, bits = after, shift
     return found
 
 
@@ -196,7 +224,9 @@ def mix(
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD)).cast("bigint")
     base = docs.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *carry)
-    base = keep(base.withColumn("key", seeded_key(seed, F.col("id"), F.col("size"))), "sizes", 1 if carry else 6)
+    # Rows of one key, as copies of an id are, are told apart by where they were written.
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << KEY_BITS) - 1)
+    base = keep(base.withColumns({"key": seeded_key(seed, F.col("id"), F.col("size")), "tie": tie}), "sizes", 1 if carry else 6)
     patterns = {tuple(r["sources"]): r["words"] for r in base.groupBy("sources").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = defaultdict(int)
     for p, words in patterns.items():
@@ -221,13 +251,19 @@ def mix(
         return F.broadcast(df) if len(rows) <= BROADCAST_PATTERNS else df
 
     base = base.join(small(spark.createDataFrame(rows, schema)), "sources")
-    edges = _thresholds(base.select("pattern", "key", "size"), extra)
-    limits = [(number[p], *edges.get(number[p], (0, 0, 0))) for p in order]
-    limit_schema = T.StructType([T.StructField("pattern", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("low", "high", "words")]])
+    edges = _thresholds(base.select("pattern", "key", "tie", "size"), extra)
+    none = _Stop((0, 0), (0, 0), 0)
+    limits = [(number[p], *(e := edges.get(number[p], none)).low, *e.high, e.words) for p in order]
+    names = ("low_key", "low_tie", "high_key", "high_tie", "words")
+    limit_schema = T.StructType([T.StructField("pattern", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names]])
     base = base.join(small(spark.createDataFrame(limits, limit_schema)), "pattern")
-    at_edge = (F.col("key") >= F.col("low")) & (F.col("key") < F.col("high"))
-    clear = base.where(~at_edge).withColumn("more", F.when(F.col("key") < F.col("low"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
-    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+
+    def before(bound: str) -> Column:
+        return (F.col("key") < F.col(f"{bound}_key")) | ((F.col("key") == F.col(f"{bound}_key")) & (F.col("tie") < F.col(f"{bound}_tie")))
+
+    at_edge = before("high") & ~before("low")
+    clear = base.where(~at_edge).withColumn("more", F.when(before("low"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
+    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0))
     edge = base.where(at_edge).withColumn("running", running)
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("words") - (F.col("running") - F.col("size"))))
     if whole_documents:
