@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.tokens import load
 
-#: Characters before a chunk's end in which no boundary is trusted; over any special string's length.
+#: Characters before a chunk's end in which no boundary is trusted, unless a special string is longer.
 MARGIN = 64
 
 
+def _margin(tokenizer) -> int:
+    return max([MARGIN, *(2 * len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+
+
 def _starts(encoding) -> dict[int, int]:
     """Place of each word's first character -> index of the word's first token."""
     out, last = {}, object()
@@ -39,6 +43,7 @@ def _starts(encoding) -> dict[int, int]:
 def count_chunked(tokenizer, text: str, chunk_chars: int, overlap_chars: int) -> tuple[int, int]:
     """Tokens of ``text`` and the number of chunks they were spliced from."""
     encode = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
+    margin = _margin(tokenizer)
     n, start, lead, total, chunks = len(text), 0, 0, 0, 1
     end = min(n, chunk_chars)
     here = encode(start, end)
@@ -59,7 +64,7 @@ def count_chunked(tokenizer, text: str, chunk_chars: int, overlap_chars: int) ->
             there = encode(begin, after)
             # The first place of a chunk is no boundary of the text, only of the cut.
             other = {p + begin: i for p, i in _starts(there).items() if p > 0}
-            same = [(p + start, i) for p, i in own.items() if i >= lead and begin < p + start <= end - MARGIN and p + start in other]
+            same = [(p + start, i) for p, i in own.items() if i >= lead and begin < p + start <= end - margin and p + start in other]
             if same:
                 found = min(same)
             else:
