@@ -1,22 +1,25 @@
 """Near-duplicate documents by a MinHash LSH forest, confirmed on full shingle sets.
 
 A document is the set of its distinct five-word shingles.  Rows with equal sets form a class and
-meet as one representative.  A signature of 128 minimum hashes is read in 32 orders (trees); in
-each, documents are neighbours if a prefix of their signatures agrees.  Four agreeing hashes are
-the least depth: a pair with Jaccard similarity 0.75 agrees on them in some tree with probability
-1 - (1 - 0.75^4)^32 > 0.99999.
-
-Links are found in rounds.  First every document of a region (a common prefix) is paired with
-the region's least document; confirmed links join most copies into components.  Then regions that
-still hold several components are searched across components; a region of more than ``region``
-documents is first entered deeper, by more hashes of the same order, until it is small, and at full
-depth its documents are paired with the region's least.  Within a region every document is paired
-with the one of another component whose signature agrees most; the regions that confirmed pairs
-leave apart are compared on full sets.  Large regions that are still apart then are compared whole:
-those that share documents form a group, the group is cut into blocks of bounded size, and every
-two blocks are one unit of work, in which all pairs across components meet.  Copies inside a
-component are never paired again, and a unit gives no more links than it has documents, so the rows
-made follow documents, not pairs; the comparisons in a group of n unlinked documents follow n**2.
+meet as one representative.  The forest holds the representatives in 32 orders (trees): a tree reads
+the 128 minimum hashes of a signature from another place on, and its documents are sorted by what it
+reads.  Documents that agree on a tree's first four hashes form a region; a pair with Jaccard
+similarity 0.75 shares a region of some tree with probability 1 - (1 - 0.75^4)^32 > 0.99999.
+
+Links are found in rounds; a pair inside one component is never looked at again.
+
+1. Every document of a region with the region's least one: this joins most copies.
+2. Neighbours in the sorted orders, which have the longest common prefixes, across components.  The
+   sort goes as deep as it must to tell documents apart, so the depth adapts to each region.
+3. Regions of up to ``region`` documents that still hold several components: each document with the
+   one of another component whose signature agrees most, then all that are near on full sets.
+4. Larger regions that are still apart are compared whole: those that share documents form a group,
+   the group is cut into blocks of bounded size, and every two blocks are one unit of work, in which
+   all pairs across components meet.  So the depth of a tree's sort costs no links in dense regions.
+
+A unit gives no more links than it has documents, so the rows made follow documents, not pairs; the
+comparisons in a group of n documents that are similar to none follow n**2 (round 4 alone).  Orders
+are range-partitioned by what is sorted, so no region, however large, is one task in rounds 1 and 2.
 
 Defined results: a null or empty text (or one without words) has an empty set and links with
 nothing; rows with a null id are returned, kept and linked with nothing; rows that repeat an id
@@ -28,10 +31,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ from gridloom.llm.wordhash import RollingHash, hash_words, mixed
 
 HASHES, DEPTH = 128, 4
 TREES = HASHES // DEPTH
-DEEPER = 4  # hashes added where a region is too large
-LEVELS = 8
+SORTED = 8  # hashes beyond the region's that the orders are sorted by, a byte of each
+SALTS = 64  # tasks that a class of copies is dealt to
 #: A block of a large group holds sets of so many bytes; a document counts for DOCUMENT_BYTES more.
 BLOCK_BYTES, DOCUMENT_BYTES = 8 << 20, 2048
 
@@ -171,6 +174,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(possible).select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+ROW = "key bigint, node bigint, before bigint, part int, rim int"
+
+
+def _orders(nodes: DataFrame) -> DataFrame:
+    """The forest: a row per document and region of two or more, in the order of all trees.
+
+    ``before`` is the neighbour that precedes it in the region.  First and last rows of a task
+    (``rim`` 1 and 2; 0 inside) are always given, since their region may go on in the next one.
+    """
+    tree = F.posexplode("keys").alias("tree", "key")
+    deep = F.substring(F.concat("bytes", "bytes"), DEPTH * (F.col("tree") + 1) + 1, F.lit(SORTED))
+    placed = nodes.select("node", "bytes", tree).select("key", deep.alias("deep"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, first = TaskContext.get().partitionId(), None, True
+
+        def rows(key, node, before, rim) -> pa.RecordBatch:
+            n = len(key)
+            none = pa.array(before, pa.int64(), mask=before < 0) if n else pa.array([], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), none, pa.array(np.full(n, part, np.int32)), pa.array(rim, pa.int32())], names=["key", "node", "before", "part", "rim"])
+
+        nothing = np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (np.asarray(batch.column(c), dtype=np.int64) for c in (0, 1))
+            if held is not None:
+                key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
+                before0 = held[2]
+            else:
+                before0 = -1
+            same = key[1:] == key[:-1]
+            before = np.concatenate(([before0], np.where(same, node[:-1], -1)))
+            # The last row waits for the one after it.
+            inside = np.concatenate((before[:-1] >= 0, [False]))[: len(key) - 1] | same
+            rim = np.zeros(len(key) - 1, np.int32)
+            if first and len(key) > 1:
+                inside[0], rim[0], first = True, 1, False
+            at = np.flatnonzero(inside)
+            yield rows(key[at], node[at], before[at], rim[at])
+            held = key[-1:], node[-1:], int(before[-1])
+        if held is not None:
+            yield rows(held[0], held[1], np.array([held[2]], np.int64), np.array([2], np.int32))
+        else:
+            yield rows(nothing, nothing, nothing, nothing.astype(np.int32))
+
+    order = ["key", "deep", "node"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node").mapInArrow(run, ROW)
+
+
 def _near(rows: DataFrame, screen: float) -> DataFrame:
     """Documents of a region that are near one of another component: the nearest of those, and how near."""
 
@@ -290,6 +343,18 @@ def _mixed_regions(rows: DataFrame) -> DataFrame:
     )
 
 
+def _classes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node of every row: the least id with its set; the rows of the nodes themselves)."""
+    rows = sketches.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    full = rows.where("n > 0 AND id IS NOT NULL")
+    copies = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.max("id").alias("last")).where("node < last").drop("last")
+    # A class may hold a third of all rows: its least id goes to every part of it.
+    everywhere = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    placed = rows.join(everywhere, ["h1", "h2", "n", "salt"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("node", "id")))
+    own = placed.where("id = node").dropDuplicates(["node", "h1", "h2"])
+    return placed.select("id", "n", "node"), own.select("node", "keys", "bytes")
+
+
 def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
     how = how or Similarity()
@@ -299,75 +364,66 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
         done.append(keep(frame, label, shrink))
         return done[-1]
 
+    def pairs_of(frame: DataFrame, other: str) -> DataFrame:
+        ends = F.least("node", other).alias("a"), F.greatest("node", other).alias("b")
+        return frame.select(*ends).where("a < b").distinct()
+
     df = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketches = keep(_sketch(df, how.words), "sketches", 4)
-    full = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
-    members = sketches.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("id", "n", "node")
-    own = full.join(classes.withColumnRenamed("node", "id"), ["h1", "h2", "n", "id"]).withColumnRenamed("id", "node")
-    nodes = step(own.dropDuplicates(["node", "h1", "h2"]).select("node", "keys", "bytes"), "nodes", 6)
-
-    placed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    rows = step(placed.join(shared.select("key", "leader"), "key").select("key", "tree", "node", "leader"), "regions")
+    members, own = _classes(sketches)
+    nodes = step(own, "nodes", 6)
+
+    orders = step(_orders(nodes), "orders")
+    first, last = orders.where("rim = 1"), orders.where("rim = 2")
+    # Neighbours on both sides of the rim between two tasks.
+    across = last.select("key", F.col("node").alias("before"), (F.col("part") + 1).alias("part")).join(first.select("key", "part", "node"), ["key", "part"])
+    neighbours = orders.where("before IS NOT NULL").select("before", "node").unionByName(across.select("before", "node"))
+    sized = orders.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("end")).where("leader < end").select("key", "leader")
+    rows = step(orders.select("key", "node").join(sized, "key"), "regions")
     met = rows.select("node").distinct().withColumnRenamed("node", "id")
     sets = step(_sets(df.join(met, "id").select("id", "text"), how.words), "sets", 4)
 
-    stars = rows.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     # An id that stands for a class of its own and lies in another joins the two.
-    twice = members.where("id <> node").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    twice = twice.select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b")).distinct()
-    links = step(_confirmed(_screened(stars, nodes, how.screen), sets, how.percent).unionByName(twice), "links")
+    twice = pairs_of(members.where("id <> node").join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), "id")
+    links = step(_confirmed(_screened(pairs_of(rows, "leader"), nodes, how.screen), sets, how.percent).unionByName(twice), "links")
     found = components(links)
-    known = rows.join(found, "node", "left").select("key", "tree", "node", F.coalesce("component", "node").alias("component"))
-
-    near, ends, large = [], [], None
-    for level in range(LEVELS + 1):
-        regions = _mixed_regions(known)
-        small = known.join(regions.where(F.col("size") <= how.region).select("key"), "key")
-        near.append(_near(small.join(nodes.select("node", "bytes"), "node"), how.screen))
-        dense = regions.where(F.col("size") > how.region)
-        if dense.isEmpty():
-            break
-        inside = known.join(dense.select("key", "leader"), "key")
-        if level == 0:
-            large = inside = step(inside, "large")
-        if level == LEVELS:  # the whole order agrees: neighbours of the least document
-            ends.append(inside.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-            break
-        places = F.array(*[F.pmod(F.lit(DEPTH) * (F.col("tree") + 1) + level * DEEPER + d, F.lit(HASHES)) for d in range(DEEPER)])
-        prefix = F.transform(places, lambda p: F.substring(F.col("bytes"), p + 1, F.lit(1)))
-        known = step(
-            inside.join(nodes.select("node", "bytes"), "node").select(F.xxhash64("key", F.array_join(F.transform(prefix, F.hex), "")).alias("key"), "tree", "node", "component"),
-            "deeper",
-        )
-    near = step(reduce(DataFrame.unionByName, near), "near")
+
+    def in_components(frame: DataFrame, node: str, component: str) -> DataFrame:
+        named = found.select(F.col("node").alias(node), F.col("component").alias(component))
+        return frame.join(named, node, "left").withColumn(component, F.coalesce(component, node))
+
+    def linked(more: DataFrame) -> None:
+        """Takes new links in."""
+        nonlocal links, found
+        new = step(more, "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
+
+    apart = in_components(in_components(pairs_of(neighbours, "before"), "a", "component"), "b", "other").where("component <> other").select("a", "b")
+    linked(_confirmed(_screened(apart, nodes, how.screen), sets, how.percent))
+
+    known = in_components(rows.select("key", "node"), "node", "component")
+    regions = step(_mixed_regions(known), "mixed")
+    small = known.join(regions.where(F.col("size") <= how.region).select("key"), "key")
+    near = step(_near(small.join(nodes.select("node", "bytes"), "node"), how.screen), "near")
     # Every document with its nearest of another component: this joins what hangs on a common original.
     nearest = near.groupBy("node").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
-    pairs = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    for end in ends:
-        pairs = pairs.unionByName(_screened(end.distinct(), nodes, how.screen))
-    later = step(_confirmed(pairs.distinct(), sets, how.percent), "links")
-    links = links.unionByName(later)
-    found = components(links)
+    linked(_confirmed(pairs_of(nearest, "other"), sets, how.percent))
     # What is still apart is compared in full, region by region.
-    open_ = near.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_ = in_components(near.select("key", "node"), "node", "component")
     still = open_.join(_mixed_regions(open_).select("key"), "key")
-    last = step(_connected(still.join(sets, "node"), how.percent), "links")
-    if not last.isEmpty():
-        links = links.unionByName(last)
-        found = components(links)
-    if large is not None:
-        # Large regions were searched in part only: those that are apart are compared whole.
-        apart = large.select("key", "node", "leader").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = step(apart.join(_mixed_regions(apart).select("key"), "key"), "apart")
+    linked(_connected(still.join(sets, "node"), how.percent))
+
+    large = regions.where(F.col("size") > how.region).select("key")
+    if not large.isEmpty():
+        inside = step(in_components(rows.join(large, "key"), "node", "component"), "large")
+        apart = step(inside.join(_mixed_regions(inside).select("key"), "key"), "apart")
         if not apart.isEmpty():
             groups = components(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).where("a < b").distinct())
             grouped = groups.select("node", F.col("component").alias("key")).join(apart.select("node", "component").distinct(), "node")
             whole = step(grouped.join(sets.where(F.octet_length("members") > 0).distinct(), "node"), "whole")
-            rest = step(_joined_blocks(_blocks(whole), how.percent, how.screen), "links")
-            if not rest.isEmpty():
-                found = components(links.unionByName(rest))
+            linked(_joined_blocks(_blocks(whole), how.percent, how.screen))
     forget(*done)  # what follows reads the sketches and the components alone
     out = members.join(found.withColumnRenamed("component", "found"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "node", "id"))
@@ -375,12 +431,18 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
 
 
 def drop_near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged: one of each group, and all rows with a null id.
+    """The rows of ``docs``, unchanged: one of each group, the one of the least id.
 
-    Of rows that repeat the kept id, the one with the least text stays.
+    Rows are judged by id and text together: rows that repeat both are one document, rows of one id
+    with unlike texts are two.  Null ids come after all others; rows without words stay.
     """
-    judged = near_duplicates(docs, how, id_column, text_column)
-    stay = judged.where("kept").select(F.col(id_column).alias("_stay")).distinct()
-    one = Window.partitionBy(id_column).orderBy(F.col(text_column).asc_nulls_last())
-    kept = docs.join(stay, F.col(id_column) == F.col("_stay"), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+    key = F.xxhash64(F.col(id_column).cast("bigint"), F.coalesce(F.col(text_column), F.lit("")))
+    judged = near_duplicates(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), how, "_key", "_text")
+    ids = docs.select(key.alias("_key"), F.col(id_column).cast("bigint").alias("_id")).distinct()
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))
+    groups = judged.select("_key", "component_id").distinct().join(ids, "_key")
+    stay = groups.groupBy("component_id").agg(F.min_by("_key", order).alias("_key")).select("_key")
+    # Rows that repeat an id and a text are alike, but for their other columns.
+    one = Window.partitionBy("_key").orderBy(F.monotonically_increasing_id())
+    kept = docs.withColumn("_key", key).join(stay, "_key", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
+    return kept.select(*docs.columns)
