@@ -1,16 +1,18 @@
 """Packing of token sequences by non-negative least squares over a length histogram.
 
 Every document gives whole windows and one remainder shorter than the window.  Only the histogram
-of remainders (at most ``window - 1`` counts, whatever the corpus) reaches the driver.  There,
+of remainders (at most ``window - 1`` counts, whatever the corpus) reaches the driver.  There, all
 shallow combinations of lengths that fill the window exactly are enumerated, their repeat counts
-are fitted to the histogram by non-negative least squares, rounded down and taken.  What is left
-is packed greedily, largest first; where no length fits a gap of more than ``tolerance`` tokens, a
-longer remainder is cut to fill it.
+are fitted to the histogram by non-negative least squares until no count is more than half a
+sequence from its optimum, rounded and taken as far as there are documents.  What is left is packed
+greedily, largest first; where no length fits a gap of more than ``tolerance`` tokens, a longer
+remainder is cut to fill it.
 
 The plan says, for each remainder length, which ranks of its documents go to which sequence and
 offset.  A document's rank is its place among documents of its length: counted inside each task
-that wrote the encoded table, plus the counts of the tasks before.  No key gathers documents, so
-equal lengths and copies cost nothing, and token ids are not shuffled.
+that wrote the encoded table, plus the counts of the tasks before, which lie in a file per task in
+the shared folder.  No key gathers documents, so equal lengths and copies cost nothing, and token
+ids are neither shuffled nor joined.
 
 Defined results: a null text counts as empty, so its document is the end id alone; every id of
 every row lies in exactly one piece; rows that repeat an id are packed one by one; an empty table
@@ -20,26 +22,24 @@ gives an empty result; extra columns of the input are ignored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import keep
+from gridloom.llm.common import forget, keep, new_path
+from gridloom.llm.token_file import open_filesystem
 from gridloom.llm.tokens import piece_encoder
 
-#: Rows up to which the per-task rank table is broadcast; beyond that it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Slot:
     """Documents of remainder ``root`` with ranks in [lo, hi) put ``length`` ids from ``start`` on
@@ -56,40 +56,73 @@ class Slot:
     offset: int
 
 
-def combinations(histogram: dict[int, int], window: int, parts: int = 8, most: int = 20_000) -> list[dict[int, int]]:
-    """Combinations of at most two lengths and ``parts`` pieces that fill the window exactly."""
-    found: dict[tuple, int] = {}
-    for a in histogram:
-        for m in range(1, min(parts, window // a) + 1):
-            rest = window - m * a
-            if rest == 0:
-                found[((a, m),)] = histogram[a] // m
-                continue
-            for n in range(1, parts - m + 1):
-                b, odd = divmod(rest, n)
-                if not odd and b in histogram and b != a:
-                    found[tuple(sorted(((a, m), (b, n))))] = min(histogram[a] // m, histogram[b] // n)
-    ranked = sorted((k for k, support in found.items() if support), key=lambda k: (-found[k], k))
-    return [dict(k) for k in ranked[:most]]
-
-
-def fit(histogram: dict[int, int], patterns: list[dict[int, int]], sweeps: int = 25) -> list[float]:
-    """Repeat counts x >= 0 that minimise |A x - h|^2, by coordinate descent."""
-    left = {k: float(v) for k, v in histogram.items()}
-    x, norms = [0.0] * len(patterns), [sum(m * m for m in p.values()) for p in patterns]
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, p in enumerate(patterns):
-            new = max(0.0, x[j] + sum(m * left[k] for k, m in p.items()) / norms[j])
-            step = new - x[j]
-            if step:
-                x[j] = new
-                for k, m in p.items():
-                    left[k] -= m * step
-                moved = max(moved, abs(step))
-        if moved < 0.5:
-            break
-    return x
+@dataclass(frozen=True)
+class Combinations:
+    """Pattern p holds m[p] pieces of length a[p] and n[p] of length b[p]; n is 0 where a alone fills it."""
+
+    a: np.ndarray
+    m: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+
+    def parts(self, p: int) -> list[tuple[int, int]]:
+        return [(int(k), int(c)) for k, c in ((self.a[p], self.m[p]), (self.b[p], self.n[p])) if c]
+
+
+def combinations(histogram: dict[int, int], window: int, parts: int = 8) -> Combinations:
+    """All combinations of at most two lengths and ``parts`` pieces that fill the window exactly.
+
+    They are no more than parts * parts / 2 for every length, and come in the order of how often
+    the histogram could fill them.
+    """
+    there = np.zeros(window + 1, dtype=np.int64)
+    for k, v in histogram.items():
+        there[k] = v
+    lengths = np.flatnonzero(there)
+    found = []
+    for m in range(1, parts + 1):
+        rest = window - m * lengths
+        whole = lengths[rest == 0]
+        found.append(np.stack((whole, np.full(len(whole), m), whole, np.zeros(len(whole), np.int64)), axis=1))
+        for n in range(1, parts - m + 1):
+            b, odd = np.divmod(rest, n)
+            fits = (rest > 0) & (odd == 0) & (b > lengths)
+            fits[fits] = there[b[fits]] > 0
+            found.append(np.stack((lengths[fits], np.full(fits.sum(), m), b[fits], np.full(fits.sum(), n)), axis=1))
+    a, m, b, n = np.concatenate(found).T
+    support = np.minimum(there[a] // m, np.where(n > 0, there[b] // np.maximum(n, 1), there[a]))
+    order = np.lexsort((n, b, m, a, -support))
+    order = order[support[order] > 0]
+    return Combinations(a[order], m[order], b[order], n[order])
+
+
+def fit(histogram: dict[int, int], patterns: Combinations, window: int) -> tuple[np.ndarray, float]:
+    """Repeat counts x >= 0 that minimise |A x - h|^2, and how far the count farthest from its optimum is.
+
+    Coordinate descent over the counts that are not yet settled, until none would move by more than
+    half a sequence (or a millionth of the largest bar of the histogram, where that is more).
+    """
+    left = [0.0] * (window + 1)
+    for k, v in histogram.items():
+        left[k] = float(v)
+    tolerance = max(0.5, 1e-6 * max(histogram.values(), default=0))
+    a, m, b, n = patterns.a, patterns.m, patterns.b, patterns.n
+    norms = (m * m + n * n).astype(float)
+    x = [0.0] * len(a)
+    columns = a.tolist(), m.tolist(), b.tolist(), n.tolist(), norms.tolist()
+    while len(a):
+        now, rest = np.array(x), np.array(left)
+        steps = np.maximum((m * rest[a] + n * rest[b]) / norms, -now)
+        unsettled = np.flatnonzero(np.abs(steps) > tolerance)
+        if not len(unsettled):
+            return now, float(np.abs(steps).max())
+        for p in unsettled.tolist():
+            i, mi, j, nj, norm = (c[p] for c in columns)
+            new = max(0.0, x[p] + (mi * left[i] + nj * left[j]) / norm)
+            step, x[p] = new - x[p], new
+            left[i] -= mi * step
+            left[j] -= nj * step
+    return np.zeros(0), 0.0
 
 
 class _Pool:
@@ -145,11 +178,13 @@ def plan(histogram: dict[int, int], window: int, tolerance: int = 8) -> tuple[li
         n_sequences += times
 
     patterns = combinations(histogram, window)
-    fitted = fit(histogram, patterns)
-    for j in sorted(range(len(patterns)), key=lambda j: (-fitted[j], j)):
-        times = min([int(fitted[j]), *(pool.count.get(k, 0) // m for k, m in patterns[j].items())])
+    fitted, _ = fit(histogram, patterns, window)
+    wanted = np.rint(fitted).astype(np.int64)
+    for p in sorted(np.flatnonzero(wanted).tolist(), key=lambda p: (-wanted[p], p)):
+        parts = patterns.parts(p)
+        times = min(int(wanted[p]), *(pool.count.get(k, 0) // m for k, m in parts))
         if times:
-            place(list(patterns[j].items()), times)
+            place(parts, times)
     while pool.lengths:
         left, parts = window, []
         used: Counter = Counter()
@@ -212,15 +247,44 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_column:
     return keep(df.mapInArrow(run, ENCODED.format(id=kind)), "encoded")
 
 
-def _slot_table(spark: SparkSession, slots: list[Slot]) -> DataFrame:
-    """A row per remainder length; its size is bounded by the window, not by the corpus."""
-    by_root: dict[int, list[tuple]] = {}
+def _slots_by_root(slots: list[Slot]) -> dict[int, list[tuple]]:
+    """(lo, hi, start, length, base, first, per, offset) by remainder length; bounded by the window, not by the corpus."""
+    out: dict[int, list[tuple]] = {}
     for s in slots:
-        by_root.setdefault(s.root, []).append((s.lo, s.hi, s.start, s.length, s.base, s.first, s.per, s.offset))
-    fields = ("lo", "hi", "start", "length", "base", "first", "per", "offset")
-    slot = T.StructType([T.StructField(f, T.LongType()) for f in fields])
-    schema = T.StructType([T.StructField("rest", T.IntegerType()), T.StructField("slots", T.ArrayType(slot))])
-    return spark.createDataFrame(list(by_root.items()), schema)
+        out.setdefault(s.root, []).append((s.lo, s.hi, s.start, s.length, s.base, s.first, s.per, s.offset))
+    return out
+
+
+def _write_bases(counts: DataFrame, window: int, n_sequences: int) -> str:
+    """A file per shard: by remainder length the documents of it in the shards before, and last the
+    sequence of the shard's first whole window.  Returns the folder."""
+    root = new_path(counts.sparkSession, "ranks")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.select(
+        "shard", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest").orderBy("shard")), F.lit(0)).alias("base")
+    )
+    blocks = counts.groupBy("shard").agg(F.sum("blocks").alias("n"))
+    blocks = blocks.select(
+        "shard", (F.lit(n_sequences) + F.coalesce(F.sum("n").over(before.partitionBy(F.lit(0)).orderBy("shard")), F.lit(0))).alias("block_base")
+    )
+    shards = ranked.groupBy("shard").agg(F.collect_list("rest").alias("rests"), F.collect_list("base").alias("bases")).join(blocks, "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = open_filesystem(root)
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = np.zeros(window + 1, dtype="<i8")
+                table[row["rests"]] = row["bases"]
+                table[window] = row["block_base"]
+                own = f"{folder}/.{row['shard']}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out:
+                    out.write(table.tobytes())
+                fs.move(own, f"{folder}/{row['shard']}")
+            yield batch.select(["shard"])
+
+    shards.select("shard", "rests", "bases", "block_base").mapInArrow(run, "shard int").count()
+    return root
 
 
 def pack(
@@ -234,54 +298,36 @@ def pack(
     with_ids: bool = True,
 ) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and its ids."""
-    spark = docs.sparkSession
     encoded = encode(docs, tokenizer, end_id, window, id_column, text_column)
-    counts = keep(encoded.groupBy("shard", "rest").agg(F.count("*").alias("n")), "lengths", 12)
+    whole = F.floor(F.col("n_tokens") / window)
+    counts = keep(encoded.groupBy("shard", "rest").agg(F.count("*").alias("n"), F.sum(whole).alias("blocks")), "lengths", 12)
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     slots, n_sequences = plan(histogram, window, tolerance)
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(
-        "shard", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest").orderBy("shard")), F.lit(0)).alias("rank_base")
-    )
-    blocks = encoded.groupBy("shard").agg(F.sum(F.floor(F.col("n_tokens") / window)).alias("n"))
-    block_bases = blocks.select(
-        "shard", (F.lit(n_sequences) + F.coalesce(F.sum("n").over(before.partitionBy(F.lit(0)).orderBy("shard")), F.lit(0))).alias("block_base")
-    )
-    if counts.count() <= BROADCAST_ROWS:
-        bases, block_bases = F.broadcast(bases), F.broadcast(block_bases)
-    placed = (
-        encoded.join(bases, ["shard", "rest"])
-        .join(block_bases, "shard")
-        .join(F.broadcast(_slot_table(spark, slots)), "rest", "left")
-        .withColumn("at", F.col("rank") + F.col("rank_base"))
-    )
-    mine = F.filter("slots", lambda s: (s["lo"] <= F.col("at")) & (F.col("at") < s["hi"]))
-
-    def where(s):
-        nth = s["first"] + F.col("at") - s["lo"]
-        return F.struct(
-            s["start"].alias("start"),
-            s["length"].alias("length"),
-            (s["base"] + F.floor(nth / s["per"])).alias("sequence_id"),
-            (s["offset"] + F.pmod(nth, s["per"]) * s["length"]).alias("offset"),
-        )
-
-    placed = placed.select(
-        "doc_id", "ids", (F.col("block_base") + F.col("blocks")).alias("block"), F.transform(F.coalesce(mine, F.array()), where).alias("pieces")
-    )
-    kind = placed.schema["doc_id"].dataType.simpleString()
+    by_root = _slots_by_root(slots)
+    root = _write_bases(counts, window, n_sequences)
+    forget(counts)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = open_filesystem(root)
+
+        @lru_cache(maxsize=16)
+        def bases(shard: int) -> list[int]:
+            with fs.open_input_file(f"{folder}/{shard}") as file:
+                return np.frombuffer(file.read(), dtype="<i8").tolist()
+
         for batch in batches:
             source, cols, raws = [], [[] for _ in names], []
-            for i, (ids, block, pieces) in enumerate(
-                zip(*(batch.column(c).to_pylist() for c in ("ids", "block", "pieces")), strict=True)
-            ):
-                n = len(ids) // 4
-                whole = n // window
-                found = [(k * window, window, block + k, 0) for k in range(whole)]
-                found += [(whole * window + p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces]
+            columns = (batch.column(c).to_pylist() for c in ("shard", "rest", "rank", "blocks", "ids"))
+            for i, (shard, rest, rank, blocks, ids) in enumerate(zip(*columns, strict=True)):
+                before, n = bases(shard), len(ids) // 4
+                first, block, at = n // window, before[window] + blocks, before[rest] + rank
+                found = [(k * window, window, block + k, 0) for k in range(first)]
+                for lo, hi, start, length, base, offset_rank, per, offset in by_root.get(rest, ()):
+                    if lo <= at < hi:
+                        row, nth = divmod(offset_rank + at - lo, per)
+                        found.append((first * window + start, length, base + row, offset + nth * length))
                 for start, length, sequence, offset in found:
                     raw = ids[4 * start : 4 * (start + length)]
                     source.append(i)
@@ -289,10 +335,11 @@ def pack(
                         raws.append(raw)
                     for c, v in zip(cols, (start, length, zlib.crc32(raw), n, sequence, offset), strict=True):
                         c.append(v)
-            found = [batch.column("doc_id").take(pa.array(np.array(source, dtype=np.int64))), *(pa.array(c, pa.int64()) for c in cols)]
+            out = [batch.column("doc_id").take(pa.array(np.array(source, dtype=np.int64))), *(pa.array(c, pa.int64()) for c in cols)]
             if with_ids:
-                found.append(pa.array(raws, pa.binary()))
-            yield pa.RecordBatch.from_arrays(found, names=["doc_id", *names, *["ids"] * with_ids])
+                out.append(pa.array(raws, pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *names, *["ids"] * with_ids])
 
-    out = placed.mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", ids binary" * with_ids)
-    return out.withColumnRenamed("doc_id", id_column)
+    used = encoded.select("doc_id", "shard", "rest", "rank", "blocks", "ids")
+    pieces = used.mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", ids binary" * with_ids)
+    return pieces.withColumnRenamed("doc_id", id_column)
