@@ -66,12 +66,12 @@ OP7 = f"""WITH {TOKENS}, grams AS ({grams(35)}),
  SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(stays, '')) AS kept_sha256
  FROM texts t LEFT JOIN summed USING (doc_id)"""
 
-OP8 = """WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS codes FROM embeddings
-   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+OP8 = """WITH fine AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS codes FROM embeddings
+   WHERE embedding IS NOT NULL AND len(embedding) > 0
      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
- scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.codes, c.codes)::BIGINT AS score
-   FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.codes) = len(c.codes) WHERE q.vec_id % 50 = 0),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+ scored AS (SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, list_inner_product(q.codes, c.codes)::BIGINT AS score
+   FROM fine q JOIN fine c ON q.r <> c.r AND len(q.codes) = len(c.codes) WHERE q.vec_id % 50 = 0),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
  SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
@@ -90,10 +90,10 @@ def _doubles(values) -> str:
 
 def _op9() -> str:
     rules = QualityRules()
-    pick = lambda f: "CASE lang " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in rules.common_words.items()) + " END"
-    common = pick(lambda v: "[" + ", ".join(f"'{w}'" for w in v) + "]")
-    expected = pick(lambda v: _doubles([*v.values(), 1.0 - sum(v.values())]))
-    classes = _doubles(rules.classes[k] for k in ("lower", "upper", "digit", "space", "other"))
+    pick = lambda f, of=rules.common_words: "CASE lang " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in of.items())
+    common = pick(lambda v: "[" + ", ".join(f"'{w}'" for w in v) + "]") + " END"
+    expected = pick(lambda v: _doubles([*v.values(), 1.0 - sum(v.values())])) + " END"
+    classes = pick(_doubles, rules.classes) + f" ELSE {_doubles(rules.classes[rules.fallback])} END"
     share = lambda p: f"length(regexp_replace(text, '{p}', '', 'g'))::DOUBLE / length(text)"
     return rf"""WITH {TOKENS}, grams AS ({grams(5)}),
  counted AS (SELECT *, whole AND count(*) FILTER (whole) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM grams),
@@ -106,9 +106,9 @@ def _op9() -> str:
    FROM texts t JOIN listed USING (doc_id) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) LEFT JOIN dups d USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
  failed AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM base),
  shares AS (SELECT *, [{share(r'\P{Ll}+')}, {share(r'\P{Lu}+')}, {share(r'\P{Nd}+')}, (length(text) - word_chars)::DOUBLE / length(text)] AS class_shares,
-     list_transform({common}, lambda w: len(list_filter(words, lambda x: lower(x) = w))::DOUBLE / n_words) AS word_shares, {expected} AS expected
+     list_transform({common}, lambda w: len(list_filter(words, lambda x: lower(x) = w))::DOUBLE / n_words) AS word_shares, {expected} AS expected, {classes} AS expected_classes
    FROM failed WHERE n_words >= {rules.guard_words}),
- judged AS (SELECT doc_id, {_divergence(_rest('class_shares'), classes)} > {rules.max_class_divergence!r}::DOUBLE
+ judged AS (SELECT doc_id, {_divergence(_rest('class_shares'), 'expected_classes')} > {rules.max_class_divergence!r}::DOUBLE
      OR coalesce({_divergence(_rest('word_shares'), 'expected')} > {rules.max_word_divergence!r}::DOUBLE + {rules.word_noise!r}::DOUBLE / n_words, FALSE) AS far FROM shares)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, FALSE) AS kept
  FROM failed LEFT JOIN judged USING (doc_id)"""
@@ -132,7 +132,10 @@ def _op2() -> str:
             f"FROM texts WHERE regexp_matches(text, {p}))) WHERE length(g[i]) >= {least}"
         )
 
-    allowed = " OR ".join(f"regexp_matches(t, {_quoted(a)})" for a in ALLOWED if "\\1" not in a) + " OR length(replace(t, t[1], '')) = 0"
+    allowed = " OR ".join(
+        f"regexp_matches(t, {_quoted(a)})" + (f" AND NOT regexp_matches(t, {_quoted(unless)})" if unless else "") for a, unless in ALLOWED if "\\1" not in a
+    )
+    allowed += " OR length(replace(t, t[1], '')) = 0"
     limits = " ".join(
         f"WHEN '{name}' THEN {math.floor((math.log2(rules.window) - least) * rules.window * SCALE)}" for name, least in rules.thresholds.items()
     )
@@ -142,7 +145,7 @@ def _op2() -> str:
     return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
  base AS MATERIALIZED ({base}),
  runs AS ({found(CANDIDATE, 0, 1, len(KINDS))}),
- free AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e) AND NOT ({allowed})),
+ free AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e) AND NOT ({allowed})),
  windows AS (SELECT *, substr(t, j::BIGINT, {rules.window}) AS w FROM (SELECT *, unnest(range(1, length(t) - {rules.window - 2})) AS j FROM free)),
  letters AS (SELECT doc_id, s, e, t, j, c, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS c FROM windows) GROUP BY ALL),
  sums AS (SELECT doc_id, s, e, t, j, sum(round(n * log2(n) * {SCALE}))::BIGINT AS total FROM letters GROUP BY ALL),
@@ -155,6 +158,10 @@ def _op2() -> str:
    sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN rendered USING (doc_id)"""
 
 
+#: Levels that the SQL walks; the paths of the tables are less deep.
+SQL_LEVELS = 8
+
+
 def op10(rules: dict[str, str]) -> str:
     """The template tree, a level after the other."""
     how = TemplateRules()
@@ -169,7 +176,7 @@ def op10(rules: dict[str, str]) -> str:
         f"WHEN {hexadecimal if name == '<hex>' else f'regexp_full_match(stem, {_quoted(p)})'} THEN '{name}' || substr(x, length(stem) + 1)" for name, p in SHAPES
     ).replace("stem", "regexp_extract(x, '^([^.]*)', 1)")
     levels = ""
-    for n in range(how.depth):
+    for n in range(SQL_LEVELS):
         levels += f""",
  nodes{n} AS (SELECT host, template, shape[{n + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM tree{n} WHERE len(shape) > {n} GROUP BY ALL),
  parents{n} AS (SELECT host, template, count(*) AS children, sum(labelled) AS all_labelled, sum(bad) AS all_bad FROM nodes{n} GROUP BY ALL),
@@ -182,10 +189,10 @@ def op10(rules: dict[str, str]) -> str:
     return rf"""WITH urls AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
  shaped AS MATERIALIZED (SELECT *, list_transform(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/'), lambda x: CASE {shapes} ELSE x END) AS shape FROM parts),
- known AS (SELECT doc_id AS page_id, max((quality = 0)::INTEGER) AS bad FROM labels GROUP BY doc_id),
+ known AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INTEGER) AS bad FROM labels GROUP BY doc_id),
  tree0 AS MATERIALIZED (SELECT host, shape, count(*)::DOUBLE AS n, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0)::DOUBLE AS bad, []::VARCHAR[] AS template
    FROM shaped LEFT JOIN known USING (page_id) GROUP BY host, shape){levels},
- tree AS (SELECT host, shape, n, labelled, bad, CASE WHEN len(shape) > {how.depth} THEN list_append(template, '**') ELSE template END AS template FROM tree{how.depth}),
+ tree AS (SELECT host, shape, n, labelled, bad, template FROM tree{SQL_LEVELS}),
  prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(bad) / sum(labelled) ELSE 0.5::DOUBLE END AS p FROM tree),
  judged AS (SELECT host, template, (sum(bad) + {how.smoothing!r}::DOUBLE * any_value(p)) / (sum(labelled) + {how.smoothing!r}::DOUBLE) AS purity, sum(labelled) AS labelled FROM tree, prior GROUP BY ALL)
  SELECT page_id, s.host, s.path, CASE {" ".join(fits)} END AS rule,

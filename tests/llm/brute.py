@@ -71,13 +71,30 @@ def remove_repeats(rows, k=35):
 
 
 def top_k(rows, every=50, k=5):
-    fine = {d: [math.floor(256 * x) for x in v] for d, v in rows if d is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Every row is a candidate for every other row; scores are whole numbers of any size."""
+    fine = [(d, [math.floor(256 * x) for x in v]) for d, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in fine.items():
-        if q % every:
+    for at, (q, v) in enumerate(fine):
+        if q is None or q % every:
             continue
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), d) for d, w in fine.items() if d != q and len(w) == len(v))
-        out += [(q, i + 1, d, -s) for i, (s, d) in enumerate(scores[:k])]
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), d is None, d or 0) for i, (d, w) in enumerate(fine) if i != at and len(w) == len(v))
+        out += [(q, i + 1, None if none else d, -s) for i, (s, none, d) in enumerate(scores[:k])]
+    return out
+
+
+def entropy_spans(text, base, rules, candidate, alphabet_class):
+    """Spans of candidates that no base span covers, counted window by window."""
+    out = []
+    for m in re.finditer(candidate, text):
+        if any(a <= m.start() and m.end() <= e for a, _, _, e in base):
+            continue
+        t = m[0]
+        if any(re.search(p, t) and not (unless and re.search(unless, t)) for p, unless in rules.allowed):
+            continue
+        windows = [t[i : i + rules.window] for i in range(len(t) - rules.window + 1)]
+        most = max(-sum(n / rules.window * math.log2(n / rules.window) for n in Counter(w).values()) for w in windows)
+        if most >= rules.thresholds[alphabet_class(t)] - 1e-9:
+            out.append((m.start(), m.end()))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from gridloom.llm import graph, near_dup
 from gridloom.llm.common import table
 from gridloom.llm.mixing import materialise, mix, mix_sources, route
 from gridloom.llm.near_dup import Similarity, drop_near_duplicates, near_duplicates
-from gridloom.llm.packing import pack, plan
+from gridloom.llm.packing import combinations, fit, pack, plan
 from gridloom.llm.quality import keep_quality, quality_signals
 from gridloom.llm.registry import URL_RULES
 from gridloom.llm.registry import queries as llm_queries
@@ -134,7 +135,10 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     rows = [(1, text), (4, text), (4, other), (6, other), (8, "single words here")]
     same(tuples(near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id", "kept"), brute.near_duplicates(rows))
     kept = drop_near_duplicates(frame(spark, [(None, text), (3, text), (2, text), (2, text), (9, None)]))
-    same(tuples(kept, "doc_id"), [(None,), (2,), (9,)])
+    same(tuples(kept, "doc_id"), [(2,), (9,)])
+    # Rows of one id with unlike texts are documents of their own; rows without words all stay.
+    kept = drop_near_duplicates(frame(spark, [(1, text), (4, text), (4, other), (5, other), (7, ""), (8, None), (None, "only here")]))
+    same(tuples(kept, "doc_id", "text"), [(1, text), (4, other), (7, ""), (8, None), (None, "only here")])
 
 
 def test_components_over_several_tasks(spark, monkeypatch):
@@ -194,6 +198,35 @@ def test_secret_entropy_and_redaction(spark):
     assert redact(docs).columns == docs.columns
 
 
+def test_secrets_leave_nothing_behind(spark):
+    """Keys that merely contain a pattern span or a filler are masked whole; real fillers stay."""
+    keys = ["Xk9QzLmP2vRt7WbN9f3a7c1e5b8d2046YhGjUo4TsEwQ1", "Xk9QzLmP2vRt7WbN1234567QfZa7cKe5bXdYhGjUo4TsEwQ1", "Xk9QzLmP2vRt7WbN9fZa7cKe5bXd2Q46YhGjUo4TsEwQ1", "/sample/dGhpcyBpcyBhIHRlc3Q0aGVsbG8xMjM0NTY3ODkw"]
+    fillers = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "xxxxxxxx-xxxx-0000-0000-000000000000", "1234567_1234567_1234567", "aLongIdentifierNameInCamelCase", "some/path42/with7/words/2024"]
+    rows = [(i, f"é {k} end") for i, k in enumerate(keys + fillers)]
+    got = {r["doc_id"]: r["text"] for r in redact(frame(spark, rows)).collect()}
+    assert got == {i: "é [secret] end" if i < len(keys) else t for i, t in rows}
+
+
+def test_entropy_of_random_candidates(spark):
+    from gridloom.llm.secrets import CANDIDATE, EntropyRules
+
+    rng = random.Random(15)
+    rows = []
+    for i in range(300):
+        letters = rng.choice(["0123456789abcdef", "0123456789ABCDEF", "abcABC123", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ab1", "abcdefghij+/_=-0123456789KLMNOP"])
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(4)]
+        rows.append((i, rng.choice([" ", "\n", " token=", ".", " AKIA", "é"]).join(parts)))
+    kind = lambda t: "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "alnum" if re.fullmatch("[A-Za-z0-9]+", t) else "base64"
+    got, n = {r["doc_id"]: r for r in find_secrets(frame(spark, rows)).collect()}, 0
+    for i, t in rows:
+        expected, base = brute.secrets(t)
+        spans = brute.entropy_spans(t, base, EntropyRules(), CANDIDATE, kind)
+        r, n = got[i], n + len(spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == expected
+        assert [s for s in r["spans"].split(",") if s.startswith("entropy")] == [f"entropy:{a}:{e}" for a, e in spans]
+    assert n > 100
+
+
 def test_quality(docs, rows):
     got = tuples(quality_signals(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     same(got, [(i, *brute.quality(t)) for i, t in rows])
@@ -212,18 +245,34 @@ def test_quality_verdict(spark):
     assert {r["doc_id"] for r in keep_quality(docs).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def vectors(spark, rows, kind):
+    return spark.createDataFrame([(*r, 7) for r in rows], f"vec_id bigint, embedding array<{kind}>, id bigint").withColumn("score", F.lit(1))
+
+
 def test_top_k(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.5, 0.25, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(400)]
     rows += [(i + 400, rows[i][1]) for i in range(60)]
-    rows += [(900, None), (950, [None] * 6), (1000, [float("nan")] + [0.0] * 5), (1050, [float("inf")] * 6), (1100, [1.0, 2.0]), (1150, [3.0, 4.0]), (1200, []), (None, [0.5] * 6)]
-    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id bigint, embedding array<float>, id bigint").withColumn("score", F.lit(1))
+    rows += [(900, None), (950, [None] * 6), (1000, [float("nan")] + [0.0] * 5), (1050, [float("inf")] * 6), (1100, [1.0, 2.0]), (1150, [3.0, 4.0]), (1200, []), (None, [0.5] * 6), (None, [-1.5] * 6)]
+    rows += [(7, [2.0] * 6), (7, [1.5] * 6), (50, [0.3] * 6), (1250, [1.5] * 6)] + [(2000 + i, [1.5] * 6) for i in range(40)]
+    df = vectors(spark, rows, "float")
     rows = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    expected = [x for x in brute.top_k([r for r in rows if r[1] is None or len(r[1])])]
-    same(tuples(top_k(df, F.col("id") % 50 == 0, block_rows=50, query_rows=4), "query_id", "rank", "vec_id", "score"), expected)
+    columns = "query_id", "rank", "vec_id", "score"
+    same(tuples(top_k(df, F.col("id") % 50 == 0, block_rows=50, query_rows=4), *columns), brute.top_k(rows))
     assert top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(6)
+    rows = [(0, [1.0, 0.0]), (1, [2e6, 0.0]), (3, [2.0, 0.0]), (3, [5.0, 0.0]), (2, [3.0, 0.0]), (4, [2.0**20, 1.0]), (50, [3e6, -2e6])]
+    rows += [(100 + i, [rng.choice([1.0, 1e3, 1e6, 2.0**30]) * rng.uniform(-1, 1) for _ in range(2)]) for i in range(300)]
+    columns = "query_id", "rank", "vec_id", "score"
+    expected = [(q, r, v, max(-(1 << 63), min((1 << 63) - 1, x))) for q, r, v, x in brute.top_k(rows)]
+    same(tuples(top_k(vectors(spark, rows, "double"), F.col("id") % 50 == 0, block_rows=40, query_rows=3), *columns), expected)
+    huge = [(0, [1.0, 1e300]), (1, [1e300, 1e308]), (2, [-1e308, -1e300]), (3, [0.0, 0.0])]
+    same(tuples(top_k(vectors(spark, huge, "double"), F.col("id") == 0), *columns), [(0, 1, 1, (1 << 63) - 1), (0, 2, 3, 0), (0, 3, 2, -(1 << 63))])
+
+
 def test_urls(spark):
     urls = ["http://A.Example.com/en/7x?q", "https://x.com/en/1#a", "http://example.net/de/81", "http://www.example.net/de/9/", "ftp://org/es/", "no scheme", None, "http://com", "http://notcom/en/1", "a://b://c/de/1", "http://x.org?x=/es/"]
     rows = list(enumerate(urls)) + [(100 + i, f"http://bad.test/spam/{i}") for i in range(40)] + [(200 + i, f"http://bad.test/fine/{i}") for i in range(40)]
@@ -237,6 +286,18 @@ def test_urls(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         assert got[i]["verdict"] == (verdict or ("block" if i in range(100, 140) else "allow"))
     assert filter_urls(pages.limit(0), URL_RULES, labels.limit(0)).count() == 0
+    assert filter_urls(pages, {}, labels).where("rule IS NOT NULL").count() == 0
+
+
+def test_urls_of_any_depth(spark):
+    """A branch that differs in its twelfth segment alone is judged by it."""
+    deep = "/".join("abcdefghijk")
+    urls = [f"http://h.test/{deep}/{'bad' if i % 2 else 'good'}/{i}" for i in range(40)] + [f"http://h.test/{deep}/bad/more/{'x/' * 30}{i}" for i in range(3)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(30)], "id bigint, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(pages, URL_RULES, labels).collect()}
+    assert [got[i] for i in range(40)] == ["block" if i % 2 else "allow" for i in range(40)]
+    assert len(got) == len(urls)
 
 
 def check_mix(rows, got, sources):
@@ -267,6 +328,16 @@ def test_mix_of_many_rows(spark, monkeypatch):
     check_mix(rows, mix_sources(docs).collect(), {r["doc_id"]: r["source"] for r in docs.collect()})
 
 
+def test_mix_of_copies_of_an_id(spark, monkeypatch):
+    """Rows that share a key, as null ids of one size do, are split by further digits."""
+    from gridloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 5)
+    docs = spark.createDataFrame([(None, "w w w", s) for s in "ab" for _ in range(400)], "doc_id bigint, text string, source string")
+    got = mix_sources(docs).collect()
+    assert sum(r["taken"] for r in got) == 2400 and all(r["taken"] <= 9 for r in got)
+
+
 def test_overlapping_sources():
     """A source that is only in the overlap gets it; the other repeats its own words as little as it can."""
     patterns = {("a",): 100, ("a", "b"): 100}
@@ -298,6 +369,17 @@ def test_piece_encoder(name, rows):
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_piece_encoder_on_control_characters(name):
+    library, encoder, rng = load(name)[0], PieceEncoder(name), random.Random(31)
+    letters = ["\0", " ", " ", "a", "bc", "1", "'s", "\t", "\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u200b", "\u3000", "é", "\u0301", "中", "<|endoftext|>", "\x7f"]
+    texts = ["x \0abc", "hello \0world foo", "\0\0", "\0", " \0 "] + ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    for at in range(0, len(texts), 64):
+        part = texts[at : at + 64]
+        for t, raw in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_counts(docs, rows):
     library = load("byte_bpe_50k.json")[0]
     got = tuples(count_tokens(docs, chunk_chars=600, overlap_chars=100), "doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -352,7 +434,7 @@ def test_token_files_order(spark):
     df = spark.createDataFrame([(5, "b"), (None, "n"), (5, "a"), (5, "a"), (1, None)], "doc_id bigint, text string")
     got = sorted(read_token_files(spark, write_token_files(df)).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, 1, 5, 5, 5]
-    assert got[2]["ids"] == got[3]["ids"] != got[4]["ids"]
+    assert len({r["ids"] for r in got[2:]}) == 2 and got[3]["ids"] in (got[2]["ids"], got[4]["ids"])
 
 
 def check_packing(got, ids, window):
@@ -390,6 +472,32 @@ def test_plan_of_equal_lengths():
     assert sum((s.hi - s.lo) * s.length for s in slots) == 3_000_000
 
 
+def test_fit_reaches_its_residual():
+    rng = random.Random(2)
+    histogram = {k: rng.randrange(1, 400) for k in rng.sample(range(1, 4096), 1500)}
+    patterns = combinations(histogram, 4096)
+    assert all(sum(k * c for k, c in patterns.parts(p)) == 4096 for p in range(len(patterns.a)))
+    x, residual = fit(histogram, patterns, 4096)
+    left = np.zeros(4097)
+    for k, v in histogram.items():
+        left[k] = v
+    np.subtract.at(left, patterns.a, patterns.m * x)
+    np.subtract.at(left, patterns.b, patterns.n * x)
+    steps = np.maximum((patterns.m * left[patterns.a] + patterns.n * left[patterns.b]) / (patterns.m**2 + patterns.n**2), -x)
+    assert len(patterns.a) > 300 and (x >= 0).all() and np.abs(steps).max() <= 0.5 + 1e-6 and residual <= 0.5
+    slots, n = plan(histogram, 4096)
+    assert sum((s.hi - s.lo) * s.length for s in slots) == sum(k * v for k, v in histogram.items())
+
+
+def test_pack_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, "one two"), (4, "three"), (5, None)], "doc_id bigint, text string")
+    got = pack(df, window=8).collect()
+    library = load("word_bpe_49k.json")[0]
+    assert sum(r["length"] for r in got) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in df.collect())
+    places = [(r["sequence_id"], r["offset"] + i) for r in got for i in range(r["length"])]
+    assert len(places) == len(set(places)) and {r["doc_id"] for r in got} == {None, 4, 5}
+
+
 def test_empty_tables(spark, empty):
     assert near_duplicates(empty).count() == 0
     assert drop_near_duplicates(empty).count() == 0
@@ -426,5 +534,21 @@ def test_pipeline(spark, tmp_path):
     assert docs.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in mixed)
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path):
+    """Every stage takes an empty table, null ids, repeated rows and columns of clashing names."""
+    import corpus_pipeline
+
+    odd = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("bigint")))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+        out = stage(spark, odd, "")
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.count() > 0
+        if name != "packing":
+            assert out.columns == odd.columns
+            odd = after
+
+
 def test_queries_are_named(spark):
     assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 11)]
