@@ -8,6 +8,7 @@ from gridloom.functions.scoring import RewardRules
 from gridloom.functions.text import BOX_FORMAT, PROMPT_TEMPLATE
 
 
+# The settings that the corpora, the frames and the training runs are defined by.
 @dataclass(frozen=True)
 class UiCorpus:
     bbox_format: str = "normalized"

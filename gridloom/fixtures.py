@@ -84,8 +84,8 @@ def completion(shift: int = 0) -> Column:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = {"completion": completion(), "micro": completion(3), "target_bbox": F.array(*[F.col(f"{c}_f") for c in CORNERS])}
-    return fenced(framed(spark, sf_dir).withColumns(made))
+    df = fenced(framed(spark, sf_dir).withColumn("completion", completion()), "completion")
+    return df.withColumns({"micro": completion(3), "target_bbox": F.array(*[F.col(f"{c}_f") for c in CORNERS])})
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:

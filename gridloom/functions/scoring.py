@@ -13,6 +13,7 @@ from gridloom.functions.plan import fenced
 from gridloom.functions.text import is_one_box, parse_box
 
 
+# The rewards that models are trained with.
 @dataclass(frozen=True)
 class RewardRules:
     format_reward: float = 0.5
@@ -58,7 +59,7 @@ def format_reward(text: Column, rules: RewardRules = RewardRules()) -> Column:
 
 
 def passes(coverage: Column, precision: Column) -> Column:
-    """The benchmark's rule, as documented: 90 % covered with 70 % precision."""
+    """The benchmark's rule, as documented (fixed values): 90 % covered with 70 % precision."""
     both = (coverage.cast("double") >= F.lit(0.9)) & (precision.cast("double") >= F.lit(0.7))
     return F.coalesce(both, F.lit(False))
 
@@ -91,7 +92,7 @@ def _box(columns: dict[str, Column], rules: RewardRules) -> Column:
 
 def score(df: DataFrame, rules: RewardRules = RewardRules(), channels: Sequence[str] | None = None) -> DataFrame:
     """``df`` (completion, target_bbox, anything else) with a column per reward channel."""
-    df = fenced(df.withColumn("_box", parse_box(F.col("completion"))))
+    df = fenced(df.withColumn("_box", parse_box(F.col("completion"))), "_box")
     columns = {c: F.col(c) for c in df.columns}
     return df.withColumns({name: CHANNELS[name](columns, rules) for name in channels or CHANNELS}).drop("_box")
 

@@ -30,9 +30,14 @@ def basename(path: Column) -> Column:
 
 def parse_box(text: Column) -> Column:
     """First box in the text as struct<x0, y0, x1, y1> of floats; null without one."""
-    parts = [F.nullif(F.regexp_extract(text, BOX, i), F.lit("")).try_cast("double").cast("float") for i in range(1, 5)]
-    box = F.struct(*[p.alias(n) for p, n in zip(parts, ("x0", "y0", "x1", "y1"), strict=True)])
-    return F.when(text.rlike(BOX), box)
+    # One search of the text; the numbers are then read from what was found.
+    numbers = F.regexp_extract_all(F.regexp_extract(text, BOX, 0), F.lit(NUMBER), F.lit(1))
+
+    def box(found: Column) -> Column:
+        parts = [F.get(found, F.lit(i)).try_cast("double").cast("float").alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+        return F.when(F.size(found) == 4, F.struct(*parts))
+
+    return F.get(F.transform(F.array(numbers), box), F.lit(0))
 
 
 def is_one_box(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +14,30 @@ from gridloom.functions.text import parse_box
 
 MIN_EXTENT = 4.0
 #: Adds a column of completions: (rows, name of the query column, name of the new column) -> rows.
+#: Rows whose query is null are not asked for and get null.
 Predictor = Callable[[DataFrame, str, str], DataFrame]
 
 
 def recorded(column: str) -> Predictor:
     """A predictor that replays completions already in the table."""
-    return lambda df, query, name: df.withColumn(name, F.col(column))
+    return lambda df, query, name: df.withColumn(name, F.when(F.col(query).isNotNull(), F.col(column)))
+
+
+def batched(predict: Callable[[pd.DataFrame], Sequence[str]], columns: Sequence[str] = ()) -> Predictor:
+    """A predictor that gives Arrow batches to ``predict``: rows with ``query`` and ``columns``, asked ones alone."""
+
+    def add(df: DataFrame, query: str, name: str) -> DataFrame:
+        @F.pandas_udf("string")
+        def answer(rows: pd.DataFrame) -> pd.Series:
+            asked = rows["query"].notna()
+            out = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            if asked.any():
+                out[asked] = list(predict(rows[asked]))
+            return out
+
+        return df.withColumn(name, answer(F.struct(F.col(query).alias("query"), *columns)))
+
+    return add
 
 
 def _corners(box: str) -> list[Column]:
@@ -31,36 +50,32 @@ def _box(corners: list[Column]) -> Column:
 
 def macro_pass(df: DataFrame, completion: str, target: tuple[int, int] = FRAME) -> DataFrame:
     """Adds ``macro`` (held to the frame, null if nothing parsed) and ``zooms`` (large enough to zoom)."""
-    df = fenced(df.withColumn("_parsed", parse_box(F.col(completion))))
+    df = fenced(df.withColumn("_parsed", parse_box(F.col(completion))), "_parsed")
     held = F.when(F.col("_parsed").isNotNull(), _box(clamp_to_frame(_corners("_parsed"), target)))
-    df = fenced(df.withColumn("macro", held).drop("_parsed"))
+    df = fenced(df.withColumn("macro", held).drop("_parsed"), "macro")
     wide = F.col("macro.x1") - F.col("macro.x0") >= F.lit(MIN_EXTENT).cast("float")
     high = F.col("macro.y1") - F.col("macro.y0") >= F.lit(MIN_EXTENT).cast("float")
-    return fenced(df.withColumn("zooms", F.coalesce(wide & high, F.lit(False))))
+    return fenced(df.withColumn("zooms", F.coalesce(wide & high, F.lit(False))), "zooms")
 
 
 def zoom_context(df: DataFrame, margin: float = 0.15, target: tuple[int, int] = FRAME) -> DataFrame:
-    """Adds the crop around ``macro`` and its letterbox; for rows that zoom."""
-    df = fenced(df.withColumn("crop", F.when(F.col("zooms"), crop_box(_corners("macro"), margin, target))))
+    """Adds the crop around ``macro`` and its letterbox; null for rows that do not zoom."""
+    df = fenced(df.withColumn("crop", F.when(F.col("zooms"), crop_box(_corners("macro"), margin, target))), "crop")
     size = F.col("crop.x1") - F.col("crop.x0"), F.col("crop.y1") - F.col("crop.y0")
-    return fenced(df.withColumn("zoom", F.when(F.col("crop").isNotNull(), letterbox(*size, target))))
+    return fenced(df.withColumn("zoom", F.when(F.col("crop").isNotNull(), letterbox(*size, target))), "zoom")
 
 
 def zoom_verify(df: DataFrame, macro: Predictor, micro: Predictor, margin: float = 0.15, target: tuple[int, int] = FRAME, query: str = "query") -> DataFrame:
     """Adds ``result`` and ``path``: miss, too_small, macro_fallback or refined.
 
-    The second prediction is asked only for rows that zoom: they are split off before it, so a
-    predictor in Python never sees the others.
+    One pass over the rows; the second prediction is asked only for those that zoom.
     """
-    first = macro_pass(macro(df, query, "_macro_text"), "_macro_text", target).drop("_macro_text")
-    nothing = F.lit(None).cast("struct<x0:float,y0:float,x1:float,y1:float>")
-    done = first.where(~F.col("zooms")).withColumns(
-        {"result": F.col("macro"), "path": F.when(F.col("macro").isNull(), "miss").otherwise("too_small")}
-    )
-    zoomed = micro(zoom_context(first.where("zooms"), margin, target), query, "_micro_text")
-    zoomed = fenced(zoomed.withColumn("_micro", parse_box(F.col("_micro_text"))))
-    projected = F.when(F.col("_micro").isNotNull(), _box(project_box(_corners("_micro"), F.col("crop"), F.col("zoom"))))
-    zoomed = zoomed.withColumns(
-        {"result": F.coalesce(projected, F.col("macro"), nothing), "path": F.when(F.col("_micro").isNull(), "macro_fallback").otherwise("refined")}
-    )
-    return done.unionByName(zoomed.drop("_micro", "_micro_text", "crop", "zoom")).drop("zooms")
+    rows = macro_pass(macro(df, query, "_macro_text"), "_macro_text", target).drop("_macro_text")
+    rows = zoom_context(rows, margin, target).withColumn("_asked", F.when(F.col("zooms"), F.coalesce(F.col(query), F.lit(""))))
+    rows = micro(rows, "_asked", "_micro_text")
+    rows = fenced(rows.withColumn("_micro", F.when(F.col("zooms"), parse_box(F.col("_micro_text")))), "_micro")
+    refined = F.col("_micro").isNotNull()
+    projected = F.when(refined, _box(project_box(_corners("_micro"), F.col("crop"), F.col("zoom"))))
+    path = F.when(refined, "refined").when(F.col("zooms"), "macro_fallback").when(F.col("macro").isNull(), "miss").otherwise("too_small")
+    rows = rows.withColumns({"result": F.coalesce(projected, F.col("macro")), "path": path})
+    return rows.drop("_asked", "_micro_text", "_micro", "crop", "zoom", "zooms")

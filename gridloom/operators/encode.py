@@ -16,9 +16,9 @@ IGNORE = -100
 
 def with_frame_boxes(frame: DataFrame, target: tuple[int, int] = FRAME) -> DataFrame:
     """The element frame with its letterbox parameters and boxes in frame pixels (x0_f ..)."""
-    df = fenced(frame.withColumn("params", letterbox(F.col("img_w"), F.col("img_h"), target)))
-    boxes = letterbox_box([F.col(c) for c in CORNERS], F.col("params"))
-    return fenced(df.withColumns({f"{c}_f": b for c, b in zip(CORNERS, boxes, strict=True)}))
+    df = fenced(frame.withColumn("params", letterbox(F.col("img_w"), F.col("img_h"), target)), "params")
+    boxes = dict(zip([f"{c}_f" for c in CORNERS], letterbox_box([F.col(c) for c in CORNERS], F.col("params")), strict=True))
+    return fenced(df.withColumns(boxes), *boxes)
 
 
 def sft_rows(

@@ -3,35 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 4096
+from gridloom.sources.interim import written
 
+#: Rows that one bucket of an order should hold.
+BUCKET_ROWS = 1_000_000
 
-def ordinal(df: DataFrame, bucket: Column, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
-    """Dense 0-based position in the order of (bucket, *order).
 
-    ``bucket`` is a whole number below BUCKETS that rises with the order.  Each bucket is ranked by
-    itself and shifted by the sizes of the buckets before it: one shuffle, no single task that
-    sees all rows, and a broadcast of at most BUCKETS counts.
-    """
-    dealt = df.withColumn("_bucket", bucket)
-    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+def _shifted(ranked: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Position: the 0-based ``_rank`` inside a row's bucket and the sizes of the buckets before."""
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return dealt.join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + rank - 1).drop("_bucket", "_base")
+    # A count per bucket, and a bucket holds up to BUCKET_ROWS rows.
+    return ranked.join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + F.col("_rank")).drop("_bucket", "_base", "_rank")
 
 
 def ordinal_by(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """Position by a numeric key; one pass finds its range, which is cut into equal buckets."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
-    return ordinal(df, F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"), [key], name)
+    """0-based position by ``key``; null keys come last, equal keys in any order.
+
+    Tasks hold ranges of the key whose bounds are sampled, so neither gaps nor outliers of the key
+    fill one of them; a row's rank is its place in its task.
+    """
+    order = F.col(key).asc_nulls_last()
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the lower bits count a task's rows
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_bucket": F.spark_partition_id(), "_rank": inside})
+    held = written(ranged, "ordinal")
+    return _shifted(held, held.groupBy("_bucket").agg(F.count("*").alias("_n")), name)
 
 
 def seeded(seed: int, *keys: Column | str) -> Column:
@@ -41,10 +44,18 @@ def seeded(seed: int, *keys: Column | str) -> Column:
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int, name: str = "pos") -> DataFrame:
-    """Position in a seeded shuffle of rows with unique ``keys``."""
-    df = df.withColumn("_digest", seeded(seed, *keys))
-    bucket = F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int")
-    return ordinal(df, bucket, ["_digest", *keys], name).drop("_digest")
+    """Position in a seeded shuffle of rows with unique ``keys``.
+
+    The rows are written once; as digests are spread evenly, their first digits are buckets.
+    """
+    held = written(df.withColumn("_digest", seeded(seed, *keys)), "shuffled")
+    digits = 1
+    while 16**digits * BUCKET_ROWS < held.count() or digits < 3:
+        digits += 1
+    bucket = F.substring("_digest", 1, digits)
+    counts = held.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", *keys)) - 1
+    return _shifted(held.withColumn("_bucket", bucket).withColumn("_rank", rank), counts, name).drop("_digest")
 
 
 def shuffled_like_pandas(df: DataFrame, position: str, seed: int, name: str = "pos") -> DataFrame:
@@ -67,41 +78,38 @@ def split_holdout(positioned: DataFrame, fraction: float = 0.01, pos: str = "pos
     return positioned.where(F.col(pos) >= n), positioned.where(F.col(pos) < n)
 
 
-def mix_counts(sizes: Sequence[int], weights: Sequence[float]) -> list[int]:
-    """Rows each child gives to an epoch in which the first child appears exactly once."""
-    if len(sizes) != len(weights) or not sizes:
-        raise ValueError("need one weight per dataset")
-    if min(weights) <= 0:
-        raise ValueError(f"weights must be positive, got {list(weights)}")
-    if min(sizes) <= 0:
-        raise ValueError("a dataset of the mixture is empty")
-    total = float(sum(weights))
-    shares = [w / total for w in weights]
-    epoch = round(sizes[0] / shares[0])
-    return [sizes[0], *(max(1, round(epoch * s)) for s in shares[1:])]
-
+def epoch_sizes(rows: Sequence[int], weights: Sequence[float]) -> list[int]:
+    """Rows that each dataset gives to an epoch which holds the first one exactly once.
 
-def mix_index(children: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> DataFrame:
-    """pos, child, pick and the keys of the child's row: each child's rows shuffled, repeated or cut
-    to its count, and all interleaved."""
-    counts = mix_counts([c.count() for c in children], weights)
-    picks = None
-    for number, (child, count) in enumerate(zip(children, counts, strict=True)):
-        rows = shuffled(child.select(*keys).withColumn("child", F.lit(number)), ["child", *keys], seed, "first")
-        size = child.count()
-        times = F.floor((F.lit(count) - F.col("first") - 1) / size).cast("int")
-        rows = rows.where(F.col("first") < count).withColumn("_nth", F.explode(F.sequence(F.lit(0), times)))
-        rows = rows.select("child", *keys, (F.col("first") + F.col("_nth") * size).alias("pick"))
-        picks = rows if picks is None else picks.unionByName(rows)
-    return shuffled(picks, ["child", "pick"], seed)
+    The epoch's length follows from the first dataset's share; the others get their share of it,
+    rounded half to even, and one row at least.
+    """
+    if not rows or len(rows) != len(weights):
+        raise ValueError("a mixture takes one weight for each of its datasets, and at least one dataset")
+    if any(n < 1 or not w > 0 for n, w in zip(rows, weights, strict=True)):
+        raise ValueError("every dataset of a mixture has rows and a positive weight")
+    share = np.asarray(weights, dtype=float) / float(sum(weights))
+    length = np.rint(rows[0] / share[0])
+    return [rows[0], *np.maximum(1, np.rint(length * share[1:])).astype(int).tolist()]
 
 
 def mixed_rows(children: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> DataFrame:
-    """Rows of the children in the mixture's order (pos); a child of no weight is left out."""
+    """Rows of the children in the mixture's order: their columns, child, pick and pos.
+
+    Each child's rows are shuffled, repeated or cut to its count, and all are interleaved.  Rows
+    keep their columns on the way, so nothing is joined; a child of no weight is left out.
+    """
     used = [(c, w) for c, w in zip(children, weights, strict=True) if w > 0]
-    index = mix_index([c for c, _ in used], keys, [w for _, w in used], seed)
-    rows = None
-    for number, (child, _) in enumerate(used):
-        part = child.withColumn("child", F.lit(number))
-        rows = part if rows is None else rows.unionByName(part)
-    return index.join(rows, ["child", *keys])
+    placed = [shuffled(c.withColumn("child", F.lit(i)), ["child", *keys], seed, "_first") for i, (c, _) in enumerate(used)]
+    sizes = [p.count() for p in placed]
+    parts = []
+    for rows, size, count in zip(placed, sizes, epoch_sizes(sizes, [w for _, w in used]), strict=True):
+        times = F.floor((F.lit(count) - F.col("_first") - 1) / size).cast("int")
+        rows = rows.where(F.col("_first") < count).withColumn("_nth", F.explode(F.sequence(F.lit(0), times)))
+        parts.append(rows.withColumn("pick", F.col("_first") + F.col("_nth") * size).drop("_first", "_nth"))
+    return shuffled(reduce(DataFrame.unionByName, parts), ["child", "pick"], seed)
+
+
+def mix_index(children: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> DataFrame:
+    """pos, child, pick and the keys of the child's row."""
+    return mixed_rows([c.select(*keys) for c in children], keys, weights, seed).select("pos", "child", *keys, "pick")

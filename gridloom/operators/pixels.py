@@ -12,6 +12,26 @@ from pyspark.sql import DataFrame
 from gridloom.functions.geometry import FRAME
 
 
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Bytes (H, W, C) of filtered lines; ``kinds`` has the filter of each line.
+
+    A pixel depends on those to its left and above, so pixels are done by diagonals, a diagonal at once.
+    """
+    height, width, channels = lines.shape
+    out = np.zeros((height + 1, width + 1, channels), np.int32)  # with an empty line above and an empty column before
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x = diagonal - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + above - corner
+        near = [np.abs(guess - v) for v in (left, above, corner)]
+        paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], above, corner))
+        kind = kinds[y][:, None]
+        predicted = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) // 2, paeth], 0)
+        out[y + 1, x + 1] = (lines[y, x] + predicted) & 255
+    return out[1:, 1:]
+
+
 def decode_png(content: bytes) -> np.ndarray:
     """RGB bytes (H, W, 3) of an 8-bit PNG without interlacing: grey, RGB, palette, with or without alpha."""
     at, data, palette = 8, b"", None
@@ -32,26 +52,7 @@ def decode_png(content: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     stride = width * channels
     raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, stride + 1)
-    out = np.zeros((height, stride), np.int32)
-    for y in range(height):
-        filter_, line = raw[y, 0], raw[y, 1:].astype(np.int32)
-        above = out[y - 1] if y else np.zeros(stride, np.int32)
-        if filter_ == 0:
-            out[y] = line
-        elif filter_ == 2:
-            out[y] = (line + above) & 255
-        else:
-            for x in range(stride):
-                left = out[y, x - channels] if x >= channels else 0
-                corner = above[x - channels] if x >= channels else 0
-                if filter_ == 1:
-                    guess = left
-                elif filter_ == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                out[y, x] = (line[x] + guess) & 255
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, channels))
     pixels = out.reshape(height, width, channels).astype(np.uint8)
     if kind == 3:
         return palette[pixels[..., 0]]

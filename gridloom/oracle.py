@@ -282,4 +282,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 1, row_key, image_path, img_w, img_h FROM ({CELL_CHILD}))
       SELECT child, pick, pos, image_path, img_w, img_h FROM mixed JOIN rows USING (child, row_key)""",
     "mix_index": f"WITH {FRAMED}, " + mixed(f"SELECT {ROW_KEY} AS row_key FROM kept", "SELECT CAST(doc_id AS VARCHAR) AS row_key FROM documents WHERE lang = 'en'") + " SELECT pos, child, row_key, pick FROM mixed",
+    # The images of these queries are made up, so their sizes are constants.
+    "image_headers": "SELECT * FROM (VALUES (0::BIGINT, 16, 9), (1::BIGINT, 9, 16), (2::BIGINT, 40, 40)) AS t(id, img_w, img_h)",
+    "zip_scan": "SELECT * FROM (VALUES ('a', 'd/3x2.png', 3, 2), ('a', 'd/40x7.png', 40, 7)) AS t(archive, name, img_w, img_h)",
 }

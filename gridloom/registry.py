@@ -248,7 +248,7 @@ def format_reward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    df = fenced(fx.completions(spark, d).withColumn("box", parse_box(F.col("completion"))))
+    df = fenced(fx.completions(spark, d).withColumn("box", parse_box(F.col("completion"))), "box")
     coverage, precision = scoring.coverage_precision(_box("box"), [F.col(f"{c}_f") for c in CORNERS])
     return df.withColumns({"coverage": coverage, "precision": precision})
 
@@ -348,7 +348,7 @@ def page_image_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def zipped_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Rewards of a list of completions against a shorter list of targets."""
-    line = fenced(fx.completions(spark, d)).withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    line = fx.completions(spark, d).withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     lists = line.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("place", "completion"))).alias("done"), F.array_sort(F.collect_list(F.struct("place", "target_bbox"))).alias("aims")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.parse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,12 @@ def list_images(spark: SparkSession, path: str, source: str) -> DataFrame:
     Names that start with a dot or an underscore are skipped, as by all of Spark's file sources.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    root = path.rstrip("/").split("://")[-1].split(":")[-1]
-    relative = F.regexp_replace("path", f"^.*?{root}/", "")
+    # Compared as plain text: the folder's name may hold what means something in a pattern.
+    root = urllib.parse.quote(path.rstrip("/").split("://")[-1].split(":")[-1]) + "/"
+    whole = path.rstrip("/").split("://")[-1].split(":")[-1] + "/"
+    at, quoted_at = F.instr("path", F.lit(whole)), F.instr("path", F.lit(root))
+    start = F.when(at > 0, at + len(whole)).otherwise(quoted_at + len(root))
+    relative = F.substr("path", start)
     return files.where(F.lower("path").rlike(IMAGE_SUFFIX)).select(
         F.lit(source).alias("source"), relative.alias("rel_path"), F.regexp_extract("path", "([^/]*)$", 1).alias("basename")
     )

@@ -99,6 +99,10 @@ def test_images_and_archives(spark, tmp_path):
         assert sizes == {"d/a.png": (7, 5), "d/b.JPG": (13, 9), "c.bmp": (3, 4), "e.webp": (31, 41), "f.txt": (None, None)}
         kept = archives.archive_images(spark, str(tmp_path / "cache"), "s", parts).collect()
         assert sorted((r["basename"], r["img_w"]) for r in kept) == [("a.png", 7), ("b.JPG", 13), ("c.bmp", 3), ("e.webp", 31)]
+    odd = tmp_path / "i+m (a) 100% é"
+    (odd / "d").mkdir(parents=True)
+    (odd / "d/a.png").write_bytes(png)
+    assert [r["rel_path"] for r in annotations.list_images(spark, str(odd), "s").collect()] == ["d/a.png"]
     (tmp_path / "images/d").mkdir(parents=True)
     for name in ("d/a.PNG", "d/b.jpeg", "x.gif", ".png"):
         (tmp_path / "images" / name).write_bytes(png)
@@ -162,11 +166,14 @@ def test_agent_asks_twice_only_where_it_zooms(spark):
     asked = []
 
     def micro(frame, query, name):
-        asked.extend(r["id"] for r in frame.select("id").collect())
+        asked.extend(r["id"] for r in frame.where(F.col(query).isNotNull()).select("id").collect())
         return agent.recorded("second")(frame, query, name)
 
     got = {r["id"]: r for r in agent.zoom_verify(df, agent.recorded("first"), micro).collect()}
     assert sorted(asked) == [1, 4]
+    seen = lambda rows: [f"<box>[{n},0,{n + 9},9]</box>" for n in rows["id"]]
+    again = agent.zoom_verify(df, agent.recorded("first"), agent.batched(seen, ["id"])).collect()
+    assert {r["id"]: r["path"] for r in again} == {1: "refined", 2: "miss", 3: "too_small", 4: "refined"}
     assert {i: r["path"] for i, r in got.items()} == {1: "refined", 2: "miss", 3: "too_small", 4: "macro_fallback"}
     assert got[2]["result"] is None and tuple(got[4]["result"]) == (0, 0, 1024, 90) and tuple(got[3]["result"]) == (5, 5, 6, 6)
 

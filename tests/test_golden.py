@@ -172,19 +172,21 @@ def test_holdout_size(n, held):
 @pytest.mark.parametrize(
     "sizes, weights, counts", [((7, 3), (0.7, 0.3), [7, 3]), ((700, 50), (0.7, 0.3), [700, 300]), ((100, 1000), (0.8, 0.2), [100, 25]), ((1, 9), (0.99, 0.01), [1, 1])]
 )
-def test_mix_counts(sizes, weights, counts):
-    assert order.mix_counts(sizes, weights) == counts
+def test_epoch_sizes(sizes, weights, counts):
+    assert order.epoch_sizes(sizes, weights) == counts
 
 
 @pytest.mark.parametrize("sizes, weights", [((1,), (1, 2)), ((), ()), ((1, 1), (0, 1)), ((0, 1), (1, 1))])
-def test_mix_counts_refuses(sizes, weights):
+def test_epoch_sizes_refuses(sizes, weights):
     with pytest.raises(ValueError):
-        order.mix_counts(sizes, weights)
+        order.epoch_sizes(sizes, weights)
 
 
 def test_orders(spark):
     df = spark.range(1000).withColumn("k", F.col("id") * 7 - 300)
     assert [r["pos"] for r in order.ordinal_by(df, "k").orderBy("k").collect()] == list(range(1000))
+    odd = spark.createDataFrame([(5,), (None,), (1,), (7,), (10**15,), (5,), (None,)], "k bigint")
+    assert [(r["k"], r["pos"]) for r in order.ordinal_by(odd, "k").orderBy("pos").collect()] == [(k, i) for i, k in enumerate([1, 5, 5, 7, 10**15, None, None])]
     a = {r["id"]: r["pos"] for r in order.shuffled(df, ["id"], 17).collect()}
     b = {r["id"]: r["pos"] for r in order.shuffled(df.repartition(9), ["id"], 17).collect()}
     assert a == b and sorted(a.values()) == list(range(1000)) and a != {i: i for i in range(1000)}
