@@ -9,14 +9,11 @@ from gridloom.functions.geometry import CORNERS
 from gridloom.functions.plan import fenced
 from gridloom.operators.elements import filter_frame, records_to_frame
 from gridloom.operators.encode import with_frame_boxes
+from gridloom.sources.tables import table
 
 UI_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture A: records with the keys, a query, a normalised box and an image size."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
