@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.interim import shared_folder
+
 #: A word is a run of characters that are neither a space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-FALLBACK_DIR = "/tmp/checkpoints/gridloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session, where driver and
-    executors are one process, may leave that unset and gets a folder of our own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, label: str, shrink: int = 1) -> DataFrame:
@@ -61,10 +48,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
