@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,20 @@ def pages_of_category(pages: DataFrame, category: str) -> DataFrame:
     return pages.where(F.col("metadata.doc_category") == category)
 
 
+def pages_where(pages: DataFrame, predicate: Callable[..., bool], columns: Sequence[str]) -> DataFrame:
+    """Pages for which a Python predicate of the named columns (struct fields too) is true.
+
+    Only those columns reach Python, in Arrow batches; where a Column expression can say the same,
+    :meth:`DataFrame.where` prunes the scan as well.
+    """
+
+    @F.pandas_udf("boolean")
+    def holds(*values: pd.Series) -> pd.Series:
+        return pd.Series([bool(predicate(*row)) for row in zip(*values, strict=True)], index=values[0].index)
+
+    return pages.where(holds(*columns))
+
+
 def flat_cells(cells: str = "pdf_cells") -> Column:
     """All cells of a page's regions; null regions have none."""
     return F.flatten(F.transform(F.coalesce(F.col(cells), F.array()), lambda r: F.coalesce(r, F.array())))
@@ -49,6 +66,11 @@ def page_scale(pages: DataFrame) -> DataFrame:
     return df.withColumns({"scale_x": scale("page_w", "original_width"), "scale_y": scale("page_h", "original_height")})
 
 
+def rescaled_pages(pages: DataFrame) -> DataFrame:
+    """How many pages are rescaled, of how many."""
+    return page_scale(pages).agg(F.count_if("rescaled").alias("rescaled"), F.count("*").alias("pages"))
+
+
 def cell_frame(pages: DataFrame, ordinal: str = "page_ordinal") -> DataFrame:
     """Element frame of the cells with text, stripped; ``ordinal`` names the page's image."""
     cell = page_scale(pages).select(ordinal, "page_w", "page_h", "scale_x", "scale_y", F.explode("cells").alias("cell"))

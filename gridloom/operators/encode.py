@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.geometry import CORNERS, FRAME, letterbox, letterbox_box
 from gridloom.functions.plan import fenced
 from gridloom.functions.text import BOX_FORMAT, PROMPT_TEMPLATE, chat_messages, render_answer, render_prompt
+from gridloom.operators.pixels import framed_images
 
 IGNORE = -100
 
@@ -49,11 +50,26 @@ def grpo_rows(framed: DataFrame, prompt_template: str = PROMPT_TEMPLATE) -> Data
     return framed.withColumns({"prompt": F.array(message), "target_bbox": F.array(*[F.col(f"{c}_f") for c in CORNERS])})
 
 
+def squeezed(df: DataFrame, *streams: str) -> DataFrame:
+    """``df`` with the only row of each stream that a processor returned as a batch of one."""
+    return df.withColumns({c: F.get(c, F.lit(0)) for c in streams})
+
+
 def mask_prompt(ids: Column, prompt_length: Column) -> Column:
     """Labels: the ids with the prompt's places ignored."""
     return F.transform(ids, lambda x, i: F.when(i < prompt_length, F.lit(IGNORE).cast("bigint")).otherwise(x))
 
 
+def with_pixels(rows: DataFrame, images: DataFrame, target: tuple[int, int] = FRAME, fill: float = 0.0) -> DataFrame:
+    """Rows (image_path, ...) with their image in frame pixels, RGB bytes by row, beside their boxes.
+
+    ``images`` has image_path and content.  Every image is decoded and scaled once, not once a row.
+    """
+    named = images.select(F.col("image_path").alias("id"), "content")
+    framed = framed_images(named, target, fill).select(F.col("id").alias("image_path"), "pixels")
+    return rows.join(framed, "image_path")
+
+
 def pad_right(values: Column, length: Column, fill: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(fill).cast("bigint"), (length - F.size(values)).cast("int")))
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.functions.geometry import FRAME
 
@@ -117,21 +118,25 @@ def framed_images(images: DataFrame, target: tuple[int, int] = FRAME, fill: floa
     """id, width, height, pixels (RGB bytes by row) of PNGs (id, content), letterboxed.
 
     With ``crop`` the rows also have x0, y0, x1, y1, the part of the frame-sized image to zoom into.
+    A file that is no PNG of a kind that can be decoded has null pixels.
     """
+    kind = images.schema["id"].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
     columns = ["id", "content", *(["x0", "y0", "x1", "y1"] if crop else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                image = decode_png(row["content"]).astype(np.float64) / 255.0
+                try:
+                    image = decode_png(row["content"]).astype(np.float64) / 255.0
+                except (ValueError, KeyError, IndexError, TypeError, zlib.error):
+                    yield pa.RecordBatch.from_pylist([{"id": row["id"]}], schema=schema)
+                    continue
                 if crop:
                     if image.shape[1::-1] != tuple(target):
                         raise ValueError(f"expected a frame of {target}, got {image.shape[1::-1]}")
                     image = image[row["y0"] : row["y1"], row["x0"] : row["x1"]]
                 raw = to_bytes(letterbox_pixels(image, target, fill)).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["id"]], pa.int64()), pa.array([target[0]], pa.int32()), pa.array([target[1]], pa.int32()), pa.array([raw], pa.binary())],
-                    names=["id", "width", "height", "pixels"],
-                )
+                yield pa.RecordBatch.from_pylist([{"id": row["id"], "width": target[0], "height": target[1], "pixels": raw}], schema=schema)
 
-    return images.select(*columns).mapInArrow(run, "id bigint, width int, height int, pixels binary")
+    return images.select(*columns).mapInArrow(run, f"id {kind.simpleString()}, width int, height int, pixels binary")

@@ -208,6 +208,11 @@ CELL_CHILD = (
     "FROM kept_cells GROUP BY 1"
 )
 JOIN = ", ".join
+# Images of one colour each, and how they fit into a frame of 64 by 48.
+PLAIN_IMAGES = "plain AS (SELECT * FROM (VALUES (0::BIGINT, 40, 90, 200, 16, 9), (1::BIGINT, 90, 90, 140, 9, 16), (2::BIGINT, 140, 90, 80, 40, 40)) AS t(id, r, g, b, w, h))"
+SMALL_FRAMES = """scales_of AS (SELECT *, least(64.0::DOUBLE / w, 48.0::DOUBLE / h) AS scale FROM plain),
+ contents AS (SELECT *, least(64, round_even(w * scale, 0)::INTEGER) AS content_w, least(48, round_even(h * scale, 0)::INTEGER) AS content_h FROM scales_of),
+ fitted AS (SELECT *, (64 - content_w) // 2 AS pad_x, (48 - content_h) // 2 AS pad_y FROM contents)"""
 
 SQL: dict[str, str] = {
     "ui_flatten_nested": FLAT,
@@ -282,6 +287,35 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 1, row_key, image_path, img_w, img_h FROM ({CELL_CHILD}))
       SELECT child, pick, pos, image_path, img_w, img_h FROM mixed JOIN rows USING (child, row_key)""",
     "mix_index": f"WITH {FRAMED}, " + mixed(f"SELECT {ROW_KEY} AS row_key FROM kept", "SELECT CAST(doc_id AS VARCHAR) AS row_key FROM documents WHERE lang = 'en'") + " SELECT pos, child, row_key, pick FROM mixed",
+    "rescaled_pages": f"WITH {PAGES} SELECT count(*) FILTER (rescaled) AS rescaled, count(*) AS pages FROM scales",
+    "pages_by_predicate": "SELECT doc_id FROM documents WHERE lang IN ('de', 'fr') AND doc_id % 14 = 0",
+    "ui_corpus_files": f"WITH {FRAME} SELECT 'd/' || image_path || '.png' AS image_path, query, x0, y0, x1, y1, img_w, img_h FROM frame",
+    "cell_corpus_files": f"WITH {CELLS} SELECT * FROM cells",
+    "cached_frame": f"WITH {FRAME} SELECT * FROM frame",
+    "build_alone": f"""WITH {FRAMED}, placed AS (SELECT *, row_number() OVER (ORDER BY md5({ROW_KEY} || '|17'), {KEYS}) - 1 AS pos, count(*) OVER () AS n FROM framed)
+      SELECT {KEYS}, {PROMPT} AS content, {boxed('_f')} FROM placed WHERE pos >= greatest(1, floor(n * 0.01::DOUBLE)::BIGINT)""",
+    "cell_sft_rows": f"""WITH {CELLS}, kept_cells AS ({kept('cells', 50)}), sized AS (SELECT *, {params('img_w', 'img_h')} FROM kept_cells), padded AS (SELECT *, {PADS} FROM sized),
+      framed AS (SELECT *, {", ".join(f"{to_frame(c)} AS {c}_f" for c in CORNERS)} FROM padded), {ROUNDED} SELECT image_path, {PROMPT} AS prompt, {ANSWER} AS answer FROM rounded""",
+    "collated_pixels": f"""WITH {CHATS}, longest AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch_id) AS length, list_transform(input_ids[1:3], lambda x: x || ',' || (x * 2)) AS pixels FROM masked),
+      padded AS (SELECT *, array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(range(0, length - len(input_ids)), lambda x: 0)), ',') AS a,
+        array_to_string(list_concat(CASE WHEN conv_id % 2 = 0 THEN list_transform(input_ids, lambda x: x % 2) ELSE []::BIGINT[] END,
+          list_transform(range(0, length - CASE WHEN conv_id % 2 = 0 THEN len(input_ids) ELSE 0 END), lambda x: 0)), ',') AS m FROM longest)
+      SELECT batch_id, string_agg(a, ';' ORDER BY conv_id) AS attention_mask, string_agg(m, ';' ORDER BY conv_id) AS mm_token_type_ids,
+        string_agg(array_to_string(pixels, ';'), ';' ORDER BY conv_id) AS pixel_values, string_agg('1,' || len(pixels), ';' ORDER BY conv_id) AS image_grid_thw FROM padded GROUP BY batch_id""",
+    "image_letterbox_pixels": f"""WITH {PLAIN_IMAGES}, {SMALL_FRAMES}, grid AS (SELECT x, y FROM range(64) t(x), range(48) s(y))
+      SELECT id, x::INTEGER AS x, y::INTEGER AS y, CASE WHEN shown THEN r ELSE 0 END AS r, CASE WHEN shown THEN g ELSE 0 END AS g, CASE WHEN shown THEN b ELSE 0 END AS b
+      FROM (SELECT *, x >= pad_x AND x < pad_x + content_w AND y >= pad_y AND y < pad_y + content_h AS shown FROM fitted, grid)
+      UNION ALL SELECT 9::BIGINT, x::INTEGER, y::INTEGER, (x * 3 % 256)::INTEGER, (y * 5 % 256)::INTEGER, ((x + y) % 256)::INTEGER FROM grid""",
+    "image_crop_pixels": f"""WITH plain AS (SELECT id, r, g, b, least(64, ceil(x1 + (x1 - x0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(x0 - (x1 - x0) * 0.15::DOUBLE))::INTEGER AS w,
+        least(48, ceil(y1 + (y1 - y0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(y0 - (y1 - y0) * 0.15::DOUBLE))::INTEGER AS h
+        FROM (VALUES (1::BIGINT, 200, 10, 30, 10::DOUBLE, 8::DOUBLE, 30::DOUBLE, 20::DOUBLE), (2::BIGINT, 5, 250, 70, 45::DOUBLE, 10::DOUBLE, 60::DOUBLE, 44::DOUBLE)) AS t(id, r, g, b, x0, y0, x1, y1)),
+      {SMALL_FRAMES}, grid AS (SELECT x, y FROM range(64) t(x), range(48) s(y))
+      SELECT id, x::INTEGER AS x, y::INTEGER AS y, CASE WHEN shown THEN r ELSE 0 END AS r, CASE WHEN shown THEN g ELSE 0 END AS g, CASE WHEN shown THEN b ELSE 0 END AS b
+      FROM (SELECT *, x >= pad_x AND x < pad_x + content_w AND y >= pad_y AND y < pad_y + content_h AS shown FROM fitted, grid)""",
+    "rows_with_pixels": f"""WITH {UI}, {PLAIN_IMAGES}, {SMALL_FRAMES}, scaled AS (SELECT {KEYS}, fitted.*, """
+    + JOIN(f"{clamp('n' + c, '0.0::DOUBLE', '1.0::DOUBLE')} * {'w' if c[0] == 'x' else 'h'}::DOUBLE AS {c}" for c in CORNERS)
+    + " FROM ui JOIN fitted ON id = l_orderkey % 3) SELECT " + KEYS + ", " + JOIN(f"{to_frame(c)} AS {c}_f" for c in CORNERS)
+    + ", (64 * 48 * 3)::INTEGER AS n_bytes, printf('%02X%02X%02X', r, g, b) AS middle FROM scaled",
     # The images of these queries are made up, so their sizes are constants.
     "image_headers": "SELECT * FROM (VALUES (0::BIGINT, 16, 9), (1::BIGINT, 9, 16), (2::BIGINT, 40, 40)) AS t(id, img_w, img_h)",
     "zip_scan": "SELECT * FROM (VALUES ('a', 'd/3x2.png', 3, 2), ('a', 'd/40x7.png', 40, 7)) AS t(archive, name, img_w, img_h)",

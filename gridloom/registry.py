@@ -12,14 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import fixtures as fx
+from gridloom.config import Config, override
 from gridloom.functions import geometry as geo
 from gridloom.functions import scoring
 from gridloom.functions.geometry import CORNERS
 from gridloom.functions.plan import fenced
 from gridloom.functions.text import completion_text, parse_box, render_answer, render_prompt
 from gridloom.operators import agent, cells, elements, encode, order
+from gridloom.operators.pixels import framed_images
 from gridloom.oracle import SQL
 from gridloom.plans import datasets
+from gridloom.sources import annotations, archives
+from gridloom.sources.interim import file_system, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -375,6 +379,85 @@ def build_datasets(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query
+def rescaled_pages(spark: SparkSession, d: str) -> DataFrame:
+    return cells.rescaled_pages(_category(spark, d))
+
+
+@query
+def pages_by_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """A Python predicate over two declared columns."""
+    found = cells.pages_where(fx.pages(spark, d), lambda lang, width: lang in ("de", "fr") and width != width, ["metadata.doc_category", "metadata.original_width"])
+    return found.select("doc_id")
+
+
+@query
+def ui_corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The element frame from annotation files of two sources, one nested and one flat, and an image index."""
+    e = fx.ui_records(spark, d).withColumn("source", F.when(F.pmod(F.col("img_filename").cast("bigint"), F.lit(2)) == 0, "nested").otherwise("flat"))
+    e = e.withColumn("img_filename", F.concat("img_filename", F.lit(".png")))
+    element = F.struct("instruction", "bbox")
+    nested = e.where("source = 'nested'").groupBy("img_filename").agg(F.collect_list(element).alias("elements"))
+    root, paths = new_folder(spark, "annotations"), {}
+    for source, entries in (("nested", nested), ("flat", e.where("source = 'flat'").select("img_filename", "instruction", "bbox"))):
+        listed = entries.agg(F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",").alias("all"))
+        paths[source] = f"{root}/{source}"
+        listed.select(F.concat(F.lit("["), "all", F.lit("]")).alias("value")).write.text(paths[source])
+    files = e.select("source", F.concat(F.lit("d/"), "img_filename").alias("rel_path"), "img_w", "img_h").distinct()
+    index = elements.image_index(elements.with_basename(files.select("source", "rel_path")))
+    return datasets.ui_frame(annotations.read_annotations(spark, paths), index, files)
+
+
+@query
+def cell_corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The element frame of a category from pages kept on disk by category."""
+    path = new_folder(spark, "pages")
+    annotations.keep_pages(fx.pages(spark, d), path)
+    pages = annotations.read_pages(spark, path).where("doc_category = 'en'")
+    return datasets.cell_frame(pages, "doc_id", override(Config(), {"cells": {"doc_category": "en"}}))
+
+
+@query
+def cached_frame(spark: SparkSession, d: str) -> DataFrame:
+    """A frame kept under its configuration: the second request finds it and builds nothing."""
+
+    def never() -> DataFrame:
+        raise AssertionError("built twice")
+
+    root = new_folder(spark, "frames")
+    annotations.cached(spark, root, {"corpus": "ui"}, lambda: fx.ui_frame(spark, d))
+    return annotations.cached(spark, root, {"corpus": "ui"}, never)
+
+
+@query
+def build_alone(spark: SparkSession, d: str) -> DataFrame:
+    """GRPO rows of a mixture whose second corpus has no weight."""
+    rows, _ = datasets.build(fx.ui_frame(spark, d), fx.UI_KEYS, None, [], override(Config(), {"mix_ratio": [1, 0]}), "grpo")
+    return rows.select(*fx.UI_KEYS, F.get("prompt", F.lit(0))["content"].alias("content"), *[F.get("target_bbox", F.lit(i)).alias(c) for i, c in enumerate(CORNERS)])
+
+
+@query
+def cell_sft_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the rows of corpus B."""
+    rows = encode.sft_rows(encode.with_frame_boxes(elements.filter_frame(_cells(spark, d), max_query_chars=50)))
+    return rows.select("image_path", "prompt", "answer")
+
+
+@query
+def collated_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of streams that came as batches of one, with optional type ids and pixel rows of several lengths."""
+    ones = F.transform("input_ids", lambda x: F.lit(1).cast("bigint"))
+    df = fx.chats(spark, d).withColumns({"labels": encode.mask_prompt(F.col("input_ids"), F.col("prompt_length")), "attention_mask": ones})
+    types = F.when(F.pmod("conv_id", F.lit(2)) == 0, F.transform("input_ids", lambda x: F.pmod(x, F.lit(2))))
+    pixels = F.transform(F.slice("input_ids", 1, 3), lambda x: F.array(x, x * 2))
+    df = df.withColumns({"mm_token_type_ids": types, "pixel_values": pixels, "image_grid_thw": F.array(F.array(F.lit(1), F.size(pixels))), "bbox": F.lit(0)})
+    streams = ("input_ids", "attention_mask", "labels")
+    items = encode.squeezed(df.withColumns({c: F.array(c) for c in streams}), *streams)
+    batches = encode.collate(encode.pad_batches(items), order="conv_id")
+    lists = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")), ";").alias(c)
+    return batches.select("batch_id", *[lists(c) for c in ("attention_mask", "mm_token_type_ids", "pixel_values", "image_grid_thw")])
+
+
 def png(width: int, height: int, colour) -> bytes:
     """A tiny RGB PNG whose pixel (x, y) has ``colour(x, y)``."""
     raw = b"".join(b"\0" + bytes(v for x in range(width) for v in colour(x, y)) for y in range(height))
@@ -383,46 +466,72 @@ def png(width: int, height: int, colour) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+#: Sizes of the made-up images; image i has the colour (40 + 50 i, 90, 200 - 60 i).
+SIZES = ((16, 9), (9, 16), (40, 40))
+SMALL = (64, 48)
+
+
 def _images(spark: SparkSession) -> DataFrame:
-    made = [(i, png(w, h, lambda x, y: (x * 9 % 256, y * 7 % 256, (x + y) % 256))) for i, (w, h) in enumerate([(16, 9), (9, 16), (40, 40)])]
+    made = [(i, png(w, h, lambda x, y, i=i: (40 + 50 * i, 90, 200 - 60 * i))) for i, (w, h) in enumerate(SIZES)]
     return spark.createDataFrame(made, "id bigint, content binary")
 
 
+def _pixels(df: DataFrame) -> DataFrame:
+    """A row per pixel: id, x, y, r, g, b."""
+    at = df.select("id", "pixels", "width", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+    value = lambda k: F.conv(F.hex(F.substring("pixels", F.col("i") * 3 + 1 + k, F.lit(1))), 16, 10).cast("int")
+    return at.select("id", F.pmod("i", "width").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *[value(k).alias(c) for k, c in enumerate("rgb")])
+
+
 @query
 def image_headers(spark: SparkSession, d: str) -> DataFrame:
-    from gridloom.sources.annotations import png_size
-
-    w, h = png_size(F.col("content"))
+    w, h = annotations.png_size(F.col("content"))
     return _images(spark).select("id", w.alias("img_w"), h.alias("img_h"))
 
 
 @query
 def image_letterbox_pixels(spark: SparkSession, d: str) -> DataFrame:
-    from gridloom.operators.pixels import framed_images
-
-    return framed_images(_images(spark), (64, 48)).select("id", "width", "height", F.octet_length("pixels").alias("n_bytes"), F.md5("pixels").alias("digest"))
+    """Plain images scaled and padded, and one of the frame's own size that passes as it is."""
+    same = spark.createDataFrame([(9, png(*SMALL, lambda x, y: (x * 3 % 256, y * 5 % 256, (x + y) % 256)))], "id bigint, content binary")
+    return _pixels(framed_images(_images(spark).unionByName(same), SMALL))
 
 
 @query
 def image_crop_pixels(spark: SparkSession, d: str) -> DataFrame:
-    from gridloom.operators.pixels import framed_images
+    """A frame of two colours, and what the crop around a coarse box shows of it."""
+    image = png(*SMALL, lambda x, y: (200, 10, 30) if x < 40 else (5, 250, 70))
+    boxes = spark.createDataFrame([(1, image, 10.0, 8.0, 30.0, 20.0), (2, image, 45.0, 10.0, 60.0, 44.0)], "id bigint, content binary, x0 float, y0 float, x1 float, y1 float")
+    crop = geo.crop_box([F.col(c) for c in CORNERS], 0.15, SMALL)
+    return _pixels(framed_images(boxes.select("id", "content", crop.alias("crop")).select("id", "content", "crop.*"), SMALL, crop=True))
+
 
-    frame = spark.createDataFrame([(1, png(64, 48, lambda x, y: (x, y, 0)), 10, 5, 30, 20)], "id bigint, content binary, x0 int, y0 int, x1 int, y1 int")
-    return framed_images(frame, (64, 48), crop=True).select("id", F.octet_length("pixels").alias("n_bytes"), F.md5("pixels").alias("digest"))
+@query
+def rows_with_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows with their images: boxes in frame pixels and the colour in the frame's middle."""
+    k = F.pmod("l_orderkey", F.lit(len(SIZES))).cast("int")
+    sizes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in SIZES])
+    records = fx.ui_records(spark, d).withColumns({"img_filename": k.cast("string"), "img_w": F.get(sizes, k)["w"], "img_h": F.get(sizes, k)["h"]})
+    rows = encode.with_frame_boxes(elements.records_to_frame(records, keep=fx.UI_KEYS), SMALL)
+    images = _images(spark).select(F.col("id").cast("string").alias("image_path"), "content")
+    middle = (SMALL[1] // 2 * SMALL[0] + SMALL[0] // 2) * 3 + 1
+    rows = encode.with_pixels(rows, images, SMALL)
+    return rows.select(*fx.UI_KEYS, *[f"{c}_f" for c in CORNERS], F.octet_length("pixels").alias("n_bytes"), F.hex(F.substring("pixels", middle, 3)).alias("middle"))
 
 
 @query
 def zip_scan(spark: SparkSession, d: str) -> DataFrame:
-    """An archive in two parts, joined in order, and the sizes its images announce."""
-    from gridloom.sources.archives import unzip, with_image_size
-
+    """An archive in two parts on disk, joined in order, and the sizes its images announce."""
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as archive:
         for w, h in ((3, 2), (40, 7)):
             archive.writestr(f"d/{w}x{h}.png", png(w, h, lambda x, y: (x, y, 9)))
-    raw = packed.getvalue()
-    parts = spark.createDataFrame([("a", 1, raw[50:]), ("a", 0, raw[:50])], "archive string, part int, content binary")
-    return with_image_size(unzip(parts))
+    raw, folder = packed.getvalue(), new_folder(spark, "archive")
+    files, place = file_system(folder)
+    files.create_dir(place, recursive=True)
+    for name, part in (("z.part1", raw[:50]), ("a.part2", raw[50:])):
+        with files.open_output_stream(f"{place}/{name}") as out:
+            out.write(part)
+    return archives.with_image_size(archives.read_zip(spark, {"a": [f"{folder}/z.part1", f"{folder}/a.part2"]}))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

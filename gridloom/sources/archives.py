@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,36 +15,87 @@ from pyspark.sql import types as T
 
 from gridloom.functions.text import basename
 from gridloom.sources.annotations import IMAGE_SUFFIX, cached
+from gridloom.sources.interim import file_system
 
 
-def unzip(parts: DataFrame, pattern: str | None = None) -> DataFrame:
-    """archive, name, content of the files in ZIP archives given as (archive, part, content).
+class JoinedFile(io.RawIOBase):
+    """Files one after the other as one seekable file; only what is read is fetched."""
 
-    The parts of an archive are joined in the order of ``part``; every archive is a task of its
-    own.  ``pattern`` keeps the names it matches.
+    def __init__(self, paths: Sequence[str]):
+        self.parts, self.starts, self.at, size = [], [], 0, 0
+        for path in paths:
+            files, place = file_system(path)
+            part = files.open_input_file(place)
+            self.parts.append(part)
+            self.starts.append(size)
+            size += part.size()
+        self.size = size
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + (0, self.at, self.size)[whence]
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        if self.at >= self.size or not len(buffer):
+            return 0
+        i = bisect_right(self.starts, self.at) - 1
+        found = self.parts[i].read_at(min(len(buffer), self.parts[i].size() - (self.at - self.starts[i])), self.at - self.starts[i])
+        buffer[: len(found)] = found
+        self.at += len(found)
+        return len(found)
+
+
+def _archive(paths: Sequence[str]) -> zipfile.ZipFile:
+    return zipfile.ZipFile(io.BufferedReader(JoinedFile(paths), 1 << 20))
+
+
+def read_zip(spark: SparkSession, archives: dict[str, Sequence[str]], pattern: str | None = None, member_bytes: int = 64 << 20) -> DataFrame:
+    """archive, name, content of files in archives; each is given by its name and its parts, in the order they are joined.
+
+    Archives may be of any size: a task lists an archive from its directory alone, and groups of
+    members of about ``member_bytes`` are then read by range, each in a task of its own.
     """
+    named = spark.createDataFrame([(n, list(p)) for n, p in archives.items()], "archive string, paths array<string>")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out, size, group = [], 0, 0
+                for info in _archive(row["paths"]).infolist():
+                    if not info.is_dir():
+                        out.append({**row, "name": info.filename, "part": group})
+                        size += info.file_size
+                        if size >= member_bytes:
+                            size, group = 0, group + 1
+                for at in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=_MEMBERS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, zipfile.ZipFile] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["archive"] not in opened:
+                    opened = {row["archive"]: _archive(row["paths"])}
+                content = opened[row["archive"]].read(row["name"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["archive"]]), pa.array([row["name"]]), pa.array([content], pa.binary())], names=["archive", "name", "content"])
+
+    members = named.repartition(max(1, len(archives)), "archive").mapInArrow(listed, "archive string, paths array<string>, name string, part int")
+    if pattern:
+        members = members.where(F.col("name").rlike(pattern))
+    dealt = members.repartition("archive", "part").sortWithinPartitions("archive", "part")
+    return dealt.mapInArrow(read, "archive string, name string, content binary")
+
 
-    def members(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("part")
-        whole = io.BytesIO(b"".join(rows.column("content").to_pylist()))
-        with zipfile.ZipFile(whole) as archive:
-            names = [n for n in archive.namelist() if not n.endswith("/")]
-            content = [archive.read(n) for n in names]
-        label = rows.column("archive")[0].as_py()
-        return pa.table({"archive": pa.array([label] * len(names), pa.string()), "name": pa.array(names, pa.string()), "content": pa.array(content, pa.binary())})
-
-    out = parts.groupBy("archive").applyInArrow(members, "archive string, name string, content binary")
-    return out.where(F.col("name").rlike(pattern)) if pattern else out
-
-
-def read_zip(spark: SparkSession, archives: dict[str, Sequence[str]], pattern: str | None = None) -> DataFrame:
-    """Files of archives; each is given by its name and its parts, in the order they are joined."""
-    parts = None
-    for name, paths in archives.items():
-        for i, path in enumerate(paths):
-            one = spark.read.format("binaryFile").load(path).select(F.lit(name).alias("archive"), F.lit(i).alias("part"), "content")
-            parts = one if parts is None else parts.unionByName(one)
-    return unzip(parts, pattern)
+_MEMBERS = pa.schema([("archive", pa.string()), ("paths", pa.list_(pa.string())), ("name", pa.string()), ("part", pa.int32())])
 
 
 def archive_images(spark: SparkSession, root: str, source: str, paths: Sequence[str]) -> DataFrame:

@@ -21,6 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, computed once: it is read back from Parquet, so a lost executor costs a scan and no lineage."""
-    path = f"{shared_folder(df.sparkSession)}/interim/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/interim/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str):
+    """Arrow file system and path of what Hadoop names ``uri``; a bare path is local."""
+    from pyarrow import fs
+
+    for old, new in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(old):
+            uri = new + uri[len(old) :]
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)

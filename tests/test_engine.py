@@ -218,3 +218,24 @@ def test_streams(spark, tmp_path):
     batch = scoring.score(rows)
     means = lambda df: [round(x, 9) for x in scoring.channel_means(df).first()]
     assert got.count() == rows.count() and means(got) == means(batch)
+
+
+def test_archive_in_groups_and_bad_images(spark, tmp_path):
+    """Members are read by range in several tasks; a file that cannot be decoded has no pixels."""
+    from gridloom.operators.pixels import framed_images
+
+    png, packed = registry.png(6, 4, lambda x, y: (x, y, 1)), io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for i in range(50):
+            archive.writestr(f"d{i % 3}/{i}.png", png if i else b"no image")
+        archive.writestr("d0/empty/", b"")
+    raw, cuts = packed.getvalue(), [0, 11, 400, 401, len(packed.getvalue())]
+    paths = []
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        paths.append(str(tmp_path / f"{9 - i}.part"))
+        (tmp_path / f"{9 - i}.part").write_bytes(raw[a:b])
+    files = archives.read_zip(spark, {"s": paths}, member_bytes=200)
+    assert sorted(r["name"] for r in files.collect()) == sorted(f"d{i % 3}/{i}.png" for i in range(50))
+    assert archives.read_zip(spark, {"s": paths}, pattern="^d1/").count() == 17
+    pixels = {r["id"]: r["pixels"] for r in framed_images(files.select(F.col("name").alias("id"), "content"), (6, 4)).collect()}
+    assert pixels["d0/0.png"] is None and sum(v is not None for v in pixels.values()) == 49
