@@ -1,5 +1,6 @@
 """Queries against their SQL, sources, sinks, agent, plans and streams."""
 
+import io
 import json
 import math
 import os
