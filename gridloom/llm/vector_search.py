@@ -1,12 +1,13 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Components x count as the whole number floor(scale * x).  Vectors are dealt by a hash of their row
-into blocks of bounded size, and of every block an approximation is written: a 4-bit cell per
+into blocks of bounded size, and of every block an approximation is written: an 8-bit cell per
 component, and per dimension and cell the least and greatest value found in it.
 
-1. Scan: every block of queries meets every block of cells, never an exact vector.  With the middle
-   m and half width w of the cells, a score lies in q*m -/+ |q|*w, two matrix products.  Of each
-   unit only vectors whose upper bound reaches the unit's k-th best lower bound are passed on.
+1. Scan: every block of queries meets every group of blocks of cells, never an exact vector.  With
+   the middle m and half width w of the cells, a score lies in q*m -/+ |q|*w, two matrix products.
+   The k-th best lower bound rises from block to block, and of each group only vectors whose upper
+   bound reaches it are passed on.
 2. The k-th best lower bound over all blocks is a bar for each query; what lies below it is out.
 3. Read: the exact vectors of the candidates with the greatest upper bounds are read first, and
    after them only those whose upper bound still reaches the k-th exact score found.
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import forget, keep
 
-CELLS = 16
-#: Sums of products below this are exact in doubles.
-EXACT = 1 << 52
+CELLS = 256
+#: Sums of products below these are exact in floats and in doubles.
+SMALL, EXACT = 1 << 23, 1 << 52
 #: Queries whose bounds are held at once.
 SLICE = 128
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -75,30 +76,25 @@ def approximate(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cells, least, most
 
 
-def packed(cells: np.ndarray) -> bytes:
-    """Two cells a byte."""
-    flat = cells.reshape(-1)
-    flat = np.append(flat, np.zeros(len(flat) % 2, np.uint8))
-    return (flat[::2] | flat[1::2] << 4).tobytes()
-
-
-def unpacked(raw: bytes, n: int, width: int) -> np.ndarray:
-    pairs = np.frombuffer(raw, dtype=np.uint8)
-    return np.stack((pairs & 15, pairs >> 4), axis=1).reshape(-1)[: n * width].reshape(n, width)
-
-
 def bounds(queries: np.ndarray, cells: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all scores, as doubles that are exact or rounded outwards."""
+    """Lower and upper bounds of all scores, exact or rounded outwards."""
     column = np.arange(cells.shape[1])
     low, high = least[column, cells], most[column, cells]
     with np.errstate(over="ignore", invalid="ignore"):
-        middle, spread = queries @ (0.5 * (low + high)).T, np.abs(queries) @ (0.5 * (high - low)).T
-        lower, upper = middle - spread, middle + spread
-        size = np.abs(queries).max(initial=0) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * cells.shape[1]
+        size = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * cells.shape[1]
+        if size < SMALL / 2:
+            queries, low, high = (v.astype(np.float32) for v in (queries, low, high))
+        middle = queries @ (low + high).T
+        if size < EXACT / 4 and np.array_equal(low, high):
+            lower = upper = 0.5 * middle
+        else:
+            spread = np.abs(queries) @ (high - low).T
+            lower, upper = 0.5 * (middle - spread), 0.5 * (middle + spread)
         if not size < EXACT / 4:
             slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T * (4 * cells.shape[1] * np.finfo(float).eps)
             lower, upper = lower - slack, upper + slack
-    return np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+            lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+    return lower, upper
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray, starts: np.ndarray, scale: int) -> list[int]:
@@ -131,7 +127,7 @@ def _blocks(df: DataFrame, n_blocks: int, salt: int, scale: int, approximated: b
         out["rows"] = [np.asarray(table.column("row"), dtype=np.int64).tobytes()]
         if approximated:
             cells, least, most = approximate(codes)
-            out |= {"cells": [packed(cells)], "least": [least.tobytes()], "most": [most.tobytes()]}
+            out |= {"cells": [cells.tobytes()], "least": [least.tobytes()], "most": [most.tobytes()]}
         else:
             out["x"] = [codes.tobytes()]
         return pa.table(out, schema=schema)
@@ -140,29 +136,50 @@ def _blocks(df: DataFrame, n_blocks: int, salt: int, scale: int, approximated: b
     return dealt.select("width", "wide", "block", "row", "x").groupBy("width", "wide", "block").applyInArrow(build, f"width int, wide boolean, block int, {columns}")
 
 
-def _scan(units: DataFrame, k: int) -> DataFrame:
-    """query, row, lower, upper of what may be among a unit's k best for a query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for u in batch.to_pylist():
-                width = u["width"]
-                rows, query_rows = np.frombuffer(u["rows"], dtype=np.int64), np.frombuffer(u["query_rows"], dtype=np.int64)
-                cells = unpacked(u["cells"], len(rows), width)
-                least, most = (np.frombuffer(u[c]).reshape(width, CELLS) for c in ("least", "most"))
-                queries = np.frombuffer(u["queries"]).reshape(-1, width)
-                for at in range(0, len(queries), SLICE):
-                    mine = query_rows[at : at + SLICE]
-                    lower, upper = bounds(queries[at : at + SLICE], cells, least, most)
-                    own = mine[:, None] == rows[None, :]
-                    lower[own] = -np.inf
-                    bar = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(mine), -np.inf)
-                    q, r = np.nonzero((upper >= bar[:, None]) & ~own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mine[q]), pa.array(rows[r]), pa.array(lower[q, r]), pa.array(upper[q, r])], names=["query", "row", "lower", "upper"]
-                    )
-
-    return units.mapInArrow(run, "query bigint, row bigint, lower double, upper double")
+def scan_group(blocks: list[tuple], query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
+    """(query, row, lower, upper) arrays of what may be among the k best of all blocks (rows, cells, least, most)."""
+    for at in range(0, len(queries), SLICE):
+        mine, part = query_rows[at : at + SLICE], queries[at : at + SLICE]
+        best = np.full((len(mine), k), -np.inf)  # the k best lower bounds so far
+        found = []
+        for rows, cells, least, most in blocks:
+            lower, upper = bounds(part, cells, least, most)
+            own = mine[:, None] == rows[None, :]
+            if own.any():
+                lower, upper = np.where(own, -np.inf, lower), np.where(own, -np.inf, upper)
+            if len(rows) > k and not found:
+                best = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k :].astype(float)
+            else:
+                better = lower > best.min(axis=1, keepdims=True)
+                for i in np.flatnonzero(better.any(axis=1)).tolist():
+                    best[i] = np.sort(np.append(best[i], lower[i, better[i]]))[-k:]
+            q, r = np.nonzero((upper >= best.min(axis=1, keepdims=True)) & ~own)
+            found.append((q, rows[r], lower[q, r].astype(float), upper[q, r].astype(float)))
+        q, row, lower, upper = (np.concatenate(c) for c in zip(*found, strict=True))
+        able = upper >= best.min(axis=1)[q]
+        yield mine[q[able]], row[able], lower[able], upper[able]
+
+
+def _scan(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, row, lower, upper of what may be among the k best of a group of blocks."""
+    names, keys = ["query", "row", "lower", "upper"], ["width", "query_block", "part"]
+    schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            width = left.column("width")[0].as_py()
+            blocks = []
+            for row in left.to_pylist():
+                cells = np.frombuffer(row["cells"], dtype=np.uint8).reshape(-1, width)
+                blocks.append((np.frombuffer(row["rows"], dtype=np.int64), cells, *(np.frombuffer(row[c]).reshape(width, CELLS) for c in ("least", "most"))))
+            for row in right.to_pylist():
+                asked = np.frombuffer(row["x"]).reshape(-1, width)
+                out += scan_group(blocks, np.frombuffer(row["rows"], dtype=np.int64), asked, k)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names) if out else schema.empty_table()
+
+    both = files.groupBy(*keys).cogroup(queries.groupBy(*keys))
+    return both.applyInArrow(run, "query bigint, row bigint, lower double, upper double")
 
 
 def _read(pairs: DataFrame, whole: DataFrame, asked: DataFrame, scale: int) -> DataFrame:
@@ -188,7 +205,8 @@ def top_k(
     k: int = 5,
     scale: int = 256,
     block_rows: int = 16384,
-    query_rows: int = 2048,
+    part_blocks: int = 8,
+    query_rows: int = 1024,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -202,15 +220,13 @@ def top_k(
     candidates = whole.withColumn("_nth", copies).where(F.col("_nth") <= k + 1).drop("_nth")
     n_blocks, n_query_blocks = max(1, -(-whole.count() // block_rows)), max(1, -(-asked.count() // query_rows))
     files = keep(_blocks(candidates, n_blocks, 1, scale, True), "approximations", 6)
-    queries = _blocks(asked, n_query_blocks, 2, scale, False).select(
-        "width", F.col("wide").alias("query_wide"), F.col("block").alias("query_block"), F.col("rows").alias("query_rows"), F.col("x").alias("queries")
-    )
-    # Queries are the smaller side: each of their blocks goes to every block of cells.
+    n_parts = -(-n_blocks // part_blocks)
+    files = files.withColumn("part", F.pmod("block", F.lit(n_parts)))
+    queries = _blocks(asked, n_query_blocks, 2, scale, False).withColumnRenamed("block", "query_block")
+    # Cells are the only part of the table that is copied: once for every block of queries.
     numbered = files.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    everywhere = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    units = numbered.join(everywhere, ["width", "block", "query_block"])
-
-    scanned = keep(_scan(units, k), "candidates", 6)
+    everywhere = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    scanned = keep(_scan(numbered, everywhere, k), "candidates", 6)
     by_query = Window.partitionBy("query")
     nth_lower = F.row_number().over(by_query.orderBy(F.desc("lower"), "row"))
     bars = scanned.withColumn("_n", nth_lower).where(F.col("_n") <= k).groupBy("query").agg(F.min("lower").alias("bar"), F.count("*").alias("_n"))
