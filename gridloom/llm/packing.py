@@ -227,8 +227,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_column:
         ranks: Counter = Counter()
         blocks = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
                 cols: list[list] = [[], [], [], [], [], []]
                 for ids in encoder.encode(rows.column(1).to_pylist()):
                     raw = ids + end

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed value: the split pattern of a tokenizer that drops white space and never looks across it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Punctuation that both splitting rules keep apart from the letters and numbers before it.
+CLOSING = ".,;:!?&%#*$|)]}"
+#: A line break between two words: its key as a piece, and white space that would join it.
+LINE, DOUBLE_SPACE = "\0\n", re.compile(r"\s\s")
+COMBINING = re.compile("[\u0300-\u036f]")
+
 
 def tokenizer_path(name: str) -> str:
     """``name`` is a path, or the name of a file of the installed vocabulary package."""
@@ -53,19 +62,16 @@ def _split_mode(spec: dict) -> str:
     return "whole"
 
 
-class _Numbers(dict):
-    """Piece -> number, given on first sight; 0 for a piece that must not stand alone."""
+class _Joined:
+    """Pieces made of others: their numbers, and the numbers of their parts one after the other."""
 
-    def __init__(self, safe):
-        super().__init__()
-        self.safe, self.fresh = safe, []
+    def __init__(self):
+        self.numbers, self.parts, self.counts = [], [], []
 
-    def __missing__(self, piece: str) -> int:
-        if not self.safe(piece):
-            return 0
-        number = self[piece] = len(self) + 1
-        self.fresh.append(piece)
-        return number
+    def add(self, number: int, parts) -> None:
+        self.numbers.append(number)
+        self.parts.extend(parts)
+        self.counts.append(len(parts))
 
 
 class PieceEncoder:
@@ -92,7 +98,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Numbers(self._safe)
+        self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.again = np.zeros(1, dtype=bool)
@@ -108,19 +114,20 @@ class PieceEncoder:
             self.known[keys[i - 1]] = len(self.known) + 1
         self._append(_ranges(flat, starts, lengths), lengths)
 
-    def _append(self, ids: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> None:
-        """Add ids of new pieces; ``order`` has the place of each among the new numbers."""
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add ids of new pieces."""
+        starts = self._store(ids, lengths)
+        self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
+        self.again = np.concatenate((self.again, np.zeros(len(lengths), dtype=bool)))
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece lie from now on."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), dtype="<u4")))
         self.flat[self.used : self.used + len(ids)] = ids
         starts = self.used + np.cumsum(lengths) - lengths
-        if order is not None:
-            back = np.argsort(order)
-            starts, lengths = starts[back], lengths[back]
-        self.starts = np.concatenate((self.starts, starts))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.again = np.concatenate((self.again, np.zeros(len(lengths), dtype=bool)))
         self.used += len(ids)
+        return starts
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,7 +145,7 @@ class PieceEncoder:
                 joined, sizes = "".join(part), [len(p) if p.isascii() else len(p.encode()) for p in part]
             else:
                 joined = " ".join(part)
-                sizes = [len(p) if p.isascii() and p.isprintable() else self._stripped(p) for p in part]
+                sizes = self._plain_sizes(part)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             reached = np.concatenate(([0], np.cumsum(self.sizes[ids])))
             wanted = np.concatenate(([0], np.cumsum(sizes)))
@@ -149,38 +156,117 @@ class PieceEncoder:
                 found.append(self._one_by_one(part))
         return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
-    def _learn(self, fresh: list[str]) -> None:
-        if self.mode != "prefix":
-            return self._append(*self._together(fresh))
-        first = [i for i, p in enumerate(fresh) if p[0] == "\0"]
-        later = [i for i, p in enumerate(fresh) if p[0] != "\0"]
-        ids, lengths = self._together([" " + fresh[i] for i in later])
-        more_ids, more_lengths = self._one_by_one([fresh[i][1:] for i in first])
-        self._append(np.concatenate((ids, more_ids)), np.concatenate((lengths, more_lengths)), np.array(later + first, dtype=np.int64))
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Number of each piece, given on first sight; 0 for one that must not stand alone.
+
+        Words with punctuation behind them are put together from the two, and words around a line
+        break from those before and after it.
+        """
+        known, special, longest, marked = self.known, self.special, self.longest, self.mode == "prefix"
+        get, mark, n = known.get, "\0" if marked else "", len(known)
+        out = np.fromiter(map(get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        missing = np.flatnonzero(out < 0).tolist()
+        fresh, fresh_numbers, given = [], [], []
+        closed, broken = _Joined(), _Joined()
+
+        def simple(piece: str) -> int:
+            nonlocal n
+            number = get(piece)
+            if number is None:
+                number = known[piece] = n = n + 1
+                fresh.append(piece)
+                fresh_numbers.append(n)
+            return number
+
+        def word(piece: str) -> int:
+            nonlocal n
+            number = get(piece)
+            if number is None:
+                stem = piece.rstrip(CLOSING)
+                if len(stem) < len(piece) and stem[-1:].isalnum():
+                    ends = simple(stem), simple(mark + piece[len(stem) :])
+                    number = known[piece] = n = n + 1
+                    closed.add(n, ends)
+                else:
+                    number = simple(piece)
+            return number
+
+        for j in missing:
+            piece = pieces[j]
+            if len(piece) > longest or "<" in piece and any(s in piece for s in special) or marked and (piece in ("", "\0") or piece[-1].isspace()):
+                number = 0
+            elif marked and "\n" in piece and not DOUBLE_SPACE.search(piece) and len(piece.removeprefix("\0").split("\n", 1)[0]):
+                before, *rest = piece.split("\n")
+                parts = [word(before)]
+                for part in rest:
+                    parts += simple(LINE), word("\0" + part)
+                number = get(piece)
+                if number is None:
+                    number = known[piece] = n = n + 1
+                    broken.add(n, parts)
+            else:
+                number = word(piece)
+            given.append(number)
+        out[missing] = given
+        if n >= len(self.starts):
+            more = n + 1 - len(self.starts)
+            self.starts, self.lengths = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.starts, self.lengths))
+            self.again = np.concatenate((self.again, np.zeros(more, dtype=bool)))
+            self._learn(fresh, np.array(fresh_numbers, dtype=np.int64))
+            for joined in (closed, broken):  # the second is made of the first
+                parts, counts = np.array(joined.parts, dtype=np.int64), np.array(joined.counts, dtype=np.int64)
+                ids = _ranges(self.flat, self.starts[parts], self.lengths[parts])
+                sizes = np.add.reduceat(self.lengths[parts], np.cumsum(counts) - counts) if len(counts) else counts
+                self.starts[joined.numbers], self.lengths[joined.numbers] = self._store(ids, sizes), sizes
+        return out
 
-    def _stripped(self, piece: str) -> int:
-        return len("".join(self.tokenizer.normalizer.normalize_str(piece).split()).encode())
+    def _learn(self, fresh: list[str], numbers: np.ndarray) -> None:
+        """Ids of new pieces."""
+        if self.mode == "prefix":
+            first = np.array([p[0] == "\0" for p in fresh], dtype=bool)
+            inner = self._together([" " + p for p in fresh if p[0] != "\0"])
+            parts = [(numbers[~first], inner), (numbers[first], self._one_by_one([p[1:] for p in fresh if p[0] == "\0"]))]
+        else:
+            parts = [(numbers, self._together(fresh))]
+        for at, (ids, sizes) in parts:
+            self.starts[at], self.lengths[at] = self._store(ids, sizes), sizes
+
+    def _plain_sizes(self, pieces: list[str]) -> list[int]:
+        """Bytes of the pieces as the normalizer leaves them, white space dropped."""
+        sizes = [len(p) for p in pieces]
+        odd = [i for i, p in enumerate(pieces) if not (p.isascii() and p.isprintable())]
+        normal = self.tokenizer.normalizer.normalize_str("\1".join(pieces[i] for i in odd)).split("\1")
+        if len(normal) != len(odd):
+            normal = [self.tokenizer.normalizer.normalize_str(pieces[i]) for i in odd]
+        for i, text in zip(odd, normal, strict=True):
+            sizes[i] = len("".join(text.split()).encode())
+        return sizes
+
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Place of every piece among the distinct ones, these, and how many pieces each text has."""
+        listed = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        told = listed.flatten().dictionary_encode()
+        return np.asarray(told.indices), told.dictionary.to_pylist(), np.asarray(pc.list_value_length(listed), dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole" or not texts:
             return self._library(texts)
         if len(self.known) > self.limit or self.used > 8 * self.limit:
             self._compact()
-        marked = self.mode == "prefix"
-        # NUL marks a first piece, so texts that hold one themselves are encoded in one go.
-        nul = [i for i, t in enumerate(texts) if marked and "\0" in t]
-        pieces = [[] if marked and "\0" in t else t.split(" ") for t in texts]
-        if marked:  # the first piece has no space before it; NUL keeps its key apart
-            for p in pieces:
-                if p:
-                    p[0] = "\0" + p[0]
-        before, known = len(self.known), self.known
-        flat = list(chain.from_iterable(pieces))
-        number = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        marked, nul = self.mode == "prefix", []
+        if marked:  # NUL marks a first piece, so texts that hold one themselves are encoded in one go
+            nul = [i for i, t in enumerate(texts) if "\0" in t]
+            cut = ["" if "\0" in t else t for t in texts]
+        else:
+            cut = [_small(t) for t in texts]
+        place, distinct, counts = self._pieces(cut)
+        before = len(self.known)
+        number = self._numbers(distinct)[place]
+        ends = np.cumsum(counts)
+        if marked:  # the first piece has no space before it
+            at = ends - counts
+            number[at] = self._numbers(["\0" + distinct[j] for j in place[at].tolist()])
         self.again[number[number <= before]] = True
-        fresh, known.fresh = known.fresh, []
-        self._learn(fresh)
-        ends = np.cumsum([len(p) for p in pieces])
         lengths = self.lengths[number]
         ids = _ranges(self.flat, self.starts[number], lengths).tobytes()
         total = np.concatenate(([0], np.cumsum(lengths)))
@@ -191,13 +277,14 @@ class PieceEncoder:
             out[i] = whole
         return out
 
-    def _safe(self, piece: str) -> bool:
-        if len(piece) > self.longest or "<" in piece and any(s in piece for s in self.special):
-            return False
-        if self.mode != "prefix":
-            return True
-        body = piece.removeprefix("\0")
-        return bool(body) and not body[-1].isspace()
+
+def _small(text: str) -> str:
+    """``text`` with A-Z lower-cased, where a later lower-casing makes that no difference, and line breaks as spaces."""
+    text = text.replace("\n", " ")
+    if text.isascii():
+        return text.lower()
+    # What a mark composes to may depend on the case of its letter.
+    return text if COMBINING.search(text) else text.encode().lower().decode()
 
 
 def _ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
