@@ -9,7 +9,7 @@ SMALL_BYTES, LARGE_BYTES = 1 << 20, 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``folder/name.parquet``; a small table is dealt out to all cores, a larger one read as it is split.
+    """``folder/name.parquet``; a small table of few splits is dealt out to all cores, others read as they are split.
 
     Column pruning and filters pass through the dealing; tables beyond LARGE_BYTES never see it.
     """
@@ -17,4 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism) if SMALL_BYTES <= size <= LARGE_BYTES else df
+    cores = spark.sparkContext.defaultParallelism
+    if not SMALL_BYTES <= size <= LARGE_BYTES or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
