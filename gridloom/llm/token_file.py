@@ -158,8 +158,8 @@ def write_token_files(
         name = f"{folder}/part-{part:07d}.ids"
         own = f"{folder}/.{part:07d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     stream = fs.open_output_stream(own)

@@ -20,7 +20,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CLOSING = ".,;:!?&%#*$|)]}"
 #: A line break between two words: its key as a piece, and white space that would join it.
 LINE, DOUBLE_SPACE = "\0\n", re.compile(r"\s\s")
-COMBINING = re.compile("[\u0300-\u036f]")
+COMBINING = "[\u0300-\u036f]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -169,33 +169,42 @@ class PieceEncoder:
         fresh, fresh_numbers, given = [], [], []
         closed, broken = _Joined(), _Joined()
 
+        number_of, learn, learnt = known.setdefault, fresh.append, fresh_numbers.append
+
         def simple(piece: str) -> int:
             nonlocal n
-            number = get(piece)
-            if number is None:
-                number = known[piece] = n = n + 1
-                fresh.append(piece)
-                fresh_numbers.append(n)
+            number = number_of(piece, n + 1)
+            if number > n:
+                n = number
+                learn(piece)
+                learnt(n)
             return number
 
         def word(piece: str) -> int:
             nonlocal n
+            stem = piece.rstrip(CLOSING)
+            if len(stem) == len(piece) or not stem[-1:].isalnum():
+                return simple(piece)
             number = get(piece)
             if number is None:
-                stem = piece.rstrip(CLOSING)
-                if len(stem) < len(piece) and stem[-1:].isalnum():
-                    ends = simple(stem), simple(mark + piece[len(stem) :])
-                    number = known[piece] = n = n + 1
-                    closed.add(n, ends)
-                else:
-                    number = simple(piece)
+                ends = simple(stem), simple(mark + piece[len(stem) :])
+                number = known[piece] = n = n + 1
+                closed.add(n, ends)
             return number
 
         for j in missing:
             piece = pieces[j]
-            if len(piece) > longest or "<" in piece and any(s in piece for s in special) or marked and (piece in ("", "\0") or piece[-1].isspace()):
-                number = 0
-            elif marked and "\n" in piece and not DOUBLE_SPACE.search(piece) and len(piece.removeprefix("\0").split("\n", 1)[0]):
+            if len(piece) > longest or "<" in piece and any(s in piece for s in special) or marked and (piece == "" or piece == "\0" or piece[-1].isspace()):
+                given.append(0)
+            elif piece[-1:] not in CLOSING and (not marked or "\n" not in piece):
+                # As simple(), in place: most pieces come here.
+                number = number_of(piece, n + 1)
+                if number > n:
+                    n = number
+                    learn(piece)
+                    learnt(n)
+                given.append(number)
+            elif marked and "\n" in piece and not DOUBLE_SPACE.search(piece) and piece.removeprefix("\0")[0] != "\n":
                 before, *rest = piece.split("\n")
                 parts = [word(before)]
                 for part in rest:
@@ -204,9 +213,9 @@ class PieceEncoder:
                 if number is None:
                     number = known[piece] = n = n + 1
                     broken.add(n, parts)
+                given.append(number)
             else:
-                number = word(piece)
-            given.append(number)
+                given.append(word(piece))
         out[missing] = given
         if n >= len(self.starts):
             more = n + 1 - len(self.starts)
@@ -242,24 +251,26 @@ class PieceEncoder:
             sizes[i] = len("".join(text.split()).encode())
         return sizes
 
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Place of every piece among the distinct ones, these, and how many pieces each text has."""
-        listed = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        told = listed.flatten().dictionary_encode()
-        return np.asarray(told.indices), told.dictionary.to_pylist(), np.asarray(pc.list_value_length(listed), dtype=np.int64)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole" or not texts:
             return self._library(texts)
         if len(self.known) > self.limit or self.used > 8 * self.limit:
             self._compact()
         marked, nul = self.mode == "prefix", []
+        cut = pa.array(texts, pa.large_string())
         if marked:  # NUL marks a first piece, so texts that hold one themselves are encoded in one go
-            nul = [i for i, t in enumerate(texts) if "\0" in t]
-            cut = ["" if "\0" in t else t for t in texts]
+            odd = pc.match_substring(cut, "\0")
+            nul = np.flatnonzero(np.asarray(odd)).tolist()
+            cut = pc.if_else(odd, "", cut) if nul else cut
         else:
-            cut = [_small(t) for t in texts]
-        place, distinct, counts = self._pieces(cut)
+            # White space is dropped and A-Z are lower-cased anyway; to do so first makes fewer distinct
+            # pieces.  What a mark composes to may depend on the case of its letter, so such texts wait.
+            small = pc.replace_substring(pc.ascii_lower(cut), "\n", " ")
+            cut = pc.if_else(pc.match_substring_regex(cut, COMBINING), cut, small)
+        listed = pc.split_pattern(cut, " ")
+        told = listed.flatten().dictionary_encode()
+        place, distinct = np.asarray(told.indices), told.dictionary.to_pylist()
+        counts = np.asarray(pc.list_value_length(listed), dtype=np.int64)
         before = len(self.known)
         number = self._numbers(distinct)[place]
         ends = np.cumsum(counts)
@@ -278,15 +289,6 @@ class PieceEncoder:
         return out
 
 
-def _small(text: str) -> str:
-    """``text`` with A-Z lower-cased, where a later lower-casing makes that no difference, and line breaks as spaces."""
-    text = text.replace("\n", " ")
-    if text.isascii():
-        return text.lower()
-    # What a mark composes to may depend on the case of its letter.
-    return text if COMBINING.search(text) else text.encode().lower().decode()
-
-
 def _ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The ranges [start, start + length) of ``flat``, one after the other."""
     before = np.cumsum(lengths) - lengths
