@@ -89,6 +89,7 @@ def _doubles(values) -> Column:
 
 def _with_counts(df: DataFrame, rules: QualityRules) -> DataFrame:
     w = rules.window
+    longest = max((len(x) for words in rules.common_words.values() for x in words), default=0)
     df = df.select("_id", "_lang", "_text", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
     # One hash per window; windows of one text are compared by 64 bits.
@@ -104,7 +105,9 @@ def _with_counts(df: DataFrame, rules: QualityRules) -> DataFrame:
         "_lang",
         "_text",
         F.size("_words").cast("bigint").alias("n_words"),
-        F.array_join("_words", "  ").alias("_joined"),
+        F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        # Longer words are none of the common ones; those that stay are two spaces apart.
+        F.array_join(F.filter("_words", lambda x: F.char_length(x) <= longest), "  ").alias("_joined"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
         windows.alias("_windows"),
@@ -156,8 +159,8 @@ def _by_language(table: dict, pick, otherwise: Column | None = None) -> Column:
 def _word_shares() -> Column:
     """Shares of the language's common words; null without a reference.
 
-    ``_padded`` holds the words two spaces apart, so that neighbours share no separator and the
-    bytes that a removal saves are a count.
+    ``_padded`` holds words two spaces apart, so that neighbours share no separator and the bytes
+    that a removal saves are a count.
     """
     return F.transform(
         "_common",
@@ -179,11 +182,8 @@ def quality_signals(
     lang = F.col(lang_column) if lang_column else F.lit(None).cast("string")
     df = docs.select(F.col(id_column).alias("_id"), lang.alias("_lang"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
     df = _with_repeats(_with_counts(df, rules), rules.window)
-    # The words are joined by two spaces; without them the code points of the words remain.
-    word_chars = F.char_length("_joined") - 2 * F.greatest(F.col("n_words") - 1, F.lit(0))
     df = df.select(
         "*",
-        word_chars.cast("bigint").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         ((F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))).alias("base_failed"),
     )
