@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import xxhash
 
@@ -9,7 +11,7 @@ import xxhash
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in a row, and where each text's words start (n + 1 places).
 
     Words are what lies between the bytes 0x20 and 0x09 to 0x0D.
@@ -18,7 +20,7 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for text in texts:
         words += text.split()
         starts.append(len(words))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), dtype=np.uint64, count=len(words))
     return hashes, np.array(starts, dtype=np.int64)
 
 

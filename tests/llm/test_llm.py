@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import graph, near_dup
+from gridloom.llm import graph, near_dup, substring_dedup
 from gridloom.sources.tables import table
 from gridloom.llm.mixing import materialise, mix, mix_sources, route
 from gridloom.llm.near_dup import Similarity, drop_near_duplicates, near_duplicates
@@ -17,7 +17,7 @@ from gridloom.llm.quality import keep_quality, quality_signals
 from gridloom.llm.registry import URL_RULES
 from gridloom.llm.registry import queries as llm_queries
 from gridloom.llm.secrets import find_secrets, redact
-from gridloom.llm.substring_dedup import remove_repeats
+from gridloom.llm.substring_dedup import _compacted, remove_repeats
 from gridloom.llm.token_count import count_chunked, count_tokens
 from gridloom.llm.token_file import CorruptFrame, FrameReader, open_filesystem, read_token_files, write_token_files
 from gridloom.llm.tokens import PieceEncoder, load
@@ -171,6 +171,39 @@ def test_remove_repeats_inside_one_text(spark):
     same(tuples(remove_repeats(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.remove_repeats(rows))
 
 
+@pytest.mark.parametrize("group_bytes", [100, 1 << 20])
+def test_remove_repeats_proves_words(spark, monkeypatch, group_bytes):
+    """All words take one hash in the first attempt: unlike words are met, at other sources and in one text, and it is done again."""
+    seen, judged = [], substring_dedup._judged
+    monkeypatch.setattr(substring_dedup, "_judged", lambda *a: seen.append(a) or judged(*a))
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j}" for j in range(40 + i))) for i in range(5)]
+    got = remove_repeats(frame(spark, rows), group_bytes=group_bytes, bits=0)
+    same(tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256"), brute.remove_repeats(rows))
+    assert len(seen) == 2
+
+
+@pytest.mark.parametrize("groups", [200, 1 << 20])
+def test_remove_repeats_of_changed_copies(spark, groups):
+    """Copies cut and changed at many places: paths branch, and places begin and end inside them."""
+    rng = random.Random(5)
+    base, rows = words(rng, 700, 5000), []
+    for i in range(60):
+        a = rng.randrange(400)
+        text = base[a : a + rng.randrange(30, 300)]
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(text if i % 5 else text + text)))
+    same(tuples(remove_repeats(frame(spark, rows), group_bytes=groups), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.remove_repeats(rows))
+
+
+def test_compaction_follows_degrees(spark):
+    """a-b-c-d is one path, b ends it where a second edge leaves; a cycle and a source elsewhere begin anew."""
+    rows = [(1, 0, 1, 10, 11), (1, 1, 3, 11, 12), (1, 4, 1, 12, 13), (1, 5, 1, 13, 14), (2, 7, 1, 13, 15), (2, 8, 2, 15, 16), (3, 3, 1, 20, 20), (3, 4, 1, 21, 22)]
+    edges = spark.createDataFrame([(g, at, n, g, at, u, v) for g, at, n, u, v in rows], "grp bigint, at bigint, n int, grp0 bigint, at0 bigint, u bigint, v bigint")
+    got = {(r["grp0"], r["at0"]): r["path"] for r in _compacted(edges).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 4): 0, (1, 5): 5, (2, 7): 7, (2, 8): 7, (3, 3): 3, (3, 4): 4}
+
+
 def test_secrets(docs, rows):
     got = {r["doc_id"]: r for r in find_secrets(docs).collect()}
     for i, t in rows:
