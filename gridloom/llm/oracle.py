@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+from gridloom.llm.decontaminate import WORD as SMALL_WORD
 from gridloom.llm.quality import QualityRules
 from gridloom.llm.secrets import ALLOWED, CANDIDATE, KINDS, SCALE, EntropyRules
 from gridloom.llm.url_filter import LOWER, SHAPES, UPPER, TemplateRules
+from gridloom.llm.vector_codes import ProductCodes
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOKENS = f"""texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -201,6 +203,57 @@ def op10(rules: dict[str, str]) -> str:
  FROM shaped s JOIN tree t ON t.host = s.host AND t.shape = s.shape JOIN judged j ON j.host = t.host AND j.template = t.template"""
 
 
+def _op11() -> str:
+    """Units of the query are code points, so cuts are plain substrings."""
+    draw = lambda k: f"('0x' || substr(digest, {8 * k + 1}, 8))::BIGINT"
+    after = lambda text, mark: f"substr({text}, instr({text}, '{mark}') + 3)"
+    between = lambda a, b: f"substr(output, instr(output, '{a}') + 3, instr(output, '{b}') - instr(output, '{a}') - 3)"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+ drawn AS (SELECT *, {draw(0)} % (n + 1) AS a, {draw(1)} % (n + 1) AS b,
+     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {draw(2)} % 100 >= 90 THEN 'plain' WHEN {draw(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+ cut AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q FROM drawn),
+ parts AS (SELECT *, substr(text, 1, p) AS prefix, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS suffix FROM cut),
+ made AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM parts)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars, sha256(output) AS output_sha256,
+   sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN {between('<P>', '<S>')} || {after('output', '<M>')} || {between('<S>', '<M>')}
+     ELSE {between('<P>', '<M>')} || {after('output', '<M>')} || {between('<S>', '<P>')} END) AS restored_sha256 FROM made"""
+
+
+OP12 = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SMALL_WORD}') AS words FROM documents),
+ items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SMALL_WORD}') AS words FROM benchmark),
+ windows AS MATERIALIZED (SELECT DISTINCT item, len(words[s:s + 9]) AS size, array_to_string(words[s:s + 9], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM items WHERE len(words) > 0)),
+ sizes AS (SELECT DISTINCT size FROM windows),
+ runs AS (SELECT r, s, size, array_to_string(words[s:s + size - 1], ' ') AS gram FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS s FROM docs, sizes WHERE len(words) >= size)),
+ found AS MATERIALIZED (SELECT r, s, x.size, item FROM runs x JOIN windows w ON x.gram = w.gram AND x.size = w.size),
+ hit AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS i FROM (SELECT DISTINCT r, s, size FROM found)) GROUP BY r),
+ named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+ FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
+def _op13() -> str:
+    """Rounds written out; a part's nearest entry is the least of distance * entries + index."""
+    how = ProductCodes()
+    floored = "(s - ((s % n) + n) % n) // n"
+    rounds = ""
+    for k in range(how.rounds + 1):
+        rounds += f""",
+ near{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {how.entries} + e)::BIGINT AS best
+   FROM parts JOIN book{k} USING (p) GROUP BY r, p)"""
+        if k < how.rounds:
+            rounds += f""",
+ sums{k} AS (SELECT p, e, d, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, best % {how.entries} AS e, unnest(x) AS v, unnest(range(len(x))) AS d FROM near{k}) GROUP BY ALL),
+ moved{k} AS (SELECT p, e, list({floored} ORDER BY d) AS y FROM sums{k} GROUP BY p, e),
+ book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM book{k} b LEFT JOIN moved{k} m ON m.p = b.p AND m.e = b.e)"""
+    last = how.rounds
+    return f"""WITH fine AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda v: floor({how.scale} * v::DOUBLE)::BIGINT) AS codes FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+ parts AS MATERIALIZED (SELECT r, p, codes[(p * len(codes) // {how.parts} + 1):((p + 1) * len(codes) // {how.parts})] AS x FROM (SELECT *, unnest(range({how.parts})) AS p FROM fine)),
+ book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM parts WHERE r <= {how.entries}){rounds},
+ coded AS (SELECT r, string_agg(printf('%02x', best % {how.entries}), '' ORDER BY p) AS code, sum(best // {how.entries})::BIGINT AS error FROM near{last} GROUP BY r),
+ digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last})
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM fine JOIN coded USING (r), digest"""
+
 
 SQL: dict[str, str] = {
     "op1_source_mix": OP1,
@@ -209,4 +262,7 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": OP7,
     "op8_top_k_search": OP8,
     "op9_quality_rules": _op9(),
+    "op11_fill_in_middle": _op11(),
+    "op12_decontamination": OP12,
+    "op13_vector_codes": _op13(),
 }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import oracle
 from gridloom.sources.tables import table
+from gridloom.llm.decontaminate import contaminated
+from gridloom.llm.fill_middle import fill_middle_digests
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.near_dup import near_duplicates
 from gridloom.llm.packing import pack
@@ -19,6 +21,7 @@ from gridloom.llm.substring_dedup import remove_repeats
 from gridloom.llm.token_count import count_tokens
 from gridloom.llm.token_file import read_token_files, write_token_files
 from gridloom.llm.url_filter import filter_urls
+from gridloom.llm.vector_codes import compress
 from gridloom.llm.vector_search import top_k
 
 URL_RULES = {
@@ -73,6 +76,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, labels)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_source_mix,
     op2_secret_scan,
@@ -84,6 +99,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_top_k_search,
     op9_quality_rules,
     op10_url_filter,
+    op11_fill_in_middle,
+    op12_decontamination,
+    op13_vector_codes,
 )
 
 

@@ -165,3 +165,70 @@ def mix_targets(sizes, most=3):
         if not over:
             return {s: most * sizes[s] if s in capped else level * weight[s] for s in order}
         capped |= over
+
+
+def fill_middle(rows, unit=None):
+    """Per (id, text): n, form, prefix and middle lengths, output and restored digests."""
+    sha, out = lambda t: hashlib.sha256(t.encode()).hexdigest(), []
+    for i, raw in rows:
+        text = raw or ""
+        units = re.findall(unit, text) if unit else list(text)
+        h = [int(sha(f"1:{'' if i is None else i}")[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        prefix, middle, suffix = ("".join(u) for u in (units[:a], units[a:b], units[b:]))
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            form, output = "plain", text
+        elif h[3] % 100 < 20:
+            form, output = "spm", f"<S>{suffix}<P>{prefix}<M>{middle}"
+        else:
+            form, output = "psm", f"<P>{prefix}<S>{suffix}<M>{middle}"
+        plain = form == "plain"
+        out.append((i, len(units), form, None if plain else len(prefix), None if plain else len(middle), sha(output), sha(text)))
+    return out
+
+
+def contaminated(rows, items, window=10):
+    """Per document: id, words, hit words, items, digest of their names, contaminated; every window at every place."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wanted = {}
+    for item, text in items:
+        w = split(text)
+        for s in range(max(1, len(w) - window + 1) if w else 0):
+            wanted.setdefault(tuple(w[s : s + window]), set()).add("" if item is None else str(item))
+    out = []
+    for i, text in rows:
+        w, hit, found = split(text), set(), set()
+        for size in {len(x) for x in wanted}:
+            for s in range(len(w) - size + 1):
+                if names := wanted.get(tuple(w[s : s + size])):
+                    hit |= set(range(s, s + size))
+                    found |= names
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def product_codes(rows, parts=16, entries=64, rounds=2):
+    """Per kept (id, label, vector): id, code, error, error of its label, digest of the codebooks; every distance worked out."""
+    kept = [r for r in rows if r[2] is not None and all(v is not None and math.isfinite(v) for v in r[2])]
+    cut = {}
+    for k, (_, _, x) in enumerate(kept):
+        codes, w = [math.floor(256 * v) for v in x], len(x) // parts
+        cut[k] = [codes[p * w : p * w + w] for p in range(parts)]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][2]))[:entries]
+    books = [[cut[k][p] for k in first] for p in range(parts)]
+    distance = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda p, x: min((distance(x, e), j) for j, e in enumerate(books[p]))
+    for _ in range(rounds):
+        found = [[nearest(p, cut[k][p])[1] for p in range(parts)] for k in range(len(kept))]
+        moved = [list(b) for b in books]
+        for p in range(parts):
+            for j in set(f[p] for f in found):
+                mine = [cut[k][p] for k in range(len(kept)) if found[k][p] == j]
+                moved[p][j] = [sum(v) // len(mine) for v in zip(*mine, strict=True)]
+        books = moved
+    coded = [[nearest(p, cut[k][p]) for p in range(parts)] for k in range(len(kept))]
+    errors, labels = [sum(d for d, _ in c) for c in coded], {}
+    for (_, label, _), e in zip(kept, errors, strict=True):
+        labels[label] = labels.get(label, 0) + e
+    digest = hashlib.sha256(",".join(str(v) for b in books for e in b for v in e).encode()).hexdigest()
+    return [(i, "".join(f"{j:02x}" for _, j in c), e, labels[label], digest) for (i, label, _), c, e in zip(kept, coded, errors, strict=True)]
