@@ -18,6 +18,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Punctuation that both splitting rules keep apart from the letters and numbers before it.
 CLOSING = ".,;:!?&%#*$|)]}"
+#: Punctuation is cut from letters and numbers of the scripts before this code point, which no version
+#: of Unicode sees otherwise and whose normal forms end in a letter or number, but for one letter:
+#: I with a dot becomes two code points in small letters, the second of them a mark.
+CUT_BEFORE, DOTTED_I = "\u0530", "\u0130"
 #: A line break between two words: its key as a piece, and white space that would join it.
 LINE, DOUBLE_SPACE = "\0\n", re.compile(r"\s\s")
 COMBINING = "[\u0300-\u036f]"
@@ -183,7 +187,8 @@ class PieceEncoder:
         def word(piece: str) -> int:
             nonlocal n
             stem = piece.rstrip(CLOSING)
-            if len(stem) == len(piece) or not stem[-1:].isalnum():
+            last = stem[-1:]
+            if len(stem) == len(piece) or not last.isalnum() or last >= CUT_BEFORE or last == DOTTED_I:
                 return simple(piece)
             number = get(piece)
             if number is None:
