@@ -134,8 +134,8 @@ def _op2() -> str:
             f"FROM texts WHERE regexp_matches(text, {p}))) WHERE length(g[i]) >= {least}"
         )
 
-    allowed = " OR ".join(
-        f"regexp_matches(t, {_quoted(a)})" + (f" AND NOT regexp_matches(t, {_quoted(unless)})" if unless else "") for a, unless in ALLOWED if "\\1" not in a
+    allowed = " OR ".join(  # without possessive groups, which make no difference to what matches
+        f"regexp_matches(t, {_quoted(a.replace('++', '+'))})" + (f" AND NOT regexp_matches(t, {_quoted(unless)})" if unless else "") for a, unless in ALLOWED if "\\1" not in a
     )
     allowed += " OR length(replace(t, t[1], '')) = 0"
     limits = " ".join(

@@ -5,22 +5,27 @@ by a pattern gives what lies between its matches, so running lengths of gaps and
 spans, in code points.
 
 The entropy method looks at candidate runs of key-like characters.  A window slides over each
-candidate; the counts of the characters inside it are updated by the one that enters and the one
-that leaves, and so is the sum of c*log2(c), kept as fixed-point integers so that the result does
-not depend on the order of additions.  The entropy of a window of W characters is
-log2(W) - sum/W.  Each character class has its own threshold.  Candidates on the allow list, which
-speaks of whole candidates only, and those that lie inside a pattern span are not reported; one that
-reaches beyond a pattern span is scored and reported whole.
-
-Local to a row, no shuffle.  Defined results: a null text counts as empty; an empty text has no
-spans; whole texts are scanned whatever their length; repeated rows give repeated results; an
-empty table gives an empty one; clashing extra columns are ignored by :func:`find_secrets` and
-passed through by :func:`redact`.
+candidate; the counts of the characters inside it, packed into a few 64-bit numbers, are updated by
+the one that enters and the one that leaves, and so is the sum of c*log2(c), kept as fixed-point
+integers so that the result does not depend on the order of additions.  The entropy of a window of W
+characters is log2(W) - sum/W.  Each character class has its own threshold.  Candidates on the allow
+list, which speaks of whole candidates only, and those that lie inside a pattern span are not
+reported; one that reaches beyond a pattern span is scored and reported whole.
+
+Local to a row, no shuffle.  Time grows with a text's length, and with n*log(n) of its n matches:
+running sums double their reach a round, spans are looked up by bisection, texts are cut from blocks
+that lie near, and every repeated group of a pattern is possessive, so that the pattern engine walks
+it in a loop however long the candidate.
+
+Defined results: a null text counts as empty; an empty text has no spans; whole texts are scanned
+whatever their length; repeated rows give repeated results; an empty table gives an empty one;
+clashing extra columns are ignored by :func:`find_secrets` and passed through by :func:`redact`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +41,7 @@ ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][C
 KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Three short humps in a row: letters of random case, not words in camel case.
-SHUFFLED_CASE = r"([A-Z]+[a-z]{1,2}){3}"
+SHUFFLED_CASE = r"[A-Z][a-z]{1,2}[A-Z]+[a-z]{1,2}[A-Z]+[a-z]"
 #: Whole candidates that are no secrets, each with a pattern that takes the leave back: prose, slugs and
 #: identifiers, numbers, UUIDs, paths of words
 #: with short numbers, the key that documentations show, fillers, one repeated character.
@@ -44,11 +49,13 @@ ALLOWED = (
     (r"^[A-Za-z_/+=-]+$", SHUFFLED_CASE),
     (r"^[0-9_/+=-]+$", None),
     (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", None),
-    (r"^/?([A-Za-z]+[0-9]{0,4}[/_-])+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?/?$", SHUFFLED_CASE),
+    (r"^/?([A-Za-z]+[0-9]{0,4}[/_-])++([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?/?$", SHUFFLED_CASE),
     (r"^[A-Za-z0-9/+]*(EXAMPLE|example)(KEY|key)?$", None),
-    (r"^((x{4,}|X{4,}|0{4,}|(1234567890)+|1234567)[_/+=-]*)+$", None),
+    (r"^((x{4,}|X{4,}|0{4,}|(1234567890)++|1234567)[_/+=-]*)++$", None),
     (r"^(.)\1+$", None),
 )
+#: Characters of the blocks that texts are cut from.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -58,58 +65,83 @@ class EntropyRules:
     allowed: tuple[tuple[str, str | None], ...] = ALLOWED
 
 
-def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Matches of ``pattern`` as array<struct<s, e>> whose ``group`` has ``least`` characters or more."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.char_length(x))
-    steps = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), F.transform(whole, lambda x: F.char_length(x)).alias("m"), part.alias("p")
-    )
-    empty = F.array().cast("array<struct<s:int,e:int,p:int>>")
-    spans = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e"), x["p"].alias("p"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    kept = F.transform(F.filter(spans, lambda x: x["p"] >= least), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """``both`` of every value and all before it; the reach doubles each round."""
+
+    def doubled(done: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(done, lambda x, i: F.coalesce(both(x, F.get(done, i - reach)), x))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
+    return F.when(F.size(values) > 1, F.aggregate(rounds, values, doubled)).otherwise(values)
+
+
+def _matches(df: DataFrame, text: str, name: str, pattern: str, group: int, least: int) -> DataFrame:
+    """``df`` with the matches of ``pattern`` whose ``group`` has ``least`` characters or more: array<struct<s, e, t>>."""
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    found = F.col(text).rlike(pattern)
+    whole, wanted = (F.when(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(g))) for g in (0, group))
+    gaps = F.when(found, F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x)))
+    df = df.withColumns({"_whole": whole, "_wanted": wanted, "_gaps": gaps})
+    steps = F.transform("_whole", lambda m, i: F.char_length(m) + F.get("_gaps", i))
+    df = df.withColumn("_ends", _running(steps, lambda x, before: x + before))
+    spans = F.transform("_whole", lambda m, i: F.struct((F.get("_ends", i) - F.char_length(m)).alias("s"), F.get("_ends", i).alias("e"), m.alias("t")))
+    kept = F.filter(spans, lambda x, i: F.char_length(F.get("_wanted", i)) >= least)
+    return df.withColumn(name, F.coalesce(kept.cast("array<struct<s:int,e:int,t:string>>"), none)).drop("_whole", "_wanted", "_gaps", "_ends")
+
+
+def _up_to(spans: str, place: Column) -> Column:
+    """How many of the sorted spans start at ``place`` or before, by bisection."""
+    n = F.size(spans)
 
+    def halved(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = (acc["low"] < acc["high"]) & (F.get(spans, middle)["s"] <= place)
+        return F.struct(F.when(right, middle + 1).otherwise(acc["low"]).alias("low"), F.when(right, acc["high"]).otherwise(middle).alias("high"))
 
-def _candidates(base: Column) -> Column:
-    """Candidate runs and their text, less those that a pattern span covers."""
-    text = F.col("_text")
-    runs = _matches(text, CANDIDATE, 0, 1)
-    free = F.filter(runs, lambda c: ~F.exists(base, lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"])))
-    return F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.substr(text, c["s"] + 1, c["e"] - c["s"]).alias("t")))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double") + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), n.alias("high")), halved, lambda acc: acc["low"])
+
+
+def _uncovered() -> Column:
+    """Candidates, less those that a pattern span covers.
+
+    A candidate is all of a run, and the characters of hexadecimal and access keys are among its own:
+    such a span that covers it is the candidate.  Assignments do not overlap, so the last that starts
+    at the candidate or before is the only one that can cover it.
+    """
+    return F.filter(
+        "_runs",
+        lambda c: ~c["t"].rlike(r"^[0-9a-f]+$") & ~c["t"].rlike(r"^AKIA[A-Z0-9]{14,}$") & ~F.coalesce(F.get("_assign", _up_to("_assign", c["s"]) - 1)["e"] >= c["e"], F.lit(False)),
+    )
 
 
 def _least_sum(codes: Column, window: int) -> Column:
     """Least sum of c*log2(c), in units of 1/SCALE, of any full window; null if the run is shorter."""
     table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0).cast("bigint") for c in range(window + 1)])
+    bits = window.bit_length()
+    held = 63 // bits  # counts in a number
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"),
+        F.array_repeat(F.lit(0).cast("bigint"), -(-len(ALPHABET) // held)).alias("n"),
         F.lit(0).cast("bigint").alias("sum"),
         F.lit(None).cast("bigint").alias("best"),
     )
+    number = lambda code: F.floor(code / held).cast("int")
+    shift = lambda code: F.pmod(code, F.lit(held)) * bits
+
+    def count(n: Column, code: Column) -> Column:
+        word = F.call_function("shiftright", F.get(n, number(code)), shift(code))
+        return word.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
 
     def step(acc: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        n_in, n_out = F.get(acc["n"], enters), F.when(leaves >= 0, F.get(acc["n"], leaves)).otherwise(F.lit(1))
+        enters, leaves = F.get(codes, i), F.get(codes, i - window)
+        one = lambda code, k: F.when(number(code) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))).otherwise(F.lit(0).cast("bigint"))
+        n_in, n_out = count(acc["n"], enters), count(acc["n"], leaves)
         grown = F.get(table, n_in + 1) - F.get(table, n_in)
-        shrunk = F.when(leaves >= 0, F.get(table, n_out - 1) - F.get(table, n_out)).otherwise(F.lit(0).cast("bigint"))
-        total = acc["sum"] + F.when(enters == leaves, F.lit(0).cast("bigint")).otherwise(grown + shrunk)
-        counts = F.when(enters == leaves, acc["n"]).otherwise(
-            F.transform(acc["n"], lambda c, k: c + F.when(k == enters, 1).when(k == leaves, -1).otherwise(0))
-        )
+        shrunk = F.coalesce(F.get(table, n_out - 1) - F.get(table, n_out), F.lit(0).cast("bigint"))
+        stays = F.coalesce(enters == leaves, F.lit(False))
+        total = acc["sum"] + F.when(stays, F.lit(0).cast("bigint")).otherwise(grown + shrunk)
+        counts = F.when(stays, acc["n"]).otherwise(F.transform(acc["n"], lambda v, k: v + one(enters, k) - one(leaves, k)))
         best = F.when(i >= window - 1, F.least(acc["best"], total)).otherwise(acc["best"])
         return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
 
@@ -123,14 +155,15 @@ def _class_of(t: Column) -> Column:
 def _scanned(docs: DataFrame, text_column: str, rules: EntropyRules) -> DataFrame:
     """``docs`` with ``_spans``: array<struct<s, k, e>> of every span, ordered by start and kind."""
     df = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit("")))
-    df = df.withColumns({f"_{name}": _matches(F.col("_text"), pattern, group, least) for name, pattern, group, least in KINDS})
+    for name, pattern, group, least in KINDS:
+        df = _matches(df, "_text", f"_{name}", pattern, group, least)
+
     def of_kind(name: str, kind: int) -> Column:
         return F.transform(f"_{name}", lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
     base = F.concat(*[of_kind(name, kind) for kind, (name, *_) in enumerate(KINDS)])
-    df = df.withColumn("_base", F.sort_array(base))
-    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
-    df = df.withColumn("_candidates", F.when(F.col("_text").rlike(CANDIDATE), _candidates(F.col("_base"))).otherwise(none))
+    df = _matches(df.withColumn("_base", F.sort_array(base)), "_text", "_runs", CANDIDATE, 0, 1)
+    df = df.withColumn("_candidates", F.when(F.size("_runs") > 0, _uncovered()).otherwise(F.col("_runs"))).drop("_runs")
 
     def allowed(t: Column) -> Column:
         out = F.lit(False)
@@ -191,16 +224,20 @@ def redact(docs: DataFrame, rules: EntropyRules | None = None, text_column: str
     rules = rules or EntropyRules()
     names = docs.columns
     df = _scanned(docs.select(F.struct("*").alias("_row"), F.col(text_column).alias("_raw")), "_raw", rules)
-    pieces = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(
-                x["s"] >= acc["at"], F.concat(acc["out"], F.array(F.substr(F.col("_text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("_text"), acc["at"] + 1)),
-    )
+    # The furthest end of a span and all before it; a span that starts beyond it opens a new hole.
+    df = df.withColumn("_reach", _running(F.transform("_spans", lambda x: x["e"]), F.greatest))
+    before = lambda i: F.coalesce(F.get("_reach", i - 1), F.lit(0))
+    opens = F.filter(F.transform("_spans", lambda x, i: F.struct(before(i).alias("a"), x["s"].alias("b"))), lambda x: x["a"] <= x["b"])
+    blocks = F.when(F.size("_spans") > 0, F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    df = df.withColumns({"_opens": opens, "_blocks": blocks})
+
+    def part(a: Column, b: Column) -> Column:
+        """Characters a to b of the text, from the blocks in which they lie."""
+        first, last = (F.floor(x / BLOCK).cast("int") for x in (a, b))
+        return F.substr(F.array_join(F.slice("_blocks", first + 1, last - first + 1), ""), F.pmod(a, F.lit(BLOCK)) + 1, b - a)
+
+    parts = F.transform("_opens", lambda x: F.concat(part(x["a"], x["b"]), F.lit(mark)))
+    end = F.element_at("_reach", -1)
+    pieces = F.concat(F.array_join(parts, ""), part(end, F.char_length("_text")))
     cleaned = F.when(F.size("_spans") > 0, pieces).otherwise(F.col("_raw"))
     return fenced(df.select(*[(cleaned if c == text_column else F.col("_row")[c]).alias(c) for c in names]))
