@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import CORNERS, FRAME, clamp_to_frame, crop_box, letterbox, project_box
 from gridloom.functions.plan import fenced
 from gridloom.functions.text import parse_box
+from gridloom.operators.pixels import letterbox_pixels, to_bytes
+from gridloom.sources.interim import written
 
 MIN_EXTENT = 4.0
 #: Adds a column of completions: (rows, name of the query column, name of the new column) -> rows.
@@ -72,10 +77,102 @@ def zoom_verify(df: DataFrame, macro: Predictor, micro: Predictor, margin: float
     """
     rows = macro_pass(macro(df, query, "_macro_text"), "_macro_text", target).drop("_macro_text")
     rows = zoom_context(rows, margin, target).withColumn("_asked", F.when(F.col("zooms"), F.coalesce(F.col(query), F.lit(""))))
-    rows = micro(rows, "_asked", "_micro_text")
+    return _refined(micro(rows, "_asked", "_micro_text")).drop("_asked")
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """``result`` and ``path`` from the answers to the zoom, whose helper columns are dropped."""
     rows = fenced(rows.withColumn("_micro", F.when(F.col("zooms"), parse_box(F.col("_micro_text")))), "_micro")
     refined = F.col("_micro").isNotNull()
     projected = F.when(refined, _box(project_box(_corners("_micro"), F.col("crop"), F.col("zoom"))))
     path = F.when(refined, "refined").when(F.col("zooms"), "macro_fallback").when(F.col("macro").isNull(), "miss").otherwise("too_small")
     rows = rows.withColumns({"result": F.coalesce(projected, F.col("macro")), "path": path})
-    return rows.drop("_asked", "_micro_text", "_micro", "crop", "zoom", "zooms")
+    return rows.drop("_micro_text", "_micro", "crop", "zoom", "zooms")
+
+
+#: A model: images (n, height, width, 3) of bytes and n queries to n completions.
+Model = Callable[[np.ndarray, Sequence[str]], Sequence[str | None]]
+
+
+@dataclass(frozen=True)
+class PixelPredictor:
+    """A model that sees pixels.  ``load`` is called once by each Python worker, which keeps what it gives by ``name``."""
+
+    name: str
+    load: Callable[[], Model]
+    #: Images handed to the model at once.
+    batch: int = 16
+    #: Questions about an image that are asked together; more go to other tasks with a copy of the image.
+    together: int = 64
+
+
+_MODELS: dict[str, Model] = {}
+
+
+def _model(predictor: PixelPredictor) -> Model:
+    if predictor.name not in _MODELS:
+        _MODELS[predictor.name] = predictor.load()
+    return _MODELS[predictor.name]
+
+
+def _frame(pixels: bytes, target: tuple[int, int]) -> np.ndarray:
+    if len(pixels) != target[0] * target[1] * 3:
+        raise ValueError(f"expected a frame of {target}, got {len(pixels)} bytes")
+    return np.frombuffer(pixels, np.uint8).reshape(target[1], target[0], 3)
+
+
+def _zoomed(frame: np.ndarray, crop: dict, target: tuple[int, int], fill: float) -> np.ndarray:
+    """The part of a frame inside ``crop``, letterboxed back to the frame's size."""
+    part = frame[crop["y0"] : crop["y1"], crop["x0"] : crop["x1"]].astype(np.float64) / 255.0
+    return to_bytes(letterbox_pixels(part, target, fill))
+
+
+def pixel_answers(asks: DataFrame, frames: DataFrame, predictor: PixelPredictor, target: tuple[int, int] = FRAME, fill: float = 0.0) -> DataFrame:
+    """_row, answer of every question (_row, image_path, query, crop) about a frame (image_path, pixels).
+
+    Where ``crop`` is not null the model sees that part of the frame, zoomed.  A frame travels to
+    the questions about it, not a copy to each: questions are grouped by image, those of a hot image
+    in groups that are dealt to several tasks.  Questions about an image without a frame have no row.
+    """
+    counts = asks.groupBy("image_path").agg(F.ceil(F.count("*") / predictor.together).alias("_groups"))
+    group = F.pmod(F.xxhash64("_row"), F.col("_groups"))
+    grouped = asks.join(counts, "image_path").groupBy("image_path", group.alias("_group")).agg(F.collect_list(F.struct("_row", "query", "crop")).alias("_asks"))
+    copies = frames.select("image_path", "pixels").join(counts, "image_path").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
+    met = grouped.join(copies.drop("_groups"), ["image_path", "_group"]).select("pixels", "_asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(predictor)
+        for batch in batches:
+            for pixels, listed in zip(batch.column("pixels"), batch.column("_asks"), strict=True):
+                frame, questions = _frame(pixels.as_buffer().to_pybytes(), target), listed.as_py()
+                answers = []
+                for at in range(0, len(questions), predictor.batch):
+                    part = questions[at : at + predictor.batch]
+                    images = np.stack([frame if q["crop"] is None else _zoomed(frame, q["crop"], target, fill) for q in part])
+                    answers += list(model(images, [q["query"] for q in part]))
+                if len(answers) != len(questions):
+                    raise ValueError(f"the model answered {len(answers)} of {len(questions)} questions")
+                yield pa.RecordBatch.from_arrays([pa.array([q["_row"] for q in questions], pa.int64()), pa.array(answers, pa.string())], names=["_row", "answer"])
+
+    return met.mapInArrow(run, "_row bigint, answer string")
+
+
+def zoom_verify_pixels(
+    rows: DataFrame, frames: DataFrame, predictor: PixelPredictor, margin: float = 0.15, target: tuple[int, int] = FRAME, fill: float = 0.0, query: str = "query", image: str = "image_path"
+) -> DataFrame:
+    """Adds ``macro``, ``result`` and ``path`` to rows (image, query, ...) by a model that sees their frames.
+
+    The model is asked about the whole frame first, then, for boxes large enough, about the crop around
+    its answer, zoomed to the frame's size; what it says there is projected back.  Rows are written
+    when they are numbered and when the first answers are in, so no question is put twice.  A null
+    query is not asked, and a row without a frame gets no answer: both are misses.
+    """
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "agent_rows")
+    asks = numbered.where(F.col(query).isNotNull()).select("_row", F.col(image).alias("image_path"), F.col(query).alias("query"))
+    nowhere = F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>")
+    first = pixel_answers(asks.withColumn("crop", nowhere), frames, predictor, target, fill).withColumnRenamed("answer", "_macro_text")
+    seen = macro_pass(numbered.join(first, "_row", "left"), "_macro_text", target).drop("_macro_text")
+    seen = written(zoom_context(seen, margin, target), "agent_zooms")
+    asks = seen.where("zooms").select("_row", F.col(image).alias("image_path"), F.col(query).alias("query"), "crop")
+    second = pixel_answers(asks, frames, predictor, target, fill).withColumnRenamed("answer", "_micro_text")
+    return _refined(seen.join(second, "_row", "left")).drop("_row")

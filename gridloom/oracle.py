@@ -154,6 +154,34 @@ def projected(values: tuple[str, str, str, str]) -> str:
     )
 
 
+def _zoom_pixels() -> str:
+    """What the model sees: the right colour in a frame's middle, and in the zoom's the colour of the half where the crop's middle lies."""
+
+    def colour(side: str) -> str:
+        blue, red, green = (13, "k % 7 * 7", "k % 5 * 8") if side == "l" else (11, "[3, 8, 12, 40, 45, 50][(k % 6 + 1)::INTEGER]", "k % 9 * 4")
+        return f"{red} AS {side}r, {green} AS {side}g, CASE WHEN k % {blue} = 0 THEN 255 ELSE k % 8 END AS {side}b"
+
+    def answer(side: str, prefix: str) -> str:
+        values = (f"{side}r", f"{side}g", f"{side}r + 10 + q", f"{side}g + {side}b % 8")
+        return ", ".join(f"CASE WHEN {side}b <> 255 THEN ({v})::FLOAT END AS {prefix}{c}" for v, c in zip(values, CORNERS))
+
+    hold = ", ".join(f"least(greatest(p{c}, 0::FLOAT), {64 if c[0] == 'x' else 48}::FLOAT) AS h{c}" for c in CORNERS)
+    low = lambda a: f"greatest(0, floor(h{a}0::DOUBLE - (h{a}1::DOUBLE - h{a}0::DOUBLE) * 0.15::DOUBLE)::INTEGER)"
+    high = lambda a, most: f"least({most}, ceil(h{a}1::DOUBLE + (h{a}1::DOUBLE - h{a}0::DOUBLE) * 0.15::DOUBLE)::INTEGER)"
+    return f"""WITH {UI}, coloured AS (SELECT {KEYS}, length(query) % 3 AS q, l_orderkey AS k FROM ui),
+ seen AS (SELECT *, {colour("l")}, {colour("r")} FROM coloured), first AS (SELECT *, {answer("r", "p")} FROM seen),
+ macro AS (SELECT *, px0 AS parsed, {hold} FROM first),
+ zooms AS (SELECT *, coalesce(hx1 - hx0 >= 4::FLOAT AND hy1 - hy0 >= 4::FLOAT AND parsed IS NOT NULL, FALSE) AS zoom FROM macro),
+ cropped AS (SELECT *, {low("x")} AS cx0, {low("y")} AS cy0, {high("x", 64)} AS cx1, {high("y", 48)} AS cy1 FROM zooms WHERE zoom),
+ sized AS (SELECT *, cx1 - cx0 AS orig_w, cy1 - cy0 AS orig_h, least(64::DOUBLE / (cx1 - cx0), 48::DOUBLE / (cy1 - cy0)) AS scale FROM cropped),
+ fitted AS (SELECT *, least(64, round_even(orig_w * scale, 0)::INTEGER) AS content_w, least(48, round_even(orig_h * scale, 0)::INTEGER) AS content_h FROM sized),
+ ready AS (SELECT *, (64 - content_w) // 2 AS pad_x, (48 - content_h) // 2 AS pad_y, (cx0 + cx1) / 2.0::DOUBLE < 32 AS on_left FROM fitted),
+ chosen AS (SELECT *, CASE WHEN on_left THEN lr ELSE rr END AS sr, CASE WHEN on_left THEN lg ELSE rg END AS sg, CASE WHEN on_left THEN lb ELSE rb END AS sb FROM ready),
+ second AS (SELECT *, {answer("s", "m")} FROM chosen), r AS (SELECT *, {projected(("mx0", "my0", "mx1", "my1"))} FROM second)
+ SELECT {KEYS}, CASE WHEN parsed IS NULL THEN 'miss' ELSE 'too_small' END AS path, {", ".join(f"CASE WHEN parsed IS NOT NULL THEN h{c} END AS {c}" for c in CORNERS)} FROM zooms WHERE NOT zoom
+ UNION ALL SELECT {KEYS}, CASE WHEN mx0 IS NULL THEN 'macro_fallback' ELSE 'refined' END, {", ".join(f"CASE WHEN mx0 IS NULL THEN h{c} ELSE r{c} END" for c in CORNERS)} FROM r"""
+
+
 PAGES = r"""pages_b AS (
   SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS k,
     CASE WHEN doc_id % 14 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 1332.5::DOUBLE ELSE 1025.0::DOUBLE END AS original,
@@ -267,6 +295,7 @@ SQL: dict[str, str] = {
       SELECT {KEYS}, CASE WHEN px0 IS NULL THEN 'miss' ELSE 'too_small' END AS path, {boxed(prefix='h')} FROM zooms WHERE NOT zoom
       UNION ALL SELECT {KEYS}, CASE WHEN mx0 IS NULL THEN 'macro_fallback' ELSE 'refined' END, """
     + JOIN(f"CASE WHEN mx0 IS NULL THEN h{c} ELSE r{c} END" for c in CORNERS) + " FROM r",
+    "zoom_verify_pixels": _zoom_pixels(),
     "holdout_split": f"""WITH {FRAMED}, placed AS (SELECT {KEYS}, row_number() OVER (ORDER BY md5({ROW_KEY} || '|17'), {KEYS}) - 1 AS pos, count(*) OVER () AS n FROM kept)
       SELECT {KEYS}, pos, CASE WHEN pos < greatest(1, floor(n * 0.01::DOUBLE)::BIGINT) THEN 'holdout' ELSE 'train' END AS part FROM placed""",
     "page_image_join": f"WITH {CELLS} SELECT image_path, query, x0, y0, doc_id AS image FROM cells JOIN ordered ON page_ordinal = image_path::BIGINT",

@@ -25,6 +25,9 @@ from gridloom.plans import datasets
 from gridloom.sources import annotations, archives
 from gridloom.sources.interim import file_system, new_folder
 
+#: A frame that is small enough to be compared by pixels.
+SMALL = (64, 48)
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -306,6 +309,32 @@ def zoom_verify(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*fx.UI_KEYS, "path", *_named(_box("result")))
 
 
+class ColourReader:
+    """A stand-in for a model: its box follows from the colour in the image's middle and the length of the query."""
+
+    def __call__(self, images, queries):
+        middle = images[:, images.shape[1] // 2, images.shape[2] // 2].astype(int).tolist()
+        return ["nothing" if b == 255 else f"<box> [{r}, {g}, {r + 10 + len(q) % 3}, {g + b % 8}] </box>" for (r, g, b), q in zip(middle, queries, strict=True)]
+
+
+def _two_colours(k: Column) -> Column:
+    """A frame of SMALL size whose left and right halves have colours that follow from a number."""
+    of = lambda *values: F.format_string("%02X%02X%02X", *[v.cast("int") for v in values])
+    blue = lambda n: F.when(F.pmod(k, F.lit(n)) == 0, 255).otherwise(F.pmod(k, F.lit(8)))
+    left = of(F.pmod(k, F.lit(7)) * 7, F.pmod(k, F.lit(5)) * 8, blue(13))
+    right = of(F.get(F.array(*[F.lit(x) for x in (3, 8, 12, 40, 45, 50)]), F.pmod(k, F.lit(6)).cast("int")), F.pmod(k, F.lit(9)) * 4, blue(11))
+    return F.unhex(F.repeat(F.concat(F.repeat(left, SMALL[0] // 2), F.repeat(right, SMALL[0] // 2)), F.lit(SMALL[1])))
+
+
+@query
+def zoom_verify_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes over pixels: the model sees each frame, then the crop around its own box; every order is an image."""
+    rows = fx.ui_records(spark, d).select(*fx.UI_KEYS, F.col("img_filename").alias("image_path"), F.col("instruction").alias("query"))
+    frames = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("image_path"), _two_colours(F.col("o_orderkey")).alias("pixels"))
+    out = agent.zoom_verify_pixels(rows, frames, agent.PixelPredictor("colours", ColourReader), target=SMALL)
+    return out.select(*fx.UI_KEYS, "path", *_named(_box("result")))
+
+
 def _shuffled(spark: SparkSession, d: str) -> DataFrame:
     return order.shuffled(elements.filter_frame(fx.ui_frame(spark, d)), fx.UI_KEYS, 17)
 
@@ -400,9 +429,7 @@ def ui_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     nested = e.where("source = 'nested'").groupBy("img_filename").agg(F.collect_list(element).alias("elements"))
     root, paths = new_folder(spark, "annotations"), {}
     for source, entries in (("nested", nested), ("flat", e.where("source = 'flat'").select("img_filename", "instruction", "bbox"))):
-        listed = entries.agg(F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",").alias("all"))
-        paths[source] = f"{root}/{source}"
-        listed.select(F.concat(F.lit("["), "all", F.lit("]")).alias("value")).write.text(paths[source])
+        paths[source] = annotations.write_annotations(entries.select(F.to_json(F.struct("*")).alias("text")), f"{root}/{source}")
     files = e.select("source", F.concat(F.lit("d/"), "img_filename").alias("rel_path"), "img_w", "img_h").distinct()
     index = elements.image_index(elements.with_basename(files.select("source", "rel_path")))
     return datasets.ui_frame(annotations.read_annotations(spark, paths), index, files)
@@ -468,7 +495,6 @@ def png(width: int, height: int, colour) -> bytes:
 
 #: Sizes of the made-up images; image i has the colour (40 + 50 i, 90, 200 - 60 i).
 SIZES = ((16, 9), (9, 16), (40, 40))
-SMALL = (64, 48)
 
 
 def _images(spark: SparkSession) -> DataFrame:

@@ -5,33 +5,56 @@ from __future__ import annotations
 import hashlib
 import json
 import urllib.parse
+from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import ordinal_by
+from gridloom.sources.interim import file_system
+from gridloom.sources.json_array import read_json_array
+
 IMAGE_SUFFIX = r"[^/]\.(png|jpe?g|webp|bmp)$"
 
 
-def read_annotations(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """source, entry (VARIANT) of whole-file JSON arrays, one path per source.
+def read_annotations(spark: SparkSession, paths: dict[str, str | Sequence[str]]) -> DataFrame:
+    """source, entry (VARIANT) of JSON arrays: of a file, of every file of a folder, or of a list of ordered parts.
 
-    Files that the strict parser rejects (bare NaN) go through the lenient one.
+    A file of any size is read by many tasks.  Entries that the strict parser rejects (bare NaN) go
+    through the lenient one, each for itself.
     """
+    lenient = F.from_json("text", "img_filename string, instruction string, bbox array<double>, elements array<struct<instruction string, bbox array<double>>>")
+    nested = F.to_variant_object(F.struct("e.img_filename", "e.elements"))
+    flat = F.to_variant_object(F.struct("e.img_filename", "e.instruction", "e.bbox"))
+    loose = F.when(F.col("e.elements").isNotNull(), nested).otherwise(flat)
     out = None
     for source, path in paths.items():
-        text = spark.read.text(path, wholetext=True)
-        array = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-        lenient = F.from_json("value", "array<struct<img_filename string, instruction string, bbox array<double>, elements array<struct<instruction string, bbox array<double>>>>>")
-        strict = text.where(array.isNotNull()).select(F.explode(array).alias("entry"))
-        loose = text.where(array.isNull()).select(F.explode(lenient).alias("e"))
-        nested = F.to_variant_object(F.struct("e.img_filename", "e.elements"))
-        flat = F.to_variant_object(F.struct("e.img_filename", "e.instruction", "e.bbox"))
-        entries = strict.unionByName(loose.select(F.when(F.col("e.elements").isNotNull(), nested).otherwise(flat).alias("entry")))
-        part = entries.select(F.lit(source).alias("source"), "entry")
-        out = part if out is None else out.unionByName(part)
+        for parts in [[p] for p in files_of(path)] if isinstance(path, str) else [list(path)]:
+            text = read_json_array(spark, parts).withColumns({"strict": F.try_parse_json("text"), "e": lenient})
+            part = text.select(F.lit(source).alias("source"), F.coalesce("strict", loose).alias("entry"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
+def files_of(path: str) -> list[str]:
+    """The file that ``path`` names, or the visible files of a folder in the order of their names."""
+    files, place = file_system(path)
+    if files.get_file_info(place).type != fs.FileType.Directory:
+        return [path]
+    found = (x for x in files.get_file_info(fs.FileSelector(place)) if x.is_file and x.base_name[0] not in "._")
+    return [f"{path.rstrip('/')}/{x.base_name}" for x in sorted(found, key=lambda x: x.base_name)]
+
+
+def write_annotations(entries: DataFrame, path: str, text: str = "text") -> list[str]:
+    """Write JSON entries as one array in ordered parts, which are returned; nothing is collected."""
+    placed = ordinal_by(entries.select(text), text, "pos")
+    lines = placed.select("pos", F.concat(F.when(F.col("pos") == 0, "").otherwise(","), F.col(text)).alias("value"))
+    ends = entries.sparkSession.createDataFrame([(-1, "["), (1 << 62, "]")], "pos bigint, value string")
+    lines.unionByName(ends).orderBy("pos").select("value").write.text(path)
+    return files_of(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
