@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,17 +25,57 @@ def _shifted(ranked: DataFrame, counts: DataFrame, name: str) -> DataFrame:
     return ranked.join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + F.col("_rank")).drop("_bucket", "_base", "_rank")
 
 
-def ordinal_by(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """0-based position by ``key``; null keys come last, equal keys in any order.
+def _numbered(df: DataFrame, keys: Sequence[str], name: str) -> tuple[DataFrame, int]:
+    """0-based position by ``keys``, and how many rows there are; see :func:`ordinal_by`."""
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the lower bits count a task's rows
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_bucket": F.spark_partition_id(), "_rank": inside})
+    held = written(ranged, "ordinal")
+    return _shifted(held, held.groupBy("_bucket").agg(F.count("*").alias("_n")), name), held.count()
+
+
+def ordinal_by(df: DataFrame, key: str | Sequence[str], name: str = "pos") -> DataFrame:
+    """0-based position by ``key``, a column or several; null keys come last, equal keys in any order.
 
     Tasks hold ranges of the key whose bounds are sampled, so neither gaps nor outliers of the key
     fill one of them; a row's rank is its place in its task.
     """
-    order = F.col(key).asc_nulls_last()
-    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the lower bits count a task's rows
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_bucket": F.spark_partition_id(), "_rank": inside})
-    held = written(ranged, "ordinal")
-    return _shifted(held, held.groupBy("_bucket").agg(F.count("*").alias("_n")), name)
+    return _numbered(df, [key] if isinstance(key, str) else key, name)[0]
+
+
+#: Steps of a permutation, and times it is repeated at most until it falls inside.
+STEPS, WALKS = 8, 64
+
+
+def permuted(df: DataFrame, at: Column, n: int, seed: str, name: str) -> DataFrame:
+    """``df`` with column ``name``: where a seeded bijection of 0 .. n-1 takes ``at``.
+
+    A Feistel network on a grid of about the square root of n: row and column are shifted in turn by a
+    digest of the other, which can be undone, so no two numbers meet.  The grid has up to a row more
+    than n places; who lands there walks on until they are inside, which few need to.  Plain
+    arithmetic on a row's own number: nothing is ranked, shuffled or joined.
+    """
+    wide = math.isqrt(max(n, 1) - 1) + 1
+    high = -(-max(n, 1) // wide)
+
+    def shift(other: Column, k: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", other.cast("string"), k.cast("string"), F.lit(seed)).cast("binary"))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+    def step(acc: Column, k: Column) -> Column:
+        column = F.when(k % 2 == 0, F.pmod(acc["x"] + shift(acc["y"], k), F.lit(wide))).otherwise(acc["x"])
+        row = F.when(k % 2 == 1, F.pmod(acc["y"] + shift(acc["x"], k), F.lit(high))).otherwise(acc["y"])
+        return F.struct(column.alias("x"), row.alias("y"))
+
+    def once(i: Column) -> Column:
+        start = F.struct(F.pmod(i, F.lit(wide)).cast("bigint").alias("x"), F.floor(i / wide).alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), start, step, lambda acc: acc["x"] + acc["y"] * wide)
+
+    df = df.withColumn("_landed", once(at.cast("bigint")))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_landed"), lambda i, _: F.when(i < n, i).otherwise(once(i)))
+    df = df.withColumn("_landed", F.when(F.col("_landed") < n, F.col("_landed")).otherwise(walked))
+    outside = F.raise_error(F.lit(f"no place among {n} found")).cast("bigint")
+    return df.withColumn(name, F.when(F.col("_landed") < n, F.col("_landed")).otherwise(outside)).drop("_landed")
 
 
 def seeded(seed: int, *keys: Column | str) -> Column:
@@ -49,8 +90,8 @@ def shuffled(df: DataFrame, keys: Sequence[str], seed: int, name: str = "pos") -
     The rows are written once; as digests are spread evenly, their first digits are buckets.
     """
     held = written(df.withColumn("_digest", seeded(seed, *keys)), "shuffled")
-    digits = 1
-    while 16**digits * BUCKET_ROWS < held.count() or digits < 3:
+    digits, n = 3, held.count()
+    while 16**digits * BUCKET_ROWS < n:
         digits += 1
     bucket = F.substring("_digest", 1, digits)
     counts = held.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
@@ -96,20 +137,48 @@ def epoch_sizes(rows: Sequence[int], weights: Sequence[float]) -> list[int]:
 def mixed_rows(children: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> DataFrame:
     """Rows of the children in the mixture's order: their columns, child, pick and pos.
 
-    Each child's rows are shuffled, repeated or cut to its count, and all are interleaved.  Rows
-    keep their columns on the way, so nothing is joined; a child of no weight is left out.
+    Each child's rows are permuted, repeated or cut to its count, and all are interleaved.  A child is
+    written once, numbered by its ``keys``; from there on picks and positions are arithmetic on the
+    number (:func:`permuted`), so nothing is ranked or shuffled again and rows keep their columns on
+    the way.  A child of no weight is left out.
     """
-    used = [(c, w) for c, w in zip(children, weights, strict=True) if w > 0]
-    placed = [shuffled(c.withColumn("child", F.lit(i)), ["child", *keys], seed, "_first") for i, (c, _) in enumerate(used)]
-    sizes = [p.count() for p in placed]
-    parts = []
-    for rows, size, count in zip(placed, sizes, epoch_sizes(sizes, [w for _, w in used]), strict=True):
+    used = [(i, c, w) for i, (c, w) in enumerate((c, w) for c, w in zip(children, weights, strict=True) if w > 0)]
+    numbered = [_numbered(c, keys, "_nth") for _, c, _ in used]
+    sizes = [n for _, n in numbered]
+    counts = epoch_sizes(sizes, [w for *_, w in used])
+    parts, before, total = [], 0, sum(counts)
+    for (i, _, _), (rows, size), count in zip(used, numbered, counts, strict=True):
+        rows = permuted(rows.withColumn("child", F.lit(i)), F.col("_nth"), size, f"{i}|{seed}", "_first")
         times = F.floor((F.lit(count) - F.col("_first") - 1) / size).cast("int")
-        rows = rows.where(F.col("_first") < count).withColumn("_nth", F.explode(F.sequence(F.lit(0), times)))
-        parts.append(rows.withColumn("pick", F.col("_first") + F.col("_nth") * size).drop("_first", "_nth"))
-    return shuffled(reduce(DataFrame.unionByName, parts), ["child", "pick"], seed)
+        rows = rows.where(F.col("_first") < count).withColumn("_again", F.explode(F.sequence(F.lit(0), times)))
+        rows = rows.withColumn("pick", F.col("_first") + F.col("_again") * size).drop("_nth", "_first", "_again")
+        parts.append(permuted(rows, F.col("pick") + before, total, str(seed), "pos"))
+        before += count
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix_index(children: Sequence[DataFrame], keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> DataFrame:
     """pos, child, pick and the keys of the child's row."""
     return mixed_rows([c.select(*keys) for c in children], keys, weights, seed).select("pos", "child", *keys, "pick")
+
+
+def batched(rows: DataFrame, length: Column, size: int, window: int = 256, ranks: int = 1, seed: int = 0, pos: str = "pos") -> DataFrame:
+    """``rows`` with batch_id, rank and step: batches of ``size`` rows of like length, from their positions.
+
+    Rows of ``window`` batches that follow one another are sorted by length, cut into batches, and the
+    batches dealt in a seeded order, so that little is padded and no row moves further than its window.
+    Every row is in one batch; batch b is the step b // ranks of rank b % ranks.  A window is a
+    bounded group, and only whole ones before the last, so batch ids follow without counting.
+    """
+    group = F.floor(F.col(pos) / (size * window))
+    df = rows.withColumns({"_window": group, "_length": length})
+    by_length = Window.partitionBy("_window").orderBy("_length", pos)
+    df = df.withColumn("_cut", F.floor((F.row_number().over(by_length) - 1) / size))
+    digest = F.md5(F.concat_ws("|", F.col("_window").cast("string"), F.col("_cut").cast("string"), F.lit(str(seed))).cast("binary"))
+    # The last batch of the last window may be short, and stays last.
+    full = F.count("*").over(Window.partitionBy("_window", "_cut")) == size
+    df = df.withColumns({"_digest": digest, "_full": full})
+    nth = F.dense_rank().over(Window.partitionBy("_window").orderBy(F.desc("_full"), "_digest", "_cut")) - 1
+    df = df.withColumn("batch_id", F.col("_window") * window + nth)
+    df = df.withColumns({"rank": F.pmod("batch_id", F.lit(ranks)).cast("int"), "step": F.floor(F.col("batch_id") / ranks)})
+    return df.drop("_window", "_length", "_cut", "_digest", "_full")

@@ -216,24 +216,50 @@ ROW_KEY = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 FLAT = f"WITH {UI}, {MESSY} SELECT image_path AS img_filename, instruction, {boxed(prefix='n')} FROM messy WHERE has_box AND instruction <> ''"
 
 
+def permuted(source: str, at: str, n: str, seed: str, name: str, walks: int = 4) -> str:
+    """``source`` with where the seeded permutation takes ``at``; a number that falls outside walks on, a few times in SQL."""
+    digest = "('0x' || substr(md5({0} || '|' || s.k || '|' || sd), 1, 15))::BIGINT"
+    steps = "list_transform(range(8), lambda k: {'x': 0::BIGINT, 'y': 0::BIGINT, 'k': k::BIGINT})"
+    step = f"""{{'x': CASE WHEN s.k % 2 = 0 THEN (acc.x + {digest.format('acc.y')}) % wide ELSE acc.x END,
+        'y': CASE WHEN s.k % 2 = 1 THEN (acc.y + {digest.format('acc.x')}) % high ELSE acc.y END, 'k': s.k}}"""
+    out = f"SELECT *, {at} AS landed, {seed} AS sd, {n} AS n, ceil(sqrt({n}::DOUBLE))::BIGINT AS wide FROM ({source})"
+    out = f"SELECT *, (n + wide - 1) // wide AS high FROM ({out})"
+    for k in range(walks):
+        walked = f"list_reduce({steps}, lambda acc, s: {step}, {{'x': landed % wide, 'y': landed // wide, 'k': -1::BIGINT}})"
+        walked = f"SELECT *, {walked} AS spot FROM ({out})"
+        out = f"SELECT * EXCLUDE (spot) REPLACE ({'spot.x + spot.y * wide' if k == 0 else 'CASE WHEN landed < n THEN landed ELSE spot.x + spot.y * wide END'} AS landed) FROM ({walked})"
+    return f"SELECT * EXCLUDE (sd, n, wide, high) RENAME (landed AS {name}) FROM ({out})"
+
+
 def mixed(a: str, b: str) -> str:
     """CTEs picks, mixed over children a and b, each a query with row_key."""
+    first = lambda i: permuted(f"SELECT {i} AS child, row_key, row_number() OVER (ORDER BY row_key) - 1 AS nth FROM child{i}", "nth", f"(SELECT n FROM n{i})", f"'{i}|17'", "f")
     return f"""child0 AS ({a}), child1 AS ({b}),
  n0 AS (SELECT count(*) AS n FROM child0), n1 AS (SELECT count(*) AS n FROM child1),
  wanted AS (SELECT n0.n AS c0, greatest(1, round_even(round_even(n0.n::DOUBLE / (0.7::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0) * (0.3::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0)::BIGINT) AS c1 FROM n0),
- first0 AS (SELECT 0 AS child, row_key, row_number() OVER (ORDER BY md5('0|' || row_key || '|17'), row_key) - 1 AS f FROM child0),
- first1 AS (SELECT 1 AS child, row_key, row_number() OVER (ORDER BY md5('1|' || row_key || '|17'), row_key) - 1 AS f FROM child1),
- picks AS (SELECT child, row_key, f AS pick FROM first0
-   UNION ALL SELECT 1, row_key, p FROM (SELECT unnest(range(0, (SELECT c1 FROM wanted))) AS p) t JOIN first1 ON first1.f = t.p % (SELECT n FROM n1)),
- mixed AS (SELECT row_number() OVER (ORDER BY md5(child || '|' || pick || '|17'), child, pick) - 1 AS pos, child, row_key, pick FROM picks)"""
+ first0 AS ({first(0)}),
+ first1 AS ({first(1)}),
+ picks AS (SELECT child, row_key, f AS pick, f AS place FROM first0
+   UNION ALL SELECT 1, row_key, p, p + (SELECT c0 FROM wanted) FROM (SELECT unnest(range(0, (SELECT c1 FROM wanted))) AS p) t JOIN first1 ON first1.f = t.p % (SELECT n FROM n1)),
+ mixed AS ({permuted("SELECT * FROM picks", "place", "(SELECT c0 + c1 FROM wanted)", "'17'", "pos")})"""
 
 
 UI_CHILD = f"SELECT {ROW_KEY} AS row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM kept"
 MIX_A = f"{FRAMED}, {CELLS}, kept_cells AS ({kept('cells', 50)})"
 #: A cell's row key is a digest of printed doubles, which the engines print alike.
 CELL_CHILD = (
-    "SELECT md5(concat_ws('|', image_path, query, x0, y0)) AS row_key, any_value(image_path) AS image_path, any_value(img_w) AS img_w, any_value(img_h) AS img_h "
-    "FROM kept_cells GROUP BY 1"
+    "SELECT DISTINCT md5(concat_ws('|', image_path, query, x0, y0, x1, y1)) AS row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM kept_cells"
+)
+#: The training mixture row by row: ui_rows (pos, h), cell_rows (nth) and train (child, pick, pos) with rounded boxes a to d.
+BUILT = (
+    f"WITH {FRAMED}, {ROUNDED}, {CELLS}, kept_cells AS ({kept('cells', 50)}), "
+    + f"ui_rows AS (SELECT *, greatest(1, floor(total * 0.01::DOUBLE)::BIGINT) AS h FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', {KEYS}, x0, y0, 17)), {KEYS}, x0, y0) - 1 AS pos, count(*) OVER () AS total FROM rounded)), "
+    + f"sized_b AS (SELECT *, {params('img_w', 'img_h')} FROM kept_cells), padded_b AS (SELECT *, {PADS} FROM sized_b), "
+    + f"framed_b AS (SELECT *, {', '.join(f'{to_frame(c)} AS {c}_f' for c in CORNERS)} FROM padded_b), "
+    + f"cell_rows AS (SELECT query, {', '.join(f'round_even({c}_f::DOUBLE, 0)::BIGINT AS {n}' for c, n in zip(CORNERS, 'abcd'))}, row_number() OVER (ORDER BY image_path, query, x0, y0, x1, y1) - 1 AS nth FROM framed_b), "
+    + mixed("SELECT pos AS row_key FROM ui_rows WHERE pos >= h", "SELECT nth AS row_key FROM cell_rows")
+    + ", train AS (SELECT m.child, m.pick, m.pos, query, a, b, c, d FROM mixed m JOIN ui_rows u ON m.child = 0 AND u.pos = m.row_key"
+    + " UNION ALL SELECT m.child, m.pick, m.pos, query, a, b, c, d FROM mixed m JOIN cell_rows r ON m.child = 1 AND r.nth = m.row_key)"
 )
 JOIN = ", ".join
 # Images of one colour each, and how they fit into a frame of 64 by 48.
@@ -306,15 +332,22 @@ SQL: dict[str, str] = {
       padded AS (SELECT conv_id, batch_id, array_to_string(list_concat(input_ids, list_transform(range(0, length - len(input_ids)), lambda x: 0)), ',') AS i,
         array_to_string(list_concat(labels, list_transform(range(0, length - len(input_ids)), lambda x: -100)), ',') AS l FROM longest)
       SELECT batch_id, string_agg(i, ';' ORDER BY conv_id) AS input_ids, string_agg(l, ';' ORDER BY conv_id) AS labels FROM padded GROUP BY batch_id""",
-    "build_datasets": f"""WITH {FRAME}, ui_kept AS (SELECT count(*) AS n FROM ({kept('frame')})),
-      held AS (SELECT n, greatest(1, floor(n * 0.01::DOUBLE)::BIGINT) AS h FROM ui_kept)
-      SELECT 'train0' AS part, n - h AS n FROM held UNION ALL SELECT 'holdout', h FROM held
-      UNION ALL SELECT 'train1', greatest(1, round_even(round_even((n - h)::DOUBLE / (0.7::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0) * (0.3::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE)), 0)::BIGINT) FROM held""",
+    "build_datasets": f"""{BUILT} SELECT 'train' AS part, child, pick, pos, {PROMPT} AS prompt, {ANSWER} AS answer FROM train
+      UNION ALL SELECT 'holdout', 0, NULL, pos, {PROMPT}, {ANSWER} FROM ui_rows WHERE pos < h""",
+    "mixture_batches": f"""{BUILT}, texts AS (SELECT pos, {PROMPT} AS prompt, {ANSWER} AS answer FROM train),
+      ids AS (SELECT *, list_transform(string_split(prompt || ' ' || answer, ' '), lambda w: length(w)::BIGINT) AS i, len(string_split(prompt, ' ')) AS p, pos // (16 * 32) AS w FROM texts),
+      cuts AS (SELECT *, (row_number() OVER (PARTITION BY w ORDER BY len(i), pos) - 1) // 16 AS c FROM ids),
+      marked AS (SELECT *, count(*) OVER (PARTITION BY w, c) = 16 AS whole, md5(w || '|' || c || '|17') AS digest FROM cuts),
+      dealt AS (SELECT *, w * 32 + dense_rank() OVER (PARTITION BY w ORDER BY whole DESC, digest, c) - 1 AS batch_id FROM marked),
+      longest AS (SELECT *, max(len(i)) OVER (PARTITION BY batch_id) AS length FROM dealt),
+      labelled AS (SELECT *, array_to_string(list_concat(list_transform(i, lambda x, k: CASE WHEN k <= p THEN -100 ELSE x END), list_transform(range(0, length - len(i)), lambda x: -100)), ',') AS labels FROM longest)
+      SELECT batch_id, (batch_id % 4)::INTEGER AS rank, batch_id // 4 AS step, sum(length - len(i))::BIGINT AS padding, count(*)::INTEGER AS n, any_value(length)::INTEGER AS length,
+        string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, arg_max(labels, pos) AS last_labels FROM labelled GROUP BY batch_id""",
     "mix_counts": f"WITH {MIX_A}, {mixed(f'SELECT DISTINCT row_key FROM ({UI_CHILD})', f'SELECT row_key FROM ({CELL_CHILD})')} SELECT child, count(*) AS n, count(DISTINCT row_key) AS rows, max(pick) AS last_pick FROM mixed GROUP BY child",
     "mixed_rows": f"""WITH {MIX_A}, {mixed(f'SELECT DISTINCT row_key FROM ({UI_CHILD})', f'SELECT row_key FROM ({CELL_CHILD})')},
-      rows AS (SELECT 0 AS child, row_key, any_value(image_path) AS image_path, any_value(img_w) AS img_w, any_value(img_h) AS img_h FROM ({UI_CHILD}) GROUP BY row_key
-        UNION ALL SELECT 1, row_key, image_path, img_w, img_h FROM ({CELL_CHILD}))
-      SELECT child, pick, pos, image_path, img_w, img_h FROM mixed JOIN rows USING (child, row_key)""",
+      rows AS (SELECT DISTINCT 0 AS child, row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM ({UI_CHILD})
+        UNION ALL SELECT 1, row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM ({CELL_CHILD}))
+      SELECT child, pick, pos, image_path, query, x0, y0, x1, y1, img_w, img_h FROM mixed JOIN rows USING (child, row_key)""",
     "mix_index": f"WITH {FRAMED}, " + mixed(f"SELECT {ROW_KEY} AS row_key FROM kept", "SELECT CAST(doc_id AS VARCHAR) AS row_key FROM documents WHERE lang = 'en'") + " SELECT pos, child, row_key, pick FROM mixed",
     "rescaled_pages": f"WITH {PAGES} SELECT count(*) FILTER (rescaled) AS rescaled, count(*) AS pages FROM scales",
     "pages_by_predicate": "SELECT doc_id FROM documents WHERE lang IN ('de', 'fr') AND doc_id % 14 = 0",

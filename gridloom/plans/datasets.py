@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.config import Config
 from gridloom.functions.scoring import channel_means, score
 from gridloom.operators import cells, elements, order
-from gridloom.operators.encode import grpo_rows, sft_rows, with_frame_boxes
+from gridloom.operators.encode import collate, grpo_rows, pad_batches, sft_rows, with_frame_boxes
 
 MODES = ("sft", "grpo")
 
@@ -29,11 +30,12 @@ def cell_frame(pages: DataFrame, key: str, config: Config = Config()) -> DataFra
 
 
 def build(
-    ui: DataFrame, ui_keys: Sequence[str], cell: DataFrame | None, cell_keys: Sequence[str], config: Config = Config(), mode: str = "sft"
+    ui: DataFrame, ui_keys: Sequence[str], cell: DataFrame | None, cell_keys: Sequence[str], config: Config = Config(), mode: str = "sft", tokenize: Callable[[Column], Column] | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(training rows, evaluation rows or None): filter, shuffle, split, mix, encode.
 
-    Evaluation rows are held out of the UI corpus alone, and only in mode sft.
+    Evaluation rows are held out of the UI corpus alone, and only in mode sft, where a tokenizer adds
+    ids, masks and labels.  Training rows of a mixture carry their position in it as ``pos``.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -41,17 +43,27 @@ def build(
         raise ValueError("mix_ratio needs two weights")
     a = elements.filter_frame(ui, config.ui.min_box_px, config.ui.min_query_chars)
     train, held = order.split_holdout(order.shuffled(a, ui_keys, config.seed), config.holdout_fraction)
-    encode = sft_rows if mode == "sft" else grpo_rows
+    encode = partial(sft_rows, tokenize=tokenize) if mode == "sft" else grpo_rows
     rows = train.drop("pos")
     if config.mix_ratio[1] > 0 and cell is not None:
         b = elements.filter_frame(cell, config.cells.min_box_px, config.cells.min_query_chars, config.cells.max_query_chars)
         # Positions name the rows of a child, so rows that repeat each other stay apart.
-        children = [c.select(F.col("pos").alias("row_key"), *elements.FRAME_COLUMNS) for c in (train, order.shuffled(b, cell_keys, config.seed))]
+        children = [c.select(F.col("pos").alias("row_key"), *elements.FRAME_COLUMNS) for c in (train, order.ordinal_by(b, cell_keys))]
         rows = order.mixed_rows(children, ["row_key"], config.mix_ratio, config.seed)
     framed = with_frame_boxes(rows, config.target_size)
     return encode(framed), encode(with_frame_boxes(held, config.target_size)) if mode == "sft" else None
 
 
+def batches(train: DataFrame, size: int, window: int = 256, ranks: int = 1, seed: int = 0, pad_id: int = 0) -> DataFrame:
+    """Collated batches of tokenized training rows: batch_id, rank, step, positions, the padded streams and ``padding``, the ids added."""
+    rows = order.batched(train, F.size("input_ids"), size, window, ranks, seed).withColumn("_ids", F.size("input_ids"))
+    padded = pad_batches(rows, pad_id=pad_id)
+    told = padded.groupBy("batch_id").agg(
+        F.first("rank").alias("rank"), F.first("step").alias("step"), F.sum(F.col("length") - F.col("_ids")).alias("padding"), F.sort_array(F.collect_list("pos")).alias("positions")
+    )
+    return collate(padded, order="pos").join(told, "batch_id")
+
+
 def reward_summary(rows: DataFrame, config: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
     """Channel means of completions against their targets."""
     return channel_means(score(rows, config.reward), keys)

@@ -349,7 +349,7 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
 def _children(spark: SparkSession, d: str) -> list[DataFrame]:
     key = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
     a = elements.filter_frame(fx.ui_frame(spark, d)).withColumn("row_key", key(*fx.UI_KEYS))
-    b = elements.filter_frame(_cells(spark, d), max_query_chars=50).withColumn("row_key", key("image_path", "query", "x0", "y0"))
+    b = elements.filter_frame(_cells(spark, d), max_query_chars=50).withColumn("row_key", key("image_path", "query", "x0", "y0", "x1", "y1"))
     return [x.select("row_key", *elements.FRAME_COLUMNS).dropDuplicates(["row_key"]) for x in (a, b.withColumn("row_key", F.md5("row_key")))]
 
 
@@ -369,7 +369,7 @@ def mix_index(spark: SparkSession, d: str) -> DataFrame:
 @query
 def mixed_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = order.mixed_rows(_children(spark, d), ["row_key"], [0.7, 0.3], 17)
-    return rows.select("child", "pick", "pos", "image_path", "img_w", "img_h")
+    return rows.select("child", "pick", "pos", *elements.FRAME_COLUMNS)
 
 
 @query
@@ -399,13 +399,29 @@ def collated_batches(spark: SparkSession, d: str) -> DataFrame:
     return batches.select("batch_id", *[F.array_join(F.transform(c, lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")), ";").alias(c) for c in ("input_ids", "labels")])
 
 
+def _built(spark: SparkSession, d: str, **more) -> tuple[DataFrame, DataFrame]:
+    # A few lines of an order repeat part and supplier, so a row is told by its box too.
+    return datasets.build(fx.ui_frame(spark, d), [*fx.UI_KEYS, "x0", "y0"], _cells(spark, d), list(elements.FRAME_COLUMNS[:6]), **more)
+
+
 @query
 def build_datasets(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts of the training mixture by child, and of the held-out rows."""
-    cell = _cells(spark, d)
-    train, held = datasets.build(fx.ui_frame(spark, d), fx.UI_KEYS, cell, list(elements.FRAME_COLUMNS[:6]))
-    rows = train.select(F.concat(F.lit("train"), F.col("child").cast("string")).alias("part")).unionByName(held.select(F.lit("holdout").alias("part")))
-    return rows.groupBy("part").agg(F.count("*").alias("n"))
+    """Every encoded row of the training mixture at its place, and every held-out row."""
+    train, held = _built(spark, d)
+    rows = train.select(F.lit("train").alias("part"), "child", "pick", "pos", "prompt", "answer")
+    return rows.unionByName(held.select(F.lit("holdout").alias("part"), F.lit(0).alias("child"), F.lit(None).cast("bigint").alias("pick"), "pos", "prompt", "answer"))
+
+
+@query
+def mixture_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of the training mixture for four ranks: which rows, how long, how much of it padding."""
+    lengths = lambda text: F.transform(F.split(text, " "), lambda w: F.char_length(w).cast("bigint"))
+    out = datasets.batches(_built(spark, d, tokenize=lengths)[0], 16, 32, 4, 17)
+    last = F.element_at("labels", -1)
+    return out.select(
+        "batch_id", "rank", "step", "padding", F.size("input_ids").alias("n"), F.size(last).alias("length"),
+        F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"), F.array_join(F.transform(last, lambda x: x.cast("string")), ",").alias("last_labels"),
+    )
 
 
 @query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import urllib.parse
 from collections.abc import Sequence
 
 from pyarrow import fs
@@ -66,23 +65,6 @@ def keep_pages(pages: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
-def list_images(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """source, rel_path, basename of image files below ``path``, whatever the case of their suffix.
-
-    Names that start with a dot or an underscore are skipped, as by all of Spark's file sources.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    # Compared as plain text: the folder's name may hold what means something in a pattern.
-    root = urllib.parse.quote(path.rstrip("/").split("://")[-1].split(":")[-1]) + "/"
-    whole = path.rstrip("/").split("://")[-1].split(":")[-1] + "/"
-    at, quoted_at = F.instr("path", F.lit(whole)), F.instr("path", F.lit(root))
-    start = F.when(at > 0, at + len(whole)).otherwise(quoted_at + len(root))
-    relative = F.substr("path", start)
-    return files.where(F.lower("path").rlike(IMAGE_SUFFIX)).select(
-        F.lit(source).alias("source"), relative.alias("rel_path"), F.regexp_extract("path", "([^/]*)$", 1).alias("basename")
-    )
-
-
 def png_size(content: Column) -> tuple[Column, Column]:
     """Width and height from the header of a PNG file."""
     return tuple(F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int") for at in (17, 21))

@@ -19,7 +19,7 @@ from gridloom.config import Config, override
 from gridloom.functions import scoring
 from gridloom.operators import agent, encode
 from gridloom.plans import datasets
-from gridloom.sources import annotations, archives
+from gridloom.sources import annotations, archives, image_folder
 from gridloom.streaming import scoring as streams
 
 SF = "/root/testdata/sf0.001"
@@ -103,11 +103,11 @@ def test_images_and_archives(spark, tmp_path):
     odd = tmp_path / "i+m (a) 100% é"
     (odd / "d").mkdir(parents=True)
     (odd / "d/a.png").write_bytes(png)
-    assert [r["rel_path"] for r in annotations.list_images(spark, str(odd), "s").collect()] == ["d/a.png"]
+    assert [r["rel_path"] for r in image_folder.list_images(spark, str(odd), "s").collect()] == ["d/a.png"]
     (tmp_path / "images/d").mkdir(parents=True)
     for name in ("d/a.PNG", "d/b.jpeg", "x.gif", ".png"):
         (tmp_path / "images" / name).write_bytes(png)
-    listed = annotations.list_images(spark, str(tmp_path / "images"), "s").collect()
+    listed = image_folder.list_images(spark, str(tmp_path / "images"), "s").collect()
     assert sorted((r["rel_path"], r["basename"]) for r in listed) == [("d/a.PNG", "a.PNG"), ("d/b.jpeg", "b.jpeg")]
 
 

@@ -2,13 +2,16 @@
 
 import json
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import agent, pixels
-from gridloom.sources import annotations, json_array
+from gridloom import registry
+from gridloom.operators import agent, order, pixels
+from gridloom.plans import datasets
+from gridloom.sources import annotations, image_folder, json_array
 
 
 def nasty(n, seed):
@@ -82,7 +85,7 @@ class Middle:
         out = []
         for image, q in zip(images, queries, strict=True):
             r, g, b = image[12, 16].tolist()
-            out.append(None if b > 250 else f"<box>[{r // 8}, {g // 12}, {r // 8 + 4 + b % 9 + len(q)}, {g // 12 + 1 + b % 13}]</box>")
+            out.append(None if b % 10 == 9 else f"<box>[{r // 8}, {g // 12}, {r // 8 + 4 + b % 9 + len(q)}, {g // 12 + 1 + b % 13}]</box>")
         return out
 
 
@@ -128,3 +131,89 @@ def test_agent_refuses_other_frames(spark):
     frames = spark.createDataFrame([("a", b"123")], "image_path string, pixels binary")
     with pytest.raises(Exception, match="expected a frame"):
         agent.zoom_verify_pixels(df, frames, agent.PixelPredictor("middle", Middle), target=TARGET).collect()
+
+
+def test_image_folder(spark, tmp_path):
+    """Hidden names, names of suffixes alone, deep folders, sizes that come late, and files that are no images."""
+    png = registry.png(7, 5, lambda x, y: (x, y, 0))
+    late = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 65_535) + b"\0" * 65_533) * 2 + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 9, 13) + b"\0" * 8
+    cut = b"\xff\xd8\xff\xe0" + struct.pack(">H", 60_000) + b"x"
+    expected = {}
+    for i in range(40):
+        folder = ["", "d/", ".h/_u/", f"e/{i % 7}/f/g/", "a b%20é/"][i % 5]
+        name, body, size = [(f"_{i}.png", png, (7, 5)), (f".h{i}.PNG", png, (7, 5)), (f"{i}.jpeg", late, (13, 9)), (f"{i}.bmp", b"no", None), (f"{i}.webp", b"", None), (f"{i}.gif", png, 0), (".png", png, 0), (f"{i}.Jpg", cut, None)][i % 8]
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_bytes(body)
+        if size != 0:
+            expected[folder + name] = (name, len(body), *(size or (None, None)))
+    for folders in (1, 5, 500):
+        rows = image_folder.list_images(spark, str(tmp_path), "s", folders=folders).collect()
+        assert {r["rel_path"]: tuple(r)[2:] for r in rows} == expected and len(rows) == len(expected)
+    bare = image_folder.list_images(spark, f"file://{tmp_path}", "s", sizes=False)
+    assert bare.columns == ["source", "rel_path", "basename", "bytes"] and {r["rel_path"] for r in bare.collect()} == set(expected)
+
+
+def test_image_folder_reads_headers_alone(tmp_path, monkeypatch):
+    """Of a large image a few thousand bytes are asked for."""
+    from pyarrow import fs
+
+    asked = []
+    path = tmp_path / "large.png"
+    path.write_bytes(registry.png(3, 2, lambda x, y: (1, 2, 3)) + b"\0" * 10_000_000)
+
+    class Seen:
+        def open_input_file(self, place):
+            f = fs.LocalFileSystem().open_input_file(place)
+
+            class File:
+                __enter__ = lambda self: self
+                __exit__ = lambda self, *a: None
+                read_at = lambda self, n, at: (asked.append(n), f.read_at(n, at))[1]
+
+            return File()
+
+    assert image_folder.header_size(Seen(), str(path), path.stat().st_size) == (3, 2) and sum(asked) <= 4096
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 100, 101, 1021, 4096, 4097])
+def test_permutation_is_a_bijection(spark, n):
+    orders = []
+    for seed in ("17", "18"):
+        rows = order.permuted(spark.range(n), F.col("id"), n, seed, "to").collect()
+        to = [r["to"] for r in sorted(rows)]
+        assert sorted(to) == list(range(n))
+        orders.append(to)
+    if n > 100:
+        assert orders[0] != orders[1] and abs(np.corrcoef(range(n), orders[0])[0, 1]) < 0.25
+        # Neighbours do not stay neighbours.
+        assert np.mean(np.abs(np.diff(orders[0])) <= 1) < 0.05
+
+
+def test_mixture_plan_ranks_nothing(spark):
+    """Two children: their numbers come from written ranges, all else is arithmetic."""
+    children = [spark.range(k).select(F.col("id").alias("row_key"), F.lit("x").alias("v")) for k in (700, 90)]
+    mixed = order.mixed_rows(children, ["row_key"], [0.7, 0.3], 5)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Window")[0] if "Window" in plan else plan
+    assert "row_number" not in plan and "Sort" not in above
+    rows = mixed.collect()
+    assert sorted(r["pos"] for r in rows) == list(range(1000)) and sorted(r["row_key"] for r in rows if r["child"] == 0) == list(range(700))
+    assert sorted(r["pick"] for r in rows if r["child"] == 1) == list(range(300))
+    assert rows == order.mixed_rows([c.repartition(7) for c in children], ["row_key"], [0.7, 0.3], 5).collect() or sorted(rows) == sorted(
+        order.mixed_rows([c.repartition(7) for c in children], ["row_key"], [0.7, 0.3], 5).collect()
+    )
+
+
+def test_batches_of_a_mixture(spark):
+    """Every row once, whole batches before the last, like lengths together, ranks dealt in turn."""
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(1, 60)) for i in range(1003)]
+    df = spark.createDataFrame(rows, "pos bigint, n int").withColumns({"input_ids": F.expr("transform(sequence(1, n), x -> cast(x as bigint))")})
+    df = df.withColumns({"attention_mask": F.col("input_ids"), "labels": F.col("input_ids")})
+    got = datasets.batches(df, 8, 16, 4, 3).collect()
+    assert sorted(p for r in got for p in r["positions"]) == list(range(1003))
+    assert sorted(r["batch_id"] for r in got) == list(range(126)) and all((r["rank"], r["step"]) == (r["batch_id"] % 4, r["batch_id"] // 4) for r in got)
+    assert {r["batch_id"]: len(r["positions"]) for r in got if len(r["positions"]) != 8} == {125: 3}
+    assert all(max(r["positions"]) // 128 == min(r["positions"]) // 128 for r in got)
+    naive = sum(8 * max(n for _, n in rows[i : i + 8]) - sum(n for _, n in rows[i : i + 8]) for i in range(0, 1000, 8))
+    assert sum(r["padding"] for r in got) < naive / 5
