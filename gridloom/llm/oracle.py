@@ -95,7 +95,8 @@ def _op9() -> str:
     pick = lambda f, of=rules.common_words: "CASE lang " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in of.items())
     common = pick(lambda v: "[" + ", ".join(f"'{w}'" for w in v) + "]") + " END"
     expected = pick(lambda v: _doubles([*v.values(), 1.0 - sum(v.values())])) + " END"
-    classes = pick(_doubles, rules.classes) + f" ELSE {_doubles(rules.classes[rules.fallback])} END"
+    cased = r"2 * length(regexp_replace(text, '[^\p{Ll}\p{Lu}]+', '', 'g')) >= length(regexp_replace(text, '\P{L}+', '', 'g'))"
+    classes = pick(_doubles, rules.classes) + f" ELSE CASE WHEN {cased} THEN {_doubles(rules.classes[rules.fallback])} END END"
     share = lambda p: f"length(regexp_replace(text, '{p}', '', 'g'))::DOUBLE / length(text)"
     return rf"""WITH {TOKENS}, grams AS ({grams(5)}),
  counted AS (SELECT *, whole AND count(*) FILTER (whole) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM grams),
@@ -110,7 +111,7 @@ def _op9() -> str:
  shares AS (SELECT *, [{share(r'\P{Ll}+')}, {share(r'\P{Lu}+')}, {share(r'\P{Nd}+')}, (length(text) - word_chars)::DOUBLE / length(text)] AS class_shares,
      list_transform({common}, lambda w: len(list_filter(words, lambda x: lower(x) = w))::DOUBLE / n_words) AS word_shares, {expected} AS expected, {classes} AS expected_classes
    FROM failed WHERE n_words >= {rules.guard_words}),
- judged AS (SELECT doc_id, {_divergence(_rest('class_shares'), 'expected_classes')} > {rules.max_class_divergence!r}::DOUBLE
+ judged AS (SELECT doc_id, coalesce(CASE WHEN expected_classes IS NOT NULL THEN {_divergence(_rest('class_shares'), 'expected_classes')} > {rules.max_class_divergence!r}::DOUBLE END, FALSE)
      OR coalesce({_divergence(_rest('word_shares'), 'expected')} > {rules.max_word_divergence!r}::DOUBLE + {rules.word_noise!r}::DOUBLE / n_words, FALSE) AS far FROM shares)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, FALSE) AS kept
  FROM failed LEFT JOIN judged USING (doc_id)"""

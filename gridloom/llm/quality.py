@@ -8,7 +8,9 @@ the divergence says nothing and only the counting rules apply.
 Everything is local to a row: one scan, no shuffle, whatever the size or the skew of the table.
 
 Defined results: a null text counts as empty; an empty text has zero counts and fails the rules;
-a null or unknown ``lang`` is judged by the character classes of a fallback language alone; rows are judged one by one,
+a null or unknown ``lang`` is judged by the character classes of a fallback language alone, and only
+where at least half of the letters have case, as no reference here speaks of other scripts: such texts
+have no divergence and the counting rules decide; rows are judged one by one,
 so repeated rows give repeated results and an empty table gives an empty one.  Columns of the
 input that clash with result columns are ignored: the result carries ``id_column`` and its own.
 """
@@ -64,7 +66,7 @@ class QualityRules:
     word_noise: float = 3.5
     common_words: dict[str, dict[str, float]] = field(default_factory=lambda: COMMON_WORDS)
     classes: dict[str, tuple[float, ...]] = field(default_factory=lambda: CHARACTER_CLASSES)
-    #: Language whose character classes judge texts of a null or unknown language.
+    #: Language whose character classes judge texts of a null or unknown language in a script with case.
     fallback: str = "en"
 
 
@@ -149,6 +151,12 @@ def _class_shares() -> Column:
     return F.when(size > 0, F.array(*[c / size for c in counts]))
 
 
+def _has_case() -> Column:
+    """At least half of the letters are small or capital ones."""
+    count = lambda others: F.char_length(F.regexp_replace("_text", others, ""))
+    return 2 * count(r"[^\p{Ll}\p{Lu}]+") >= count(r"\P{L}+")
+
+
 def _by_language(table: dict, pick, otherwise: Column | None = None) -> Column:
     out: Column = F.lit(None) if otherwise is None else otherwise
     for lang, reference in table.items():
@@ -194,7 +202,7 @@ def quality_signals(
         F.when(judged, F.concat(F.lit(" "), F.lower("_joined"), F.lit(" "))).alias("_padded"),
         _by_language(rules.common_words, lambda words: F.array(*[F.lit(w) for w in words])).alias("_common"),
         _by_language(rules.common_words, lambda words: _doubles([*words.values(), 1.0 - sum(words.values())])).alias("_expected"),
-        _by_language(rules.classes, _doubles, _doubles(rules.classes[rules.fallback])).alias("_expected_classes"),
+        _by_language(rules.classes, _doubles, F.when(judged & _has_case(), _doubles(rules.classes[rules.fallback]))).alias("_expected_classes"),
     )
     df = df.select("*", F.when(judged, _word_shares()).alias("_words"))
     df = df.select(

@@ -278,6 +278,22 @@ def test_quality_verdict(spark):
     assert {r["doc_id"] for r in keep_quality(docs).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_of_scripts_without_case(spark):
+    """No reference speaks of Chinese, Japanese or Arabic: the counting rules alone decide there; elsewhere the fallback still does."""
+    rng = random.Random(6)
+    letters = {"zh": "的一是不了人我在有他这中大来上个国到说们", "ja": "あいうえおかきくけこさしすせそ日本語", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"}
+    text = lambda s, n: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    rows = [(k, text(s, 120), lang) for k, (name, s) in enumerate(letters.items()) for lang in (name, None)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    looped = (50, " ".join(["的一是 不了人 我在有 他这中 大来上"] * 30), "zh")
+    latin = (51, text("abcdefgh", 120).upper(), "fi")
+    symbols = (52, "12 34 ## $$ " * 60 + text("0123456789", 60), None)
+    wrong = (53, text(letters["zh"], 120), "en")
+    got = {r["doc_id"]: r for r in quality_signals(spark.createDataFrame([*rows, looped, latin, symbols, wrong], "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i]["kept"] and got[i]["class_divergence"] is None for i, *_ in rows)
+    assert not any(got[i]["kept"] for i in (50, 51, 52, 53))
+
+
 def vectors(spark, rows, kind):
     return spark.createDataFrame([(*r, 7) for r in rows], f"vec_id bigint, embedding array<{kind}>, id bigint").withColumn("score", F.lit(1))
 
