@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Between these sizes a table may be a single row group, which a single task would read and compute on.
-SMALL_BYTES, LARGE_BYTES = 1 << 20, 64 << 20
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``folder/name.parquet``; a small table of few splits is dealt out to all cores, others read as they are split.
+    """``folder/name.parquet``; a table of fewer splits than there are cores is dealt out to all of them.
 
-    Column pruning and filters pass through the dealing; tables beyond LARGE_BYTES never see it.
+    The rule looks at splits alone, whatever the size: row groups are not split, so a file written as one
+    would keep a single core busy with all that follows.  Column pruning and filters pass through the
+    dealing.  Tables of as many splits as cores, or more, are read as they are split.
     """
-    path = f"{folder}/{name}.parquet"
-    df = spark.read.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if not SMALL_BYTES <= size <= LARGE_BYTES or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
