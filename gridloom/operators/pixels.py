@@ -19,6 +19,8 @@ def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
     A pixel depends on those to its left and above, so pixels are done by diagonals, a diagonal at once.
     """
     height, width, channels = lines.shape
+    if not kinds.any():
+        return lines
     out = np.zeros((height + 1, width + 1, channels), np.int32)  # with an empty line above and an empty column before
     for diagonal in range(height + width - 1):
         y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))

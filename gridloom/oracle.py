@@ -262,8 +262,9 @@ BUILT = (
     + " UNION ALL SELECT m.child, m.pick, m.pos, query, a, b, c, d FROM mixed m JOIN cell_rows r ON m.child = 1 AND r.nth = m.row_key)"
 )
 JOIN = ", ".join
-# Images of one colour each, and how they fit into a frame of 64 by 48.
-PLAIN_IMAGES = "plain AS (SELECT * FROM (VALUES (0::BIGINT, 40, 90, 200, 16, 9), (1::BIGINT, 90, 90, 140, 9, 16), (2::BIGINT, 140, 90, 80, 40, 40)) AS t(id, r, g, b, w, h))"
+# Every supplier's image of one colour, and how it fits into a frame of 64 by 48.
+PLAIN_IMAGES = """plain AS (SELECT s_suppkey AS id, (40 + 50 * (s_suppkey % 3))::INTEGER AS r, (90 + s_suppkey % 100)::INTEGER AS g, (200 - 60 * (s_suppkey % 3))::INTEGER AS b,
+   [16, 9, 40][(s_suppkey % 3 + 1)::INTEGER] AS w, [9, 16, 40][(s_suppkey % 3 + 1)::INTEGER] AS h FROM supplier)"""
 SMALL_FRAMES = """scales_of AS (SELECT *, least(64.0::DOUBLE / w, 48.0::DOUBLE / h) AS scale FROM plain),
  contents AS (SELECT *, least(64, round_even(w * scale, 0)::INTEGER) AS content_w, least(48, round_even(h * scale, 0)::INTEGER) AS content_h FROM scales_of),
  fitted AS (SELECT *, (64 - content_w) // 2 AS pad_x, (48 - content_h) // 2 AS pad_y FROM contents)"""
@@ -366,19 +367,26 @@ SQL: dict[str, str] = {
         string_agg(array_to_string(pixels, ';'), ';' ORDER BY conv_id) AS pixel_values, string_agg('1,' || len(pixels), ';' ORDER BY conv_id) AS image_grid_thw FROM padded GROUP BY batch_id""",
     "image_letterbox_pixels": f"""WITH {PLAIN_IMAGES}, {SMALL_FRAMES}, grid AS (SELECT x, y FROM range(64) t(x), range(48) s(y))
       SELECT id, x::INTEGER AS x, y::INTEGER AS y, CASE WHEN shown THEN r ELSE 0 END AS r, CASE WHEN shown THEN g ELSE 0 END AS g, CASE WHEN shown THEN b ELSE 0 END AS b
-      FROM (SELECT *, x >= pad_x AND x < pad_x + content_w AND y >= pad_y AND y < pad_y + content_h AS shown FROM fitted, grid)
-      UNION ALL SELECT 9::BIGINT, x::INTEGER, y::INTEGER, (x * 3 % 256)::INTEGER, (y * 5 % 256)::INTEGER, ((x + y) % 256)::INTEGER FROM grid""",
-    "image_crop_pixels": f"""WITH plain AS (SELECT id, r, g, b, least(64, ceil(x1 + (x1 - x0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(x0 - (x1 - x0) * 0.15::DOUBLE))::INTEGER AS w,
-        least(48, ceil(y1 + (y1 - y0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(y0 - (y1 - y0) * 0.15::DOUBLE))::INTEGER AS h
-        FROM (VALUES (1::BIGINT, 200, 10, 30, 10::DOUBLE, 8::DOUBLE, 30::DOUBLE, 20::DOUBLE), (2::BIGINT, 5, 250, 70, 45::DOUBLE, 10::DOUBLE, 60::DOUBLE, 44::DOUBLE)) AS t(id, r, g, b, x0, y0, x1, y1)),
+      FROM (SELECT *, x >= pad_x AND x < pad_x + content_w AND y >= pad_y AND y < pad_y + content_h AS shown FROM fitted, grid)""",
+    "image_crop_pixels": f"""WITH boxes AS (SELECT s_suppkey AS id, s_suppkey % 2 AS k, s_suppkey AS i FROM supplier),
+      cornered AS (SELECT id, CASE k WHEN 0 THEN 200 ELSE 5 END AS r, CASE k WHEN 0 THEN i % 90 ELSE 250 END::INTEGER AS g, CASE k WHEN 0 THEN 30 ELSE i % 70 END::INTEGER AS b,
+        CASE k WHEN 0 THEN 10 ELSE 45 END::DOUBLE AS x0, CASE k WHEN 0 THEN 8 ELSE 10 END::DOUBLE AS y0, CASE k WHEN 0 THEN 30 ELSE 60 END::DOUBLE AS x1, CASE k WHEN 0 THEN 20 ELSE 44 END::DOUBLE AS y1 FROM boxes),
+      plain AS (SELECT id, r, g, b, least(64, ceil(x1 + (x1 - x0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(x0 - (x1 - x0) * 0.15::DOUBLE))::INTEGER AS w,
+        least(48, ceil(y1 + (y1 - y0) * 0.15::DOUBLE))::INTEGER - greatest(0, floor(y0 - (y1 - y0) * 0.15::DOUBLE))::INTEGER AS h FROM cornered),
       {SMALL_FRAMES}, grid AS (SELECT x, y FROM range(64) t(x), range(48) s(y))
       SELECT id, x::INTEGER AS x, y::INTEGER AS y, CASE WHEN shown THEN r ELSE 0 END AS r, CASE WHEN shown THEN g ELSE 0 END AS g, CASE WHEN shown THEN b ELSE 0 END AS b
       FROM (SELECT *, x >= pad_x AND x < pad_x + content_w AND y >= pad_y AND y < pad_y + content_h AS shown FROM fitted, grid)""",
     "rows_with_pixels": f"""WITH {UI}, {PLAIN_IMAGES}, {SMALL_FRAMES}, scaled AS (SELECT {KEYS}, fitted.*, """
     + JOIN(f"{clamp('n' + c, '0.0::DOUBLE', '1.0::DOUBLE')} * {'w' if c[0] == 'x' else 'h'}::DOUBLE AS {c}" for c in CORNERS)
-    + " FROM ui JOIN fitted ON id = l_orderkey % 3) SELECT " + KEYS + ", " + JOIN(f"{to_frame(c)} AS {c}_f" for c in CORNERS)
+    + " FROM ui JOIN fitted ON id = l_suppkey) SELECT " + KEYS + ", " + JOIN(f"{to_frame(c)} AS {c}_f" for c in CORNERS)
     + ", (64 * 48 * 3)::INTEGER AS n_bytes, printf('%02X%02X%02X', r, g, b) AS middle FROM scaled",
-    # The images of these queries are made up, so their sizes are constants.
-    "image_headers": "SELECT * FROM (VALUES (0::BIGINT, 16, 9), (1::BIGINT, 9, 16), (2::BIGINT, 40, 40)) AS t(id, img_w, img_h)",
-    "zip_scan": "SELECT * FROM (VALUES ('a', 'd/3x2.png', 3, 2), ('a', 'd/40x7.png', 40, 7)) AS t(archive, name, img_w, img_h)",
+    "image_headers": "SELECT p_partkey, (p_partkey % 5000 + 1)::INTEGER AS img_w, p_size::INTEGER AS img_h FROM part",
+    "image_folder_sizes": f"""WITH {PLAIN_IMAGES}, named AS (SELECT plain.*, s_nationkey, ['', '_', '.h'][(id % 3 + 1)::INTEGER] || id || '.png' AS basename FROM plain JOIN supplier ON s_suppkey = id)
+      SELECT 's' AS source, s_nationkey || '/' || basename AS rel_path, basename, w AS img_w, h AS img_h FROM named""",
+    "zip_scan": f"""WITH {PLAIN_IMAGES} SELECT s_nationkey::VARCHAR AS archive, 'd/' || id || '.png' AS name, w AS img_w, h AS img_h FROM plain JOIN supplier ON s_suppkey = id
+      WHERE id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 45)""",
+    "metrics_table": f"""WITH {SCORED}, counters AS (SELECT count(*)::DOUBLE AS elements, (count(*) FILTER (x1 - x0 < 5 OR y1 - y0 < 5))::DOUBLE AS small, max(x1) AS widest FROM frame),
+      means AS (SELECT l_partkey % 16 AS step, avg(format_reward) AS f, avg(box_reward) AS b FROM scored GROUP BY 1)
+      SELECT 0::BIGINT AS step, 'elements' AS name, round(elements, 6) AS value FROM counters UNION ALL SELECT 0, 'small', round(small, 6) FROM counters UNION ALL SELECT 0, 'widest', round(widest, 6) FROM counters
+      UNION ALL SELECT step, 'rewards/format_reward_func/mean', round(f, 6) FROM means UNION ALL SELECT step, 'rewards/asymmetric_bbox_reward_func/mean', round(b, 6) FROM means""",
 }

@@ -6,8 +6,10 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from gridloom.functions.text import completion_text, parse_box, render_answer, r
 from gridloom.operators import agent, cells, elements, encode, order
 from gridloom.operators.pixels import framed_images
 from gridloom.oracle import SQL
-from gridloom.plans import datasets
-from gridloom.sources import annotations, archives
+from gridloom.plans import datasets, metrics
+from gridloom.sources import annotations, archives, image_folder
 from gridloom.sources.interim import file_system, new_folder
 
 #: A frame that is small enough to be compared by pixels.
@@ -509,13 +511,19 @@ def png(width: int, height: int, colour) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-#: Sizes of the made-up images; image i has the colour (40 + 50 i, 90, 200 - 60 i).
+#: Sizes of the suppliers' images; the one of supplier i has size i % 3 and the colour (40 + 50 (i % 3), 90 + i % 100, 200 - 60 (i % 3)).
 SIZES = ((16, 9), (9, 16), (40, 40))
 
 
-def _images(spark: SparkSession) -> DataFrame:
-    made = [(i, png(w, h, lambda x, y, i=i: (40 + 50 * i, 90, 200 - 60 * i))) for i, (w, h) in enumerate(SIZES)]
-    return spark.createDataFrame(made, "id bigint, content binary")
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """An image of one colour for every supplier: id, content (PNG)."""
+
+    def image(i: int) -> bytes:
+        return png(*SIZES[i % 3], lambda x, y: (40 + 50 * (i % 3), 90 + i % 100, 200 - 60 * (i % 3)))
+
+    drawn = F.pandas_udf(lambda ids: ids.map(image), "binary")
+
+    return fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), drawn("s_suppkey").alias("content"))
 
 
 def _pixels(df: DataFrame) -> DataFrame:
@@ -527,53 +535,107 @@ def _pixels(df: DataFrame) -> DataFrame:
 
 @query
 def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes that the headers of the parts' images tell, by expressions alone."""
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    wide, high = F.pmod("p_partkey", F.lit(5000)) + 1, F.col("p_size").cast("bigint")
+    head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(wide), number(high), F.lit("0802000000")))
     w, h = annotations.png_size(F.col("content"))
-    return _images(spark).select("id", w.alias("img_w"), h.alias("img_h"))
+    return fx.table(spark, d, "part").select("p_partkey", head.alias("content")).select("p_partkey", w.alias("img_w"), h.alias("img_h"))
 
 
 @query
 def image_letterbox_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Plain images scaled and padded, and one of the frame's own size that passes as it is."""
-    same = spark.createDataFrame([(9, png(*SMALL, lambda x, y: (x * 3 % 256, y * 5 % 256, (x + y) % 256)))], "id bigint, content binary")
-    return _pixels(framed_images(_images(spark).unionByName(same), SMALL))
+    """The suppliers' images, scaled and padded, pixel by pixel."""
+    return _pixels(framed_images(_images(spark, d), SMALL))
 
 
 @query
 def image_crop_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """A frame of two colours, and what the crop around a coarse box shows of it."""
-    image = png(*SMALL, lambda x, y: (200, 10, 30) if x < 40 else (5, 250, 70))
-    boxes = spark.createDataFrame([(1, image, 10.0, 8.0, 30.0, 20.0), (2, image, 45.0, 10.0, 60.0, 44.0)], "id bigint, content binary, x0 float, y0 float, x1 float, y1 float")
-    crop = geo.crop_box([F.col(c) for c in CORNERS], 0.15, SMALL)
+    """What the crop around a coarse box shows of a frame of two colours, for every supplier."""
+
+    def image(i: int) -> bytes:
+        return png(*SMALL, lambda x, y: (200, i % 90, 30) if x < 40 else (5, 250, i % 70))
+
+    drawn = F.pandas_udf(lambda ids: ids.map(image), "binary")
+
+    boxes = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), drawn("s_suppkey").alias("content"), F.pmod("s_suppkey", F.lit(2)).alias("k"))
+    corner = lambda left, right: F.when(F.col("k") == 0, left).otherwise(right).cast("float")
+    crop = geo.crop_box([corner(10, 45), corner(8, 10), corner(30, 60), corner(20, 44)], 0.15, SMALL)
     return _pixels(framed_images(boxes.select("id", "content", crop.alias("crop")).select("id", "content", "crop.*"), SMALL, crop=True))
 
 
 @query
 def rows_with_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Training rows with their images: boxes in frame pixels and the colour in the frame's middle."""
-    k = F.pmod("l_orderkey", F.lit(len(SIZES))).cast("int")
+    k = F.pmod("l_suppkey", F.lit(len(SIZES))).cast("int")
     sizes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in SIZES])
-    records = fx.ui_records(spark, d).withColumns({"img_filename": k.cast("string"), "img_w": F.get(sizes, k)["w"], "img_h": F.get(sizes, k)["h"]})
+    records = fx.ui_records(spark, d).withColumns({"img_filename": F.col("l_suppkey").cast("string"), "img_w": F.get(sizes, k)["w"], "img_h": F.get(sizes, k)["h"]})
     rows = encode.with_frame_boxes(elements.records_to_frame(records, keep=fx.UI_KEYS), SMALL)
-    images = _images(spark).select(F.col("id").cast("string").alias("image_path"), "content")
+    images = _images(spark, d).select(F.col("id").cast("string").alias("image_path"), "content")
     middle = (SMALL[1] // 2 * SMALL[0] + SMALL[0] // 2) * 3 + 1
     rows = encode.with_pixels(rows, images, SMALL)
     return rows.select(*fx.UI_KEYS, *[f"{c}_f" for c in CORNERS], F.octet_length("pixels").alias("n_bytes"), F.hex(F.substring("pixels", middle, 3)).alias("middle"))
 
 
+def _write(spark: SparkSession, files: DataFrame, root: str) -> list[str]:
+    """Write files (name, content) below ``root`` from the tasks that hold them; the folders they are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, place = file_system(root)
+        for batch in batches:
+            folders = []
+            for row in batch.to_pylist():
+                folder, _, name = row["name"].rpartition("/")
+                where.create_dir(f"{place}/{folder}", recursive=True)
+                with where.open_output_stream(f"{place}/{folder}/{name}") as out:
+                    out.write(row["content"])
+                folders.append(folder)
+            yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string())], names=["folder"])
+
+    return sorted(r["folder"] for r in files.select("name", "content").mapInArrow(run, "folder string").distinct().collect())
+
+
+@query
+def image_folder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers' images as files in a folder per nation, some with hidden names, listed by the sizes in their headers."""
+    root, k = new_folder(spark, "images"), F.pmod("s_suppkey", F.lit(3)).cast("int")
+    names = F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), F.get(F.array(F.lit(""), F.lit("_"), F.lit(".h")), k), F.col("s_suppkey").cast("string"), F.lit(".png"))
+    _write(spark, _images(spark, d).join(fx.table(spark, d, "supplier"), F.col("id") == F.col("s_suppkey")).select(names.alias("name"), "content"), root)
+    return image_folder.list_images(spark, root, "s", folders=8).select("source", "rel_path", "basename", "img_w", "img_h")
+
+
 @query
 def zip_scan(spark: SparkSession, d: str) -> DataFrame:
-    """An archive in two parts on disk, joined in order, and the sizes its images announce."""
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for w, h in ((3, 2), (40, 7)):
-            archive.writestr(f"d/{w}x{h}.png", png(w, h, lambda x, y: (x, y, 9)))
-    raw, folder = packed.getvalue(), new_folder(spark, "archive")
-    files, place = file_system(folder)
-    files.create_dir(place, recursive=True)
-    for name, part in (("z.part1", raw[:50]), ("a.part2", raw[50:])):
-        with files.open_output_stream(f"{place}/{name}") as out:
-            out.write(part)
-    return archives.with_image_size(archives.read_zip(spark, {"a": [f"{folder}/z.part1", f"{folder}/a.part2"]}))
+    """An archive per nation, in two parts, and of its members those that a line of an order refers to."""
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+            for i, content in rows.sort_values("id")[["id", "content"]].itertuples(index=False):
+                archive.writestr(f"d/{i}.png", content)
+        whole, name = raw.getvalue(), str(rows["s_nationkey"].iloc[0])
+        return pd.DataFrame({"name": [f"{name}/z.part1", f"{name}/a.part2"], "content": [whole[:50], whole[50:]]})
+
+    root, suppliers = new_folder(spark, "archives"), fx.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    images = _images(spark, d).join(suppliers, F.col("id") == F.col("s_suppkey"))
+    nations = _write(spark, images.groupBy("s_nationkey").applyInPandas(packed, "name string, content binary"), root)
+    members = archives.list_members(spark, {n: [f"{root}/{n}/z.part1", f"{root}/{n}/a.part2"] for n in nations})
+    wanted = fx.table(spark, d, "lineitem").where("l_quantity >= 45").select(F.concat(F.lit("d/"), F.col("l_suppkey").cast("string"), F.lit(".png")).alias("name")).distinct()
+    read = archives.read_members(members.join(wanted, "name", "left_semi"), sizes=True)
+    return read.select("archive", "name", "img_w", "img_h")
+
+
+@query
+def metrics_table(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the filter and channel means of every step, in one table."""
+    table = metrics.MetricTable(spark, new_folder(spark, "metrics"), "sql")
+    small = (F.col("x1") - F.col("x0") < 5) | (F.col("y1") - F.col("y0") < 5)
+    counted = table.counted(fx.ui_frame(spark, d), elements=F.count("*"), small=F.count_if(small), widest=F.max("x1"))
+    counted.write.format("noop").mode("overwrite").save()
+    table.record()
+    scored = scoring.score(fx.completions(spark, d)).withColumn("step", F.pmod("l_partkey", F.lit(16)))
+    table.means(scoring.channel_means(scored, ["step"]), "step")
+    return table.read().select("step", "name", F.round("value", 6).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

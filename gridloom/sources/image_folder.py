@@ -8,6 +8,7 @@ that asks for no size opens no file.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ def header_size(files: fs.FileSystem, place: str, size: int) -> tuple[int, int]
             head = f.read_at(min(read, size), 0)
             try:
                 found = image_size(head)
-            except (IndexError, ValueError):
+            except (struct.error, IndexError, ValueError):
                 return None
             if found or read >= size or head[:2] != b"\xff\xd8":
                 return found

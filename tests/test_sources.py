@@ -3,6 +3,8 @@
 import json
 import random
 import struct
+import time
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gridloom import registry
 from gridloom.operators import agent, order, pixels
-from gridloom.plans import datasets
-from gridloom.sources import annotations, image_folder, json_array
+from gridloom.plans import datasets, metrics
+from gridloom.sources import annotations, archives, image_folder, json_array
 
 
 def nasty(n, seed):
@@ -217,3 +219,76 @@ def test_batches_of_a_mixture(spark):
     assert all(max(r["positions"]) // 128 == min(r["positions"]) // 128 for r in got)
     naive = sum(8 * max(n for _, n in rows[i : i + 8]) - sum(n for _, n in rows[i : i + 8]) for i in range(0, 1000, 8))
     assert sum(r["padding"] for r in got) < naive / 5
+
+
+def packed(path, members, method=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", method) as archive:
+        for name, body in members.items():
+            archive.writestr(name, body)
+
+
+def test_members_are_read_by_place(spark, tmp_path):
+    """Members are a table; of those asked for, and of no others, the bytes are fetched, inflated and checked."""
+    bodies = {f"d{i % 3}/{i}.png": registry.png(i + 1, 2, lambda x, y: (x, y, 3)) for i in range(60)} | {"d0/": b"", "é/x.bin": b"\0" * 200_000, "none.txt": b""}
+    packed(tmp_path / "a.zip", bodies)
+    packed(tmp_path / "b.zip", {"d0/0.png": b"another"}, zipfile.ZIP_STORED)
+    members = archives.list_members(spark, {"a": [str(tmp_path / "a.zip")], "b": [str(tmp_path / "b.zip")]})
+    assert {(r["archive"], r["name"]): r["size"] for r in members.collect()} == {("a", n): len(b) for n, b in bodies.items() if n != "d0/"} | {("b", "d0/0.png"): 7}
+    for size in (1, 500, 64 << 20):
+        found = {(r["archive"], r["name"]): bytes(r["content"]) for r in archives.read_members(members, size).collect()}
+        assert found == {("a", n): b for n, b in bodies.items() if n != "d0/"} | {("b", "d0/0.png"): b"another"}
+    sized = archives.read_members(members.where("archive = 'a' AND name LIKE '%.png'"), sizes=True)
+    assert {r["img_w"] for r in sized.collect()} == set(range(1, 61))
+    # Damage to one member is noticed by who asks for it, and by no one else.
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    bad = next(r for r in members.collect() if r["name"] == "d1/1.png")
+    raw[bad["offset"] + 30 + len("d1/1.png") + 20] ^= 255
+    (tmp_path / "a.zip").write_bytes(bytes(raw))
+    assert archives.read_members(members.where("name <> 'd1/1.png'")).count() == len(bodies) - 1
+    with pytest.raises(Exception, match="damaged|incorrect|invalid|Error -3"):
+        archives.read_members(members.where("name = 'd1/1.png'")).collect()
+
+
+def test_archive_is_unpacked_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A run that fails half way leaves nothing that is read; the next does all, the one after nothing."""
+    bodies = {f"{i}.png": registry.png(i + 1, 2, lambda x, y: (x, y, 3)) for i in range(20)}
+    packed(tmp_path / "a.zip", bodies)
+    whole = (tmp_path / "a.zip").read_bytes()
+    broken = bytearray(whole)
+    broken[45:60] = b"\xff" * 15
+    (tmp_path / "a.zip").write_bytes(bytes(broken))
+    root = str(tmp_path / "cache")
+    with pytest.raises(Exception):
+        archives.archive_images(spark, root, "s", [str(tmp_path / "a.zip")])
+    (tmp_path / "a.zip").write_bytes(whole)
+    rows = archives.archive_images(spark, root, "s", [str(tmp_path / "a.zip")]).collect()
+    assert {r["rel_path"]: (r["img_w"], bytes(r["content"])) for r in rows} == {n: (int(n[:-4]) + 1, b) for n, b in bodies.items()}
+    monkeypatch.setattr(archives, "list_members", None)
+    assert archives.archive_images(spark, root, "s", [str(tmp_path / "a.zip")]).count() == 20
+
+
+def test_metrics_of_batches_and_streams(spark, tmp_path):
+    """Counters, means and what a stream observes are rows of one table."""
+    table = metrics.MetricTable(spark, str(tmp_path / "metrics"), "r1")
+    rows = spark.range(100).withColumn("x", F.col("id") * 0.5)
+    table.counted(rows, 3, n=F.count("*"), top=F.max("x"), none=F.max(F.lit(None).cast("double"))).write.format("noop").mode("overwrite").save()
+    table.record()
+    table.record()
+    table.means(rows.groupBy((F.col("id") % 2).alias("step")).agg(F.avg("x").alias("x/mean")), "step")
+    rows.where("id < 60").write.parquet(str(tmp_path / "in/a"))
+    rows.where("id >= 60").coalesce(1).write.mode("append").parquet(str(tmp_path / "in/a"))
+    listener = table.listener()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/a")).observe("seen", F.count("*").alias("seen"), F.sum("x").alias("total"))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        for _ in range(100):
+            if table.read().where("name = 'seen'").count():
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {(r["step"], r["name"]): r["value"] for r in table.read().where("name NOT IN ('seen', 'total', 'rows')").collect()}
+    assert got == {(3, "n"): 100, (3, "top"): 49.5, (3, "none"): None, (0, "x/mean"): 24.5, (1, "x/mean"): 25.0}
+    streamed = {r["name"]: r["v"] for r in table.read().where("name IN ('seen', 'total')").groupBy("name").agg(F.sum("value").alias("v")).collect()}
+    assert streamed == {"seen": 100, "total": 2475.0} and {r["run"] for r in table.read().collect()} == {"r1"}
