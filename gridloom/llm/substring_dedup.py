@@ -241,9 +241,11 @@ def _exchange(entries: DataFrame, kind: np.dtype, judge) -> DataFrame:
 
 def _spread(bucket: np.ndarray, verdicts: list[dict] | None, n: int) -> np.ndarray:
     """Verdicts back in the order of the entries they were given for."""
-    out = np.zeros(n, np.uint8)
-    for v in verdicts or []:
-        out[np.flatnonzero(bucket == v["bucket"])] = np.frombuffer(v["codes"], np.uint8)
+    out, verdicts = np.zeros(n, np.uint8), verdicts or []
+    order = np.argsort(bucket, kind="stable")  # entries of one bucket lie together, in the order they were sent
+    asked, lie = np.array([v["bucket"] for v in verdicts], dtype=np.int64), bucket[order]
+    for v, a, b in zip(verdicts, np.searchsorted(lie, asked), np.searchsorted(lie, asked, side="right"), strict=True):
+        out[order[a:b]] = np.frombuffer(v["codes"], np.uint8)
     return out
 
 
@@ -251,10 +253,13 @@ EDGE = "id bigint, check bigint, u bigint, v bigint, n int, grp bigint, at bigin
 
 
 def _repeated(edges: DataFrame) -> DataFrame:
-    """Edges at two places or more: grp, at, n, their source (grp0, at0), and nodes u, v at the source."""
-    same = Window.partitionBy("id", "check")
-    source = F.min(F.struct("grp", "at")).over(same)
-    marked = edges.withColumns({"source": source, "copies": F.count("*").over(same), "again": F.max("again").over(same)}).where("copies > 1 OR again")
+    """Edges at two places or more: grp, at, n, their source (grp0, at0), and nodes u, v at the source.
+
+    Sources are aggregates, which combine before they are shuffled, and edges meet theirs in a join,
+    whose hot keys are split; so a passage that every group holds fills no task.
+    """
+    sources = edges.groupBy("id", "check").agg(F.min(F.struct("grp", "at")).alias("source"), F.count("*").alias("copies"), F.max("again").alias("again"))
+    marked = edges.drop("again").join(sources.where("copies > 1 OR again").select("id", "check", "source"), ["id", "check"])
     own = F.col("grp") == F.col("source.grp")
     nodes = [F.when(own, F.col(c)).alias(c) for c in ("u", "v")]
     return marked.select("grp", "at", "n", F.col("source.grp").alias("grp0"), F.col("source.at").alias("at0"), *nodes)
@@ -367,7 +372,9 @@ def _judged(groups: DataFrame, kind: str, n_buckets: int, window: int, seed: int
                 arrays = [pa.array(x) for x in (*columns, n.astype(np.int32), grp, start, again)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "check", "u", "v", "n", "grp", "at", "again"])
 
-    repeated = keep(_repeated(with_seeds.mapInArrow(send_edges, EDGE)), "repeated")
+    edges = keep(with_seeds.mapInArrow(send_edges, EDGE), "edges")
+    repeated = keep(_repeated(edges), "repeated")
+    forget(edges)
     paths = keep(_compacted(repeated), "paths")
     passages = keep(_passages(groups, paths, window), "passages")
     named = keep(repeated.select("grp", "at", "n", "grp0", "at0").join(paths.select("grp0", "at0", "path"), ["grp0", "at0"]), "places")
