@@ -244,7 +244,7 @@ def mixed(a: str, b: str) -> str:
  mixed AS ({permuted("SELECT * FROM picks", "place", "(SELECT c0 + c1 FROM wanted)", "'17'", "pos")})"""
 
 
-UI_CHILD = f"SELECT {ROW_KEY} AS row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM kept"
+UI_CHILD = f"SELECT concat_ws('|', {KEYS}, x0, y0) AS row_key, image_path, query, x0, y0, x1, y1, img_w, img_h FROM kept"
 MIX_A = f"{FRAMED}, {CELLS}, kept_cells AS ({kept('cells', 50)})"
 #: A cell's row key is a digest of printed doubles, which the engines print alike.
 CELL_CHILD = (

@@ -350,7 +350,7 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
 
 def _children(spark: SparkSession, d: str) -> list[DataFrame]:
     key = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    a = elements.filter_frame(fx.ui_frame(spark, d)).withColumn("row_key", key(*fx.UI_KEYS))
+    a = elements.filter_frame(fx.ui_frame(spark, d)).withColumn("row_key", key(*fx.UI_KEYS, "x0", "y0"))
     b = elements.filter_frame(_cells(spark, d), max_query_chars=50).withColumn("row_key", key("image_path", "query", "x0", "y0", "x1", "y1"))
     return [x.select("row_key", *elements.FRAME_COLUMNS).dropDuplicates(["row_key"]) for x in (a, b.withColumn("row_key", F.md5("row_key")))]
 
