@@ -600,4 +600,4 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path):
 
 
 def test_queries_are_named(spark):
-    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 14)]
