@@ -32,6 +32,8 @@ class Config:
     reward: RewardRules = field(default_factory=RewardRules)
     mix_ratio: tuple[float, float] = (0.7, 0.3)
     holdout_fraction: float = 0.01
+    #: ``row``, or ``image``: no screenshot then has rows on both sides.
+    holdout_by: str = "row"
     seed: int = 17
     target_size: tuple[int, int] = (1024, 768)
     letterbox_fill: float = 0.0

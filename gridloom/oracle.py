@@ -325,7 +325,14 @@ SQL: dict[str, str] = {
     "zoom_verify_pixels": _zoom_pixels(),
     "holdout_split": f"""WITH {FRAMED}, placed AS (SELECT {KEYS}, row_number() OVER (ORDER BY md5({ROW_KEY} || '|17'), {KEYS}) - 1 AS pos, count(*) OVER () AS n FROM kept)
       SELECT {KEYS}, pos, CASE WHEN pos < greatest(1, floor(n * 0.01::DOUBLE)::BIGINT) THEN 'holdout' ELSE 'train' END AS part FROM placed""",
+    "holdout_groups": f"""WITH {FRAME}, kept AS ({kept('frame')}), wanted AS (SELECT greatest(1, floor(count(*) * 0.05::DOUBLE)::BIGINT) AS w FROM kept),
+      sized AS (SELECT image_path, md5('["' || image_path || '"]|17') AS digest, count(*) AS n FROM kept GROUP BY image_path),
+      summed AS (SELECT *, coalesce(sum(n) OVER (ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized),
+      sides AS (SELECT image_path, CASE WHEN before + n < w OR before = 0 OR (before < w AND before + n - w < w - before) THEN 'holdout' ELSE 'train' END AS part FROM summed, wanted)
+      SELECT {KEYS}, image_path, part FROM kept JOIN sides USING (image_path)""",
     "page_image_join": f"WITH {CELLS} SELECT image_path, query, x0, y0, doc_id AS image FROM cells JOIN ordered ON page_ordinal = image_path::BIGINT",
+    "page_lookup": f"""WITH {CELLS}, kept_cells AS ({kept('cells', 50)})
+      SELECT image_path, query, x0, y0, md5(text) AS image FROM kept_cells JOIN ordered ON page_ordinal = image_path::BIGINT JOIN documents USING (doc_id)""",
     "zipped_rewards": f"""WITH {SCORED}, placed AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY l_orderkey) AS size FROM scored
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, completion))
       SELECT l_orderkey, count(*)::INTEGER AS n, sum(format_reward) AS total FROM placed WHERE nth <= greatest(size - 1, 1) GROUP BY l_orderkey""",

@@ -14,6 +14,7 @@ from gridloom.operators import cells, elements, order
 from gridloom.operators.encode import collate, grpo_rows, pad_batches, sft_rows, with_frame_boxes
 
 MODES = ("sft", "grpo")
+HOLDOUTS = ("row", "image")
 
 
 def ui_frame(entries: DataFrame, index: DataFrame, sizes: DataFrame, config: Config = Config()) -> DataFrame:
@@ -34,15 +35,21 @@ def build(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(training rows, evaluation rows or None): filter, shuffle, split, mix, encode.
 
-    Evaluation rows are held out of the UI corpus alone, and only in mode sft, where a tokenizer adds
-    ids, masks and labels.  Training rows of a mixture carry their position in it as ``pos``.
+    Evaluation rows are held out of the UI corpus alone, row by row or by whole screenshots, and only in
+    mode sft, where a tokenizer adds ids, masks and labels.  Training rows of a mixture carry their position in it as ``pos``.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     if len(config.mix_ratio) != 2:
         raise ValueError("mix_ratio needs two weights")
+    if config.holdout_by not in HOLDOUTS:
+        raise ValueError(f"holdout_by must be one of {HOLDOUTS}, got {config.holdout_by!r}")
     a = elements.filter_frame(ui, config.ui.min_box_px, config.ui.min_query_chars)
-    train, held = order.split_holdout(order.shuffled(a, ui_keys, config.seed), config.holdout_fraction)
+    placed = order.shuffled(a, ui_keys, config.seed)
+    if config.holdout_by == "image":
+        train, held = order.split_groups(placed, "image_path", config.holdout_fraction, config.seed)
+    else:
+        train, held = order.split_holdout(placed, config.holdout_fraction)
     encode = partial(sft_rows, tokenize=tokenize) if mode == "sft" else grpo_rows
     rows = train.drop("pos")
     if config.mix_ratio[1] > 0 and cell is not None:

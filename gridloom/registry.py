@@ -24,7 +24,7 @@ from gridloom.operators import agent, cells, elements, encode, order
 from gridloom.operators.pixels import framed_images
 from gridloom.oracle import SQL
 from gridloom.plans import datasets, metrics
-from gridloom.sources import annotations, archives, image_folder
+from gridloom.sources import annotations, archives, image_folder, page_store
 from gridloom.sources.interim import file_system, new_folder
 
 #: A frame that is small enough to be compared by pixels.
@@ -348,6 +348,14 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*fx.UI_KEYS, "pos", "part")
 
 
+@query
+def holdout_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A split by whole screenshots."""
+    kept = elements.filter_frame(fx.ui_frame(spark, d)).select(*fx.UI_KEYS, "image_path")
+    train, held = order.split_groups(kept, "image_path", 0.05, 17)
+    return train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("holdout")))
+
+
 def _children(spark: SparkSession, d: str) -> list[DataFrame]:
     key = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
     a = elements.filter_frame(fx.ui_frame(spark, d)).withColumn("row_key", key(*fx.UI_KEYS, "x0", "y0"))
@@ -380,6 +388,17 @@ def page_image_join(spark: SparkSession, d: str) -> DataFrame:
     return cells.page_images(cells.cell_frame(pages), pages).select("image_path", "query", "x0", "y0", "image")
 
 
+@query
+def page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows of corpus B with the text of their page as its image, from pages kept in buckets."""
+    pages, path = order.ordinal_by(_category(spark, d), "doc_id", "page_ordinal"), new_folder(spark, "page_store")
+    texts = fx.table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("image"))
+    page_store.keep_in_buckets(pages.join(texts, "doc_id").select("page_ordinal", "doc_id", "image"), path)
+    rows = elements.filter_frame(cells.cell_frame(pages), max_query_chars=50)
+    found = page_store.look_up(rows, page_store.open_buckets(spark, path))
+    return found.select("image_path", "query", "x0", "y0", F.md5("image").alias("image"))
+
+
 @query
 def zipped_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Rewards of a list of completions against a shorter list of targets."""

@@ -191,6 +191,11 @@ def test_build(spark):
     assert nothing is None and alone.count() == n - n // 100 and "target_bbox" in alone.columns
     with pytest.raises(ValueError):
         datasets.build(ui, fx.UI_KEYS, None, keys, mode="other")
+    with pytest.raises(ValueError):
+        datasets.build(ui, fx.UI_KEYS, None, keys, override(Config(), {"holdout_by": "other"}))
+    # By whole screenshots no image is on both sides, and no row is lost.
+    train, held = datasets.build(ui, fx.UI_KEYS, None, [], override(Config(), {"holdout_by": "image", "mix_ratio": [1, 0]}))
+    assert not train.select("image_path").intersect(held.select("image_path")).count() and train.count() + held.count() == n
 
 
 def test_collate(spark):

@@ -1,5 +1,7 @@
 """Golden vectors and properties of the expression layer."""
 
+import hashlib
+import json
 import math
 import random
 
@@ -196,6 +198,46 @@ def test_orders(spark):
     assert [legacy[i] for i in (7, 2, 5, 3, 4, 0, 9, 8, 6, 1)] == list(range(10))
 
 
+def brute_groups(sizes, fraction, seed):
+    """The groups that are held: in the order of their digests until the number is reached."""
+    wanted, held, before = max(1, int(sum(sizes.values()) * fraction)), set(), 0
+    name = lambda g: "[null]" if g is None else json.dumps([g])
+    for g in sorted(sizes, key=lambda g: hashlib.md5(f"{name(g)}|{seed}".encode()).hexdigest()):
+        over = before + sizes[g] - wanted
+        if over < 0 or not before or (before < wanted and over < wanted - before):
+            held.add(g)
+        before += sizes[g]
+        if over >= 0:
+            break
+    return held
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize("fraction", [0.001, 0.05, 0.5, 1.0])
+def test_split_groups(spark, monkeypatch, fraction, digits):
+    """Whole groups, near the number; one group holds a third of all rows, one has no name, one an empty one."""
+    monkeypatch.setattr(order, "DIGITS", digits)
+    sizes = {f"g{i}": 1 + i % 7 for i in range(300)} | {None: 5, "": 4, "hot": 600}
+    rows = spark.createDataFrame([(g, n) for g, n in sizes.items()], "g string, n int").select("g", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    for seed in range(3):
+        train, held = order.split_groups(rows, "g", fraction, seed)
+        got = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        rest = {r["g"]: r["n"] for r in train.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        assert got | rest == sizes and not set(got) & set(rest)
+        assert set(got) == brute_groups(sizes, fraction, seed)
+        assert abs(sum(got.values()) - max(1, int(sum(sizes.values()) * fraction))) < max(sizes.values())
+
+
+def test_split_groups_of_few_rows(spark):
+    none = spark.createDataFrame([], "g string, h int")
+    assert [x.count() for x in order.split_groups(none, "g")] == [0, 0]
+    one = spark.createDataFrame([("a", 1), ("a", 1)], "g string, h int")
+    assert [x.count() for x in order.split_groups(one, "g")] == [0, 2]
+    # Two columns name a group; texts that only look alike when joined do not meet.
+    pairs = spark.createDataFrame([("a,b", "c"), ("a", "b,c")] * 2, "g string, h string")
+    assert [x.count() for x in order.split_groups(pairs, ["g", "h"], 0.5)] == [2, 2]
+
+
 def test_mix(spark):
     a, b = (spark.range(n).select(F.col("id").cast("string").alias("row_key"), F.lit(x).alias("v")) for n, x in ((70, "a"), (7, "b")))
     rows = order.mixed_rows([a, b], ["row_key"], [0.7, 0.3], 3).collect()

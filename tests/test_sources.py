@@ -1,10 +1,12 @@
 """Sources and the agent on data of hostile shapes: JSON arrays in ranges, image folders, pixels."""
 
 import json
+import os
 import random
 import struct
 import time
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom import registry
 from gridloom.operators import agent, order, pixels
 from gridloom.plans import datasets, metrics
-from gridloom.sources import annotations, archives, image_folder, json_array
+from gridloom.sources import annotations, archives, image_folder, json_array, page_store
 
 
 def nasty(n, seed):
@@ -292,3 +294,37 @@ def test_metrics_of_batches_and_streams(spark, tmp_path):
     assert got == {(3, "n"): 100, (3, "top"): 49.5, (3, "none"): None, (0, "x/mean"): 24.5, (1, "x/mean"): 25.0}
     streamed = {r["name"]: r["v"] for r in table.read().where("name IN ('seen', 'total')").groupBy("name").agg(F.sum("value").alias("v")).collect()}
     assert streamed == {"seen": 100, "total": 2475.0} and {r["run"] for r in table.read().collect()} == {"r1"}
+
+
+def test_page_lookup_moves_no_image(spark, tmp_path):
+    """Pages lie in buckets: rows travel to them, and a table opened by its folder is the same."""
+    pages = spark.range(500).select(F.col("id").alias("page_ordinal"), F.concat(F.lit("image "), "id").cast("binary").alias("image"), F.lit(1).alias("other"))
+    path = str(tmp_path / "pages")
+    kept = page_store.keep_in_buckets(pages, path, buckets=6)
+    assert sorted(kept.collect()) == sorted(pages.collect())
+    assert len([f for f in os.listdir(f"{path}/page_ordinal-6") if f.endswith(".parquet")]) == 6
+    spark.sql(f"DROP TABLE {page_store._named(path + '/page_ordinal-6')}")
+    kept = page_store.open_buckets(spark, path)
+    names = [str(i * 7 % 600) for i in range(900)] + ["12x", "", None, "-3", "99999999999999999999", "7"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, image_path string")
+    wanted = {(i, n, f"image {n}".encode()) for i, n in enumerate(names) if n and n.isdigit() and int(n) < 500}
+    found = page_store.look_up(rows, kept)
+    assert {(r["i"], r["image_path"], bytes(r["image"])) for r in found.collect()} == wanted and found.columns == ["i", "image_path", "image"]
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan and "other" not in plan
+    with pytest.raises(ValueError, match="0 finished"):
+        os.remove(f"{path}/page_ordinal-6/_SUCCESS")
+        page_store.open_buckets(spark, path)
+
+
+def test_page_that_many_rows_ask_for(spark, tmp_path):
+    """A third of all rows, alike but for repeats, asks for one page: none is lost or doubled, copies follow the rows."""
+    pages = spark.range(60).select(F.col("id").alias("page_ordinal"), F.col("id").cast("string").cast("binary").alias("image"))
+    kept = page_store.keep_in_buckets(pages, str(tmp_path / "p"), buckets=5)
+    names = [str(i % 90) for i in range(400)] + ["7"] * 200 + ["8"] * 30
+    rows = spark.createDataFrame([(n, 1) for n in names], "image_path string, x int")
+    for hot in (1, 10, 29, 1000):
+        got = Counter((r["image_path"], bytes(r["image"])) for r in page_store.look_up(rows, kept, hot_rows=hot).collect())
+        assert got == Counter((n, n.encode()) for n in names if int(n) < 60)
+    none = page_store.keep_in_buckets(pages.where("page_ordinal < 0"), str(tmp_path / "none"))
+    assert page_store.look_up(rows, none).count() == 0 and page_store.look_up(rows.where("x > 1"), kept).count() == 0
