@@ -223,10 +223,13 @@ def mix(
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD)).cast("bigint")
-    base = docs.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *carry)
-    # Rows of one key, as copies of an id are, are told apart by where they were written.
-    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << KEY_BITS) - 1)
-    base = keep(base.withColumns({"key": seeded_key(seed, F.col("id"), F.col("size")), "tie": tie}), "sizes", 1 if carry else 6)
+    base = docs.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), F.col(text_column).alias("_told"), *carry)
+    # Rows of one key are told apart by their texts, so that a rerun takes the same; those that repeat
+    # the text too by where they were written, which splits any number of them.
+    half = KEY_BITS // 2
+    low = lambda x: F.xxhash64(x).bitwiseAND((1 << half) - 1)
+    tie = F.shiftleft(low(F.coalesce(F.col("_told"), F.lit(""))), half).bitwiseOR(low(F.monotonically_increasing_id()))
+    base = keep(base.withColumns({"key": seeded_key(seed, F.col("id"), F.col("size")), "tie": tie}).drop("_told"), "sizes", 1 if carry else 6)
     patterns = {tuple(r["sources"]): r["words"] for r in base.groupBy("sources").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = defaultdict(int)
     for p, words in patterns.items():
