@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,19 @@ def forget(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def spare_memory() -> None:
+    """In a worker: give back what earlier tasks of other stages left in it, before a stage that needs the room.
+
+    Workers are used again by later stages, with their tokenizers and remembered pieces and with memory
+    that Arrow holds for its next batches.
+    """
+    import pyarrow as pa
+
+    if tokens := sys.modules.get("gridloom.llm.tokens"):
+        tokens.give_back()
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import forget, keep
+from gridloom.llm.common import forget, keep, spare_memory
 from gridloom.llm.graph import components
 from gridloom.llm.wordhash import RollingHash, hash_words, mixed
 
@@ -102,6 +102,7 @@ def _sketch(df: DataFrame, words: int) -> DataFrame:
     """id, n, h1, h2 (a 128-bit hash of the set), keys per tree, signature bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)

@@ -303,3 +303,9 @@ def _ranges(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 @lru_cache(maxsize=4)
 def piece_encoder(name: str) -> PieceEncoder:
     return PieceEncoder(name)
+
+
+def give_back() -> None:
+    """Free what encoders of this worker remember, for work that encodes nothing; they are made again when asked for."""
+    piece_encoder.cache_clear()
+    load.cache_clear()

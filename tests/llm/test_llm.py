@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import graph, near_dup, substring_dedup
 from gridloom.sources.tables import table
+from gridloom.llm.common import spare_memory
 from gridloom.llm.mixing import materialise, mix, mix_sources, route
 from gridloom.llm.near_dup import Similarity, drop_near_duplicates, near_duplicates
 from gridloom.llm.packing import combinations, fit, pack, plan
@@ -20,7 +22,7 @@ from gridloom.llm.secrets import find_secrets, redact
 from gridloom.llm.substring_dedup import _compacted, remove_repeats
 from gridloom.llm.token_count import count_chunked, count_tokens
 from gridloom.llm.token_file import CorruptFrame, FrameReader, open_filesystem, read_token_files, write_token_files
-from gridloom.llm.tokens import PieceEncoder, load
+from gridloom.llm.tokens import PieceEncoder, load, piece_encoder
 from gridloom.llm.url_filter import filter_urls
 from gridloom.llm.vector_search import top_k
 
@@ -402,6 +404,28 @@ def test_mix_overlapping_rows(spark):
     assert sum(r["taken"] for r in got) == 1000 and all(r["taken"] <= 30 for r in got)
 
 
+def test_materialise_takes_the_same_texts_again(spark):
+    """Rows of one id and size but unlike texts: whatever the partitions, the same ones are repeated."""
+    rows = [(7, "a", f"w{i} x{i * 37 % 101} y") for i in range(90)] + [(i, "b", f"text {i} of b") for i in range(300)] + [(7, "a", "the same text")] * 40
+    taken = []
+    for parts, seed in ((1, 0), (7, 1), (3, 2)):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id int, source string, text string").repartition(parts)
+        taken.append(sorted((r["doc_id"], r["text"]) for r in materialise(df).collect()))
+    assert taken[0] == taken[1] == taken[2]
+    mostly = Counter(Counter(t for _, t in taken[0]).values())
+    assert len(mostly) > 1  # some texts of one id are repeated more often than others
+
+
+def test_encoders_give_memory_back():
+    texts = ["some words, some more"]
+    first = piece_encoder("byte_bpe_50k.json")
+    ids = first.encode(texts)
+    spare_memory()
+    again = piece_encoder("byte_bpe_50k.json")
+    assert again is not first and again.encode(texts) == ids
+
+
 def test_materialise(docs):
     out = materialise(docs)
     assert out.columns == docs.columns
