@@ -276,16 +276,24 @@ def _connected(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, step) -> DataFrame:
     """key, i, j, block, node, component, members: every row once in each unit (i, j) of its block.
 
-    Blocks follow the components, and two blocks inside one component form no unit.
+    Blocks follow the components, and two blocks inside one component form no unit.  ``step`` keeps the
+    weights, which are added up inside ranges of the order and over the ranges before, so that no task
+    sorts a whole group.  Only the weights are sorted; the sets join their blocks afterwards.
     """
     weight = F.octet_length("members") + DOCUMENT_BYTES
-    before = Window.partitionBy("key").orderBy("component", "node", "weight").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / BLOCK_BYTES).cast("int")
-    # Only the weights are sorted; the sets join their blocks afterwards.
-    light = rows.groupBy("key", "component", "node").agg(F.sum(weight).alias("weight")).withColumn("block", place).drop("weight")
+    order = ["key", "component", "node"]
+    summed = rows.groupBy(*order).agg(F.sum(weight).alias("weight"))
+    light = step(summed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "weights", 1)
+    so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    inside = F.coalesce(F.sum("weight").over(so_far.partitionBy("key", "range").orderBy("component", "node")), none)
+    earlier = F.coalesce(F.sum("all").over(so_far.partitionBy("key").orderBy("range")), none)
+    bases = light.groupBy("key", "range").agg(F.sum("weight").alias("all")).withColumn("base", earlier).drop("all")
+    place = F.floor((F.col("base") + F.col("inside")) / BLOCK_BYTES).cast("int")
+    light = light.withColumn("inside", inside).join(bases, ["key", "range"]).withColumn("block", place).select(*order, "block")
     blocks = light.groupBy("key", "block").agg(F.min("component").alias("first"), F.max("component").alias("last"))
     left = blocks.select("key", F.col("block").alias("i"), F.col("first").alias("first_i"), F.col("last").alias("last_i"))
     right = blocks.select("key", F.col("block").alias("j"), F.col("first").alias("first_j"), F.col("last").alias("last_j"))
@@ -424,7 +432,7 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_column: s
             groups = components(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).where("a < b").distinct())
             grouped = groups.select("node", F.col("component").alias("key")).join(apart.select("node", "component").distinct(), "node")
             whole = step(grouped.join(sets.where(F.octet_length("members") > 0).distinct(), "node"), "whole")
-            linked(_joined_blocks(_blocks(whole), how.percent, how.screen))
+            linked(_joined_blocks(_blocks(whole, step), how.percent, how.screen))
     forget(*done)  # what follows reads the sketches and the components alone
     out = members.join(found.withColumnRenamed("component", "found"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "node", "id"))
