@@ -392,6 +392,8 @@ SQL: dict[str, str] = {
       SELECT 's' AS source, s_nationkey || '/' || basename AS rel_path, basename, w AS img_w, h AS img_h FROM named""",
     "zip_scan": f"""WITH {PLAIN_IMAGES} SELECT s_nationkey::VARCHAR AS archive, 'd/' || id || '.png' AS name, w AS img_w, h AS img_h FROM plain JOIN supplier ON s_suppkey = id
       WHERE id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 45)""",
+    "archive_ingest": f"""WITH {PLAIN_IMAGES} SELECT s_nationkey::VARCHAR AS source, 'd/' || id || '.png' AS rel_path, w AS img_w, h AS img_h, true AS whole, true AS listed
+      FROM plain JOIN supplier ON s_suppkey = id""",
     "metrics_table": f"""WITH {SCORED}, counters AS (SELECT count(*)::DOUBLE AS elements, (count(*) FILTER (x1 - x0 < 5 OR y1 - y0 < 5))::DOUBLE AS small, max(x1) AS widest FROM frame),
       means AS (SELECT l_partkey % 16 AS step, avg(format_reward) AS f, avg(box_reward) AS b FROM scored GROUP BY 1)
       SELECT 0::BIGINT AS step, 'elements' AS name, round(elements, 6) AS value FROM counters UNION ALL SELECT 0, 'small', round(small, 6) FROM counters UNION ALL SELECT 0, 'widest', round(widest, 6) FROM counters

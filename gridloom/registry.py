@@ -24,7 +24,7 @@ from gridloom.operators import agent, cells, elements, encode, order
 from gridloom.operators.pixels import framed_images
 from gridloom.oracle import SQL
 from gridloom.plans import datasets, metrics
-from gridloom.sources import annotations, archives, image_folder, page_store
+from gridloom.sources import annotations, archives, image_files, image_folder, page_store
 from gridloom.sources.interim import file_system, new_folder
 
 #: A frame that is small enough to be compared by pixels.
@@ -623,9 +623,8 @@ def image_folder_sizes(spark: SparkSession, d: str) -> DataFrame:
     return image_folder.list_images(spark, root, "s", folders=8).select("source", "rel_path", "basename", "img_w", "img_h")
 
 
-@query
-def zip_scan(spark: SparkSession, d: str) -> DataFrame:
-    """An archive per nation, in two parts, and of its members those that a line of an order refers to."""
+def _archives(spark: SparkSession, d: str) -> dict[str, list[str]]:
+    """An archive of the suppliers' images per nation, in two parts."""
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         raw = io.BytesIO()
@@ -638,12 +637,28 @@ def zip_scan(spark: SparkSession, d: str) -> DataFrame:
     root, suppliers = new_folder(spark, "archives"), fx.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     images = _images(spark, d).join(suppliers, F.col("id") == F.col("s_suppkey"))
     nations = _write(spark, images.groupBy("s_nationkey").applyInPandas(packed, "name string, content binary"), root)
-    members = archives.list_members(spark, {n: [f"{root}/{n}/z.part1", f"{root}/{n}/a.part2"] for n in nations})
+    return {n: [f"{root}/{n}/z.part1", f"{root}/{n}/a.part2"] for n in nations}
+
+
+@query
+def zip_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Of the members of the nations' archives those that a line of an order refers to."""
+    members = archives.list_members(spark, _archives(spark, d))
     wanted = fx.table(spark, d, "lineitem").where("l_quantity >= 45").select(F.concat(F.lit("d/"), F.col("l_suppkey").cast("string"), F.lit(".png")).alias("name")).distinct()
     read = archives.read_members(members.join(wanted, "name", "left_semi"), sizes=True)
     return read.select("archive", "name", "img_w", "img_h")
 
 
+@query
+def archive_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The nations' archives extracted to files, those of the manifests set against those that a listing finds."""
+    root = new_folder(spark, "extracted")
+    told = image_files.ingest(spark, root, _archives(spark, d))
+    there = image_folder.list_images(spark, root, "s").select(F.col("rel_path").alias("stored"), F.col("bytes").alias("found"), F.col("img_w").alias("w"))
+    both = told.join(there, "stored", "full")
+    return both.select("source", "rel_path", "img_w", "img_h", (F.col("bytes") == F.col("found")).alias("whole"), (F.col("img_w") == F.col("w")).alias("listed"))
+
+
 @query
 def metrics_table(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the filter and channel means of every step, in one table."""

@@ -6,6 +6,7 @@ import random
 import struct
 import time
 import zipfile
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from gridloom import registry
 from gridloom.operators import agent, order, pixels
 from gridloom.plans import datasets, metrics
-from gridloom.sources import annotations, archives, image_folder, json_array, page_store
+from gridloom.sources import annotations, archives, image_files, image_folder, json_array, page_store
 
 
 def nasty(n, seed):
@@ -269,6 +270,48 @@ def test_archive_is_unpacked_once_or_not_at_all(spark, tmp_path, monkeypatch):
     assert archives.archive_images(spark, root, "s", [str(tmp_path / "a.zip")]).count() == 20
 
 
+def test_images_are_extracted_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A source appears with its manifest; a failed run leaves nothing, a second one unpacks nothing."""
+    png = lambda w: registry.png(w, 2, lambda x, y: (x, y, 3))
+    packed(tmp_path / "a.zip", {f"d{i % 3}/{i}.png": png(i + 1) for i in range(30)} | {"../up.png": png(40), "/abs/x.PNG": png(41), "c/../e.png": png(42), "none.txt": b"n"})
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as archive:
+        for name, width in (("x.png", 1), ("./x.png", 2), ("y.png", 3)):  # the last of one path stays
+            archive.writestr(name, png(width))
+    packed(tmp_path / "c.zip", {"read.me": b"no image"})
+    (tmp_path / "b.0").write_bytes((tmp_path / "b.zip").read_bytes()[:40])
+    (tmp_path / "b.1").write_bytes((tmp_path / "b.zip").read_bytes()[40:])
+    root = str(tmp_path / "files")
+    zips = {"a": [str(tmp_path / "a.zip")], "b": [str(tmp_path / "b.0"), str(tmp_path / "b.1")], "c": [str(tmp_path / "c.zip")]}
+    whole = (tmp_path / "a.zip").read_bytes()
+    broken = bytearray(whole)
+    broken[45:60] = b"\xff" * 15
+    (tmp_path / "a.zip").write_bytes(bytes(broken))
+    with pytest.raises(Exception):
+        image_files.ingest(spark, root, zips, member_bytes=200)
+    assert image_files.committed(spark, root, list(zips)).count() == 0 and [image_files.manifest(root, s) for s in zips] == [None] * 3
+    left = [p for p in (tmp_path / "files").glob("*/run-*")]  # tasks that still ran may write after the run was given up
+    assert sum(image_files.sweep(root, s) for s in zips) == len(left)
+    (tmp_path / "a.zip").write_bytes(whole)
+    told = image_files.ingest(spark, root, zips, member_bytes=200).collect()
+    expected = {("a", f"d{i % 3}/{i}.png"): i + 1 for i in range(30)} | {("a", "up.png"): 40, ("a", "abs/x.PNG"): 41, ("a", "c/e.png"): 42, ("b", "x.png"): 2, ("b", "y.png"): 3}
+    assert {(r["source"], r["rel_path"]): r["img_w"] for r in told} == expected and len(told) == len(expected)
+    for r in told:
+        raw = (tmp_path / "files" / r["stored"]).read_bytes()
+        assert raw == png(r["img_w"]) and (len(raw), zlib.crc32(raw)) == (r["bytes"], r["crc"])
+    assert sorted(r["rel_path"] for r in image_folder.list_images(spark, root, "s").collect()) == sorted(r["stored"] for r in told)
+    assert image_files.manifest(root, "c")["files"] == 0 and image_files.manifest(root, "a")["files"] == 33
+    monkeypatch.setattr(image_files, "list_members", None)
+    assert image_files.ingest(spark, root, zips).count() == len(expected)
+    monkeypatch.undo()
+    # Another configuration of one source unpacks that one alone; what it replaces is swept when asked.
+    before = {s: image_files.manifest(root, s)["run"] for s in zips}
+    assert image_files.ingest(spark, root, zips | {"b": [str(tmp_path / "b.zip")]}).count() == len(expected)
+    after = {s: image_files.manifest(root, s)["run"] for s in zips}
+    assert {s for s in zips if before[s] != after[s]} == {"b"}
+    assert image_files.sweep(root, "b") == 2 and image_files.sweep(root, "b") == 0
+    assert image_files.committed(spark, root, ["b"]).count() == 2
+
+
 def test_metrics_of_batches_and_streams(spark, tmp_path):
     """Counters, means and what a stream observes are rows of one table."""
     table = metrics.MetricTable(spark, str(tmp_path / "metrics"), "r1")
