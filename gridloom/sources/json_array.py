@@ -152,8 +152,12 @@ def read_json_array(spark: SparkSession, paths: Sequence[str], range_bytes: int
                         found, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string())], names=["text"])
 
-    ranges = spark.createDataFrame([(s,) for s in starts], "start bigint").repartition(len(starts), "start")
-    told = ranges.mapInArrow(scan, ", ".join(f"{c} bigint" for c in _SUMMARY)).collect()  # RANGES rows at most
+    def dealt(rows: list[tuple], schema: str) -> DataFrame:
+        # A task per range.  Rows of an RDD have no size known to the planner.  That of a local table is, and as
+        # the elements' size is estimated from it, joins took elements of any size for small and broadcast them.
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), schema)
+
+    told = dealt([(s,) for s in starts], "start bigint").mapInArrow(scan, ", ".join(f"{c} bigint" for c in _SUMMARY)).collect()  # RANGES rows at most
     state, depth, entered = OUTSIDE, 0, []
     for row in sorted(told):
         entered.append((row[0], state, depth))
@@ -161,8 +165,7 @@ def read_json_array(spark: SparkSession, paths: Sequence[str], range_bytes: int
         depth += change
     if state != OUTSIDE or depth != 0:
         raise NoJsonArray(f"{paths} end inside a string or at depth {depth}")
-    dealt = spark.createDataFrame(entered, "start bigint, state int, depth bigint").repartition(len(starts), "start")
-    return dealt.mapInArrow(cut, "text string")
+    return dealt(entered, "start bigint, state int, depth bigint").mapInArrow(cut, "text string")
 
 
 _SUMMARY = ["start", *(f"{what}{s}" for s in (OUTSIDE, INSIDE, ESCAPED) for what in ("state", "change"))]

@@ -44,6 +44,20 @@ def test_json_array_in_ranges(spark, tmp_path, monkeypatch, range_bytes, block):
         assert sorted(key(json.loads(r["text"])) for r in found.collect()) == sorted(map(key, entries))
 
 
+def test_json_elements_are_no_small_table(spark, tmp_path):
+    """A join does not broadcast an array's elements because the ranges that they are read from are few."""
+    (tmp_path / "a.json").write_text(json.dumps([f"k{i}" for i in range(4000)]))
+    large = spark.range(40_000).select(F.concat(F.lit('"k'), F.col("id").cast("string"), F.lit('"')).alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the elements, more than the ranges
+    try:
+        joined = json_array.read_json_array(spark, [str(tmp_path / "a.json")], 16 << 10).join(large, "text")
+        plan = joined._jdf.queryExecution().executedPlan()
+        assert len(plan.executeCollect()) == 4000
+        assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_json_array_summaries_compose():
     """Cut anywhere, the parts tell of the state that a file begins in what the whole tells; the others cannot occur there."""
     rng = random.Random(3)
