@@ -1,5 +1,6 @@
 """Sources and the agent on data of hostile shapes: JSON arrays in ranges, image folders, pixels."""
 
+import hashlib
 import json
 import os
 import random
@@ -208,6 +209,28 @@ def test_permutation_is_a_bijection(spark, n):
         assert np.mean(np.abs(np.diff(orders[0])) <= 1) < 0.05
 
 
+def test_permutation_takes_no_digest_of_a_row(spark):
+    """Every number goes where the digests of its row and column say, which are not taken row by row."""
+    n, seed = 997, "0|17"
+    df = order.permuted(spark.range(n), F.col("id"), n, seed, "to").where("to < 900")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and plan.count("ArrowEvalPython") == 1
+    wide = 32
+    high, shift = -(-n // wide), lambda other, k: int(hashlib.md5(f"{other}|{k}|{seed}".encode()).hexdigest()[:15], 16)
+
+    def to(i):
+        while True:
+            x, y = i % wide, i // wide
+            for k in range(0, order.STEPS, 2):
+                x = (x + shift(y, k)) % wide
+                y = (y + shift(x, k + 1)) % high
+            i = x + y * wide
+            if i < n:
+                return i
+
+    assert sorted(map(tuple, df.collect())) == [(i, to(i)) for i in range(n) if to(i) < 900]
+
+
 def test_mixture_plan_ranks_nothing(spark):
     """Two children: their numbers come from written ranges, all else is arithmetic."""
     children = [spark.range(k).select(F.col("id").alias("row_key"), F.lit("x").alias("v")) for k in (700, 90)]
