@@ -64,10 +64,12 @@ def with_pixels(rows: DataFrame, images: DataFrame, target: tuple[int, int] = FR
     """Rows (image_path, ...) with their image in frame pixels, RGB bytes by row, beside their boxes.
 
     ``images`` has image_path and content.  Every image is decoded and scaled once, not once a row.
+    Pixels are merged and never broadcast: a planner's estimate follows from the images' files, or
+    less, and all frames would be held by the driver and by every executor.
     """
     named = images.select(F.col("image_path").alias("id"), "content")
     framed = framed_images(named, target, fill).select(F.col("id").alias("image_path"), "pixels")
-    return rows.join(framed, "image_path")
+    return rows.join(framed.hint("merge"), "image_path")
 
 
 def pad_right(values: Column, length: Column, fill: int) -> Column:
