@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.geometry import CORNERS, FRAME, clamp_to_frame, crop_box, letterbox, project_box
 from gridloom.functions.plan import fenced
 from gridloom.functions.text import parse_box
-from gridloom.operators.pixels import letterbox_pixels, to_bytes
+from gridloom.operators.pixels import letterbox_bytes
 from gridloom.sources.interim import written
 
 MIN_EXTENT = 4.0
@@ -123,38 +125,95 @@ def _frame(pixels: bytes, target: tuple[int, int]) -> np.ndarray:
 
 def _zoomed(frame: np.ndarray, crop: dict, target: tuple[int, int], fill: float) -> np.ndarray:
     """The part of a frame inside ``crop``, letterboxed back to the frame's size."""
-    part = frame[crop["y0"] : crop["y1"], crop["x0"] : crop["x1"]].astype(np.float64) / 255.0
-    return to_bytes(letterbox_pixels(part, target, fill))
+    return letterbox_bytes(frame[crop["y0"] : crop["y1"], crop["x0"] : crop["x1"]], target, fill)
 
 
-def pixel_answers(asks: DataFrame, frames: DataFrame, predictor: PixelPredictor, target: tuple[int, int] = FRAME, fill: float = 0.0) -> DataFrame:
-    """_row, answer of every question (_row, image_path, query, crop) about a frame (image_path, pixels).
+def _met(asks: DataFrame, frames: DataFrame, together: int) -> DataFrame:
+    """pixels, _asks: frames (image_path, pixels) and lists of the questions (_row, image_path, query) about them.
 
-    Where ``crop`` is not null the model sees that part of the frame, zoomed.  A frame travels to
-    the questions about it, not a copy to each: questions are grouped by image, those of a hot image
-    in groups that are dealt to several tasks.  Questions about an image without a frame have no row.
+    A frame travels to the questions about it, not a copy to each, and once: questions are grouped by
+    image.  Those of a hot image, more than ``together``, are in groups that are dealt to several tasks,
+    and hot frames alone are copied.  Frames are large whatever a planner estimates, so they are merged
+    and never broadcast.  Questions about an image without a frame are in no list.
     """
-    counts = asks.groupBy("image_path").agg(F.ceil(F.count("*") / predictor.together).alias("_groups"))
+    counts = asks.groupBy("image_path").agg(F.ceil(F.count("*") / together).alias("_groups"))
     group = F.pmod(F.xxhash64("_row"), F.col("_groups"))
-    grouped = asks.join(counts, "image_path").groupBy("image_path", group.alias("_group")).agg(F.collect_list(F.struct("_row", "query", "crop")).alias("_asks"))
-    copies = frames.select("image_path", "pixels").join(counts, "image_path").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
-    met = grouped.join(copies.drop("_groups"), ["image_path", "_group"]).select("pixels", "_asks")
+    grouped = asks.join(counts, "image_path").groupBy("image_path", "_groups", group.alias("_group")).agg(F.collect_list(F.struct("_row", "query")).alias("_asks"))
+    frames = frames.select("image_path", "pixels").hint("merge")
+    met = grouped.where("_groups = 1").join(frames, "image_path").select("pixels", "_asks")
+    hot = counts.where("_groups > 1")
+    if hot.isEmpty():
+        return met
+    copies = frames.join(hot, "image_path").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
+    return met.unionByName(grouped.where("_groups > 1").join(copies.drop("_groups").hint("merge"), ["image_path", "_group"]).select("pixels", "_asks"))
+
+
+def _answers(predictor: PixelPredictor, images: Iterator[np.ndarray], queries: list[str]) -> list[str | None]:
+    """What the model says to every query about its image, handed to it in batches."""
+    model, out = _model(predictor), []
+    for at in range(0, len(queries), predictor.batch):
+        part = queries[at : at + predictor.batch]
+        said = list(model(np.stack(list(islice(images, len(part)))), part))
+        if len(said) != len(part):
+            raise ValueError(f"the model answered {len(said)} of {len(part)} questions")
+        out += said
+    return out
+
+
+#: Frames whose questions are answered before their answers are handed on.
+HELD = 64
+
+
+def _first_answers(met: DataFrame, predictor: PixelPredictor, target: tuple[int, int]) -> DataFrame:
+    """A row with the pixels of every frame of ``met``, followed by the questions about it: _row, query, _macro_text."""
+    schema = pa.schema([("_row", pa.int64()), ("query", pa.string()), ("_macro_text", pa.string()), ("pixels", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(predictor)
         for batch in batches:
-            for pixels, listed in zip(batch.column("pixels"), batch.column("_asks"), strict=True):
-                frame, questions = _frame(pixels.as_buffer().to_pybytes(), target), listed.as_py()
-                answers = []
-                for at in range(0, len(questions), predictor.batch):
-                    part = questions[at : at + predictor.batch]
-                    images = np.stack([frame if q["crop"] is None else _zoomed(frame, q["crop"], target, fill) for q in part])
-                    answers += list(model(images, [q["query"] for q in part]))
-                if len(answers) != len(questions):
-                    raise ValueError(f"the model answered {len(answers)} of {len(questions)} questions")
-                yield pa.RecordBatch.from_arrays([pa.array([q["_row"] for q in questions], pa.int64()), pa.array(answers, pa.string())], names=["_row", "answer"])
+            for at in range(0, batch.num_rows, HELD):
+                part = batch.slice(at, HELD)
+                pixels, asks = part.column("pixels").to_pylist(), part.column("_asks").to_pylist()
+                frames = [_frame(p, target) for p in pixels]
+                images = (frame for frame, listed in zip(frames, asks, strict=True) for _ in listed)
+                answers = iter(_answers(predictor, images, [q["query"] for listed in asks for q in listed]))
+                rows = []
+                for p, listed in zip(pixels, asks, strict=True):
+                    rows.append((None, None, None, p))
+                    rows += [(q["_row"], q["query"], next(answers), None) for q in listed]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return met.mapInArrow(run, "_row bigint, query string, _macro_text string, pixels binary")
+
+
+def _second_answers(seen: DataFrame, predictor: PixelPredictor, target: tuple[int, int], fill: float) -> DataFrame:
+    """The questions of :func:`_first_answers`, in its order, with _micro_text: what the model says to the zoom, where there is one."""
+    kept = [f for f in seen.schema.fields if f.name != "pixels"]
+
+    def zoomed(frame: np.ndarray, crop: dict, known: dict[tuple, np.ndarray]) -> np.ndarray:
+        place = tuple(crop.values())
+        if place not in known:
+            known[place] = _zoomed(frame, crop, target, fill)
+        return known[place]
 
-    return met.mapInArrow(run, "_row bigint, answer string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, known = None, {}  # the last one that came by, whose questions may go on in the next batch, and its zooms
+        for batch in batches:
+            zooms, place, queries = [], [], []
+            rows, asked = batch.column("_row").to_pylist(), batch.column("query").to_pylist()
+            for i, (row, crop) in enumerate(zip(rows, batch.column("crop").to_pylist(), strict=True)):
+                if row is None:
+                    frame, known = _frame(batch.column("pixels")[i].as_buffer(), target), {}
+                elif crop is not None:
+                    zooms.append((frame, crop, known))
+                    place.append(i)
+                    queries.append(asked[i])
+            said: list[str | None] = [None] * batch.num_rows
+            for i, text in zip(place, _answers(predictor, (zoomed(*z) for z in zooms), queries), strict=True):
+                said[i] = text
+            out = batch.select([f.name for f in kept]).append_column("_micro_text", pa.array(said, pa.string()))
+            yield out.filter(batch.column("_row").is_valid())
+
+    return seen.mapInArrow(run, StructType([*kept, StructField("_micro_text", StringType())]))
 
 
 def zoom_verify_pixels(
@@ -163,16 +222,15 @@ def zoom_verify_pixels(
     """Adds ``macro``, ``result`` and ``path`` to rows (image, query, ...) by a model that sees their frames.
 
     The model is asked about the whole frame first, then, for boxes large enough, about the crop around
-    its answer, zoomed to the frame's size; what it says there is projected back.  Rows are written
-    when they are numbered and when the first answers are in, so no question is put twice.  A null
-    query is not asked, and a row without a frame gets no answer: both are misses.
+    its answer, zoomed to the frame's size; what it says there is projected back.  A frame is moved once
+    for both: it comes by in front of its questions, and no step between the passes moves a row to another
+    task or place.  Rows are written when they are numbered and answers when they are in, so no
+    question is put twice.  A null query is not asked, and a row without a frame gets no answer: both are misses.
     """
     numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "agent_rows")
     asks = numbered.where(F.col(query).isNotNull()).select("_row", F.col(image).alias("image_path"), F.col(query).alias("query"))
-    nowhere = F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>")
-    first = pixel_answers(asks.withColumn("crop", nowhere), frames, predictor, target, fill).withColumnRenamed("answer", "_macro_text")
-    seen = macro_pass(numbered.join(first, "_row", "left"), "_macro_text", target).drop("_macro_text")
-    seen = written(zoom_context(seen, margin, target), "agent_zooms")
-    asks = seen.where("zooms").select("_row", F.col(image).alias("image_path"), F.col(query).alias("query"), "crop")
-    second = pixel_answers(asks, frames, predictor, target, fill).withColumnRenamed("answer", "_micro_text")
-    return _refined(seen.join(second, "_row", "left")).drop("_row")
+    first = _first_answers(_met(asks, frames, predictor.together), predictor, target)
+    seen = zoom_context(macro_pass(first, "_macro_text", target).drop("_macro_text"), margin, target)
+    answers = _refined(_second_answers(seen, predictor, target, fill)).select("_row", "macro", "result", "path")
+    told = numbered.join(written(answers, "agent_answers"), "_row", "left")
+    return told.withColumn("path", F.coalesce("path", F.lit("miss"))).drop("_row")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import registry
-from gridloom.operators import agent, order, pixels
+from gridloom.operators import agent, encode, order, pixels
 from gridloom.plans import datasets, metrics
 from gridloom.sources import annotations, archives, image_files, image_folder, json_array, page_store
 
@@ -146,6 +146,38 @@ def test_agent_over_pixels(spark):
     np.testing.assert_allclose([v for e in sorted(expected) for v in e[2]], [v for g in found for v in g[2]], rtol=1e-5)
 
 
+def test_agent_reads_frames_once(spark):
+    """A frame comes by once for both passes, and no plan broadcasts it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    image = np.random.default_rng(3).integers(0, 200, (24, 32, 3), dtype=np.uint8).tobytes()
+    frames = spark.createDataFrame([(f"i{k}", image) for k in range(20)], "image_path string, pixels binary").mapInArrow(counted, "image_path string, pixels binary")
+    rows = spark.range(60).select("id", F.concat(F.lit("i"), (F.col("id") % 20).cast("string")).alias("image_path"), F.lit("q").alias("query"))
+    assert agent.zoom_verify_pixels(rows, frames, agent.PixelPredictor("middle", Middle), target=TARGET).count() == 60
+    assert read.value == 20
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Frames that follow from few bytes are as large as others."""
+    images = spark.createDataFrame([(str(i), registry.png(4, 3, lambda x, y: (x, y, 0))) for i in range(20)], "image_path string, content binary")
+    joined = encode.with_pixels(spark.range(200).select((F.col("id") % 25).cast("string").alias("image_path")), images, TARGET)
+    plan = joined._jdf.queryExecution().executedPlan()
+    assert len(plan.executeCollect()) == 160
+    assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
+
+
+@pytest.mark.parametrize("size", [(1, 1), (5, 9), (64, 48), (200, 31)])
+def test_zoomed_bytes_are_the_letterbox(size):
+    image = np.random.default_rng(4).integers(0, 256, (*size, 3), dtype=np.uint8)
+    for fill in (0.0, 0.3, 1.0):
+        assert np.array_equal(pixels.letterbox_bytes(image, TARGET, fill), pixels.to_bytes(pixels.letterbox_pixels(image / 255.0, TARGET, fill)))
+
+
 def test_agent_refuses_other_frames(spark):
     df = spark.createDataFrame([(1, "a", "q")], "id int, image_path string, query string")
     frames = spark.createDataFrame([("a", b"123")], "image_path string, pixels binary")
