@@ -12,6 +12,7 @@ from gridloom.config import Config
 from gridloom.functions.scoring import channel_means, score
 from gridloom.operators import cells, elements, order
 from gridloom.operators.encode import collate, grpo_rows, pad_batches, sft_rows, with_frame_boxes
+from gridloom.sources.interim import written
 
 MODES = ("sft", "grpo")
 HOLDOUTS = ("row", "image")
@@ -45,20 +46,28 @@ def build(
     if config.holdout_by not in HOLDOUTS:
         raise ValueError(f"holdout_by must be one of {HOLDOUTS}, got {config.holdout_by!r}")
     a = elements.filter_frame(ui, config.ui.min_box_px, config.ui.min_query_chars)
-    placed = order.shuffled(a, ui_keys, config.seed)
-    if config.holdout_by == "image":
+    placed, n = order.counted_shuffle(a, ui_keys, config.seed)
+    by_image = config.holdout_by == "image"
+    if by_image:
         train, held = order.split_groups(placed, "image_path", config.holdout_fraction, config.seed)
     else:
-        train, held = order.split_holdout(placed, config.holdout_fraction)
+        first = order.holdout_size(n, config.holdout_fraction)
+        train, held = placed.where(F.col("pos") >= first), placed.where(F.col("pos") < first)
     encode = partial(sft_rows, tokenize=tokenize) if mode == "sft" else grpo_rows
-    rows = train.drop("pos")
-    if config.mix_ratio[1] > 0 and cell is not None:
-        b = elements.filter_frame(cell, config.cells.min_box_px, config.cells.min_query_chars, config.cells.max_query_chars)
-        # Positions name the rows of a child, so rows that repeat each other stay apart.
-        children = [c.select(F.col("pos").alias("row_key"), *elements.FRAME_COLUMNS) for c in (train, order.ordinal_by(b, cell_keys))]
-        rows = order.mixed_rows(children, ["row_key"], config.mix_ratio, config.seed)
-    framed = with_frame_boxes(rows, config.target_size)
-    return encode(framed), encode(with_frame_boxes(held, config.target_size)) if mode == "sft" else None
+    encoded = lambda rows: encode(with_frame_boxes(rows, config.target_size))
+    held = encoded(held) if mode == "sft" else None
+    if config.mix_ratio[1] <= 0 or cell is None:
+        return encoded(train.drop("pos")), held
+    # Cells of a page are taken apart once; the bounds of their order are sampled from what is kept.
+    b = written(elements.filter_frame(cell, config.cells.min_box_px, config.cells.min_query_chars, config.cells.max_query_chars), "cells")
+    # Positions name the rows of a child, so rows that repeat each other stay apart.
+    keyed = train.select(F.col("pos").alias("row_key"), *elements.FRAME_COLUMNS)
+    # Without its first positions a child is still numbered; without whole images it has gaps.
+    ui_child, ui_count = order.numbered(keyed, ["row_key"], "_nth") if by_image else (keyed.withColumn("_nth", F.col("row_key") - first), n - first)
+    placed_cells, cell_count = order.numbered(b, cell_keys, "row_key")
+    cell_child = placed_cells.select("row_key", *elements.FRAME_COLUMNS).withColumn("_nth", F.col("row_key"))
+    # Encoded before they are mixed, so a row that is repeated is encoded once.
+    return order.mixed_numbered([(encoded(ui_child), ui_count), (encoded(cell_child), cell_count)], config.mix_ratio, config.seed), held
 
 
 def batches(train: DataFrame, size: int, window: int = 256, ranks: int = 1, seed: int = 0, pad_id: int = 0) -> DataFrame:
