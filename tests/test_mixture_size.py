@@ -92,3 +92,6 @@ def test_answers_round_half_to_even(spark):
     df = spark.createDataFrame([(0.5, 1.5, 2.5, 1023.4999), (-0.5, -1.5, 0.49999999999999994, 3.5)], "a double, b double, c double, d double")
     answers = [r[0] for r in df.select(render_answer(*[F.col(c) for c in "abcd"])).collect()]
     assert answers == ["<box> [0, 2, 2, 1023] </box>", "<box> [0, -2, 0, 4] </box>"]
+    # Names may come in any order and twice, and other signs of a template mean nothing; a missing number is told.
+    odd = render_answer(*[F.col(c) for c in "abc"], F.lit(None).cast("double"), "100% {y0} {x0} {y0} %d {x1}{y1}")
+    assert [r[0] for r in df.select(odd).collect()] == ["100% 2 0 2 %d 2null", "100% -2 0 -2 %d 0null"]
