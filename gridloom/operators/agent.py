@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.geometry import CORNERS, FRAME, clamp_to_frame, crop_box, letterbox, project_box
 from gridloom.functions.plan import fenced
-from gridloom.functions.text import parse_box
-from gridloom.operators.pixels import letterbox_bytes
+from gridloom.functions.text import BOX, SPACE, parse_box
+from gridloom.operators.pixels import zoomed_bytes
 from gridloom.sources.interim import written
 
 MIN_EXTENT = 4.0
@@ -117,120 +118,198 @@ def _model(predictor: PixelPredictor) -> Model:
     return _MODELS[predictor.name]
 
 
-def _frame(pixels: bytes, target: tuple[int, int]) -> np.ndarray:
-    if len(pixels) != target[0] * target[1] * 3:
-        raise ValueError(f"expected a frame of {target}, got {len(pixels)} bytes")
-    return np.frombuffer(pixels, np.uint8).reshape(target[1], target[0], 3)
-
-
-def _zoomed(frame: np.ndarray, crop: dict, target: tuple[int, int], fill: float) -> np.ndarray:
-    """The part of a frame inside ``crop``, letterboxed back to the frame's size."""
-    return letterbox_bytes(frame[crop["y0"] : crop["y1"], crop["x0"] : crop["x1"]], target, fill)
+def _hot(asks: DataFrame, together: int) -> DataFrame | None:
+    """image_path, _groups of the images that more than ``together`` questions are about; None without any."""
+    counts = asks.groupBy("image_path").agg(F.ceil(F.count("*") / together).alias("_groups"))
+    hot = written(counts.where("_groups > 1"), "agent_hot")
+    return None if hot.isEmpty() else hot
 
 
-def _met(asks: DataFrame, frames: DataFrame, together: int) -> DataFrame:
-    """pixels, _asks: frames (image_path, pixels) and lists of the questions (_row, image_path, query) about them.
+def _met(asks: DataFrame, frames: DataFrame, together: int, decode: Callable[[Column], Column]) -> DataFrame:
+    """image_path, _group, _row, query, pixels: every frame as a row without _row and query, followed by the questions about it.
 
-    A frame travels to the questions about it, not a copy to each, and once: questions are grouped by
-    image.  Those of a hot image, more than ``together``, are in groups that are dealt to several tasks,
-    and hot frames alone are copied.  Frames are large whatever a planner estimates, so they are merged
-    and never broadcast.  Questions about an image without a frame are in no list.
+    A frame travels to the questions about it, not a copy to each, and once, in the form in which it is
+    stored: it is decoded where it has arrived, so neither a shuffle nor a sort holds pixels.  Questions
+    about a hot image, more than ``together``, are in groups that are dealt to several tasks, and hot
+    frames alone are copied.  Nothing is joined: frames and questions are one table, sorted inside its ranges.
     """
-    counts = asks.groupBy("image_path").agg(F.ceil(F.count("*") / together).alias("_groups"))
-    group = F.pmod(F.xxhash64("_row"), F.col("_groups"))
-    grouped = asks.join(counts, "image_path").groupBy("image_path", "_groups", group.alias("_group")).agg(F.collect_list(F.struct("_row", "query")).alias("_asks"))
-    frames = frames.select("image_path", "pixels").hint("merge")
-    met = grouped.where("_groups = 1").join(frames, "image_path").select("pixels", "_asks")
-    hot = counts.where("_groups > 1")
-    if hot.isEmpty():
-        return met
-    copies = frames.join(hot, "image_path").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
-    return met.unionByName(grouped.where("_groups > 1").join(copies.drop("_groups").hint("merge"), ["image_path", "_group"]).select("pixels", "_asks"))
-
-
-def _answers(predictor: PixelPredictor, images: Iterator[np.ndarray], queries: list[str]) -> list[str | None]:
-    """What the model says to every query about its image, handed to it in batches."""
+    asks, frames = asks.where("image_path IS NOT NULL"), frames.select("image_path", "pixels").where("image_path IS NOT NULL")
+    hot = _hot(asks, together)
+    if hot is None:
+        asks, frames = (x.withColumn("_group", F.lit(0).cast("bigint")) for x in (asks, frames))
+    else:
+        groups = F.coalesce("_groups", F.lit(1).cast("bigint"))
+        asks = asks.join(hot, "image_path", "left").withColumn("_group", F.pmod(F.xxhash64("_row"), groups)).drop("_groups")
+        frames = frames.join(hot, "image_path", "left").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1))).drop("_groups")
+    met = asks.unionByName(frames, allowMissingColumns=True).repartition("image_path", "_group").sortWithinPartitions("image_path", "_group", F.asc_nulls_first("_row"))
+    return met.withColumn("pixels", F.when(F.col("_row").isNull(), decode(F.col("pixels"))))
+
+
+def _answers(predictor: PixelPredictor, images: np.ndarray, which: np.ndarray, queries: list[str]) -> list[str | None]:
+    """What the model says to every query about ``images[which]``, handed to it in batches."""
     model, out = _model(predictor), []
     for at in range(0, len(queries), predictor.batch):
         part = queries[at : at + predictor.batch]
-        said = list(model(np.stack(list(islice(images, len(part)))), part))
+        said = list(model(images[which[at : at + predictor.batch]], part))
         if len(said) != len(part):
             raise ValueError(f"the model answered {len(said)} of {len(part)} questions")
         out += said
     return out
 
 
-#: Frames whose questions are answered before their answers are handed on.
-HELD = 64
-
-
-def _first_answers(met: DataFrame, predictor: PixelPredictor, target: tuple[int, int]) -> DataFrame:
-    """A row with the pixels of every frame of ``met``, followed by the questions about it: _row, query, _macro_text."""
-    schema = pa.schema([("_row", pa.int64()), ("query", pa.string()), ("_macro_text", pa.string()), ("pixels", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, HELD):
-                part = batch.slice(at, HELD)
-                pixels, asks = part.column("pixels").to_pylist(), part.column("_asks").to_pylist()
-                frames = [_frame(p, target) for p in pixels]
-                images = (frame for frame, listed in zip(frames, asks, strict=True) for _ in listed)
-                answers = iter(_answers(predictor, images, [q["query"] for listed in asks for q in listed]))
-                rows = []
-                for p, listed in zip(pixels, asks, strict=True):
-                    rows.append((None, None, None, p))
-                    rows += [(q["_row"], q["query"], next(answers), None) for q in listed]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return met.mapInArrow(run, "_row bigint, query string, _macro_text string, pixels binary")
-
-
-def _second_answers(seen: DataFrame, predictor: PixelPredictor, target: tuple[int, int], fill: float) -> DataFrame:
-    """The questions of :func:`_first_answers`, in its order, with _micro_text: what the model says to the zoom, where there is one."""
-    kept = [f for f in seen.schema.fields if f.name != "pixels"]
-
-    def zoomed(frame: np.ndarray, crop: dict, known: dict[tuple, np.ndarray]) -> np.ndarray:
-        place = tuple(crop.values())
-        if place not in known:
-            known[place] = _zoomed(frame, crop, target, fill)
-        return known[place]
+# Between the two passes over a frame no row leaves its task, so boxes are read and placed in arrays here.
+# The arithmetic is that of the expressions in macro_pass, zoom_context and _refined, step by step.
+
+_FOUND = re.compile(BOX.replace(SPACE, r"\s"))  # in Python \s is the same set of characters
+_NOWHERE = ("0",) * 4
+
+
+def _parsed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """First boxes of texts (n, 4) and whether there is one; :func:`parse_box` of a list."""
+    found = [_FOUND.search(t) if t is not None else None for t in texts]
+    numbers = np.array(list(map(float, chain.from_iterable(m.groups() if m else _NOWHERE for m in found))), np.float64).reshape(-1, 4)
+    with np.errstate(over="ignore"):
+        return numbers.astype(np.float32), np.array([m is not None for m in found], bool)
+
+
+def _held(x: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``x`` held to [0, high]; a negative zero stays one, as in Spark."""
+    x = np.where(x < 0, np.float32(0), x)
+    return np.where(x > high, high, x)
+
+
+def _crops(box: np.ndarray, margin: float, target: tuple[int, int]) -> np.ndarray:
+    """Integer crops (n, 4) around boxes; :func:`crop_box` of an array."""
+    box = box.astype(np.float64)
+    around = (box[:, 2:] - box[:, :2]) * margin
+    low, high = np.floor(box[:, :2] - around), np.ceil(box[:, 2:] + around)
+    crop = np.concatenate([np.maximum(low, 0), np.minimum(high, target)], axis=1).astype(np.int64)
+    if (crop[:, 2:] - crop[:, :2] < 1).any():
+        raise ValueError("crop without area")
+    return crop
+
+
+def _projected(box: np.ndarray, crop: np.ndarray, target: tuple[int, int]) -> np.ndarray:
+    """Boxes in the zooms of ``crop`` back in their frames; :func:`project_box` of arrays."""
+    size = crop[:, 2:] - crop[:, :2]
+    scale = (np.array(target, np.float64) / size).min(axis=1, keepdims=True)
+    content = np.minimum(np.array(target), np.rint(size * scale).astype(np.int64))
+    pad = np.tile((np.array(target) - content) // 2, 2).astype(np.float32)
+    local = ((box - pad).astype(np.float64) / scale.astype(np.float32)).astype(np.float32)
+    return _held(local, np.tile(size, 2).astype(np.float32)) + np.tile(crop[:, :2], 2).astype(np.float32)
+
+
+#: Bytes of the images of questions that are answered before others are zoomed.
+HELD = 1 << 24
+PATHS = pa.array(["miss", "too_small", "macro_fallback", "refined"])
+ANSWERED = "_row bigint, macro struct<x0: float, y0: float, x1: float, y1: float>, result struct<x0: float, y0: float, x1: float, y1: float>, path string"
+
+
+def _boxes(corners: np.ndarray, there: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(corners[:, i])) for i in range(4)], list(CORNERS), mask=pa.array(~there))
+
+
+def _two_passes(predictor: PixelPredictor, frames: np.ndarray, which: np.ndarray, rows: np.ndarray, queries: list[str], margin: float, fill: float) -> pa.RecordBatch:
+    """Answers to queries about ``frames[which]``, first about the frames and then about the zooms into them."""
+    target = frames.shape[2], frames.shape[1]
+    macro, there = _parsed(_answers(predictor, frames, which, queries))
+    macro = _held(macro, np.array(target * 2, np.float32))
+    zooms = np.flatnonzero(there & (macro[:, 2:] - macro[:, :2] >= np.float32(MIN_EXTENT)).all(axis=1))
+    crop = _crops(macro[zooms], margin, target)
+    # Questions that zoom into the same place of a frame see the same image.
+    place = which[zooms]
+    for i, size in enumerate((*target, *target)):
+        place = place * (size + 1) + crop[:, i]
+    _, one, same = np.unique(place, return_index=True, return_inverse=True)
+    images = zoomed_bytes(frames, which[zooms[one]], crop[one], fill)
+    micro, refined = _parsed(_answers(predictor, images, same, [queries[i] for i in zooms]))
+    result, path = macro.copy(), there.astype(np.int64)
+    path[zooms] = np.where(refined, 3, 2)
+    result[zooms[refined]] = _projected(micro[refined], crop[refined], target)
+    return pa.RecordBatch.from_arrays([pa.array(rows), _boxes(macro, there), _boxes(result, there), PATHS.take(pa.array(path))], names=["_row", "macro", "result", "path"])
+
+
+def _framed(pixels: pa.Array, at: np.ndarray, target: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Frames (n, height, width, 3) at ``at``, and their sizes in bytes; one of another size than a frame's is left black."""
+    offsets = np.frombuffer(pixels.buffers()[1], np.int64 if pa.types.is_large_binary(pixels.type) else np.int32)[pixels.offset : pixels.offset + len(pixels) + 1]
+    sizes, wanted = np.diff(offsets)[at], target[0] * target[1] * 3
+    shape = len(at), target[1], target[0], 3
+    if not len(at):
+        return np.zeros(shape, np.uint8), sizes
+    data = np.frombuffer(pixels.buffers()[2] or b"", np.uint8)
+    if (sizes == wanted).all() and offsets[-1] - offsets[0] == wanted * len(at):
+        return data[offsets[0] : offsets[-1]].reshape(shape), sizes
+    out = np.zeros(shape, np.uint8)
+    for i in np.flatnonzero(sizes == wanted):
+        out[i] = data[offsets[at[i]] : offsets[at[i]] + wanted].reshape(shape[1:])
+    return out, sizes
+
+
+def _answered(met: DataFrame, predictor: PixelPredictor, margin: float, target: tuple[int, int], fill: float) -> DataFrame:
+    """_row, macro, result, path of the questions in :func:`_met` that have a frame, one for each frame of their image."""
+    wanted = target[0] * target[1] * 3
+    together = max(predictor.batch, HELD // wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, known = None, {}  # the last one that came by, whose questions may go on in the next batch, and its zooms
+        keys, frames, sizes = None, np.zeros((0, target[1], target[0], 3), np.uint8), np.zeros(0, np.int64)  # of the last image, whose questions may go on in the next batch
         for batch in batches:
-            zooms, place, queries = [], [], []
-            rows, asked = batch.column("_row").to_pylist(), batch.column("query").to_pylist()
-            for i, (row, crop) in enumerate(zip(rows, batch.column("crop").to_pylist(), strict=True)):
-                if row is None:
-                    frame, known = _frame(batch.column("pixels")[i].as_buffer(), target), {}
-                elif crop is not None:
-                    zooms.append((frame, crop, known))
-                    place.append(i)
-                    queries.append(asked[i])
-            said: list[str | None] = [None] * batch.num_rows
-            for i, text in zip(place, _answers(predictor, (zoomed(*z) for z in zooms), queries), strict=True):
-                said[i] = text
-            out = batch.select([f.name for f in kept]).append_column("_micro_text", pa.array(said, pa.string()))
-            yield out.filter(batch.column("_row").is_valid())
-
-    return seen.mapInArrow(run, StructType([*kept, StructField("_micro_text", StringType())]))
+            key, row, pixels = batch.select(["image_path", "_group"]), batch.column("_row"), batch.column("pixels")
+            is_frame, is_ask = (x.is_valid().to_numpy(zero_copy_only=False) for x in (pixels, row))
+            at, asks = np.flatnonzero(is_frame), np.flatnonzero(is_ask)
+            before = len(frames)
+            new, new_sizes = _framed(pixels, at, target)
+            frames, sizes = (np.concatenate([frames, new]), np.concatenate([sizes, new_sizes])) if before else (new, new_sizes)
+            mine = key.take(pa.array(at))
+            keys = pa.concat_batches([keys, mine]) if keys is not None else mine
+            if not len(frames):
+                continue
+            n = np.arange(len(frames))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~_alike(keys.slice(1), keys.slice(0, len(n) - 1))]), n, 0))
+            last = (np.cumsum(is_frame) - 1)[asks] + before
+            met = (last >= 0) & _alike(key.take(pa.array(asks)), keys.take(pa.array(np.maximum(last, 0))))
+            asks, last = asks[met], last[met]
+            many = last - start[last] + 1  # frames of one image are seen one by one
+            which = np.repeat(last, many) - (np.cumsum(many).repeat(many) - 1 - np.arange(many.sum()))
+            asks = np.repeat(asks, many)
+            wrong = sizes[which] != wanted
+            if wrong.any():
+                raise ValueError(f"expected a frame of {target}, got {sizes[which[wrong][0]]} bytes")
+            rows, queries = row.fill_null(0).to_numpy()[asks], batch.column("query").take(pa.array(asks)).to_pylist()
+            for i in range(0, len(asks), together):
+                part = slice(i, i + together)
+                yield _two_passes(predictor, frames, which[part], rows[part], queries[part], margin, fill)
+            frames, sizes, keys = frames[start[-1] :].copy(), sizes[start[-1] :], keys.slice(start[-1])
+
+    return met.select("image_path", "_group", "_row", "query", "pixels").mapInArrow(run, ANSWERED)
+
+
+def _alike(a: pa.RecordBatch, b: pa.RecordBatch) -> np.ndarray:
+    """Whether rows of the same place are equal; none is null."""
+    return np.logical_and.reduce([pc.equal(x, y).to_numpy(zero_copy_only=False) for x, y in zip(a.columns, b.columns, strict=True)])
 
 
 def zoom_verify_pixels(
-    rows: DataFrame, frames: DataFrame, predictor: PixelPredictor, margin: float = 0.15, target: tuple[int, int] = FRAME, fill: float = 0.0, query: str = "query", image: str = "image_path"
+    rows: DataFrame,
+    frames: DataFrame,
+    predictor: PixelPredictor,
+    margin: float = 0.15,
+    target: tuple[int, int] = FRAME,
+    fill: float = 0.0,
+    query: str = "query",
+    image: str = "image_path",
+    decode: Callable[[Column], Column] = lambda stored: stored,
 ) -> DataFrame:
     """Adds ``macro``, ``result`` and ``path`` to rows (image, query, ...) by a model that sees their frames.
 
     The model is asked about the whole frame first, then, for boxes large enough, about the crop around
     its answer, zoomed to the frame's size; what it says there is projected back.  A frame is moved once
-    for both: it comes by in front of its questions, and no step between the passes moves a row to another
-    task or place.  Rows are written when they are numbered and answers when they are in, so no
-    question is put twice.  A null query is not asked, and a row without a frame gets no answer: both are misses.
+    for both, as ``pixels`` of ``frames`` has it, and ``decode`` makes its bytes of that where it is seen; it comes by
+    in front of its questions, and both passes are made there.  Rows are written when they are numbered and
+    answers when they are in, so no question is put twice.  A null query is not asked, and a row without a frame
+    gets no answer: both are misses.
     """
     numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "agent_rows")
     asks = numbered.where(F.col(query).isNotNull()).select("_row", F.col(image).alias("image_path"), F.col(query).alias("query"))
-    first = _first_answers(_met(asks, frames, predictor.together), predictor, target)
-    seen = zoom_context(macro_pass(first, "_macro_text", target).drop("_macro_text"), margin, target)
-    answers = _refined(_second_answers(seen, predictor, target, fill)).select("_row", "macro", "result", "path")
+    answers = _answered(_met(asks, frames, predictor.together, decode), predictor, margin, target, fill)
     told = numbered.join(written(answers, "agent_answers"), "_row", "left")
     return told.withColumn("path", F.coalesce("path", F.lit("miss"))).drop("_row")
