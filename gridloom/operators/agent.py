@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -139,8 +137,9 @@ def _met(asks: DataFrame, frames: DataFrame, together: int, decode: Callable[[Co
         asks, frames = (x.withColumn("_group", F.lit(0).cast("bigint")) for x in (asks, frames))
     else:
         groups = F.coalesce("_groups", F.lit(1).cast("bigint"))
-        asks = asks.join(hot, "image_path", "left").withColumn("_group", F.pmod(F.xxhash64("_row"), groups)).drop("_groups")
-        frames = frames.join(hot, "image_path", "left").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1))).drop("_groups")
+        asks, frames = (x.join(hot, "image_path", "left") for x in (asks, frames))
+        asks = asks.withColumn("_group", F.pmod(F.xxhash64("_row"), groups)).drop("_groups")
+        frames = frames.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1))).drop("_groups")
     met = asks.unionByName(frames, allowMissingColumns=True).repartition("image_path", "_group").sortWithinPartitions("image_path", "_group", F.asc_nulls_first("_row"))
     return met.withColumn("pixels", F.when(F.col("_row").isNull(), decode(F.col("pixels"))))
 
@@ -160,16 +159,23 @@ def _answers(predictor: PixelPredictor, images: np.ndarray, which: np.ndarray, q
 # Between the two passes over a frame no row leaves its task, so boxes are read and placed in arrays here.
 # The arithmetic is that of the expressions in macro_pass, zoom_context and _refined, step by step.
 
-_FOUND = re.compile(BOX.replace(SPACE, r"\s"))  # in Python \s is the same set of characters
-_NOWHERE = ("0",) * 4
+#: The first box of a text, its numbers named; spaces are spelled out for Arrow, whose \s lacks one of them.
+_FOUND = BOX.replace(SPACE, r"[\s\x0b\x1c-\x1f\x85\p{Z}]")
+for _name in CORNERS:
+    _FOUND = _FOUND.replace("(-?", f"(?P<{_name}>-?", 1)
 
 
 def _parsed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """First boxes of texts (n, 4) and whether there is one; :func:`parse_box` of a list."""
-    found = [_FOUND.search(t) if t is not None else None for t in texts]
-    numbers = np.array(list(map(float, chain.from_iterable(m.groups() if m else _NOWHERE for m in found))), np.float64).reshape(-1, 4)
+    found = pc.extract_regex(pa.array(texts, pa.string()), _FOUND)
+    parts = [found.field(i) for i in range(4)]
+    there = found.is_valid().to_numpy(zero_copy_only=False)
+    try:
+        numbers = [pc.if_else(found.is_valid(), p, "0").cast(pa.float64()).to_numpy() for p in parts]
+    except pa.ArrowInvalid:  # a number beyond doubles
+        numbers = [[float(x) if ok else 0.0 for x, ok in zip(p.to_pylist(), there, strict=True)] for p in parts]
     with np.errstate(over="ignore"):
-        return numbers.astype(np.float32), np.array([m is not None for m in found], bool)
+        return np.stack(numbers, axis=1).astype(np.float32), there
 
 
 def _held(x: np.ndarray, high: np.ndarray) -> np.ndarray:
